@@ -8,16 +8,15 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, materialize, mix, shingle_sets, sized_hint, slices
 
-#: Shingles in one counting block of the frequency pass; a block reports those it holds twice or more.
-BLOCK = 2_000_000
-#: Entries of the broadcast table of frequent shingles (16 bytes each); any choice gives the same links.
-FREQUENT_ROWS = 500_000
+#: Share of all shingles, by hash, whose frequency over all documents is counted. It steers cost alone.
+SHARE = 0.35
 #: Star rounds before all pairs between different components of a signature are verified.
 STAR_ROUNDS = 3
 
@@ -27,77 +26,54 @@ def _digest(tokens: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def _counts(n: int):
-    """Counts of shingles, one for each distinct document of a block."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, seen = [], 0, set()
-
-        def flush():
-            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts > 1
-            return pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], ["token", "n"])
-
-        for part in slices(batches, "text"):
-            for tokens in shingle_sets(part.column("text"), n):
-                if len(tokens) and (d := _digest(tokens)) not in seen:
-                    seen.add(d)
-                    held.append(tokens)
-                    size += len(tokens)
-                if size >= BLOCK:
-                    yield flush()
-                    held, size, seen = [], 0, set()
-        if held:
-            yield flush()
-
-    return run
+def _unshared(n: int, percent: int) -> int:
+    """Most shingles that a set of n may lack in a set that it links with."""
+    return n - -(-percent * n // 100)
 
 
 class Signatures:
     """Signatures of one shingle set, such that two sets that link share one at least.
 
-    Shingles are ordered by (class, hash): rare ones first. A set's prefix is extended until its
-    signatures cover more shingles than a linked set may lack: a rare shingle covers one; k or more
-    shingles of one class and cell (a range of hashes) cover all but k-1 of them, and their
-    k-combinations are the signatures. Cells narrow with the size's power of two; a set also signs at
-    the next power where a partner can have it. Sets below 16 shingles sign by single shingles.
+    Shingles are ordered: counted ones that no other document holds, rare ones, frequent ones, very
+    frequent ones, those not counted; by hash within a class. A set's prefix is extended until it covers
+    more shingles than a linked set may lack. An unshared shingle covers one and needs no signature; a
+    rare one, or one not counted, covers one and is a signature; k or more shingles of one frequent
+    class (k = 2, or 3 for very frequent) and cell (a range of hashes) cover all but k-1 of them, and
+    their k-combinations are the signatures. Cells narrow with the size's power of two; a set also signs
+    at the next power where a partner can have it. Sets below 16 shingles sign by single shingles.
     """
 
-    def __init__(self, tokens: np.ndarray, classes: np.ndarray, percent: int):
-        order = np.argsort(tokens)
-        self.tokens, self.classes, self.percent = tokens[order], classes[order], percent
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(tokens >> np.uint64(44)).astype(np.int64)] = True
-
-    def class_of(self, tokens: np.ndarray) -> np.ndarray:
-        out = np.ones(len(tokens), np.int8)
-        at = np.flatnonzero(self.maybe[(tokens >> np.uint64(44)).astype(np.int64)])
-        if len(at) and len(self.tokens):
-            found = np.minimum(np.searchsorted(self.tokens, tokens[at]), len(self.tokens) - 1)
-            same = self.tokens[found] == tokens[at]
-            out[at[same]] = self.classes[found[same]]
-        return out
-
-    def of(self, tokens: np.ndarray) -> np.ndarray:
+    def __init__(self, percent: int, frequent: int, very_frequent: int, cut: int):
+        self.percent, self.frequent, self.very_frequent, self.cut = percent, frequent, very_frequent, np.uint64(cut)
+
+    def of(self, tokens: np.ndarray, shared: np.ndarray, df: np.ndarray) -> np.ndarray:
+        """``tokens``: the sorted set; ``shared``: its counted shingles that others hold, and their ``df``."""
         n = len(tokens)
-        need = n - -(-self.percent * n // 100) + 1
+        counted = int(np.searchsorted(tokens, self.cut))
+        prefix = _unshared(n, self.percent) + 1
+        need = prefix - (counted - len(shared))
         level = n.bit_length() - 1
         levels = [level] + [level + 1] * (n * 100 >= (1 << level + 1) * self.percent)
-        classes = self.class_of(tokens)
-        rare = tokens[classes == 1]
-        out = [mix(tokens[:need] ^ np.uint64(0xA5A5))] if levels[0] < 4 else []
-        if levels[-1] >= 4:
+        out = [mix(tokens[:prefix] ^ np.uint64(0xA5A5))] if level < 4 else []
+        if levels[-1] >= 4 and need > 0:
+            order = np.argsort(shared)
+            shared, df = shared[order], df[order]
+            rare = shared[df < self.frequent]
             out.append(rare[:need])
-        if len(rare) < need:
-            for k in levels:
+            classes = [(2, shared[(df >= self.frequent) & (df < self.very_frequent)]), (3, shared[df >= self.very_frequent])]
+            for k in levels if len(rare) < need else []:
                 if k >= 4:
-                    out += self._combined(tokens, classes, need - len(rare), k)
-        return np.unique(np.concatenate(out))
-
-    def _combined(self, tokens: np.ndarray, classes: np.ndarray, need: int, level: int) -> Iterator[np.ndarray]:
-        for k, cells in ((2, level - 2), (3, level - 3)):
-            own = tokens[classes == k]
-            cell = own >> np.uint64(64 - cells)
+                    combined, left = self._combined(classes, need - len(rare), k)
+                    out += [*combined, tokens[counted : counted + left]]
+        return np.unique(np.concatenate([np.empty(0, np.uint64), *out]))
+
+    @staticmethod
+    def _combined(classes: list, need: int, level: int) -> tuple[list[np.ndarray], int]:
+        out = []
+        for k, own in classes:
+            if need <= 0 or not len(own):
+                continue
+            cell = own >> np.uint64(64 - (level - k))
             first = np.searchsorted(cell, cell)
             covered = np.cumsum(np.arange(len(own)) - first >= k - 1)
             end = min(len(own), int(np.searchsorted(covered, need)) + 1)
@@ -108,55 +84,74 @@ class Signatures:
                     total = np.full(len(picked), (level << 8) + k, np.uint64)
                     for j in range(k):
                         total = mix(total * np.uint64(0x9E3779B97F4A7C15) + own[picked[:, j]])
-                    yield total
-            need -= int(covered[end - 1]) if end else 0
-            if need <= 0:
-                return
+                    out.append(total)
+            need -= int(covered[end - 1])
+        return out, max(0, need)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.uint64), *arrays]).view(np.int64)))
+
+
+def _arrays(column: pa.ListArray, kind: type) -> list[np.ndarray]:
+    """The lists of a column as views of its values; a null list is empty."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+    return np.split(column.flatten().to_numpy().view(kind), ends[:-1])
 
 
-def _signed(n: int, table, percent: int):
+def _read(n: int, cut: int):
+    """Row number, size and digest of each document; the counted shingles of a set's first row in the task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sign, row, seen = Signatures(*table.value, percent), TaskContext.get().partitionId() << 36, set()
+        row, seen = TaskContext.get().partitionId() << 36, set()
         for part in slices(batches, "text"):
-            rows, sizes, d1, d2, signs = [], [], [], [], []
+            rows, sizes, digests, first, counted = [], [], [], [], []
             for tokens in shingle_sets(part.column("text"), n):
                 d = _digest(tokens)
-                fresh = len(tokens) and d not in seen
-                if fresh and len(seen) < 1_000_000:
-                    seen.add(d)
                 row += 1
                 rows.append(row)
                 sizes.append(len(tokens))
-                d1.append(d[0])
-                d2.append(d[1])
-                signs.append(sign.of(tokens).view(np.int64) if fresh else np.empty(0, np.int64))
-            ends = np.cumsum([0, *map(len, signs)], dtype=np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(signs)))
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists], ["row", "doc_id", "n_shingles", "d1", "d2", "signs"])
+                digests.append(d)
+                first.append(len(tokens) > 0 and d not in seen)
+                counted.append(tokens[: np.searchsorted(tokens, np.uint64(cut))] if first[-1] else tokens[:0])
+                if len(seen) < 1_000_000:
+                    seen.add(d)
+            d1, d2 = zip(*digests, strict=True)
+            columns = [pa.array(rows, pa.int64()), part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(first), _lists(counted)]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_shingles", "d1", "d2", "first", "counted"])
 
     return run
 
 
-def _sets(n: int):
+def _signed(sign: Signatures):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            sets = list(shingle_sets(part.column("text"), n))
-            digests = [_digest(x) for x in sets]
-            ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in digests], pa.int64()), pa.array([x for _, x in digests], pa.int64()), lists], ["d1", "d2", "tokens"])
+        for batch in batches:
+            columns = _arrays(batch.column("tokens"), np.uint64), _arrays(batch.column("shared"), np.uint64), _arrays(batch.column("df"), np.int64)
+            signs = [sign.of(*x) for x in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), _lists(signs)], ["rep", "n", "signs"])
 
     return run
 
 
-def frequent_shingles(docs: DataFrame, n: int, frequent: int, very_frequent: int, rows: int = FREQUENT_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles of all documents and their classes (2, or 3 for very frequent)."""
-    counted = docs.select("text").mapInArrow(_counts(n), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counted.where(F.col("n") >= frequent).orderBy(F.desc("n"), "token").limit(rows).toPandas()
-    return top["token"].to_numpy(np.int64).view(np.uint64), np.where(top["n"] >= very_frequent, 3, 2).astype(np.int8)
+def _sets(n: int):
+    """Digests and shingle sets, each set once for a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for part in slices(batches, "text"):
+            new = []
+            for tokens in shingle_sets(part.column("text"), n):
+                if (d := _digest(tokens)) not in seen:
+                    new.append((d, tokens))
+                    if len(seen) < 1_000_000:
+                        seen.add(d)
+            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d, _ in new], pa.int64()), pa.array([d[1] for d, _ in new], pa.int64()), _lists([x for _, x in new])], ["d1", "d2", "tokens"])
+
+    return run
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 64, very_frequent: int = 8192) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 16, very_frequent: int = 4096) -> DataFrame:
     """doc_id, n_shingles, component_id and class_size (documents with the same shingle set) of each row.
 
     Rows link when their sets of n-word shingles have Jaccard ``percent``/100 or more; component_id is
@@ -164,32 +159,35 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, frequent:
     links with nothing. Rows with one doc_id are separate rows; a null doc_id gives a row whose
     component_id is the smallest doc_id of its component, or null. Other columns are ignored.
 
-    Links are exact up to equality of 64-bit shingle hashes. Equal sets become one class; each
-    signature's members are verified against a leader, then (where a signature still spans several
-    components) against other leaders and at last against every member of another component.
+    Links are exact up to equality of 64-bit shingle hashes. Equal sets become one class. Documents
+    that hold more unshared shingles (of those counted) than a link allows are done; the others' sets
+    sign. Each signature's members are verified against a leader, then (where a signature still spans
+    several components) against other leaders, at last against every member of another component.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    table = spark.sparkContext.broadcast(frequent_shingles(docs, n, frequent, very_frequent))
-    signed = materialize(docs.mapInArrow(_signed(n, table, percent), "row long, doc_id long, n_shingles long, d1 long, d2 long, signs array<long>"), "signed")
-    rows = signed.where("n_shingles > 0")
+    cut = int(SHARE * 2**64)
+    read = materialize(docs.mapInArrow(_read(n, cut), "row long, doc_id long, n_shingles long, d1 long, d2 long, first boolean, counted array<long>"), "read")
+    rows = read.where("n_shingles > 0")
     classes = materialize(rows.groupBy("d1", "d2").agg(F.min("row").alias("rep"), F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), F.count("*").alias("class_size")), "classes")
-    of_row = materialize(rows.where(F.size("signs") > 0).select("row", "d1", "d2").join(classes.select("d1", "d2", "rep", "n").hint("shuffle_hash"), ["d1", "d2"]).select("row", "rep", "n"), "rows")
-
-    spread = rows.select("row", F.explode("signs").alias("sign"))
-    shared = spread.groupBy("sign").agg(F.count("*").alias("members"), F.min("row").alias("leader")).where("members > 1")
-    groups = materialize(spread.join(shared.select("sign", "leader").hint("shuffle_hash"), "sign"), "groups")
-
-    by_row = lambda df, col: df.join(of_row.select(F.col("row").alias(col), F.col("rep").alias(f"{col}_rep"), F.col("n").alias(f"{col}_n")).hint("merge"), col)
-    first = by_row(by_row(groups.where("row != leader").select("row", "leader").distinct(), "row"), "leader")
-    pairs = _fitting(first.select(F.col("row_rep").alias("x"), F.col("row_n").alias("nx"), F.col("leader_rep").alias("y"), F.col("leader_n").alias("ny")), percent)
-
-    wanted = materialize(groups.select("row").distinct().join(of_row.hint("merge"), "row").select("rep").distinct().join(classes.select("rep", "d1", "d2").hint("merge"), "rep"), "wanted")
-    sets = docs.select("text").mapInArrow(_sets(n), "d1 long, d2 long, tokens array<long>").join(sized_hint(wanted, wanted.count()), ["d1", "d2"])
-    sets = materialize(sets.groupBy("rep").agg(F.first("tokens").alias("tokens")), "sets")
 
-    done = _verified(pairs, sets, percent)
-    members = materialize(by_row(groups.select("sign", "row"), "row").select("sign", F.col("row_rep").alias("rep"), F.col("row_n").alias("n")).distinct(), "members")
+    spread = rows.where("first").select("row", F.explode("counted").alias("token"))
+    common = spread.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    held = spread.join(common.hint("shuffle_hash"), "token").groupBy("row").agg(F.collect_list("token").alias("shared"), F.collect_list("df").alias("df"))
+    sized = rows.where("first").select("row", F.size("counted").alias("n_counted")).join(classes.select(F.col("rep").alias("row"), "n", "d1", "d2").hint("merge"), "row")
+    able = sized.join(held.hint("merge"), "row", "left").where(F.col("n_counted") - F.coalesce(F.size("shared"), F.lit(0)) <= F.col("n") - F.ceil(F.col("n") * percent / 100))
+    able = materialize(able.select(F.col("row").alias("rep"), "n", "d1", "d2", "shared", "df"), "able")
+
+    wanted = able.select("rep", "d1", "d2")
+    sets = docs.select("text").mapInArrow(_sets(n), "d1 long, d2 long, tokens array<long>").join(sized_hint(wanted, able.count()), ["d1", "d2"])
+    sets = materialize(sets.select("rep", "tokens").dropDuplicates(["rep"]), "sets")
+    sign = Signatures(percent, frequent, very_frequent, cut)
+    signed = sets.join(able.select("rep", "n", "shared", "df").hint("merge"), "rep").mapInArrow(_signed(sign), "rep long, n long, signs array<long>")
+    spread = materialize(signed, "signed").select("rep", "n", F.explode("signs").alias("sign"))
+    lead = spread.groupBy("sign").agg(F.count("*").alias("members"), F.min("rep").alias("y")).where("members > 1").select("sign", "y")
+    members = materialize(spread.join(lead.hint("shuffle_hash"), "sign"), "members")
+    sizes = able.select(F.col("rep").alias("y"), F.col("n").alias("ny")).hint("merge")
+    pairs = members.where("rep != y").select(F.col("rep").alias("x"), F.col("n").alias("nx"), "y").distinct().join(sizes, "y")
+    done = _verified(_fitting(pairs, percent), sets, percent)
     for turn in range(1, STAR_ROUNDS + 1):
         labels = materialize(components(done.where("linked"), "x", "y"), "labels")
         members = _unresolved(members, labels)
@@ -208,7 +206,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, frequent:
     low = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = materialize(named.join(low.hint("shuffle_hash"), "component").select("d1", "d2", "component_id", "class_size"), "named")
     out = rows.select("doc_id", "n_shingles", "d1", "d2").join(named.hint("merge"), ["d1", "d2"]).select("doc_id", "n_shingles", "component_id", "class_size")
-    return out.union(signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("class_size")))
+    return out.union(read.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("class_size")))
 
 
 def _fitting(pairs: DataFrame, percent: int) -> DataFrame:
