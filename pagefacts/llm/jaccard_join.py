@@ -228,3 +228,21 @@ def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
     now = members.select("sign", "rep", "n").join(label, "rep", "left").select("sign", "rep", "n", F.coalesce("new", "rep").alias("label"))
     open_ = now.groupBy("sign").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("sign")
     return materialize(now.join(open_.hint("shuffle_hash"), "sign"), "members")
+
+
+def one_of_each_group(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs``, with all columns, that stay when each component keeps its smallest doc_id.
+
+    Rows without words and rows with a null doc_id all stay. Of rows with one doc_id and one text
+    (A-Z lower-cased), one stays.
+    """
+    found = materialize(jaccard_components(docs, **how).where("n_shingles > 0").select(F.col("doc_id").alias("_id"), "component_id"), "components")
+    gone = found.where("_id != component_id").select("_id").distinct()
+    twice = found.where("_id = component_id").groupBy("_id").count().where("count > 1").select("_id")
+    same_id = docs["doc_id"].cast("long") == F.col("_id")
+    kept = docs.join(sized_hint(gone, gone.count()), same_id, "left_anti")
+    n = twice.count()
+    if not n:
+        return kept
+    again = kept.join(sized_hint(twice, n), same_id, "left_semi").withColumn("_same", F.xxhash64(F.lower("text"))).dropDuplicates(["doc_id", "_same"]).drop("_same")
+    return kept.join(sized_hint(twice, n), same_id, "left_anti").unionByName(again)

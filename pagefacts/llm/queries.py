@@ -3,11 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import licenses, line_dedup
+from .decontamination import benchmark_copies
+from .fingerprints import fingerprints
 from .jaccard_join import jaccard_components
+from .mixing import taken_words
+from .sequences import encode_and_read
+from .substring_dedup import repeated_passages
+from .tokens import token_counts, tokenizer_path
+from .toxicity import with_toxicity
 
+TOKENIZER = "byte_bpe_50k.json"
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_license_scan": licenses.sql(), "op8_line_dedup": line_dedup.sql()}
 
 
 def query(f):
@@ -22,3 +32,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken_words(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_and_read(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER))
+
+
+@query
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = with_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "score")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_copies(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.without_boilerplate(table(spark, sf_dir, "pages"))
+
+
+@query
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER))
