@@ -1 +1,126 @@
-"""Queries."""
+"""Gate queries over ``lineitem``, ``documents``, ``labels`` and ``part``."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.text import page_text
+from ..operators import gates as G
+from . import fixtures as X
+from .registry import register, table
+
+
+@register("gate_triage", f"""with {X.SCORES} select query, item, relevance >= 0.35 and slop <= 0.75 as kept,
+  case when relevance >= 0.35 then case when slop <= 0.75 then null else 'slop' end else 'relevance' end as drop_reason from scores""")
+def gate_triage(spark, d):
+    return G.gate_triage(X.scores(spark, d)).select("query", "item", "kept", "drop_reason")
+
+
+@register("gate_quarantine", f"with {X.PASSAGES} select source, count(*) filter (coalesce(injection, 1.0) >= 0.55) as quarantined, count(*) filter (coalesce(injection, 1.0) < 0.55) as safe from passages group by source")
+def gate_quarantine(spark, d):
+    safe, bad = G.gate_quarantine(X.passages(spark, d))
+    both = safe.select("source", F.lit(False).alias("bad")).union(bad.select("source", F.lit(True).alias("bad")))
+    return both.groupBy("source").agg(F.count_if("bad").alias("quarantined"), F.count_if(~F.col("bad")).alias("safe"))
+
+
+@register("gate_extractable", f"with {X.SCORES} select query, item from scores where slop >= 0.12")
+def gate_extractable(spark, d):
+    return G.gate_extractable(X.scores(spark, d).withColumnRenamed("slop", "has_items")).select("query", "item")
+
+
+@register("gate_grounding", f"with {X.SCORES} select query, count(*) filter (coalesce(p,0) >= 0.6) as grounded, count(*) filter (coalesce(p,0) < 0.6) as rejected from scores group by query")
+def gate_grounding(spark, d):
+    g = G.gate_grounding(X.scores(spark, d).withColumnRenamed("p", "grounding"))
+    return g.groupBy("query").agg(F.count_if("grounded").alias("grounded"), F.count_if(~F.col("grounded")).alias("rejected"))
+
+
+@register("gate_support", f"with {X.SCORES} select query, item from scores where p >= 0.45 or relevance >= 0.45 or slop >= 0.45")
+def gate_support(spark, d):
+    s = X.scores(spark, d).withColumn("part_support", F.array("relevance", "slop")).withColumnRenamed("p", "supports")
+    return G.gate_support(s).select("query", "item")
+
+
+@register("gate_constraints", f"""with {X.SCORES}, v as (select query as record, item as "constraint", coalesce(p,0) as p, relevance as page_p,
+    case when label in ('supports','contradicts','not_addressed','ambiguous','mixed') then label else 'not_addressed' end as known from scores),
+  s as (select *, case when known='contradicts' then known when p >= 0.5 or (coalesce(page_p,0) >= 0.70 and p >= 0.25) then 'supports' when known='supports' then 'not_addressed' else known end as status from v)
+  select record, bool_or(status='contradicts') as excluded, min(p) as support, string_agg(status, ',' order by "constraint") as statuses from s group by record""")
+def gate_constraints(spark, d):
+    s = X.scores(spark, d).select(F.col("query").alias("record"), F.col("item").alias("constraint"), "p", F.col("relevance").alias("page_p"), "label")
+    return G.gate_constraints(s)
+
+
+@register("gate_binding", f"with {X.RECORDS} select record_id, case binding when 'same' then true when 'related' then false when 'different' then false else coalesce(grounding >= 0.75, false) end as accepted from records")
+def gate_binding(spark, d):
+    return G.gate_binding(X.records(spark, d)).select("record_id", "accepted")
+
+
+@register("validate_scores", f"with {X.SCORES} select query, item from scores where (relevance is null or (not isnan(relevance) and relevance between 0 and 1)) and (authority is null or authority between 0 and 1) and (p is null or p between 0 and 1)")
+def validate_scores(spark, d):
+    s = X.scores(spark, d).withColumn("probabilities", F.create_map(F.lit("yes"), "p"))
+    return G.validate_scores(s, ["relevance", "authority"], "probabilities").select("query", "item")
+
+
+@register("thin_pages")
+def thin_pages(spark, d):
+    pages = table(spark, d, "pages").select("page_id", "html", page_text(F.col("html")).alias("text"), (F.col("page_id") % 3).alias("records"), (F.col("page_id") % 2 == 0).alias("rendered"))
+    return G.thin_pages(pages)
+
+
+@register("completeness", f"""with {X.RECORDS} select record_id, coalesce(brand,'') <> '' and status = 'supports' and binding <> 'related' as complete,
+  concat_ws('; ', case when coalesce(brand,'') = '' then 'missing brand' end, case when status <> 'supports' then 'unverified constraint' end, case when binding = 'related' then 'related entity' end) as status from records""")
+def completeness(spark, d):
+    r = X.records(spark, d).withColumn("fields", F.map_filter(F.create_map(F.lit("name"), "name", F.lit("brand"), "brand", F.lit("type"), "type"), lambda k, v: v.isNotNull()))
+    return G.completeness(r.withColumn("constraint_status", F.array("status")), ["name", "brand", "type"])
+
+
+@register("support_band", f"with {X.SCORES} select query, item, case when p >= 0.8 then 'strong' when p >= 0.5 then 'medium' when p is not null then 'weak' end as band from scores")
+def support_band(spark, d):
+    return G.support_band(X.scores(spark, d)).select("query", "item", "band")
+
+
+@register("determination", f"with {X.SCORES} select query, item, case when p >= 0.6 then 'yes' when p <= 0.1 then 'no' else '' end as answer from scores")
+def determination(spark, d):
+    return G.determination(X.scores(spark, d)).select("query", "item", "answer")
+
+
+@register("gate_queries", f"with {X.SCORES}, r as (select query as round, item as query, p as score, row_number() over (partition by query order by p desc nulls last, item) as rank from scores) select round, query, score from r where rank <= 2 or score >= 0.4")
+def gate_queries(spark, d):
+    return G.gate_queries(X.scores(spark, d).select(F.col("query").alias("round"), F.col("item").alias("query"), F.col("p").alias("score")))
+
+
+@register("gate_claims", f"with {X.SCORES} select query as run, count(p) as claims_checked, count(*) filter (p < 0.5) as unsupported_claims from scores group by query")
+def gate_claims(spark, d):
+    return G.gate_claims(X.scores(spark, d).select(F.col("query").alias("run"), F.col("p").alias("score")))
+
+
+@register("attach_scores", "select d.doc_id, coalesce(cast(l.quality as double), 0) as score from documents d left join labels l using (doc_id)")
+def attach_scores(spark, d):
+    labels = table(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("score"))
+    return G.attach_scores(table(spark, d, "documents").select("doc_id"), labels, ["doc_id"], 0.0)
+
+
+@register("best_evidence", f"""with {X.SCORES} select query, item, row_number() over (partition by query order by p*coalesce(case when item=3 then null else relevance end, 1.0e0) desc nulls last, item) as rank,
+  case when coalesce(case when item=3 then null else relevance end, 1.0e0) < 0.25 then 'may be superseded' else '' end as note from scores""")
+def best_evidence(spark, d):
+    s = X.scores(spark, d).select("query", "item", F.col("p").alias("supports"), F.when(F.col("item") != 3, F.col("relevance")).alias("currency"))
+    return G.best_evidence(s)
+
+
+@register("rank_with_agreement", f"""with {X.SCORES}, k as (select query, item, authority, round(relevance*(1+least(0.15e0*(l_partkey%4), 0.30e0)), 9) as boosted from scores where relevance >= 0.35 and slop <= 0.75),
+  r as (select query, item, boosted, row_number() over (partition by query order by boosted desc, authority desc, item) as place from k) select * from r where place <= 3""")
+def rank_with_agreement(spark, d):
+    s = G.gate_triage(X.scores(spark, d)).select("query", "item", "authority", "kept", F.col("relevance").alias("rank"), (F.col("l_partkey") % 4 + 1).alias("engines"))
+    return G.rank_with_agreement(s)
+
+
+@register("drop_unmentioned", f"with {X.SCORES}, m as (select query as record, max(coalesce(p,1)) as most, bool_or(l_suppkey%5=0) as own_site from scores group by 1) select record, own_site from m where own_site or most > 0.2")
+def drop_unmentioned(spark, d):
+    s = X.scores(spark, d).select(F.col("query").alias("record"), F.col("p").alias("presence"), "l_suppkey")
+    records = s.groupBy("record").agg(F.bool_or(F.col("l_suppkey") % 5 == 0).alias("own_site"))
+    return G.drop_unmentioned(records, s.select("record", "presence"))
+
+
+@register("other_set_excluded", f"with {X.SCORES} select query as record from scores group by 1 having not bool_and(l_suppkey%3<2) or bool_or(label='supports')")
+def other_set_excluded(spark, d):
+    s = X.scores(spark, d).select(F.col("query").alias("record"), (F.col("l_suppkey") % 3 < 2).alias("other_set"), (F.col("label") == "supports").alias("supported"))
+    return G.other_set_excluded(s)
