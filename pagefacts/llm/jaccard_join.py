@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import components, materialize, mix, shingle_sets, sized_hint, slices
 
-#: Share of all shingles, by hash, whose frequency over all documents is counted. It steers cost alone.
+#: Share of all shingles, by hash, that the first count over all documents takes. It steers cost alone.
 SHARE = 0.35
 #: Star rounds before all pairs between different components of a signature are verified.
 STAR_ROUNDS = 3
@@ -34,41 +34,37 @@ def _unshared(n: int, percent: int) -> int:
 class Signatures:
     """Signatures of one shingle set, such that two sets that link share one at least.
 
-    Shingles are ordered: counted ones that no other document holds, rare ones, frequent ones, very
-    frequent ones, those not counted; by hash within a class. A set's prefix is extended until it covers
-    more shingles than a linked set may lack. An unshared shingle covers one and needs no signature; a
-    rare one, or one not counted, covers one and is a signature; k or more shingles of one frequent
-    class (k = 2, or 3 for very frequent) and cell (a range of hashes) cover all but k-1 of them, and
-    their k-combinations are the signatures. Cells narrow with the size's power of two; a set also signs
-    at the next power where a partner can have it. Sets below 16 shingles sign by single shingles.
+    Shingles are ordered: those that no other candidate holds, rare ones, frequent ones, very frequent
+    ones; by hash within a class. A set's prefix is extended until it covers more shingles than a linked
+    set may lack. An unshared shingle covers one and needs no signature; a rare one covers one and is a
+    signature; k or more shingles of one frequent class (k = 2, or 3 for very frequent) and cell (a range
+    of hashes) cover all but k-1 of them, and their k-combinations are the signatures. Cells narrow with
+    the size's power of two; a set also signs at the next power where a partner can have it. Sets below
+    16 shingles sign by single shingles, whatever their class.
     """
 
-    def __init__(self, percent: int, frequent: int, very_frequent: int, cut: int):
-        self.percent, self.frequent, self.very_frequent, self.cut = percent, frequent, very_frequent, np.uint64(cut)
+    def __init__(self, percent: int, frequent: int, very_frequent: int):
+        self.percent, self.frequent, self.very_frequent = percent, frequent, very_frequent
 
-    def of(self, tokens: np.ndarray, shared: np.ndarray, df: np.ndarray) -> np.ndarray:
-        """``tokens``: the sorted set; ``shared``: its counted shingles that others hold, and their ``df``."""
-        n = len(tokens)
-        counted = int(np.searchsorted(tokens, self.cut))
-        prefix = _unshared(n, self.percent) + 1
-        need = prefix - (counted - len(shared))
+    def of(self, n: int, shared: np.ndarray, df: np.ndarray) -> np.ndarray:
+        """``n``: the set's size; ``shared``: its shingles that others hold, and how many documents do."""
+        order = np.argsort(shared)
+        shared, df = shared[order], df[order]
+        need = _unshared(n, self.percent) + 1 - (n - len(shared))
         level = n.bit_length() - 1
         levels = [level] + [level + 1] * (n * 100 >= (1 << level + 1) * self.percent)
-        out = [mix(tokens[:prefix] ^ np.uint64(0xA5A5))] if level < 4 else []
+        out = [mix(shared[: max(0, need)] ^ np.uint64(0xA5A5))] if level < 4 else []
         if levels[-1] >= 4 and need > 0:
-            order = np.argsort(shared)
-            shared, df = shared[order], df[order]
             rare = shared[df < self.frequent]
             out.append(rare[:need])
             classes = [(2, shared[(df >= self.frequent) & (df < self.very_frequent)]), (3, shared[df >= self.very_frequent])]
             for k in levels if len(rare) < need else []:
                 if k >= 4:
-                    combined, left = self._combined(classes, need - len(rare), k)
-                    out += [*combined, tokens[counted : counted + left]]
+                    out += self._combined(classes, need - len(rare), k)
         return np.unique(np.concatenate([np.empty(0, np.uint64), *out]))
 
     @staticmethod
-    def _combined(classes: list, need: int, level: int) -> tuple[list[np.ndarray], int]:
+    def _combined(classes: list, need: int, level: int) -> list[np.ndarray]:
         out = []
         for k, own in classes:
             if need <= 0 or not len(own):
@@ -86,7 +82,7 @@ class Signatures:
                         total = mix(total * np.uint64(0x9E3779B97F4A7C15) + own[picked[:, j]])
                     out.append(total)
             need -= int(covered[end - 1])
-        return out, max(0, need)
+        return out
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -127,9 +123,10 @@ def _read(n: int, cut: int):
 def _signed(sign: Signatures):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = _arrays(batch.column("tokens"), np.uint64), _arrays(batch.column("shared"), np.uint64), _arrays(batch.column("df"), np.int64)
+            columns = batch.column("n").to_pylist(), _arrays(batch.column("shared"), np.uint64), _arrays(batch.column("df"), np.int64)
             signs = [sign.of(*x) for x in zip(*columns, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), _lists(signs)], ["rep", "n", "signs"])
+            held = pc.list_value_length(batch.column("shared")).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), held, _lists(signs)], ["rep", "n", "held", "signs"])
 
     return run
 
@@ -160,45 +157,49 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, frequent:
     component_id is the smallest doc_id of its component, or null. Other columns are ignored.
 
     Links are exact up to equality of 64-bit shingle hashes. Equal sets become one class. Documents
-    that hold more unshared shingles (of those counted) than a link allows are done; the others' sets
-    sign. Each signature's members are verified against a leader, then (where a signature still spans
-    several components) against other leaders, at last against every member of another component.
+    that hold more unshared shingles than a link allows are done: first by the share of all shingles
+    that is counted over all documents, then, among those left, by all their shingles. The rest sign.
+    Each signature's members are verified against a leader, then (where a signature still spans several
+    components) against other leaders, at last against every member of another component. A pair is
+    verified only if the shingles that each shares with anyone suffice for a link.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    cut = int(SHARE * 2**64)
-    read = materialize(docs.mapInArrow(_read(n, cut), "row long, doc_id long, n_shingles long, d1 long, d2 long, first boolean, counted array<long>"), "read")
+    lacking = F.col("n") - F.ceil(F.col("n") * percent / 100)
+    read = materialize(docs.mapInArrow(_read(n, int(SHARE * 2**64)), "row long, doc_id long, n_shingles long, d1 long, d2 long, first boolean, counted array<long>"), "read")
     rows = read.where("n_shingles > 0")
     classes = materialize(rows.groupBy("d1", "d2").agg(F.min("row").alias("rep"), F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), F.count("*").alias("class_size")), "classes")
 
     spread = rows.where("first").select("row", F.explode("counted").alias("token"))
+    common = spread.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
+    held = spread.join(common.hint("shuffle_hash"), "token").groupBy("row").agg(F.count("*").alias("held"))
+    sized = rows.where("first").select("row", F.size("counted").alias("counted")).join(classes.select(F.col("rep").alias("row"), "n", "d1", "d2").hint("merge"), "row")
+    able = sized.join(held.hint("merge"), "row", "left").where(F.col("counted") - F.coalesce("held", F.lit(0)) <= lacking)
+    able = materialize(able.select(F.col("row").alias("rep"), "n", "d1", "d2"), "able")
+    sets = docs.select("text").mapInArrow(_sets(n), "d1 long, d2 long, tokens array<long>").join(sized_hint(able, able.count()), ["d1", "d2"])
+    sets = materialize(sets.select("rep", "n", "tokens").dropDuplicates(["rep"]), "sets")
+
+    spread = sets.select("rep", "n", F.explode("tokens").alias("token"))
     common = spread.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    held = spread.join(common.hint("shuffle_hash"), "token").groupBy("row").agg(F.collect_list("token").alias("shared"), F.collect_list("df").alias("df"))
-    sized = rows.where("first").select("row", F.size("counted").alias("n_counted")).join(classes.select(F.col("rep").alias("row"), "n", "d1", "d2").hint("merge"), "row")
-    able = sized.join(held.hint("merge"), "row", "left").where(F.col("n_counted") - F.coalesce(F.size("shared"), F.lit(0)) <= F.col("n") - F.ceil(F.col("n") * percent / 100))
-    able = materialize(able.select(F.col("row").alias("rep"), "n", "d1", "d2", "shared", "df"), "able")
-
-    wanted = able.select("rep", "d1", "d2")
-    sets = docs.select("text").mapInArrow(_sets(n), "d1 long, d2 long, tokens array<long>").join(sized_hint(wanted, able.count()), ["d1", "d2"])
-    sets = materialize(sets.select("rep", "tokens").dropDuplicates(["rep"]), "sets")
-    sign = Signatures(percent, frequent, very_frequent, cut)
-    signed = sets.join(able.select("rep", "n", "shared", "df").hint("merge"), "rep").mapInArrow(_signed(sign), "rep long, n long, signs array<long>")
-    spread = materialize(signed, "signed").select("rep", "n", F.explode("signs").alias("sign"))
+    shared = spread.join(common.hint("shuffle_hash"), "token").groupBy("rep", "n").agg(F.collect_list("token").alias("shared"), F.collect_list("df").alias("df")).where(F.col("n") - F.size("shared") <= lacking)
+    signed = materialize(shared.mapInArrow(_signed(Signatures(percent, frequent, very_frequent)), "rep long, n long, held long, signs array<long>"), "signed")
+    spread = signed.select("rep", "n", "held", F.explode("signs").alias("sign"))
     lead = spread.groupBy("sign").agg(F.count("*").alias("members"), F.min("rep").alias("y")).where("members > 1").select("sign", "y")
     members = materialize(spread.join(lead.hint("shuffle_hash"), "sign"), "members")
-    sizes = able.select(F.col("rep").alias("y"), F.col("n").alias("ny")).hint("merge")
-    pairs = members.where("rep != y").select(F.col("rep").alias("x"), F.col("n").alias("nx"), "y").distinct().join(sizes, "y")
+    sizes = signed.select(F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("held").alias("hy")).hint("merge")
+    pairs = members.where("rep != y").select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("held").alias("hx"), "y").distinct().join(sizes, "y")
     done = _verified(_fitting(pairs, percent), sets, percent)
     for turn in range(1, STAR_ROUNDS + 1):
         labels = materialize(components(done.where("linked"), "x", "y"), "labels")
         members = _unresolved(members, labels)
         if not members.head(1):
             break
+        mine = members.select("sign", "label", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("held").alias("hx"))
         if turn < STAR_ROUNDS:
-            lead = members.groupBy("sign").agg(F.min_by(F.struct("rep", "n", "label"), F.xxhash64("rep", F.lit(turn))).alias("lead"))
-            pairs = members.join(lead.hint("shuffle_hash"), "sign").where("label != lead.label").select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("lead.rep").alias("y"), F.col("lead.n").alias("ny"))
+            lead = members.groupBy("sign").agg(F.min_by(F.struct("rep", "n", "held", "label"), F.xxhash64("rep", F.lit(turn))).alias("lead"))
+            pairs = mine.join(lead.hint("shuffle_hash"), "sign").where("label != lead.label").select("*", F.col("lead.rep").alias("y"), F.col("lead.n").alias("ny"), F.col("lead.held").alias("hy"))
         else:
-            other = members.select("sign", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("label").alias("other"))
-            pairs = members.join(other.hint("merge"), "sign").where("label < other").select(F.col("rep").alias("x"), F.col("n").alias("nx"), "y", "ny")
+            other = members.select("sign", F.col("label").alias("other"), F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("held").alias("hy"))
+            pairs = mine.join(other.hint("merge"), "sign").where("label < other")
         new = _fitting(pairs, percent).join(done.select("x", "y").hint("merge"), ["x", "y"], "left_anti")
         done = materialize(done.union(_verified(new, sets, percent)), "links")
     labels = components(done.where("linked"), "x", "y")
@@ -210,8 +211,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, frequent:
 
 
 def _fitting(pairs: DataFrame, percent: int) -> DataFrame:
-    """Distinct ordered pairs of different classes whose sizes allow the similarity."""
-    fits = pairs.where("x != y").where(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)
+    """Distinct ordered pairs of different classes whose sizes and shared shingles allow the similarity."""
+    fits = pairs.where("x != y").where(F.least("hx", "hy") * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent)
     return fits.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
@@ -225,7 +226,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of signatures that span more than one component, with their component."""
     label = labels.select(F.col("node").alias("rep"), F.col("component").alias("new")).hint("merge")
-    now = members.select("sign", "rep", "n").join(label, "rep", "left").select("sign", "rep", "n", F.coalesce("new", "rep").alias("label"))
+    now = members.select("sign", "rep", "n", "held").join(label, "rep", "left").select("sign", "rep", "n", "held", F.coalesce("new", "rep").alias("label"))
     open_ = now.groupBy("sign").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("sign")
     return materialize(now.join(open_.hint("shuffle_hash"), "sign"), "members")
 

@@ -60,20 +60,20 @@ def test_equals_brute_force(spark, seed, frequent, very):
 
 
 def test_signatures_of_links_meet():
-    r, cut = np.random.default_rng(5), int(J.SHARE * 2**64)
+    r = np.random.default_rng(5)
     tokens = np.unique(r.integers(0, 2**63, 3000, dtype=np.uint64) * np.uint64(2))
     df = dict(zip(tokens.tolist(), r.choice([2, 5, 30, 900], len(tokens)).tolist(), strict=True))
-    sign = J.Signatures(75, 5, 30, cut)
+    sign = J.Signatures(75, 5, 30)
 
-    def signs(x):
-        shared = x[x < np.uint64(cut)]
-        return set(sign.of(x, shared, np.array([df[t] for t in shared.tolist()], np.int64)).tolist())
+    def signs(x, unshared):
+        return set(sign.of(len(x) + unshared, x, np.array([df[t] for t in x.tolist()], np.int64)).tolist())
 
     for n in [*range(1, 80), 100, 255, 256, 400, 900]:
-        for _ in range(5):
+        for lost in range(5):
+            keep = -(-3 * n // 4)
             x = np.sort(r.choice(tokens, n, replace=False))
-            y = np.sort(x[r.permutation(n)[: -(-3 * n // 4)]])
-            assert signs(x) & signs(y)
+            lost = min(lost, n - keep)
+            assert signs(x[lost:] if lost else x, lost) & signs(np.sort(x[lost:][r.permutation(n - lost)[:keep]]), 0)
 
 
 def test_nulls_empty_tables_and_clashing_columns(spark):
