@@ -118,15 +118,15 @@ def attach_scores(items: DataFrame, answers: DataFrame, keys: list[str], missing
 def best_evidence(passages: DataFrame, stale: float = 0.25) -> DataFrame:
     """Passages ranked by support times currency within a query; stale ones are labelled, not dropped."""
     currency = F.coalesce("currency", F.lit(1.0))
-    order = Window.partitionBy("query").orderBy(F.desc_nulls_last(F.col("supports") * currency), "item")
-    return passages.select("query", "item", F.row_number().over(order).alias("rank"), F.when(currency < stale, "may be superseded").otherwise("").alias("note"))
+    order = Window.partitionBy("query").orderBy(F.desc_nulls_last(F.col("supports") * currency), "item", currency)
+    return passages.select("query", "item", F.row_number().over(order).cast("long").alias("rank"), F.when(currency < stale, "may be superseded").otherwise("").alias("note"))
 
 
 def rank_with_agreement(candidates: DataFrame, read: int = 3) -> DataFrame:
     """The best ``read`` kept candidates of a query; each further engine adds 15 %, 30 % at most."""
     rank = F.round(F.col("rank") * (1 + F.least(0.15 * (F.col("engines") - 1), F.lit(0.30))), 9)
     order = Window.partitionBy("query").orderBy(F.desc("boosted"), F.desc("authority"), "item")
-    return candidates.where("kept").withColumn("boosted", rank).withColumn("place", F.row_number().over(order)).where(F.col("place") <= read).select("query", "item", "boosted", "place")
+    return candidates.where("kept").withColumn("boosted", rank).withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= read).select("query", "item", "boosted", "place")
 
 
 def drop_unmentioned(records: DataFrame, presence: DataFrame, ceiling: float = 0.20) -> DataFrame:

@@ -43,7 +43,7 @@ def gate_support(spark, d):
 @register("gate_constraints", f"""with {X.SCORES}, v as (select query as record, item as "constraint", coalesce(p,0) as p, relevance as page_p,
     case when label in ('supports','contradicts','not_addressed','ambiguous','mixed') then label else 'not_addressed' end as known from scores),
   s as (select *, case when known='contradicts' then known when p >= 0.5 or (coalesce(page_p,0) >= 0.70 and p >= 0.25) then 'supports' when known='supports' then 'not_addressed' else known end as status from v)
-  select record, bool_or(status='contradicts') as excluded, min(p) as support, string_agg(status, ',' order by "constraint") as statuses from s group by record""")
+  select record, bool_or(status='contradicts') as excluded, min(p) as support, string_agg(status, ',' order by "constraint", status) as statuses from s group by record""")
 def gate_constraints(spark, d):
     s = X.scores(spark, d).select(F.col("query").alias("record"), F.col("item").alias("constraint"), "p", F.col("relevance").alias("page_p"), "label")
     return G.gate_constraints(s)
@@ -99,7 +99,7 @@ def attach_scores(spark, d):
     return G.attach_scores(table(spark, d, "documents").select("doc_id"), labels, ["doc_id"], 0.0)
 
 
-@register("best_evidence", f"""with {X.SCORES} select query, item, row_number() over (partition by query order by p*coalesce(case when item=3 then null else relevance end, 1.0e0) desc nulls last, item) as rank,
+@register("best_evidence", f"""with {X.SCORES} select query, item, row_number() over (partition by query order by p*coalesce(case when item=3 then null else relevance end, 1.0e0) desc nulls last, item, coalesce(case when item=3 then null else relevance end, 1.0e0)) as rank,
   case when coalesce(case when item=3 then null else relevance end, 1.0e0) < 0.25 then 'may be superseded' else '' end as note from scores""")
 def best_evidence(spark, d):
     s = X.scores(spark, d).select("query", "item", F.col("p").alias("supports"), F.when(F.col("item") != 3, F.col("relevance")).alias("currency"))
