@@ -1 +1,180 @@
-"""Queries."""
+"""Page, passage and answer queries over ``pages``, ``documents``, ``benchmark`` and ``conversations``."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import hits as H
+from ..operators import page_jobs as P
+from ..sources import export
+from .registry import register, table
+
+
+def _replaced(expr: str) -> str:
+    for e, c in T.ENTITIES.items():
+        expr = f"replace({expr}, '{e}', '{c.replace(chr(39), chr(39) * 2)}')"
+    return f"replace({expr}, '&amp;', '&')"
+
+
+def _hidden() -> str:
+    expr = "html"
+    for p in T.DROPPED:
+        flags, _, pattern = p.partition(")")
+        expr = f"regexp_replace({expr}, '{pattern}', ' ', '{flags[2:]}g')"
+    return f"regexp_replace(regexp_replace({expr}, '{T.BREAKS.removeprefix('(?i)')}', chr(10), 'gi'), '<[^>]*>', '', 'g')"
+
+
+_TEXT = f"regexp_replace(regexp_replace(regexp_replace({_replaced(_hidden())}, '[ \\t\\r\\x0B\\f]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')"
+_TITLE = f"regexp_replace({_replaced('''regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')''')}, '^\\s+|\\s+$', '', 'g')"
+
+
+@register("read_pages", "select page_id, url, length(html) as chars from pages")
+def read_pages(spark, d):
+    raw = table(spark, d, "pages").select("page_id", "url", F.encode("html", "UTF-8").alias("content"), F.lit("utf-8").alias("charset"))
+    ids = raw.select("page_id", F.concat_ws("|", "page_id", "url").alias("key"))
+    decoded = export.decode_pages(raw.select(F.concat_ws("|", "page_id", "url").alias("url"), "content", "charset")).withColumnRenamed("url", "key")
+    return ids.join(decoded, "key").select("page_id", F.regexp_replace("key", "^[^|]*\\|", "").alias("url"), F.length("html").cast("long").alias("chars"))
+
+
+@register("page_text", f"select page_id, {_TEXT} as text from pages")
+def page_text(spark, d):
+    return table(spark, d, "pages").select("page_id", T.page_text(F.col("html")).alias("text"))
+
+
+@register("page_title", f"select page_id, {_TITLE} as title from pages")
+def page_title(spark, d):
+    return table(spark, d, "pages").select("page_id", T.page_title(F.col("html")).alias("title"))
+
+
+_LINKS = f"""a as (select page_id, url, unnest(regexp_extract_all(html, '<a\\s([^>]*)>(.*?)</a\\s*>', 1, 'is')) as attrs, unnest(regexp_extract_all(html, '<a\\s([^>]*)>(.*?)</a\\s*>', 2, 'is')) as inner_html,
+    unnest(range(len(regexp_extract_all(html, '<a\\s([^>]*)>(.*?)</a\\s*>', 1, 'is')))) as pos from pages),
+  h as (select page_id, pos, regexp_extract(url, '^[a-z]+://[^/?#]*', 0) || {_replaced('''regexp_extract(attrs, 'href\\s*=\\s*["'']?([^"''\\s>]*)', 1, 'i')''')} as href, {_replaced('inner_html')} as text from a),
+  f as (select *, row_number() over (partition by page_id, href order by pos) as nr from h),
+  links as (select page_id, row_number() over (partition by page_id order by pos) as pos, href, trim(regexp_replace(text, '\\s+', ' ', 'g'))[1:160] as text from f where nr = 1)"""
+
+
+@register("page_links", f"with {_LINKS} select page_id, pos, href, text from links where pos <= 300")
+def page_links(spark, d):
+    return P.page_links(table(spark, d, "pages"))
+
+
+@register("follow_links", f"with {_LINKS}, s as (select page_id, href, (pos*7%10)/10.0e0 as score, pos, page_id%4=0 as anchor from links where pos <= 300), o as (select page_id, href, row_number() over (partition by page_id order by score desc, pos) as place, anchor from s where score >= 0.6) select page_id, href, place from o where place <= case when anchor then 3 else 1 end")
+def follow_links(spark, d):
+    links = P.page_links(table(spark, d, "pages")).selectExpr("page_id", "href", "pos", "(pos*7%10)/10.0D as score", "page_id%4=0 as anchor")
+    return H.follow_links(links, 0.6, 1, 3).select("page_id", "href", F.col("place").cast("long").alias("place"))
+
+
+_MARKDOWN = "concat('See [the [nested] page](https://a.example.org/', doc_id, ' \"t\") and https://b.example.org/', doc_id, '. ', substr(text, 1, 200))"
+
+
+@register("markdown_links")
+def markdown_links(spark, d):
+    return P.markdown_links(table(spark, d, "documents").selectExpr("doc_id", f"{_MARKDOWN} as text"))
+
+
+@register("chunk_pages")
+def chunk_pages(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return P.chunk_pages(docs).select("doc_id", "nr", F.length("chunk").cast("long").alias("chars"))
+
+
+@register("head_tail_chunks", "with c as (select l_orderkey as page, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as nr from lineitem), m as (select *, max(nr) over (partition by page) as last from c) select page, nr from m where last <= 4 or nr < 4 or nr = last")
+def head_tail_chunks(spark, d):
+    from pyspark.sql import Window
+
+    c = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")).cast("long").alias("nr"))
+    return P.head_tail_chunks(c, "page", 4)
+
+
+_CONTACTS = "case when doc_id%100=0 then concat(text, '\\nWrite to Info.Desk (at) office', doc_id, ' (dot) org or press at ayto-', doc_id, ' . es; see www.site', doc_id, '.org/a), call +34 600 12', lpad(cast(doc_id as varchar(9)), 6, '0'), '.') else text end"
+
+
+def _listed(column: str, name: str) -> str:
+    return f"select doc_id, unnest({column}) as {name} from found"
+
+
+_DOCS = f"d as (select doc_id, {_CONTACTS.replace(chr(92) + 'n', chr(10))} as text from documents)"
+
+
+@register("extract_emails", f"""with {_DOCS}, n as (select doc_id, regexp_replace(replace(replace(replace(replace(replace(lower(text), ' arroba ', '@'), '(at)', '@'), '[at]', '@'), '(dot)', '.'), '[dot]', '.'), 'press at ayto-([0-9]+) \\. es', 'press@ayto-\\1.es', 'g') as text from d),
+  e as (select distinct doc_id, regexp_replace(unnest(regexp_extract_all(text, '{T.EMAIL}')), '[.,:;!?)\\]]+$', '') as email from n) select doc_id, email from e where not regexp_matches(email, '^email@|protected.*@|@(example\\.com|example\\.org|domain\\.com|email\\.com|test\\.com)$')""")
+def extract_emails(spark, d):
+    docs = table(spark, d, "documents").selectExpr("doc_id", f"{_CONTACTS} as text")
+    return docs.select("doc_id", F.explode(T.emails(F.col("text"))).alias("email"))
+
+
+@register("extract_urls", f"""with {_DOCS}, u as (select doc_id, regexp_replace(unnest(regexp_extract_all(text, '{T.URL.replace(chr(39), chr(39) * 2)}')), '[.,:;!?)\\]]+$', '') as url from d)
+  select distinct doc_id, replace(case when starts_with(url, 'www.') then 'https://' || url else url end, '\\/', '/') as url from u""")
+def extract_urls(spark, d):
+    docs = table(spark, d, "documents").selectExpr("doc_id", f"{_CONTACTS} as text")
+    return docs.select("doc_id", F.explode(T.urls(F.col("text"))).alias("url"))
+
+
+@register("extract_phones", f"""with {_DOCS}, p as (select doc_id, unnest(regexp_extract_all(text, '{T.PHONE}')) as m from d)
+  select distinct doc_id, regexp_replace(trim(m), '[.,:;!?)\\]]+$', '') as phone from p where length(regexp_replace(m, '[^0-9]', '', 'g')) >= 7""")
+def extract_phones(spark, d):
+    docs = table(spark, d, "documents").selectExpr("doc_id", f"{_CONTACTS} as text")
+    return docs.select("doc_id", F.explode(T.phones(F.col("text"))).alias("phone"))
+
+
+@register("unread_urls", "select distinct url from pages where page_id%2=0 and url not in (select url from pages where page_id%3=0 and length(trim(html)) >= 4000)")
+def unread_urls(spark, d):
+    pages = table(spark, d, "pages")
+    read = pages.where("page_id%3=0").select("url", F.col("url").alias("requested_url"), F.col("html").alias("text"))
+    return P.unread_urls(pages.where("page_id%2=0").select("url").distinct(), read, 4000)
+
+
+@register("fallback_merge", """with p as (select doc_id, case when doc_id%4=0 then ' ' else text end as t from documents where doc_id%5<>0), f as (select doc_id, case when doc_id%8=0 then '' else 'f' || doc_id end as t from documents where doc_id%3<>0)
+  select doc_id, case when trim(coalesce(p.t,''))='' and trim(coalesce(f.t,''))<>'' then f.t else coalesce(p.t, f.t) end as text from p full join f using (doc_id)""")
+def fallback_merge(spark, d):
+    docs = table(spark, d, "documents")
+    first = docs.where("doc_id%5<>0").selectExpr("doc_id", "case when doc_id%4=0 then ' ' else text end as text")
+    return P.fallback_merge(first, docs.where("doc_id%3<>0").selectExpr("doc_id", "case when doc_id%8=0 then '' else concat('f', doc_id) end as text"), "doc_id")
+
+
+@register("align_by_ordinal", "select conv_id, 'u' || turn as url, text from conversations")
+def align_by_ordinal(spark, d):
+    turns = table(spark, d, "conversations").withColumn("url", F.concat(F.lit("u"), "turn"))
+    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("turn", "url", "text"))), c)
+    requests = turns.groupBy("conv_id").agg(ordered(lambda x: x["url"]).alias("urls"))
+    results = turns.groupBy("conv_id").agg(ordered(lambda x: F.struct(x["url"].alias("url"), x["text"].alias("text"))).alias("results"))
+    results = results.withColumn("results", F.when(F.col("conv_id") % 3 == 0, F.concat("results", F.slice("results", 1, 1))).otherwise(F.col("results")))
+    return P.align_by_ordinal(requests, results, "conv_id")
+
+
+@register("literal_presence", "select doc_id as id, contains(lower(regexp_replace(text, '\\s+', ' ', 'g')), lower(regexp_replace(text[20:60], '\\s+', ' ', 'g'))) and doc_id%3<>1 as present from documents")
+def literal_presence(spark, d):
+    docs = table(spark, d, "documents")
+    values = docs.selectExpr("doc_id as id", "concat('u', doc_id) as source_url", "case when doc_id%3=1 then 'certainly absent value' else upper(substring(text, 20, 41)) end as value")
+    return P.literal_presence(values, docs.selectExpr("concat('u', doc_id) as source_url", "text"))
+
+
+@register("repair_json")
+def repair_json(spark, d):
+    raw = "case when event_id%4=0 then props when event_id%4=1 then concat('```json\\n', props, '\\n```') when event_id%4=2 then concat('Here: {\"items\": [', props, ', {\"k\"') else 'none' end"
+    return P.repair_json(table(spark, d, "events").selectExpr("event_id as id", f"{raw} as response"))
+
+
+@register("split_claims")
+def split_claims(spark, d):
+    return P.split_claims(table(spark, d, "documents").selectExpr("doc_id as id", "text as answer"))
+
+
+@register("mark_unsupported", "select conv_id as id, string_agg(case when turn%3=0 then text || ' [unsupported]' else text end, ' ' order by turn) as answer from conversations group by conv_id")
+def mark_unsupported(spark, d):
+    claims = table(spark, d, "conversations").selectExpr("conv_id as id", "turn as nr", "text as claim", "case turn%3 when 0 then 0.2D when 1 then 0.9D end as score")
+    return P.mark_unsupported(claims)
+
+
+@register("score_with", "select doc_id as item_id, least(length(text)/10000.0e0, 1.0e0) as score from documents")
+def score_with(spark, d):
+    return P.score_with(table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text"), lambda t: (t.str.len() / 10000.0).clip(upper=1.0))
+
+
+@register("pack_batches")
+def pack_batches(spark, d):
+    items = table(spark, d, "documents").select("source", F.col("doc_id").alias("item_id"), F.length("text").alias("chars"))
+    return P.pack_batches(items.withColumn("part", F.concat_ws("/", "source", (F.col("item_id") / 5000).cast("long"))), "part", 8, 20_000)
+
+

@@ -1 +1,170 @@
-"""Queries."""
+"""Record, report and run-log-file queries over ``part``, ``orders``, ``lineitem`` and ``events``."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.text import normalize_entity
+from ..operators import records as R
+from ..sources import export, runlog
+from . import fixtures as X
+from .registry import register, table
+
+_NAMES = """p_partkey, case p_partkey%5 when 0 then concat('Ayuntamiento de ', p_name) when 1 then concat(upper(p_name), ' (Madrid)') when 2 then concat('owner/', replace(p_name, ' ', '-')) when 3 then concat(p_name, ' Udala') else p_name end as name"""
+
+
+@register("normalize_entities", f"select p_partkey, trim(regexp_replace(case p_partkey%5 when 2 then replace(p_name, ' ', '-') else lower(p_name) end, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) as key from (select {_NAMES}, p_name from part)")
+def normalize_entities(spark, d):
+    return X._columns(table(spark, d, "part"), _NAMES).select("p_partkey", normalize_entity(F.col("name")).alias("key"))
+
+
+@register("drop_category_echo", f"with {X.RECORDS} select record_id from records where exists (select 1 from (select unnest(string_split(name, ' ')) as w) where w not in ('small','steel','blue'))")
+def drop_category_echo(spark, d):
+    return R.drop_category_echo(X.records(spark, d), "Small Steel Blue").select("record_id")
+
+
+@register("name_pairs", """with k as (select distinct concat_ws(' ', p_name, case when p_size%7=0 then lower(p_brand) end) as key from part), w as (select distinct key, unnest(string_split(key, ' ')) as word from k), n as (select key, count(*) as n from w group by key),
+  s as (select x.key as a, y.key as b, count(*) as shared from w x join w y on x.word = y.word and x.key < y.key group by 1, 2)
+  select a, b, cast(shared as integer) as shared from s join n na on a = na.key join n nb on b = nb.key where shared*100 >= least(na.n, nb.n)*60""")
+def name_pairs(spark, d):
+    return R.name_pairs(table(spark, d, "part").selectExpr("concat_ws(' ', p_name, case when p_size%7=0 then lower(p_brand) end) as key"))
+
+
+@register("shared_email_pairs", "with e as (select c_custkey as id, 'm' || c_nationkey || '@' || c_mktsegment || '.org' as email from customer), l as (select email, min(id) as a from e group by email) select a, id as b from e join l using (email) where id <> a")
+def shared_email_pairs(spark, d):
+    mails = table(spark, d, "customer").selectExpr("c_custkey as id", "concat('m', c_nationkey, '@', c_mktsegment, '.org') as email")
+    return R.shared_email_pairs(mails)
+
+
+_PAIRS = "p_partkey as a, p_partkey+p_size as b, case when p_size%20=0 then 'email' else 'name' end as kind, (p_partkey%4)*0.6e0 as score"
+
+
+@register("merge_groups", f"""with recursive p as (select {_PAIRS} from part where p_size%10=0), ok as (select a, b from p where score >= case kind when 'email' then 1.0 else 1.5 end),
+  e as (select a as u, b as v from ok union select b, a from ok), r as (select u as node, u as reach from e union select r.node, e.v from r join e on r.reach = e.u)
+  select node, min(reach) as component from r group by node""")
+def merge_groups(spark, d):
+    return R.merge_groups(X._columns(table(spark, d, "part").where("p_size%10=0"), _PAIRS))
+
+
+@register("merge_records", f"""with {X.RECORDS} select name, arg_max(brand, grounding*1000000 - record_id) filter (brand <> '') as brand, arg_max(type, grounding*1000000 - record_id) as type,
+  ['different','unresolved','related','same'][max(list_position(['different','unresolved','related','same'], binding))] as binding,
+  case when bool_or(status='supports') then 'supports' else coalesce(arg_min(status, record_id) filter (status <> 'unchecked'), 'unchecked') end as status,
+  string_agg(distinct source_url, '|' order by source_url) as sources from records group by name""")
+def merge_records(spark, d):
+    return R.merge_records(X.records(spark, d), "name", ["brand", "type"])
+
+
+_SHAPED = "p_size as run, p_partkey as record_id, brand is not null and status='supports' as complete, grounding, p_partkey as seq"
+
+
+@register("complete_first", f"with {X.RECORDS}, r as (select record_id%50 as run, record_id, brand is not null and status='supports' as complete, p_size%13 as grounding, record_id as seq from records), o as (select run, record_id, row_number() over (partition by run order by complete desc, grounding desc, seq) as place from r) select * from o where place <= 10")
+def complete_first(spark, d):
+    r = X.records(spark, d).selectExpr("record_id%50 as run", "record_id", "brand is not null and status='supports' as complete", "p_size%13 as grounding", "record_id as seq")
+    return R.complete_first(r, 10).select("run", "record_id", "place")
+
+
+@register("field_fill_profile", f"with {X.RECORDS}, c as (select 'name' as field, count(*) filter (coalesce(name,'')<>'') as filled, count(*) as n from records union all select 'brand', count(*) filter (coalesce(brand,'')<>''), count(*) from records union all select 'type', count(*) filter (coalesce(type,'')<>''), count(*) from records) select field, filled, round(filled/cast(n as double), 4) as rate from c")
+def field_fill_profile(spark, d):
+    return R.field_fill_profile(X.records(spark, d), ["name", "brand", "type"])
+
+
+@register("run_sources", f"with {X.RECORDS} select distinct record_id%10 as run, source_url from records where grounding >= 0.6")
+def run_sources(spark, d):
+    return X.records(spark, d).where("grounding >= 0.6").selectExpr("record_id%10 as run", "source_url").distinct()
+
+
+@register("domain_productivity", "with r as (select regexp_replace(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '^(www\\.)+', '') as domain, page_id%3=0 as complete from pages) select domain, count(*) as records, count(*) filter (complete) as complete from r group by domain")
+def domain_productivity(spark, d):
+    from ..functions.urls import domain
+
+    return R.domain_productivity(table(spark, d, "pages").select(domain(F.col("url")).alias("domain"), (F.col("page_id") % 3 == 0).alias("complete")))
+
+
+@register("page_yield", f"with {X.RECORDS} select source_url, count(distinct name) as entities from records group by source_url having count(distinct name) >= 2")
+def page_yield(spark, d):
+    return R.page_yield(X.records(spark, d))
+
+
+@register("conflict_report", "with v as (select c_custkey, o_orderpriority, count(distinct o_orderkey) as sources from customer join orders on c_custkey=o_custkey group by 1, 2) select c_custkey, count(*) as n_values, string_agg(o_orderpriority || '=' || sources, '; ' order by o_orderpriority) as seen from v group by c_custkey having count(*) > 1")
+def conflict_report(spark, d):
+    joined = table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"))
+    return R.conflict_report(joined, "c_custkey", "o_orderpriority", "o_orderkey")
+
+
+_TEMPLATES = ["{entity} official {field}", "{entity} {field} report", "{entity} {field}"]
+
+
+@register("enrich_worklist", f"""with {X.RECORDS}, l as (select concat(name, ' ', record_id%40) as name, max(brand) as brand, max(type) as type from records group by 1), f as (select name, 'brand' as field from l where brand is null order by name limit 25)
+  select name, field, replace(replace(t, '{{entity}}', name), '{{field}}', field) as query from f, (select unnest({_TEMPLATES}) as t)""")
+def enrich_worklist(spark, d):
+    named = X.records(spark, d).withColumn("name", F.expr("concat(name, ' ', record_id%40)"))
+    return R.enrich_worklist(named, ["brand", "type"], _TEMPLATES)
+
+
+@register("fact_rollup", f"with {X.RECORDS} select type as kind, count(*) as records, count(p) as with_metric, round(avg(cast(brand is not null as int)), 4) as share, round(quantile_cont(p, 0.5), 4) as median from (select *, case when p_size%5=1 then null else price end as p from records) group by type")
+def fact_rollup(spark, d):
+    r = X.records(spark, d).selectExpr("type as kind", "case when p_size%5=1 then null else price end as p", "brand is not null as has_brand")
+    return R.fact_rollup(r, "kind", "p", "has_brand")
+
+
+@register("retain_newest", "select o_custkey, o_orderkey from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as nr from orders) where nr <= 5")
+def retain_newest(spark, d):
+    return R.retain_newest(table(spark, d, "orders"), "o_custkey", "o_orderdate", 5, "o_orderkey").select("o_custkey", "o_orderkey")
+
+
+@register("read_run_log", "select event_id as id, coalesce(try_cast(json_extract_string(props, '$.k') as bigint), 0) as records, event_id%7=0 as rejected from events where event_id%11 <> 0")
+def read_run_log(spark, d):
+    line = "case when event_id%11=0 then '  ' when event_id%7=0 then concat('{\"id\": ', event_id) else concat('{\"id\":\"', event_id, '\",\"unknown\":1,\"records\":', get_json_object(props,'$.k'), '}') end"
+    runs, rejects = runlog.parse_run_log(table(spark, d, "events").selectExpr(f"{line} as value"))
+    bad = rejects.join(table(spark, d, "events").selectExpr("event_id as id", "cast(get_json_object(props,'$.k') as bigint) as records", "concat('{\"id\": ', event_id) as value"), "value")
+    return runs.select(F.col("id").cast("long").alias("id"), "records", F.lit(False).alias("rejected")).union(bad.select("id", "records", F.lit(True)))
+
+
+_EVENT = "case event_type when 'signup' then 'accepted' when 'view' then 'progress' when 'click' then 'usage' when 'purchase' then 'result' else 'error' end"
+
+
+@register("demux_event_log", f"select {_EVENT} as type, count(*) as n, cast(sum(cast(json_extract_string(props, '$.k') as bigint)) as bigint) as k from events group by 1")
+def demux_event_log(spark, d):
+    events = table(spark, d, "events").selectExpr(f"{_EVENT} as type", "props as payload").withColumn("k", F.from_json("payload", "k long")["k"])
+    parts = [df.select(F.lit(t).alias("type"), "k") for t, df in runlog.demux_event_log(events).items()]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.union(p)
+    return every.groupBy("type").agg(F.count("*").alias("n"), F.sum("k").alias("k"))
+
+
+@register("append_run_log")
+def append_run_log(spark, d):
+    from ..operators.graph import work_path
+
+    path = work_path(spark, "runlog")
+    runs = X.runs(spark, d).select(F.col("id").cast("string").alias("id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("started_at"), "elapsed_ms", "outcome")
+    for part in ("id % 2 = 0", "id % 2 = 0", "id % 2 = 1"):
+        runlog.append_run_log(runs.where(part), path)
+    return spark.read.schema("id string, started_at long, elapsed_ms long, outcome string, day string").json(path).groupBy("day").agg(F.count("*").alias("n"))
+
+
+def _exported(spark, d):
+    r = X.records(spark, d)
+    fields = F.map_filter(F.create_map(F.lit("name"), "name", F.lit("brand"), "brand", F.lit("type"), "type"), lambda k, v: v.isNotNull())
+    source = F.create_map(F.lit("name"), "source_url", F.lit("brand"), F.when(F.col("record_id") % 9 == 0, F.lit("https://other.example.org/")).otherwise(F.col("source_url")))
+    return r.select("record_id", fields.alias("fields"), source.alias("provenance"), "source_url", "grounding", F.lit(1.0).alias("constraint_support"))
+
+
+@register("export_csv", f"with {X.RECORDS} select type, name, coalesce(brand, '') as brand, source_url, printf('%.2f', grounding) as grounding, '1.00' as constraint_support, case when record_id%9=0 then 'https://other.example.org/' else source_url end as brand_source_url from records")
+def export_csv(spark, d):
+    return export.csv_table(_exported(spark, d), ["type", "name"])
+
+
+@register("export_jsonl", """with r as (select o_custkey as run, o_orderkey as seq, o_orderstatus as status from orders), lines as (select run, 0 as section, seq, '{"status":"' || status || '"}' as value from r
+  union all select run, 1, 0, '{"type":"summary","records":' || count(*) || '}' from r group by run) select run, section, cast(seq as bigint) as seq, value from lines""")
+def export_jsonl(spark, d):
+    r = table(spark, d, "orders").selectExpr("o_custkey as run", "o_orderkey as seq", "o_orderstatus as status")
+    return export.jsonl_lines(r, r.groupBy("run").agg(F.count("*").alias("records")))
+
+
+@register("export_report_json", """with l as (select l_orderkey as run, string_agg('{"seq":' || l_linenumber || ',"part":' || l_partkey || '}', ',' order by l_linenumber, l_partkey) as items from (select distinct l_orderkey, l_linenumber, l_partkey from lineitem where l_quantity > 30) group by 1)
+  select o_orderkey as run, '{"outcome":"' || o_orderstatus || '","records":[' || coalesce(items, '') || ']}' as report from orders left join l on o_orderkey = run""")
+def export_report_json(spark, d):
+    items = table(spark, d, "lineitem").where("l_quantity > 30").selectExpr("l_orderkey as run", "l_linenumber as seq", "l_partkey as part").distinct()
+    return export.report_json(table(spark, d, "orders").selectExpr("o_orderkey as run", "o_orderstatus as outcome"), items)

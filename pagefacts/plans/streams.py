@@ -1 +1,127 @@
-"""Queries."""
+"""Streaming queries: ``events`` (or another table) replayed through a stream until it is exhausted."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators.graph import work_path
+from ..operators.hits import latest_cache_entry
+from ..operators.run_stats import OUTCOMES
+from ..streaming import jobs as J
+from . import fixtures as X
+from .hits import _LATEST, _NORMAL
+from .registry import register, table
+
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_EVENT = "case event_type when 'signup' then 'accepted' when 'view' then 'progress' when 'click' then 'usage' when 'purchase' then 'result' else 'error' end"
+
+
+def _replay(spark, d, name, select):
+    """The table's files as a stream of the selected columns."""
+    like = table(spark, d, name)
+    return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", 64).parquet(f"{d}/{name}.parquet*").select(*select)
+
+
+def _drained(stream, mode="append"):
+    """Runs the stream to the end of its input and returns what its sink holds."""
+    spark = stream.sparkSession
+    out, marks = work_path(spark, "stream"), work_path(spark, "marks")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    try:
+        if mode == "append":
+            query = stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start()
+        else:
+            write = lambda batch, i: batch.withColumn("_batch", F.lit(i)).write.mode("overwrite").parquet(f"{out}/b={i}")
+            query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", marks).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        else:
+            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return spark.read.parquet(out)
+
+
+def _latest(df, keys):
+    """The last emitted row of each key, of an update-mode stream."""
+    names = [c for c in df.columns if c not in ("_batch", "b", *keys)]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*names), "_batch").alias("x")).select(*keys, "x.*")
+
+
+_TS = F.col("ts").cast("timestamp").alias("ts")
+
+
+@register("stream_activity", f"with {X.RUNS} select date_trunc('day', ts) as bucket, count(*) as runs, {', '.join(f'''count(*) filter (outcome = '{o}') as {o}''' for o in OUTCOMES)} from runs group by 1")
+def stream_activity(spark, d):
+    live = _replay(spark, d, "events", ["*"]).withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    runs = X._columns(live, X._RUNS.format(query="concat('query ', user_id)")).select(_TS, "outcome")
+    counted = _drained(J.stream_activity(runs), "update")
+    return _latest(counted, ["bucket"]).select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "runs", *OUTCOMES)
+
+
+@register("stream_run_durations", f"""with e as (select user_id as run_id, event_id as seq, ts, {_EVENT} as type from events), a as (select * from e where type='accepted'), b as (select * from e where type in ('result','error'))
+  select a.run_id as run, a.seq as a_seq, b.seq as seq, coalesce(b.type, 'cancelled') as ended, round((epoch_us(b.ts)-epoch_us(a.ts))/1e6, 3) as seconds from a left join b on a.run_id=b.run_id and b.ts >= a.ts and b.ts <= a.ts + interval 2 hours
+  where b.seq is not null""")
+def stream_run_durations(spark, d):
+    live = _replay(spark, d, "events", [F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), _TS, F.expr(_EVENT).alias("type")])
+    return _drained(J.stream_run_durations(live)).where("seq is not null")
+
+
+@register("stream_dedupe_hits", "select distinct user_id as query, event_type as key from events")
+def stream_dedupe_hits(spark, d):
+    live = _replay(spark, d, "events", [F.col("user_id").alias("query"), F.col("event_type").alias("key"), _TS])
+    return _drained(J.stream_dedupe_hits(live, "400 days")).select("query", "key")
+
+
+@register("stream_cache_lookup", f"with {_LATEST}, w as (select put_id as id, lane, {_NORMAL} as query, max_hits+1 as max_hits from puts) select id, hits is not null as hit from w left join latest using (lane, query, max_hits)")
+def stream_cache_lookup(spark, d):
+    from ..functions.text import normalize_query
+
+    live = X._columns(_replay(spark, d, "orders", ["*"]), X._CACHE).select(F.col("put_id").alias("id"), "lane", normalize_query(F.col("query")).alias("query"), (F.col("max_hits") + 1).alias("max_hits"))
+    return _drained(J.stream_cache_lookup(live, latest_cache_entry(X.puts(spark, d)))).select("id", "hit")
+
+
+@register("stream_usage_gauge", "select user_id as run_id, time_bucket(interval 1 hour, ts) as tick, max(event_id) as seq, arg_max(cast(json_extract_string(props, '$.k') as bigint), event_id) as k from events where event_type='click' group by 1, 2")
+def stream_usage_gauge(spark, d):
+    live = _replay(spark, d, "events", ["*"]).where("event_type = 'click'").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), _TS, F.get_json_object("props", "$.k").cast("long").alias("k"))
+    got = _latest(_drained(J.stream_usage_gauge(live, "1 hour"), "update"), ["run_id", "tick"])
+    return got.select("run_id", F.col("tick").cast("timestamp_ntz").alias("tick"), "seq", "k")
+
+
+@register("stream_quarantine", "select event_id%10=0 or event_id%3=0 as bad, count(*) as n from events group by 1")
+def stream_quarantine(spark, d):
+    live = _replay(spark, d, "events", [F.col("event_id"), F.expr("case when event_id%10=0 then null when event_id%3=0 then 0.9D else 0.1D end as injection")])
+    safe, bad = work_path(spark, "safe"), work_path(spark, "bad")
+    J.stream_quarantine(live, safe, bad, work_path(spark, "marks")).awaitTermination()
+    return spark.read.parquet(safe).select(F.lit(False).alias("bad")).union(spark.read.parquet(bad).select(F.lit(True))).groupBy("bad").agg(F.count("*").alias("n"))
+
+
+@register("stream_run_state", f"""with e as (select user_id as run_id, event_id as seq, {_EVENT} as type from events), t as (select run_id, min(seq) filter (type in ('result','error')) as done from e group by run_id),
+  p as (select run_id, seq, row_number() over (partition by run_id order by seq desc) as nr from e where type='progress'), l as (select run_id, string_agg(seq, '|' order by seq) as lines from p where nr <= 12 group by run_id)
+  select e.run_id, coalesce(max(type) filter (seq = done), 'running') as status, arg_max(type, seq) filter (done is null or seq <= done) as stage, count(*) as events, max(seq) filter (done is null or seq <= done) as last_seq, coalesce(max(lines), '') as lines
+  from e join t using (run_id) left join l using (run_id) group by e.run_id""")
+def stream_run_state(spark, d):
+    live = _replay(spark, d, "events", [F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.expr(_EVENT).alias("type")])
+    return _latest(_drained(J.stream_run_state(live), "update"), ["run_id"])
+
+
+def _attempts(df):
+    return df.select("user_id", F.col("event_id").alias("id"), F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("at"), (F.col("event_type") == "error").alias("failed"))
+
+
+@register("stream_throttle")
+def stream_throttle(spark, d):
+    return _drained(J.stream_throttle(_attempts(_replay(spark, d, "events", ["*"])), 2, 6 * 3600))
+
+
+@register("throttle")
+def throttle(spark, d):
+    return J.throttle(_attempts(table(spark, d, "events")), 2, 6 * 3600)
+
+
+@register("stream_clamped_ema", """with s as (select user_id, list(2 + value/50 order by ts, event_id) as xs from events group by user_id)
+  select user_id, round(list_reduce(list_prepend(2.0e0, xs), lambda e, x: least(3.5e0, greatest(2.0e0, 0.7e0*e + 0.3e0*x))), 9) as ema from s""")
+def stream_clamped_ema(spark, d):
+    live = _replay(spark, d, "events", ["user_id", _TS, F.col("event_id").alias("id"), (2 + F.col("value") / 50).alias("x"), F.lit(False).alias("oversize")])
+    return _latest(_drained(J.stream_clamped_ema(live), "update"), ["user_id"])
