@@ -97,7 +97,12 @@ def _listed(column: str, name: str) -> str:
 _DOCS = f"d as (select doc_id, {_CONTACTS.replace(chr(92) + 'n', chr(10))} as text from documents)"
 
 
-@register("extract_emails", f"""with {_DOCS}, n as (select doc_id, regexp_replace(replace(replace(replace(replace(replace(lower(text), ' arroba ', '@'), '(at)', '@'), '[at]', '@'), '(dot)', '.'), '[dot]', '.'), 'press at ayto-([0-9]+) \\. es', 'press@ayto-\\1.es', 'g') as text from d),
+_SPELT = "replace(replace(replace(replace(replace(lower(text), ' arroba ', '@'), '(at)', '@'), '[at]', '@'), '(dot)', '.'), '[dot]', '.')"
+
+
+@register("extract_emails", f"""with {_DOCS}, l as (select doc_id, {_SPELT} as text from d),
+  n as (select doc_id, list_reduce(list_prepend(text, list_distinct(regexp_extract_all(text, '{T.AT_WORD}', 0))), lambda t, m: replace(t, m, case when regexp_matches(regexp_extract(m, '{T.AT_WORD}', 2), '^(www\\.|http)') then m
+    else regexp_extract(m, '{T.AT_WORD}', 1) || '@' || replace(regexp_extract(m, '{T.AT_WORD}', 2), ' ', '') end)) as text from l),
   e as (select distinct doc_id, regexp_replace(unnest(regexp_extract_all(text, '{T.EMAIL}')), '[.,:;!?)\\]]+$', '') as email from n) select doc_id, email from e where not regexp_matches(email, '^email@|protected.*@|@(example\\.com|example\\.org|domain\\.com|email\\.com|test\\.com)$')""")
 def extract_emails(spark, d):
     docs = table(spark, d, "documents").selectExpr("doc_id", f"{_CONTACTS} as text")
@@ -146,7 +151,7 @@ def align_by_ordinal(spark, d):
 @register("literal_presence", "select doc_id as id, contains(lower(regexp_replace(text, '\\s+', ' ', 'g')), lower(regexp_replace(text[20:60], '\\s+', ' ', 'g'))) and doc_id%3<>1 as present from documents")
 def literal_presence(spark, d):
     docs = table(spark, d, "documents")
-    values = docs.selectExpr("doc_id as id", "concat('u', doc_id) as source_url", "case when doc_id%3=1 then 'certainly absent value' else upper(substring(text, 20, 41)) end as value")
+    values = docs.selectExpr("doc_id as id", "concat('u', doc_id) as source_url", "case when doc_id%3=1 then 'certainly absent value' else replace(substring(text, 20, 41), ' ', '  ') end as value")
     return P.literal_presence(values, docs.selectExpr("concat('u', doc_id) as source_url", "text"))
 
 
