@@ -84,12 +84,13 @@ def write_sequences(docs: DataFrame, folder: str, path: str, end_id: int = 2, le
         n = tokens = 0
         with store.open_output_stream(own) as sink, store.open_output_stream(f"{own}.docs") as beside:
             writer, ids_of = _Writer(sink, encode.dtype, length, rows), pa.ipc.new_stream(beside, pa.schema([("doc_id", pa.int64())]))
-            end = np.array([end_id], encode.dtype).tobytes()
             for part in slices(batches, "text"):
-                coded = encode(pc.fill_null(part.column("text"), "").to_pylist())
-                ids = np.frombuffer(end.join([*coded, b""]), encode.dtype)
-                ends = np.zeros(len(ids), bool)
-                ends[np.cumsum([len(x) // encode.dtype.itemsize + 1 for x in coded]) - 1] = True
+                counts, coded = encode(pc.fill_null(part.column("text"), "").to_pylist())
+                last = np.cumsum(counts + 1) - 1
+                ends = np.zeros(len(coded) + len(counts), bool)
+                ends[last] = True
+                ids = np.full(len(ends), end_id, encode.dtype)
+                ids[~ends] = coded
                 writer.add(ids, ends)
                 ids_of.write_batch(pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64())], ["doc_id"]))
                 n, tokens = n + part.num_rows, tokens + len(ids)

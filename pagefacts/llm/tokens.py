@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import slices
 
 #: Units of one generation of a worker's cache; it keeps two, and drops the older at the bound.
-CACHE_UNITS = 250_000
+CACHE_UNITS = 700_000
 #: Units of the broadcast table, and units that one task reports for it.
 TABLE_UNITS, TASK_UNITS = 20_000, 5_000
 _ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
@@ -37,7 +38,7 @@ def tokenizer_path(name: str) -> str:
 
 
 class Units:
-    """Splits texts of a byte-level tokenizer into units; the first unit of a text is marked."""
+    """Tells which texts split into units at single spaces; the first unit of a text is marked."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -46,14 +47,16 @@ class Units:
         self.fit = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not model.get("normalizer") and not model.get("post_processor")
         self.added = [x["content"] for x in model.get("added_tokens") or []]
 
-    def split(self, text: str) -> list[str] | None:
+    def fits(self, text: str) -> bool:
         if not self.fit or "  " in text or " \n" in text or "\n " in text or any(x in text for x in self.added):
-            return None
-        if _ODD.search(text) and _BESIDE.search(text):
-            return None
-        units = text.split(" ")
-        units[0] = "\0" + units[0]
-        return units
+            return False
+        return not (_ODD.search(text) and _BESIDE.search(text))
+
+    @staticmethod
+    def split(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """All units of the texts, and each text's end in that list."""
+        lists = pc.split_pattern(pa.array(["\0" + x for x in texts], pa.string()), " ")
+        return lists.flatten(), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
 
     @staticmethod
     def text(unit: str) -> str:
@@ -71,30 +74,58 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.units, self.table, self.counts = Units(path), table or {}, counts
-        self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.dtype, self.code = (np.dtype("<u2"), "H") if self.library.get_vocab_size() <= 1 << 16 else (np.dtype("<u4"), "I")
         self.known, self.older = dict(self.table), {}
 
-    def _plain(self, texts: list[str]) -> list:
+    def encoded(self, texts: list[str]) -> list:
+        """The library's answer for whole texts: numbers of ids, or the ids as bytes of ``dtype``."""
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [len(x) for x in found] if self.counts else [np.array(x.ids, self.dtype).tobytes() for x in found]
+        return [len(x) for x in found] if self.counts else [array(self.code, x.ids).tobytes() for x in found]
 
-    def __call__(self, texts: list[str]) -> list:
-        """Per text the number of its ids, or the ids as little-endian bytes of ``dtype``."""
-        split = [self.units.split(x) for x in texts]
+    def _values(self, units: list[str]) -> list:
+        """Answers for distinct units, from the cache where it has them."""
         if len(self.known) > CACHE_UNITS + len(self.table):
             self.known, self.older = dict(self.table), self.known
         known, older = self.known, self.older
-        new = set().union(*(x for x in split if x)).difference(known)
-        seen = new.intersection(older)
-        known.update((x, older[x]) for x in seen)
-        if new := list(new - seen):
-            known.update(zip(new, self._plain([self.units.text(x) for x in new]), strict=True))
-        join = sum if self.counts else b"".join
-        out = [join(map(known.__getitem__, x)) if x else None for x in split]
-        whole = [i for i, x in enumerate(split) if x is None]
-        for i, x in zip(whole, self._plain([texts[i] for i in whole]), strict=True):
-            out[i] = x
-        return out
+        new = [x for x in units if x not in known]
+        known.update((x, older[x]) for x in new if x in older)
+        new = [x for x in new if x not in known]
+        if new:
+            known.update(zip(new, self.encoded([Units.text(x) for x in new]), strict=True))
+        return [known[x] for x in units]
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each text, and all ids in a row (none when only counting)."""
+        fits = np.array([self.units.fits(x) for x in texts], bool)
+        ids, n = self._by_units([x for x, ok in zip(texts, fits, strict=True) if ok])
+        if fits.all():
+            return n, ids
+        whole = self.encoded([x for x, ok in zip(texts, fits, strict=True) if not ok])
+        total = np.zeros(len(texts), np.int64)
+        total[fits] = n
+        if self.counts:
+            total[~fits] = whole
+            return total, ids
+        total[~fits] = [len(x) // self.dtype.itemsize for x in whole]
+        plain, others = iter(np.split(ids, np.cumsum(n)[:-1])), iter(whole)
+        return total, np.concatenate([next(plain) if ok else np.frombuffer(next(others), self.dtype) for ok in fits])
+
+    def _by_units(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not texts:
+            return np.empty(0, self.dtype), np.empty(0, np.int64)
+        flat, ends = Units.split(texts)
+        coded = flat.dictionary_encode()
+        values, at = self._values(coded.dictionary.to_pylist()), coded.indices.to_numpy(zero_copy_only=False)
+        sizes = np.array(values if self.counts else [len(x) for x in values], np.int64) // (1 if self.counts else self.dtype.itemsize)
+        n = sizes[at]
+        last = np.cumsum(n)
+        of_text = np.diff(last[ends - 1], prepend=0)
+        if self.counts:
+            return np.empty(0, self.dtype), of_text
+        starts = np.cumsum(sizes) - sizes
+        place = np.repeat((starts[at] - (last - n)).astype(np.int32), n)
+        place += np.arange(len(place), dtype=np.int32)
+        return np.frombuffer(b"".join(values), self.dtype)[place], of_text
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -115,8 +146,9 @@ def frequent_units(docs: DataFrame, path: str, units: int = TABLE_UNITS) -> dict
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, counted = Units(path), Counter()
         for part in slices(batches, "text"):
-            for text in part.column("text").to_pylist():
-                counted.update(split.split(text or "") or ())
+            units, _ = Units.split([x for x in part.column("text").to_pylist() if x and split.fits(x)])
+            for x in pc.value_counts(units).to_pylist():
+                counted[x["values"]] += x["counts"]
             if len(counted) > CACHE_UNITS:
                 counted = Counter(dict(counted.most_common(CACHE_UNITS // 2)))
         top = counted.most_common(TASK_UNITS)
@@ -124,7 +156,7 @@ def frequent_units(docs: DataFrame, path: str, units: int = TABLE_UNITS) -> dict
 
     counted = docs.select("text").mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
     top = [r.unit for r in counted.orderBy(F.desc("n"), "unit").limit(units).collect()]
-    return dict(zip(top, Encoder(path, counts=True)._plain([Units.text(x) for x in top]), strict=True)) if top else {}
+    return dict(zip(top, Encoder(path, counts=True).encoded([Units.text(x) for x in top]), strict=True)) if top else {}
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
@@ -140,7 +172,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if json_file:
-            count = worker_encoder(path, table.value, True, id(table.value))
+            encode = worker_encoder(path, table.value, True, id(table.value))
+            count = lambda texts: encode(texts)[0]
         else:
             from sentencepiece import SentencePieceProcessor
 
