@@ -1,4 +1,4 @@
-"""Shared folder, materialised tables, word hashing and connected components.
+"""Slices of batches, word hashing and join hints.
 
 Every intermediate table goes to the folder named by ``spark.checkpoint.dir``, which driver and
 executors share, so a lost executor costs a retry of its tasks and nothing else.
@@ -6,43 +6,25 @@ executors share, so a lost executor costs a retry of its tasks and nothing else.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components, materialize, shared_dir, work_path
+
+__all__ = ["components", "materialize", "mix", "ngram_hashes", "shared_dir", "shingle_sets", "sized_hint", "slices", "word_hashes", "words_of", "work_path"]
+
 #: A slice of a batch holds about this many bytes of text, which bounds a worker's memory.
 SLICE_BYTES = 3_000_000
 #: Most rows of a list that is broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 500_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; a temporary one where the session names none (as in tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="pagefacts-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/pagefacts/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and gives true sizes."""
-    path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def sized_hint(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a counted side while it is small, otherwise shuffle it."""
     return F.broadcast(df) if rows <= most else df.hint("merge")
@@ -108,26 +90,3 @@ def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
         else:
             yield np.empty(0, np.uint64)
         start = end
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) of an edge list of longs; component is the smallest node that is reachable.
-
-    Alternates two star contractions. A round joins each node's neighbours with their minimum, so a
-    hub's edges are rows, never one group in memory; rounds grow with the log of the longest path.
-    """
-    now = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(), "edges")
-    mark = None
-    while True:
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low.hint("shuffle_hash"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least.hint("shuffle_hash"), "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        now = materialize(small.select("e.u", "e.v").where("u != v").distinct(), "edges")
-        new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if new == mark:
-            break
-        mark = new
-    return now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").union(now.select("v", "v").distinct())

@@ -7,18 +7,21 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, materialize, mix, shingle_sets, sized_hint, slices
 
 #: Share of all shingles, by hash, that the first count over all documents takes. It steers cost alone.
 SHARE = 0.35
-#: Star rounds before all pairs between different components of a signature are verified.
-STAR_ROUNDS = 3
+#: Rounds after the first leaders: the last one takes all pairs between different components of a signature.
+STAR_ROUNDS = 2
+#: 64-bit words of a set's parity bits, and most sets whose bits and signatures are broadcast.
+PARITY, PARITY_ROWS = 16, 60_000
 
 
 def _digest(tokens: np.ndarray) -> tuple[int, int]:
@@ -131,8 +134,15 @@ def _signed(sign: Signatures):
     return run
 
 
+def _parity(tokens: np.ndarray) -> np.ndarray:
+    """Bits that tell of each range of hashes whether a set holds an odd number. Two sets differ by as many
+    shingles at least as their bits differ."""
+    odd = np.bincount((tokens >> np.uint64(64 - 6 - PARITY.bit_length() + 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
 def _sets(n: int):
-    """Digests and shingle sets, each set once for a task."""
+    """Digests, shingle sets and their parity bits, each set once for a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
@@ -143,13 +153,18 @@ def _sets(n: int):
                     new.append((d, tokens))
                     if len(seen) < 1_000_000:
                         seen.add(d)
-            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d, _ in new], pa.int64()), pa.array([d[1] for d, _ in new], pa.int64()), _lists([x for _, x in new])], ["d1", "d2", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d, _ in new], pa.int64()), pa.array([d[1] for d, _ in new], pa.int64()), _lists([x for _, x in new]), _lists([_parity(x) for _, x in new])], ["d1", "d2", "tokens", "bits"])
 
     return run
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 16, very_frequent: int = 4096) -> DataFrame:
-    """doc_id, n_shingles, component_id and class_size (documents with the same shingle set) of each row.
+def jaccard_components(docs: DataFrame, **how) -> DataFrame:
+    """The columns of ``_components`` without the digests."""
+    return _components(docs, **how).drop("d1", "d2")
+
+
+def _components(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 16, very_frequent: int = 4096) -> DataFrame:
+    """doc_id, n_shingles, component_id and class_size (documents with the same shingle set), d1, d2 (digest of that set) of each row.
 
     Rows link when their sets of n-word shingles have Jaccard ``percent``/100 or more; component_id is
     the smallest doc_id of a component. No text, a null text or one without words has no shingles and
@@ -175,8 +190,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, frequent:
     sized = rows.where("first").select("row", F.size("counted").alias("counted")).join(classes.select(F.col("rep").alias("row"), "n", "d1", "d2").hint("merge"), "row")
     able = sized.join(held.hint("merge"), "row", "left").where(F.col("counted") - F.coalesce("held", F.lit(0)) <= lacking)
     able = materialize(able.select(F.col("row").alias("rep"), "n", "d1", "d2"), "able")
-    sets = docs.select("text").mapInArrow(_sets(n), "d1 long, d2 long, tokens array<long>").join(sized_hint(able, able.count()), ["d1", "d2"])
-    sets = materialize(sets.select("rep", "n", "tokens").dropDuplicates(["rep"]), "sets")
+    sets = docs.select("text").mapInArrow(_sets(n), "d1 long, d2 long, tokens array<long>, bits array<long>").join(sized_hint(able, able.count()), ["d1", "d2"])
+    sets = materialize(sets.select("rep", "n", "tokens", "bits").dropDuplicates(["rep"]), "sets")
 
     spread = sets.select("rep", "n", F.explode("tokens").alias("token"))
     common = spread.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
@@ -198,16 +213,31 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, frequent:
             lead = members.groupBy("sign").agg(F.min_by(F.struct("rep", "n", "held", "label"), F.xxhash64("rep", F.lit(turn))).alias("lead"))
             pairs = mine.join(lead.hint("shuffle_hash"), "sign").where("label != lead.label").select("*", F.col("lead.rep").alias("y"), F.col("lead.n").alias("ny"), F.col("lead.held").alias("hy"))
         else:
-            other = members.select("sign", F.col("label").alias("other"), F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("held").alias("hy"))
-            pairs = mine.join(other.hint("merge"), "sign").where("label < other")
+            pairs = _across(members, sets, signed, percent)
         new = _fitting(pairs, percent).join(done.select("x", "y").hint("merge"), ["x", "y"], "left_anti")
         done = materialize(done.union(_verified(new, sets, percent)), "links")
     labels = components(done.where("linked"), "x", "y")
     named = classes.join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     low = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = materialize(named.join(low.hint("shuffle_hash"), "component").select("d1", "d2", "component_id", "class_size"), "named")
-    out = rows.select("doc_id", "n_shingles", "d1", "d2").join(named.hint("merge"), ["d1", "d2"]).select("doc_id", "n_shingles", "component_id", "class_size")
-    return out.union(read.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("class_size")))
+    out = rows.select("doc_id", "n_shingles", "d1", "d2").join(named.hint("merge"), ["d1", "d2"]).select("doc_id", "n_shingles", "component_id", "class_size", "d1", "d2")
+    return out.union(read.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("class_size"), "d1", "d2"))
+
+
+def _across(members: DataFrame, sets: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """Pairs between the components of a signature, each at the least signature that both have, without
+    those whose sizes, shared shingles or parity bits rule out a link."""
+    reps = members.select("rep").distinct()
+    count = reps.count()
+    known = reps.hint("merge").join(sets.select("rep", "bits"), "rep").join(signed.select("rep", "signs").hint("merge"), "rep")
+    rows = members.join(sized_hint(materialize(known, "parity"), count, PARITY_ROWS), "rep")
+    side = lambda c: rows.select("sign", *(F.col(a).alias(f"{b}{c}") for a, b in (("rep", ""), ("n", "n"), ("held", "h"), ("label", "l"), ("bits", "b"), ("signs", "s"))))
+    apart = sum((F.bit_count(F.col("bx")[i].bitwiseXOR(F.col("by")[i])) for i in range(PARITY)), F.lit(0))
+    total = F.col("nx") + F.col("ny")
+    fits = (F.col("lx") < F.col("ly")) & (F.least("hx", "hy") * (100 + percent) >= total * percent) & ((total - apart) * (100 + percent) >= 2 * total * percent)
+    first = F.array_min(F.array_intersect("sx", "sy"))
+    x, y = side("x"), side("y").withColumnRenamed("sign", "other").hint("merge")
+    return x.join(y, (F.col("sign") == F.col("other")) & fits & (first == F.col("sign"))).select("x", "y", "nx", "ny", "hx", "hy")
 
 
 def _fitting(pairs: DataFrame, percent: int) -> DataFrame:
@@ -231,19 +261,31 @@ def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(now.join(open_.hint("shuffle_hash"), "sign"), "members")
 
 
-def one_of_each_group(docs: DataFrame, **how) -> DataFrame:
+def one_of_each_group(docs: DataFrame, n: int = 5, **how) -> DataFrame:
     """The rows of ``docs``, with all columns, that stay when each component keeps its smallest doc_id.
 
-    Rows without words and rows with a null doc_id all stay. Of rows with one doc_id and one text
-    (A-Z lower-cased), one stays.
+    Rows without words and rows with a null doc_id all stay. Where rows share the doc_id that a component
+    keeps, the one of smallest digest stays; ids that occur once need no second look at the texts.
     """
-    found = materialize(jaccard_components(docs, **how).where("n_shingles > 0").select(F.col("doc_id").alias("_id"), "component_id"), "components")
+    found = materialize(_components(docs, n=n, **how).where("n_shingles > 0 and doc_id is not null").select(F.col("doc_id").alias("_id"), "component_id", "d1", "d2"), "components")
+    twice = found.groupBy("_id").count().where("count > 1").select("_id")
     gone = found.where("_id != component_id").select("_id").distinct()
-    twice = found.where("_id = component_id").groupBy("_id").count().where("count > 1").select("_id")
+    several = twice.count()
     same_id = docs["doc_id"].cast("long") == F.col("_id")
-    kept = docs.join(sized_hint(gone, gone.count()), same_id, "left_anti")
-    n = twice.count()
-    if not n:
-        return kept
-    again = kept.join(sized_hint(twice, n), same_id, "left_semi").withColumn("_same", F.xxhash64(F.lower("text"))).dropDuplicates(["doc_id", "_same"]).drop("_same")
-    return kept.join(sized_hint(twice, n), same_id, "left_anti").unionByName(again)
+    if not several:
+        return docs.join(sized_hint(gone, gone.count()), same_id, "left_anti")
+    twice = materialize(twice, "repeated")
+    gone = gone.join(twice.hint("merge"), "_id", "left_anti")
+    once = docs.join(sized_hint(gone.union(twice), gone.count() + several), same_id, "left_anti")
+    stays = found.where("_id = component_id").join(twice.hint("merge"), "_id").groupBy("_id", "component_id").agg(F.min(F.struct("d1", "d2")).alias("_d")).select("_id", "_d")
+
+    @F.pandas_udf("d1 long, d2 long")
+    def digest(texts: pd.Series) -> pd.DataFrame:
+        sets = shingle_sets(pa.array(texts, pa.string(), from_pandas=True), n)
+        return pd.DataFrame([_digest(x) if len(x) else (None, None) for x in sets], columns=["d1", "d2"], dtype="Int64")
+
+    again = docs.join(sized_hint(twice, several), same_id, "left_semi").withColumn("_d", digest("text"))
+    empty = again.where("_d.d1 is null").drop("_d")
+    again = again.join(stays.hint("merge"), (same_id) & (again["_d"] == stays["_d"])).drop(stays["_d"])
+    again = again.withColumn("_nr", F.row_number().over(Window.partitionBy("_id", "_d").orderBy(F.lit(0)))).where("_nr = 1")
+    return once.unionByName(again.select(*docs.columns)).unionByName(empty)

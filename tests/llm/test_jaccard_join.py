@@ -76,6 +76,15 @@ def test_signatures_of_links_meet():
             assert signs(x[lost:] if lost else x, lost) & signs(np.sort(x[lost:][r.permutation(n - lost)[:keep]]), 0)
 
 
+def test_parity_bounds_the_difference():
+    r = np.random.default_rng(3)
+    for n in (3, 200, 2000):
+        x = np.unique(r.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
+        y = np.unique(np.concatenate([x[n // 3 :], r.integers(0, 2**63, n // 4, dtype=np.uint64)]))
+        apart = sum(int(a ^ b).bit_count() for a, b in zip(J._parity(x).tolist(), J._parity(y).tolist(), strict=True))
+        assert len(J._parity(x)) == J.PARITY and 0 < apart <= len(set(x.tolist()) ^ set(y.tolist()))
+
+
 def test_nulls_empty_tables_and_clashing_columns(spark):
     schema = "doc_id long, text string, rep long, sign string"
     rows = [(1, None, 1, ""), (2, "", 1, ""), (3, "one two", 1, ""), (None, "One  two", 1, ""), (3, "one two", 2, ""), (9, "É é x y z " * 2000, 1, None)]
