@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,13 +21,28 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def work_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/pagefacts/{name}-{uuid.uuid4().hex}"
+_SCRATCH: ContextVar[str] = ContextVar("scratch", default="")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def work_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    return f"{shared_dir(spark)}/pagefacts/{'' if keep else _SCRATCH.get()}{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside, but for those to keep, are removed at the end; nothing may read them later."""
+    outer = _SCRATCH.set(f"{_SCRATCH.get()}scratch-{uuid.uuid4().hex}/")
+    try:
+        yield
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/pagefacts/{_SCRATCH.get()}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _SCRATCH.reset(outer)
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and gives true sizes."""
-    path = work_path(df.sparkSession, name)
+    path = work_path(df.sparkSession, name, keep)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
