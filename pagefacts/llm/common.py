@@ -15,9 +15,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import components, materialize, shared_dir, work_path
+from ..operators.graph import components, materialize, scratch, shared_dir, work_path
 
-__all__ = ["components", "materialize", "mix", "ngram_hashes", "shared_dir", "shingle_sets", "sized_hint", "slices", "word_hashes", "words_of", "work_path"]
+__all__ = ["components", "materialize", "mix", "ngram_hashes", "scratch", "shared_dir", "shingle_sets", "sized_hint", "slices", "word_hashes", "words_of", "work_path"]
 
 #: A slice of a batch holds about this many bytes of text, which bounds a worker's memory.
 SLICE_BYTES = 3_000_000

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialize, mix, shingle_sets, sized_hint, slices
+from .common import components, materialize, mix, scratch, shingle_sets, sized_hint, slices
 
 #: Share of all shingles, by hash, that the first count over all documents takes. It steers cost alone.
 SHARE = 0.35
@@ -160,7 +160,8 @@ def _sets(n: int):
 
 def jaccard_components(docs: DataFrame, **how) -> DataFrame:
     """The columns of ``_components`` without the digests."""
-    return _components(docs, **how).drop("d1", "d2")
+    with scratch(docs.sparkSession):
+        return materialize(_components(docs, **how).drop("d1", "d2"), "components", keep=True)
 
 
 def _components(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 16, very_frequent: int = 4096) -> DataFrame:
@@ -267,7 +268,9 @@ def one_of_each_group(docs: DataFrame, n: int = 5, **how) -> DataFrame:
     Rows without words and rows with a null doc_id all stay. Where rows share the doc_id that a component
     keeps, the one of smallest digest stays; ids that occur once need no second look at the texts.
     """
-    found = materialize(_components(docs, n=n, **how).where("n_shingles > 0 and doc_id is not null").select(F.col("doc_id").alias("_id"), "component_id", "d1", "d2"), "components")
+    with scratch(docs.sparkSession):
+        found = _components(docs, n=n, **how).where("n_shingles > 0 and doc_id is not null")
+        found = materialize(found.select(F.col("doc_id").alias("_id"), "component_id", "d1", "d2"), "components", keep=True)
     twice = found.groupBy("_id").count().where("count > 1").select("_id")
     gone = found.where("_id != component_id").select("_id").distinct()
     several = twice.count()

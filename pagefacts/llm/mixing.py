@@ -120,7 +120,7 @@ def _draw(slots: np.ndarray) -> np.ndarray:
             drawn += np.minimum(random.multinomial(short, rest / rest.sum()), rest)
         out.append(drawn)
         left -= drawn
-    return np.array(out).reshape(-1, len(slots))
+    return np.array(out, np.int64).reshape(len(out), len(slots))
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
