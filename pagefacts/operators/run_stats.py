@@ -10,7 +10,7 @@ KINDS, PRESETS, SOURCES = ["harvest", "answer"], ["quick", "standard", "thorough
 BUCKETS = {"hour": "1 hour", "day": "1 day", "week": "7 days"}
 #: Price of a judge token, in US dollars.
 JUDGE_TOKEN_USD = 42e-9
-COST = "coalesce(jev_cost_usd, 0) + coalesce(llm_cost_usd, 0) + coalesce(planner_cost_usd, 0)"
+COST = "coalesce(judge_cost_usd, 0) + coalesce(llm_cost_usd, 0) + coalesce(planner_cost_usd, 0)"
 
 
 def clamp_days(days: int, bucket: str = "day") -> int:
@@ -52,21 +52,21 @@ def latency_percentiles(runs: DataFrame, by: list[str] | None = None) -> DataFra
 def cost_by_actor(runs: DataFrame) -> DataFrame:
     """Sums per actor; an unreported price counts as 0."""
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("double")
-    out = runs.agg(total("jev_cost_usd").alias("judge"), total("llm_cost_usd").alias("writer"), total("planner_cost_usd").alias("planner"))
+    out = runs.agg(total("judge_cost_usd").alias("judge"), total("llm_cost_usd").alias("writer"), total("planner_cost_usd").alias("planner"))
     return out.select(*(F.round(c, 6).alias(c) for c in out.columns), F.round(F.col("judge") + F.col("writer") + F.col("planner"), 6).alias("total"))
 
 
 def strict_run_cost(runs: DataFrame) -> DataFrame:
     """Each run's cost, null if an actor that had requests reported no price."""
     part = lambda requests, price: F.when(F.col(requests) == 0, F.lit(0)).otherwise(F.col(price))
-    total = part("jev_requests", "jev_cost_usd") + part("llm_requests", "llm_cost_usd") + part("planner_requests", "planner_cost_usd")
+    total = part("judge_requests", "judge_cost_usd") + part("llm_requests", "llm_cost_usd") + part("planner_requests", "planner_cost_usd")
     return runs.select("id", total.cast("double").alias("cost"))
 
 
 def token_totals(runs: DataFrame) -> DataFrame:
-    names = ["jev_input_tokens", "llm_prompt_tokens", "llm_completion_tokens", "planner_prompt_tokens", "planner_completion_tokens"]
+    names = ["judge_input_tokens", "llm_prompt_tokens", "llm_completion_tokens", "planner_prompt_tokens", "planner_completion_tokens"]
     out = runs.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names))
-    return out.withColumn("judge_cost", F.round(F.col("jev_input_tokens") * JUDGE_TOKEN_USD, 9))
+    return out.withColumn("judge_cost", F.round(F.col("judge_input_tokens") * JUDGE_TOKEN_USD, 9))
 
 
 def calendar(like: DataFrame, bucket: str, days: int, now: str) -> DataFrame:
@@ -106,7 +106,7 @@ def stage_profile(stages: DataFrame) -> DataFrame:
 
 
 #: Component of a stage label: the first rule whose text the label holds.
-COMPONENTS = [("llm", "llm"), ("plan", "llm"), ("extract", "llm"), ("search", "browser"), ("fetch", "browser"), ("triage", "jev"), ("screen", "jev")]
+COMPONENTS = [("llm", "llm"), ("plan", "llm"), ("extract", "llm"), ("search", "browser"), ("fetch", "browser"), ("triage", "judge"), ("screen", "judge")]
 
 
 def component_rollup(stages: DataFrame) -> DataFrame:

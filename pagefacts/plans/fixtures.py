@@ -16,8 +16,8 @@ _RUNS = """event_id as id, ts, cast(round(value*1000) as bigint) as elapsed_ms,
   case when k%4=0 then 'quick' when k%4=1 then 'thorough' else 'standard' end as preset,
   case event_type when 'purchase' then 'complete' when 'click' then 'partial' when 'signup' then 'truncated'
        when 'view' then 'empty' else case when k%2=0 then 'failed' else 'cancelled' end end as outcome,
-  k%7 as records, k%11 as pages, k%5 as rounds, k as jev_requests, k*1000 as jev_input_tokens,
-  cast(k*0.000042 as decimal(18,6)) as jev_cost_usd, k%3 as llm_requests,
+  k%7 as records, k%11 as pages, k%5 as rounds, k as judge_requests, k*1000 as judge_input_tokens,
+  cast(k*0.000042 as decimal(18,6)) as judge_cost_usd, k%3 as llm_requests,
   k*30 as llm_prompt_tokens, k*7 as llm_completion_tokens,
   case when k%5=0 then null else cast(k*0.001 as decimal(18,6)) end as llm_cost_usd,
   k%2 as planner_requests, k*20 as planner_prompt_tokens, k*3 as planner_completion_tokens,

@@ -9,7 +9,7 @@ from . import fixtures as X
 from .fixtures import NOW
 from .registry import register, table
 
-_COST = "coalesce(jev_cost_usd,0)+coalesce(llm_cost_usd,0)+coalesce(planner_cost_usd,0)"
+_COST = "coalesce(judge_cost_usd,0)+coalesce(llm_cost_usd,0)+coalesce(planner_cost_usd,0)"
 _FROM = {
     "hour": f"date_trunc('hour', timestamp '{NOW}' - interval 167 hours)",
     "day": f"date_trunc('day', timestamp '{NOW}' - interval 29 days)",
@@ -44,20 +44,20 @@ def latency_percentiles(spark, d):
     return S.latency_percentiles(X.runs(spark, d), ["preset"])
 
 
-@register("cost_by_actor", f"""with {X.RUNS} select round(cast(coalesce(sum(jev_cost_usd),0) as double),6) as judge, round(cast(coalesce(sum(llm_cost_usd),0) as double),6) as writer,
+@register("cost_by_actor", f"""with {X.RUNS} select round(cast(coalesce(sum(judge_cost_usd),0) as double),6) as judge, round(cast(coalesce(sum(llm_cost_usd),0) as double),6) as writer,
   round(cast(coalesce(sum(planner_cost_usd),0) as double),6) as planner, round(cast(coalesce(sum({_COST}),0) as double),6) as total from runs""")
 def cost_by_actor(spark, d):
     return S.cost_by_actor(X.runs(spark, d))
 
 
-@register("strict_run_cost", f"""with {X.RUNS} select id, cast((case when jev_requests=0 then 0 else jev_cost_usd end) + (case when llm_requests=0 then 0 else llm_cost_usd end)
+@register("strict_run_cost", f"""with {X.RUNS} select id, cast((case when judge_requests=0 then 0 else judge_cost_usd end) + (case when llm_requests=0 then 0 else llm_cost_usd end)
   + (case when planner_requests=0 then 0 else planner_cost_usd end) as double) as cost from runs""")
 def strict_run_cost(spark, d):
     return S.strict_run_cost(X.runs(spark, d))
 
 
-@register("token_totals", f"""with {X.RUNS} select {', '.join(f'cast(coalesce(sum({c}),0) as bigint) as {c}' for c in ('jev_input_tokens', 'llm_prompt_tokens', 'llm_completion_tokens', 'planner_prompt_tokens', 'planner_completion_tokens'))},
-  round(cast(coalesce(sum(jev_input_tokens),0) as bigint) * 42e-9, 9) as judge_cost from runs""")
+@register("token_totals", f"""with {X.RUNS} select {', '.join(f'cast(coalesce(sum({c}),0) as bigint) as {c}' for c in ('judge_input_tokens', 'llm_prompt_tokens', 'llm_completion_tokens', 'planner_prompt_tokens', 'planner_completion_tokens'))},
+  round(cast(coalesce(sum(judge_input_tokens),0) as bigint) * 42e-9, 9) as judge_cost from runs""")
 def token_totals(spark, d):
     return S.token_totals(X.runs(spark, d))
 

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RUN_LOG = """id string, started_at long, elapsed_ms long, query string, kind string, source string, preset string, outcome string, error string,
-  records long, pages long, rounds long, jev_requests long, jev_input_tokens long, jev_cost_usd double, llm_requests long, llm_prompt_tokens long,
+  records long, pages long, rounds long, judge_requests long, judge_input_tokens long, judge_cost_usd double, llm_requests long, llm_prompt_tokens long,
   llm_completion_tokens long, llm_cost_usd double, planner_requests long, planner_prompt_tokens long, planner_completion_tokens long, planner_cost_usd double"""
 #: Defaults of fields that a line leaves out; prices and the error stay null.
 TEXTS = ["id", "query", "kind", "source", "preset", "outcome"]
-COUNTS = ["started_at", "elapsed_ms", "records", "pages", "rounds", "jev_requests", "jev_input_tokens", "llm_requests", "llm_prompt_tokens", "llm_completion_tokens", "planner_requests", "planner_prompt_tokens", "planner_completion_tokens"]
+COUNTS = ["started_at", "elapsed_ms", "records", "pages", "rounds", "judge_requests", "judge_input_tokens", "llm_requests", "llm_prompt_tokens", "llm_completion_tokens", "planner_requests", "planner_prompt_tokens", "planner_completion_tokens"]
 EVENT_TYPES = ["accepted", "progress", "usage", "stats", "result", "error"]
 
 
@@ -26,8 +26,11 @@ def parse_run_log(lines: DataFrame, schema: str = RUN_LOG) -> tuple[DataFrame, D
     return runs, read.where("r is null or r._corrupt is not null").select("value")
 
 
-def read_run_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return parse_run_log(spark.read.text(path))
+def read_run_log(spark: SparkSession, path: str, judge: str = "judge") -> tuple[DataFrame, DataFrame]:
+    """``judge``: what the log calls the judge in its field names; the columns are named judge_ in any case."""
+    runs, rejects = parse_run_log(spark.read.text(path), RUN_LOG.replace("judge_", f"{judge}_"))
+    fields = {f"{judge}_{c}": f"judge_{c}" for c in ("requests", "input_tokens", "cost_usd")}
+    return runs.withColumnsRenamed(fields).fillna(0, ["judge_requests", "judge_input_tokens"]), rejects
 
 
 def append_run_log(runs: DataFrame, path: str) -> None:

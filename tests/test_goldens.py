@@ -24,7 +24,7 @@ def each(spark, f, values):
 
 
 def runs(spark, rows):
-    schema = "id long, ts timestamp_ntz, elapsed_ms long, outcome string, kind string, preset string, source string, records long, pages long, jev_cost_usd double, llm_cost_usd double, planner_cost_usd double, query string"
+    schema = "id long, ts timestamp_ntz, elapsed_ms long, outcome string, kind string, preset string, source string, records long, pages long, judge_cost_usd double, llm_cost_usd double, planner_cost_usd double, query string"
     return spark.createDataFrame([(i, ts, ms, o, k, p, "ui", 1, 1, c, None, None, "q") for i, (ts, ms, o, k, p, c) in enumerate(rows)], schema)
 
 
@@ -61,7 +61,7 @@ def test_nearest_rank(spark, values, p50, p90):
 
 
 def test_unreported_prices(spark):
-    schema = "id int, jev_requests int, jev_cost_usd double, llm_requests int, llm_cost_usd double, planner_requests int, planner_cost_usd double"
+    schema = "id int, judge_requests int, judge_cost_usd double, llm_requests int, llm_cost_usd double, planner_requests int, planner_cost_usd double"
     df = spark.createDataFrame([(1, 1, 0.5, 2, None, 0, None), (2, 1, 0.5, 0, None, 0, None)], schema)
     assert {r.id: r.cost for r in S.strict_run_cost(df).collect()} == {1: None, 2: 0.5}
     assert S.cost_by_actor(df).first().total == 1.0
