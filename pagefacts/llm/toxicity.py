@@ -21,8 +21,9 @@ from .common import mix, slices
 #: Most labelled rows that training reads: those of smallest hash of doc_id.
 SAMPLE_ROWS = 8_000
 #: Texts of the sample that must hold a feature, and most weights that are kept.
-LEAST_TEXTS, MOST_WEIGHTS = 3, 200_000
-ALPHA, BETA, L1, L2, EPOCHS = 0.15, 1.0, 1.5, 1.0, 4
+LEAST_TEXTS, MOST_WEIGHTS = 5, 200_000
+#: Rates and regularisation; L1 times the root of the number of training rows, as the noise of summed gradients grows.
+ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.09, 1.0, 6
 BIAS = np.uint64(1)
 ENDS = ".,;:!?\"'()[]{}<>*#$%&|-_~`"
 
@@ -57,10 +58,10 @@ def train(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
     for x, _ in rows:
         k = np.minimum(np.searchsorted(names, x), len(names) - 1)
         at.append(np.append(k[names[k] == x], np.searchsorted(names, BIAS)))
-    z, n = np.zeros(len(names)), np.zeros(len(names))
+    z, n, l1 = np.zeros(len(names)), np.zeros(len(names)), L1 * np.sqrt(len(rows))
 
     def weights(zi: np.ndarray, ni: np.ndarray) -> np.ndarray:
-        return np.where(np.abs(zi) <= L1, 0.0, (np.sign(zi) * L1 - zi) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
+        return np.where(np.abs(zi) <= l1, 0.0, (np.sign(zi) * l1 - zi) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
 
     for _ in range(EPOCHS):
         for k, (_, label) in zip(at, rows, strict=True):
