@@ -51,25 +51,27 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Features and weights that L1 leaves, after EPOCHS passes in the order given."""
+    """Features and weights that L1 leaves, after EPOCHS passes in the order given; the bias has no L1."""
+    if not rows:
+        return np.empty(0, np.uint64), np.empty(0)
     names, counts = np.unique(np.concatenate([x for x, _ in rows] or [np.empty(0, np.uint64)]), return_counts=True)
     names = np.union1d(names[counts >= LEAST_TEXTS], BIAS)
     at = []
     for x, _ in rows:
         k = np.minimum(np.searchsorted(names, x), len(names) - 1)
         at.append(np.append(k[names[k] == x], np.searchsorted(names, BIAS)))
-    z, n, l1 = np.zeros(len(names)), np.zeros(len(names)), L1 * np.sqrt(len(rows))
+    z, n, l1 = np.zeros(len(names)), np.zeros(len(names)), np.where(names == BIAS, 0.0, L1 * np.sqrt(len(rows)))
 
-    def weights(zi: np.ndarray, ni: np.ndarray) -> np.ndarray:
+    def weights(zi: np.ndarray, ni: np.ndarray, l1: np.ndarray) -> np.ndarray:
         return np.where(np.abs(zi) <= l1, 0.0, (np.sign(zi) * l1 - zi) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
 
     for _ in range(EPOCHS):
         for k, (_, label) in zip(at, rows, strict=True):
-            w = weights(z[k], n[k])
+            w = weights(z[k], n[k], l1[k])
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
             z[k] += g - (np.sqrt(n[k] + g * g) - np.sqrt(n[k])) / ALPHA * w
             n[k] += g * g
-    w = weights(z, n)
+    w = weights(z, n, l1)
     kept = np.argsort(-np.abs(w), kind="stable")[:MOST_WEIGHTS]
     kept = np.sort(kept[w[kept] != 0])
     return names[kept], w[kept]
@@ -79,7 +81,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Weights learnt from rows of ``labels`` (doc_id, toxic) whose crc32(doc_id as text) mod 5 is not 0.
 
     A doc_id with several labels counts as toxic if one says so; one with several texts gives that of
-    smallest hash. Null ids and labels are left out; without any row the weights are empty.
+    smallest hash. Null ids and labels are left out; without any row the weights are empty
+    and every score is 0.
     """
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
     chosen = chosen.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).groupBy("doc_id").agg(F.max("toxic").alias("label"))
@@ -115,7 +118,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 class Scorer:
     def __init__(self, names: np.ndarray, weights: np.ndarray):
         self.names, self.weights = names, weights
-        self.bias = float(weights[names == BIAS].sum())
+        self.bias = float(weights[names == BIAS].sum()) if len(names) else -35.0
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[(names >> np.uint64(42)).astype(np.int64)] = True
 

@@ -26,7 +26,7 @@ def test_learns_words_and_pairs(spark):
 def test_without_labels_or_rows(spark):
     df = spark.createDataFrame([(1, "a b", "x", 1)], SCHEMA)
     none = spark.createDataFrame([], "doc_id long, toxic int")
-    assert X.with_toxicity(df, none).first().toxicity == 0.5
+    assert X.with_toxicity(df, none).first().toxicity < 1e-9
     assert X.with_toxicity(df.limit(0), none).count() == 0
 
 
