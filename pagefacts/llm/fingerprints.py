@@ -37,7 +37,7 @@ def order_minhash(text: Column) -> Column:
         placed = F.sort_array(F.transform(sample, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         return let(
             F.struct(placed.alias("placed"), F.sort_array(sample).alias("hashes")),
-            lambda x: F.transform(x["placed"], lambda p, j: F.struct(F.xxhash64(p["h"], j - F.array_position(x["hashes"], p["h"])).alias("m"), p["i"].alias("i"))),
+            lambda x: F.transform(x["placed"], lambda p, j: F.struct(F.xxhash64(p["h"], j + 1 - F.array_position(x["hashes"], p["h"])).alias("m"), p["i"].alias("i"))),
         )
 
     def signatures(items: Column) -> Column:

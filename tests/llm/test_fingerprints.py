@@ -59,7 +59,7 @@ def plain_fingerprint(spark, text):
     for i, k in enumerate(x for x in kmers if x <= limit):
         items.append((k, seen.setdefault(k, 0), i))
         seen[k] += 1
-    marks = list(h(*(f"{k}L, {n}" if k > -(2**63) else "0" for k, n, _ in items))) if items else []
+    marks = list(h(*(f"{k}L, {n}L" for k, n, _ in items))) if items else []
     bins = {}
     for (_, _, i), m in zip(items, marks, strict=True):
         bins.setdefault((m % 2**64) >> 58, []).append((m, i))
