@@ -20,8 +20,8 @@ from .common import components, materialize, mix, scratch, shingle_sets, sized_h
 SHARE = 0.35
 #: Rounds after the first leaders: the last one takes all pairs between different components of a signature.
 STAR_ROUNDS = 2
-#: 64-bit words of a set's parity bits, and most sets whose bits and signatures are broadcast.
-PARITY, PARITY_ROWS = 16, 60_000
+#: 64-bit words of a set's parity bits, first signatures that go with them, and most sets for which both are broadcast.
+PARITY, FIRST_SIGNS, PARITY_ROWS = 8, 6, 60_000
 
 
 def _digest(tokens: np.ndarray) -> tuple[int, int]:
@@ -226,19 +226,20 @@ def _components(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int =
 
 
 def _across(members: DataFrame, sets: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """Pairs between the components of a signature, each at the least signature that both have, without
-    those whose sizes, shared shingles or parity bits rule out a link."""
+    """Pairs between the components of a signature, without those whose sizes, shared shingles or parity
+    bits rule out a link. A pair whose sets have first signatures in common comes at the least of them only."""
     reps = members.select("rep").distinct()
     count = reps.count()
-    known = reps.hint("merge").join(sets.select("rep", "bits"), "rep").join(signed.select("rep", "signs").hint("merge"), "rep")
+    known = reps.hint("merge").join(sets.select("rep", "bits"), "rep").join(signed.select("rep", F.slice("signs", 1, FIRST_SIGNS).alias("signs")).hint("merge"), "rep")
     rows = members.join(sized_hint(materialize(known, "parity"), count, PARITY_ROWS), "rep")
     side = lambda c: rows.select("sign", *(F.col(a).alias(f"{b}{c}") for a, b in (("rep", ""), ("n", "n"), ("held", "h"), ("label", "l"), ("bits", "b"), ("signs", "s"))))
     apart = sum((F.bit_count(F.col("bx")[i].bitwiseXOR(F.col("by")[i])) for i in range(PARITY)), F.lit(0))
     total = F.col("nx") + F.col("ny")
     fits = (F.col("lx") < F.col("ly")) & (F.least("hx", "hy") * (100 + percent) >= total * percent) & ((total - apart) * (100 + percent) >= 2 * total * percent)
-    first = F.array_min(F.array_intersect("sx", "sy"))
+    common = F.array_intersect("sx", "sy")
+    once = (F.size(common) == 0) | (F.array_min(common) == F.col("sign"))
     x, y = side("x"), side("y").withColumnRenamed("sign", "other").hint("merge")
-    return x.join(y, (F.col("sign") == F.col("other")) & fits & (first == F.col("sign"))).select("x", "y", "nx", "ny", "hx", "hy")
+    return x.join(y, (F.col("sign") == F.col("other")) & fits & once).select("x", "y", "nx", "ny", "hx", "hy")
 
 
 def _fitting(pairs: DataFrame, percent: int) -> DataFrame:
