@@ -19,7 +19,8 @@ _EVENT = "case event_type when 'signup' then 'accepted' when 'view' then 'progre
 def _replay(spark, d, name, select):
     """The table's files as a stream of the selected columns."""
     like = table(spark, d, name)
-    return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", 64).parquet(f"{d}/{name}.parquet*").select(*select)
+    stream = spark.readStream.schema(like.schema).option("maxFilesPerTrigger", 64).parquet(f"{d}/{name}.parquet*")
+    return stream.select(*(F.expr(c) if isinstance(c, str) and c != "*" else c for c in select))
 
 
 def _drained(stream, mode="append"):
@@ -49,13 +50,13 @@ def _latest(df, keys):
     return df.groupBy(*keys).agg(F.max_by(F.struct(*names), "_batch").alias("x")).select(*keys, "x.*")
 
 
-_TS = F.col("ts").cast("timestamp").alias("ts")
+_TS = "cast(ts as timestamp) as ts"
 
 
 @register("stream_activity", f"with {X.RUNS} select date_trunc('day', ts) as bucket, count(*) as runs, {', '.join(f'''count(*) filter (outcome = '{o}') as {o}''' for o in OUTCOMES)} from runs group by 1")
 def stream_activity(spark, d):
     live = _replay(spark, d, "events", ["*"]).withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
-    runs = X._columns(live, X._RUNS.format(query="concat('query ', user_id)")).select(_TS, "outcome")
+    runs = X._columns(live, X._RUNS.format(query="concat('query ', user_id)")).select(F.expr(_TS), "outcome")
     counted = _drained(J.stream_activity(runs), "update")
     return _latest(counted, ["bucket"]).select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "runs", *OUTCOMES)
 
@@ -84,7 +85,7 @@ def stream_cache_lookup(spark, d):
 
 @register("stream_usage_gauge", "select user_id as run_id, time_bucket(interval 1 hour, ts) as tick, max(event_id) as seq, arg_max(cast(json_extract_string(props, '$.k') as bigint), event_id) as k from events where event_type='click' group by 1, 2")
 def stream_usage_gauge(spark, d):
-    live = _replay(spark, d, "events", ["*"]).where("event_type = 'click'").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), _TS, F.get_json_object("props", "$.k").cast("long").alias("k"))
+    live = _replay(spark, d, "events", ["*"]).where("event_type = 'click'").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.expr(_TS), F.get_json_object("props", "$.k").cast("long").alias("k"))
     got = _latest(_drained(J.stream_usage_gauge(live, "1 hour"), "update"), ["run_id", "tick"])
     return got.select("run_id", F.col("tick").cast("timestamp_ntz").alias("tick"), "seq", "k")
 
