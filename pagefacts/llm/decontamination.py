@@ -1,13 +1,13 @@
 """Operator 7: documents that hold copies of benchmark items, edited ones too.
 
-Rare word n-grams of the items are seeds; where a document holds one, the passage around it and the
-item meet in a Smith-Waterman alignment. Items come to the tasks in blocks of bounded size, so a block's
-seeds are broadcast and no document's text is shuffled.
+All word n-grams of the items are seeds; where a document holds one, the passage around it and the item
+meet in a Smith-Waterman alignment, unless the passage holds too few of the item's words for the least
+score. Items come to the tasks in blocks of bounded size, so a block's seeds are broadcast and no
+document's text is shuffled.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,10 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import ngram_hashes, slices, word_hashes
 
-#: Words of a seed; words of the items in one block, which bounds what is broadcast.
+#: Words of a seed (a shorter item is one seed); words of the items in one block, which bounds what is broadcast.
 SEED, BLOCK_WORDS = 4, 400_000
-#: A seed is rare if this share of documents holds it at most (and ``RARE_LEAST`` in any case); each item keeps its ``KEPT`` rarest whatever they are.
-RARE_SHARE, RARE_LEAST, KEPT = 0.0005, 5, 12
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least score as a share of the item's own.
 LEAST_SCORE = 0.5
@@ -50,26 +48,20 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int, int, in
 
 
 class Seeds:
-    """Seeds of a block of items; ``keep`` of the seeds' numbers restricts them."""
+    """Seeds of a block of items, by number, with their places in the items."""
 
     def __init__(self, ids: list[int], items: list[np.ndarray]):
         self.ids, self.items = ids, items
-        grams = [ngram_hashes(x, SEED) for x in items]
-        flat = np.concatenate([np.empty(0, np.uint64), *grams])
-        self.names, self.number = np.unique(flat, return_inverse=True)
-        self.item = np.repeat(np.arange(len(items)), [len(x) for x in grams])
-        self.position = np.concatenate([np.empty(0, np.int64), *(np.arange(len(x)) for x in grams)])
-        self.use(np.ones(len(self.names), bool))
-
-    def use(self, rare: np.ndarray) -> Seeds:
-        self.rare = rare
-        self.places = defaultdict(list)
-        for k, item, position in zip(self.number.tolist(), self.item.tolist(), self.position.tolist(), strict=True):
-            if rare[k]:
-                self.places[k].append((item, position))
+        self.lengths = np.array([len(x) for x in items], np.int64)
+        self.sizes = sorted({min(SEED, len(x)) for x in items})
+        grams = [ngram_hashes(x, min(SEED, len(x))) for x in items]
+        self.names, number = np.unique(np.concatenate([np.empty(0, np.uint64), *grams]), return_inverse=True)
+        order = np.argsort(number, kind="stable")
+        self.item = np.repeat(np.arange(len(items)), [len(x) for x in grams])[order]
+        self.position = np.concatenate([np.empty(0, np.int64), *(np.arange(len(x)) for x in grams)])[order]
+        self.first = np.searchsorted(number[order], np.arange(len(self.names) + 1))
         self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.names[rare] >> np.uint64(44)).astype(np.int64)] = True
-        return self
+        self.maybe[(self.names >> np.uint64(44)).astype(np.int64)] = True
 
     def found(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of ``grams`` that are seeds, and the seeds' numbers."""
@@ -77,44 +69,52 @@ class Seeds:
         if not len(at):
             return at, at
         k = np.minimum(np.searchsorted(self.names, grams[at]), len(self.names) - 1)
-        same = (self.names[k] == grams[at]) & self.rare[k]
+        same = self.names[k] == grams[at]
         return at[same], k[same]
 
-    def rarest(self, df: np.ndarray, documents: int) -> np.ndarray:
-        rare = df <= max(RARE_LEAST, documents * RARE_SHARE)
-        for item in range(len(self.items)):
-            own = self.number[self.item == item]
-            rare[own[np.argsort(df[own], kind="stable")[:KEPT]]] = True
-        return rare
+    def near(self, items: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Those of ``items`` of whose words the text holds enough: a score is no more than its matches give."""
+        ends = np.cumsum(self.lengths[items])
+        held = np.isin(np.concatenate([self.items[i] for i in items.tolist()]), words)
+        return items[np.add.reduceat(held, ends - self.lengths[items], dtype=np.int64) >= LEAST_SCORE * self.lengths[items]]
 
     def copies(self, words: np.ndarray, at: np.ndarray, seeds: np.ndarray) -> Iterator[tuple]:
         """(item number, score, word range in the text, word range in the item) of the best passage per item."""
-        hits = defaultdict(list)
-        for position, k in zip(at.tolist(), seeds.tolist(), strict=True):
-            for item, place in self.places[k]:
-                hits[item].append(position - place)
-        for item, starts in hits.items():
+        n = self.first[seeds + 1] - self.first[seeds]
+        place = np.repeat(self.first[seeds] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        hit, begin = self.item[place], np.repeat(at, n) - self.position[place]
+        order = np.lexsort((begin, hit))
+        hit, begin = hit[order], begin[order]
+        for item in self.near(np.unique(hit), words).tolist():
             length, best = len(self.items[item]), None
-            pad, starts, k = length // 4 + 4, sorted(set(starts)), 0
+            starts = np.unique(begin[np.searchsorted(hit, item) : np.searchsorted(hit, item, side="right")]).tolist()
+            pad, k = length // 4 + 4, 0
             while k < len(starts):
                 first = starts[k]
                 while k + 1 < len(starts) and starts[k + 1] - first <= length:
                     k += 1
                 lo, hi = max(0, first - pad), min(len(words), starts[k] + length + pad)
+                k += 1
+                if np.isin(self.items[item], words[lo:hi]).sum() < LEAST_SCORE * length:
+                    continue
                 score, a, b, c, d = align(self.items[item], words[lo:hi])
                 best = max(best or (0,), (score / (MATCH * length), -(lo + a), -(lo + b), c, d))
-                k += 1
-            if best[0] >= LEAST_SCORE:
+            if best and best[0] >= LEAST_SCORE:
                 yield item, best[0], -best[1], -best[2], best[3], best[4]
 
 
 def _documents(part: pa.RecordBatch, seeds: Seeds) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(row, its words, positions, seeds) of the rows of a slice that hold seeds."""
     words, ends = word_hashes(part.column("text"))
-    at, k = seeds.found(ngram_hashes(words, SEED))
-    row = np.searchsorted(ends, at, side="right")
-    inside = at + SEED <= ends[row] if len(at) else np.zeros(0, bool)
-    at, k, row = at[inside], k[inside], row[inside]
+    found = []
+    for size in seeds.sizes:
+        at, k = seeds.found(ngram_hashes(words, size))
+        row = np.searchsorted(ends, at, side="right")
+        inside = at + size <= ends[row] if len(at) else np.zeros(0, bool)
+        found.append((at[inside], k[inside], row[inside]))
+    at, k, row = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(row, kind="stable")
+    at, k, row = at[order], k[order], row[order]
     for r in np.unique(row):
         lo, hi = np.searchsorted(row, r), np.searchsorted(row, r, side="right")
         start = int(ends[r - 1]) if r else 0
@@ -122,11 +122,11 @@ def _documents(part: pa.RecordBatch, seeds: Seeds) -> Iterator[tuple[int, np.nda
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[Seeds]:
-    """Items in blocks; only one block is on the driver. Items of fewer words than a seed are left out."""
+    """Items in blocks; only one block is on the driver. Items without words are left out."""
     ids, items, words = [], [], 0
     for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").dropna(subset=["text"]).toLocalIterator():
         item, _ = word_hashes(pa.array([r.text]))
-        if len(item) >= SEED:
+        if len(item):
             ids.append(r.item_id)
             items.append(item)
             words += len(item)
@@ -137,43 +137,21 @@ def _blocks(benchmark: DataFrame) -> Iterator[Seeds]:
         yield Seeds(ids, items)
 
 
-def _rare_blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator:
-    """Broadcasts of the blocks with their rare seeds, by document frequency over all documents."""
-    context = docs.sparkSession.sparkContext
-    for seeds in _blocks(benchmark):
-        every = context.broadcast(seeds)
-
-        def count(batches: Iterator[pa.RecordBatch], every=every) -> Iterator[pa.RecordBatch]:
-            df, n = np.zeros(len(every.value.names), np.int64), 0
-            for part in slices(batches, "text"):
-                n += part.num_rows
-                for _, _, _, k in _documents(part, every.value):
-                    df[np.unique(k)] += 1
-            at = np.flatnonzero(df)
-            yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int64()), pa.array([n, *df[at].tolist()], pa.int64())], ["seed", "df"])
-
-        counted = docs.select("text").mapInArrow(count, "seed long, df long").groupBy("seed").agg(F.sum("df").alias("df")).collect()
-        df, by = np.zeros(len(seeds.names), np.int64), {r.seed: r.df for r in counted}
-        documents = by.pop(-1, 0)
-        df[list(by.keys())] = list(by.values())
-        yield context.broadcast(seeds.use(seeds.rarest(df, documents)))
-
-
 def benchmark_copies(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score, doc_from, doc_to, item_from, item_to (words) of each copy found.
 
     ``score`` is the alignment's as a share of the item's alignment with itself; pairs of LEAST_SCORE or
     more are returned, the best passage of each. Words are lower-cased (A-Z) runs without white space.
     Null and empty texts hold nothing; equal items are found each; repeated rows give repeated results,
-    with a null doc_id where it is null. Items under SEED words are not looked for. Other columns are
-    ignored.
+    with a null doc_id where it is null. An edited copy is found if it shares SEED words in a row with the
+    item; items under SEED words are found where they are whole. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     names = ["doc_id", "item_id", "score", "doc_from", "doc_to", "item_from", "item_to"]
     kinds = [pa.int64(), pa.int64(), pa.float64(), *[pa.int64()] * 4]
     schema = "doc_id long, item_id long, score double, doc_from long, doc_to long, item_from long, item_to long"
     out = docs.sparkSession.createDataFrame([], schema)
-    for block in _rare_blocks(docs, benchmark):
+    for block in map(docs.sparkSession.sparkContext.broadcast, _blocks(benchmark)):
 
         def search(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             for part in slices(batches, "text"):
@@ -187,7 +165,7 @@ def benchmark_copies(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_copies(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all columns, that hold no copy of an item."""
-    for block in _rare_blocks(docs, benchmark):
+    for block in map(docs.sparkSession.sparkContext.broadcast, _blocks(benchmark)):
 
         def keep(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             for part in slices(batches, "text"):

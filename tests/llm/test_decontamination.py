@@ -68,3 +68,26 @@ def test_blocks_and_empty_tables(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in D.benchmark_copies(df, bench).collect()} == leaks
     assert D.benchmark_copies(df, bench.limit(0)).count() == 0 and D.without_copies(df, bench.limit(0)).count() == len(docs)
     assert D.benchmark_copies(df.limit(0), bench).count() == 0
+
+
+def test_hot_item_equals_brute_force(spark):
+    r = random.Random(5)
+    text = lambda n: [f"v{r.randrange(3000)}" for _ in range(n)]
+    items = [text(40), text(40), text(3)]
+    docs = []
+    for d in range(600):
+        copy = list(items[0]) if d % 10 == 0 else items[0][16:] if d % 10 == 1 else items[2] if d % 10 == 2 else items[1][:20] if d % 97 == 3 else []
+        if d % 20 == 11:
+            copy = list(items[0][10:])
+            copy[6::7] = ["other"] * len(copy[6::7])
+        words = text(60)
+        words[30:30] = copy
+        docs.append((d, words))
+    number = {w: i for i, w in enumerate(sorted({w for x in [*items, *(w for _, w in docs)] for w in x}))}
+    coded = lambda words: np.array([number[w] for w in words], np.uint64)
+    whole = lambda i, w: len(items[i]) >= D.SEED or " ".join(items[i]) in " ".join(w)
+    want = {(d, i) for d, w in docs for i, x in enumerate(items) if D.align(coded(x), coded(w))[0] >= D.LEAST_SCORE * D.MATCH * len(x) and whole(i, w)}
+    assert sum(i == 0 for _, i in want) == 120 and sum(i == 2 for _, i in want) == 60
+    df, bench = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in D.benchmark_copies(df, bench).collect()} == want
+    assert {x.doc_id for x in D.without_copies(df, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
