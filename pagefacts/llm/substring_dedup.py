@@ -1,4 +1,4 @@
-"""Operator 9: substring dedup by content-defined chunks of a gear rolling hash."""
+"""Operator 9: substring dedup by content-defined chunks: cuts are the words of locally least gear hash."""
 
 from __future__ import annotations
 
@@ -14,74 +14,106 @@ from pyspark.sql import functions as F
 
 from .common import materialize, mix, slices
 
-#: Bytes that the rolling hash sees; bits that must be zero at a cut (a cut in 2**BITS bytes); least and most bytes of a chunk.
-WINDOW, BITS, LEAST, MOST = 16, 5, 16, 256
-#: Least bytes of neighbouring repeated chunks that are reported. A passage of 50 words (about 300 bytes) loses up to a chunk at either end.
-LEAST_RUN = 160
+#: Words (or wide characters) on either side that a cut's hash is least among, which makes chunks of about 7; least and most bytes of a chunk.
+BESIDE, LEAST, MOST = 3, 1, 256
+#: Bytes of the hash that a cut is chosen by; bytes without white space after which places inside of a word count too (one in 2**BITS).
+WINDOW, LONG, BITS = 8, 16, 3
+#: Least bytes, or words, of neighbouring repeated chunks that are reported. A passage of 50 words loses up to a chunk and ``BESIDE`` words at either end.
+LEAST_RUN, LEAST_WORDS = 160, 18
 GEAR = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def cuts(data: np.ndarray) -> np.ndarray:
-    """Ends of the chunks of a text's UTF-8 bytes, which never part a character."""
-    hashed, span = GEAR[data], 1
+def word_starts(data: np.ndarray) -> np.ndarray:
+    """Whether a word starts at each byte."""
+    white = (data == 32) | ((data >= 9) & (data <= 13))
+    starts = ~white
+    starts[1:] &= white[:-1]
+    return starts
+
+
+def cuts(data: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
+    """Ends of the chunks of a text's UTF-8 bytes, which never part a character. Equal words in a row are a
+    chunk each, so that they match wherever the row starts."""
+    size, span = len(data), 1
+    hashed = GEAR[np.append(data, np.zeros(WINDOW, np.uint8))]
     while span < WINDOW:
         hashed[span:] += hashed[:-span] << np.uint64(span)
         span *= 2
-    after = np.append(data[1:], 0)
-    free = np.flatnonzero((hashed >> np.uint64(64 - BITS) == 0) & (after & 0xC0 != 0x80)) + 1
-    out, last, size = [], 0, len(data)
-    for at in [*free.tolist(), size]:
-        while at - last > MOST:
-            end = last + MOST
-            while data[end] & 0xC0 == 0x80:
-                end -= 1
+    starts = word_starts(data) if starts is None else starts
+    place = starts | (data >= 0xE0)
+    if size > LONG:
+        word = np.cumsum(starts)
+        inside = (word[LONG:] == word[:-LONG]) & (hashed[WINDOW - 1 + LONG : WINDOW - 1 + size] >> np.uint64(64 - BITS) == 0)
+        place[LONG:] |= inside & (data[LONG:] & 0xC0 != 0x80)
+    at = np.flatnonzero(place)
+    ahead, equal = hashed[at + WINDOW - 1], starts[at]
+    least = np.ones(len(at), bool)
+    for k in range(1, BESIDE + 1):
+        least[k:] &= (ahead[k:] < ahead[:-k]) | (equal[k:] & (ahead[k:] == ahead[:-k]))
+        least[:-k] &= ahead[:-k] <= ahead[k:]
+    out, last = [], 0
+    for end in [*at[least].tolist(), size]:
+        while end - last > MOST:
+            cut = last + MOST
+            while data[cut] & 0xC0 == 0x80:
+                cut -= 1
+            out.append(cut)
+            last = cut
+        if end - last >= LEAST or end == size:
             out.append(end)
             last = end
-        if at - last >= LEAST or at == size:
-            out.append(at)
-            last = at
     return np.array(out[: len(out) - (len(out) > 1 and out[-1] == out[-2])], np.int64)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["row", "doc_id", "from_char", "to_char", "n_bytes", "d1", "d2"]
+    names = ["row", "doc_id", "from_char", "to_char", "n_bytes", "n_words", "d1", "d2"]
     row = TaskContext.get().partitionId() << 36
     for part in slices(batches, "text"):
-        columns, digests = [[] for _ in names[:5]], []
+        columns, digests = [[] for _ in names[:6]], []
         for doc_id, text in zip(part.column("doc_id").to_pylist(), pc.fill_null(part.column("text"), "").cast(pa.binary()).to_pylist(), strict=True):
             row += 1
             if not text:
                 continue
             data = np.frombuffer(text, np.uint8)
-            ends = cuts(data)
+            begun = word_starts(data)
+            ends = cuts(data, begun)
             starts = np.concatenate([[0], ends[:-1]])
+            found = [hashlib.blake2b(text[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            first = np.array([True, *(a != b for a, b in zip(found, found[1:], strict=False))])
+            at, lengths = np.flatnonzero(first), ends - starts
+            repeats = np.diff(np.append(at, len(found)))
+            starts, ends = starts[first], np.append(starts[first][1:], len(text))
             chars = np.concatenate([[0], np.cumsum(data & 0xC0 != 0x80)])
-            for column, values in zip(columns, ([row] * len(ends), [doc_id] * len(ends), chars[starts], chars[ends], ends - starts), strict=True):
+            words = np.concatenate([[0], np.cumsum(begun)])
+            for column, values in zip(columns, ([row] * len(ends), [doc_id] * len(ends), chars[starts], chars[ends], ends - starts, words[ends] - words[starts]), strict=True):
                 column.extend(values)
-            digests += [hashlib.blake2b(text[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            for k, a, size, n in zip(at.tolist(), starts.tolist(), lengths[at].tolist(), repeats.tolist(), strict=True):
+                once = text[a : a + size]
+                digests.append(found[k] if n == 1 else hashlib.blake2b(once * min(n, -(-LEAST_WORDS // max(1, len(once.split())))), digest_size=16).digest())
         halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
         arrays = [pa.array(c, pa.int64()) for c in columns] + [pa.array(halves[:, 0]), pa.array(halves[:, 1])]
         yield pa.RecordBatch.from_arrays(arrays, names)
 
 
-def repeated_passages(docs: DataFrame, least: int = LEAST_RUN) -> DataFrame:
+def repeated_passages(docs: DataFrame, least: int = LEAST_RUN, words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, from_char, to_char, n_bytes, n_chunks, keeper_id of each passage that another document keeps.
 
     A chunk stays in the document of smallest doc_id that holds it (null ids come last); every other
-    document's neighbouring chunks of that kind form a passage, reported from ``least`` bytes on with
-    the smallest of its keepers. Rows with one doc_id are one document for this; null and empty texts
-    hold nothing; other columns are ignored. A chunk's copies are only counted and joined, never gathered.
+    document's neighbouring chunks of that kind form a passage, reported from ``least`` bytes or ``words`` words
+    on with the smallest of its keepers. Rows with one doc_id are one document for this; null and empty texts
+    hold nothing; other columns are ignored. A chunk's copies are only counted and joined, never gathered;
+    equal chunks in a row count as one, which others match that repeat it as often or ``LEAST_WORDS`` words long.
     """
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc_id"), "text")
-    chunks = materialize(docs.mapInArrow(_chunks, "row long, doc_id long, from_char long, to_char long, n_bytes long, d1 long, d2 long"), "chunks")
+    chunks = materialize(docs.mapInArrow(_chunks, "row long, doc_id long, from_char long, to_char long, n_bytes long, n_words long, d1 long, d2 long"), "chunks")
     keepers = chunks.groupBy("d1", "d2").agg(F.min("doc_id").alias("keeper_id"), F.max("doc_id").alias("other")).where("keeper_id < other").drop("other")
     gone = chunks.join(keepers.hint("shuffle_hash"), ["d1", "d2"]).where("doc_id != keeper_id")
     order = Window.partitionBy("row").orderBy("from_char")
     gone = gone.withColumn("starts", F.when(F.lag("to_char").over(order) == F.col("from_char"), 0).otherwise(1))
     gone = gone.withColumn("run", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = gone.groupBy("row", "doc_id", "run").agg(F.min("from_char").alias("from_char"), F.max("to_char").alias("to_char"), F.sum("n_bytes").alias("n_bytes"), F.count("*").alias("n_chunks"), F.min("keeper_id").alias("keeper_id"))
+    runs = gone.groupBy("row", "doc_id", "run").agg(F.min("from_char").alias("from_char"), F.max("to_char").alias("to_char"), F.sum("n_bytes").alias("n_bytes"), F.sum("n_words").alias("n_words"), F.count("*").alias("n_chunks"), F.min("keeper_id").alias("keeper_id"))
     real = F.when(F.col("doc_id") < 2**63 - 1, F.col("doc_id"))
-    return runs.where(F.col("n_bytes") >= least).select(real.alias("doc_id"), "from_char", "to_char", "n_bytes", "n_chunks", "keeper_id")
+    return runs.where((F.col("n_bytes") >= least) | (F.col("n_words") >= words)).select(real.alias("doc_id"), "from_char", "to_char", "n_bytes", "n_chunks", "keeper_id")
 
 
 def without_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:

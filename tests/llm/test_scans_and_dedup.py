@@ -96,3 +96,18 @@ def test_repeated_passages(spark):
     cut = {x.doc_id: x.text for x in S.without_passages(df.where("doc_id is not null"), S.repeated_passages(df.where("doc_id is not null"))).collect()}
     assert cut[3] == docs[3] and len(cut[10]) < len(docs[10]) - S.LEAST_RUN and cut[100] is None
     assert S.repeated_passages(df.limit(0)).count() == 0
+
+
+def test_every_passage_of_51_short_words(spark):
+    r = random.Random(51)
+    words = lambda n: ["".join(r.choice("abcdefghijklmnopqrst") for _ in range(r.randrange(1, 5))) for _ in range(n)]
+    rows = []
+    for i in range(400):
+        passage = words(51) if i % 8 else [f"w{i}"] * 30 + words(21)
+        rows += [(k * 1000 + i, " ".join(words(r.randrange(1, 90)) + passage + words(r.randrange(1, 90)))) for k in (0, 1)]
+    rows += [(5000 + i, " ".join(words(150))) for i in range(100)]
+    out = S.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id for x in out} == {1000 + i for i in range(400)}
+    assert all(x.keeper_id == x.doc_id - 1000 for x in out if x.doc_id % 8)
+    few = [(1, "start la la la end of it"), (2, "other " + "la " * 60 + "more of this")]
+    assert S.repeated_passages(spark.createDataFrame(few, "doc_id long, text string")).count() == 0
