@@ -1,5 +1,6 @@
 import os
 import random
+import textwrap
 from collections import defaultdict
 
 import duckdb
@@ -24,6 +25,35 @@ def test_licenses(spark):
     assert L.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+GPL = """This program is free software{} you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+BSD_3 = BSD + "\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+NOTICES = [
+    ("MIT", MIT), ("Apache-2.0", APACHE), ("GPL-3.0-or-later", GPL.format(":", ",", 3)), ("GPL-2.0-or-later", GPL.format(";", ";", 2)), ("BSD-2-Clause", BSD), ("BSD-3-Clause", BSD_3),
+    ("MIT", "SPDX-License-Identifier: MIT"), ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"), ("GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-only"),
+    ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."), ("LicenseRef-all-rights-reserved", "All rights reserved\nCopyright 2020"),
+]
+
+
+@pytest.mark.parametrize("width,comment", [(10**6, ""), (72, ""), (72, " * "), (30, "# ")])
+def test_original_notices(spark, width, comment):
+    wrap = lambda x: "\n".join(comment + line for part in x.split("\n") for line in textwrap.wrap(part, width) or [""])
+    rows = [(i, f"Title\n{wrap(x)}\n\nint main() {{}}\n") for i, (_, x) in enumerate(NOTICES)]
+    out = {x.doc_id: (x.licenses, x.unmatched) for x in L.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {i: (name, "") for i, (name, _) in enumerate(NOTICES)}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_equals_sql(spark, sf, name):
     c = duckdb.connect()
