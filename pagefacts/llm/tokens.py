@@ -2,8 +2,8 @@
 
 A text splits into units at single spaces: a space between two characters that are not white space
 always starts a new pre-token of a byte-level tokenizer, so the text's ids are its units' ids in a
-row. Texts for which this does not hold (spaces beside white space, added tokens) go to the library
-whole, as do tokenizers of another kind.
+row. Texts for which this does not hold (spaces beside white space, added tokens) or that hold the mark of
+a first unit (NUL) go to the library whole, as do tokenizers of another kind.
 """
 
 from __future__ import annotations
@@ -48,7 +48,7 @@ class Units:
         self.added = [x["content"] for x in model.get("added_tokens") or []]
 
     def fits(self, text: str) -> bool:
-        if not self.fit or "  " in text or " \n" in text or "\n " in text or any(x in text for x in self.added):
+        if not self.fit or "\0" in text or "  " in text or " \n" in text or "\n " in text or any(x in text for x in self.added):
             return False
         return not (_ODD.search(text) and _BESIDE.search(text))
 

@@ -29,6 +29,13 @@ def test_encoder_equals_library(texts):
     assert ids.tolist() == [i for x in want for i in x]
 
 
+@pytest.mark.parametrize("text", ["a \0b c", "\0b c", "a \0", "\0", "a b\0 c"])
+def test_texts_with_nul_equal_the_library(library, text):
+    want = library.encode(text, add_special_tokens=False).ids
+    counts, ids = T.Encoder(PATH)([text, "b c"])
+    assert counts[0] == len(want) == T.Encoder(PATH, counts=True)([text])[0][0] and ids[: len(want)].tolist() == want
+
+
 def test_cache_generations(monkeypatch, library):
     monkeypatch.setattr(T, "CACHE_UNITS", 5)
     encode = T.Encoder(PATH, counts=True)
