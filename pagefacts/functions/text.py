@@ -55,9 +55,9 @@ def page_title(html: Column) -> Column:
 LEAST_CHUNK = 80
 
 
-def chunks(text: Column, size: int = 4000, cap: int = 40) -> Column:
+def chunks(text: Column, size: int = 4000, cap: int | None = 40) -> Column:
     """Array of chunks: paragraphs packed to ``size`` characters, longer ones cut at a line end, a space or
-    hard, short packs dropped, ``cap`` chunks at most (the chunks asked for, as in a head of a list)."""
+    hard, short packs dropped, ``cap`` chunks at most (the chunks asked for, as in a head of a list; None: all)."""
     cut_at = lambda s: F.greatest(F.length(s) - F.instr(F.reverse(s), "\n") + 1, F.lit(0))
 
     def pieces(p: Column) -> Column:
@@ -82,7 +82,8 @@ def chunks(text: Column, size: int = 4000, cap: int = 40) -> Column:
         return F.struct(F.when(fits, joined).otherwise(p).alias("now"), F.when(fits, s["out"]).otherwise(F.concat(s["out"], F.array(s["now"]))).alias("out"))
 
     packed = F.aggregate(parts, start, pack, lambda s: F.concat(s["out"], F.array(s["now"])))
-    return F.slice(F.filter(packed, lambda c: F.length(c) > LEAST_CHUNK), 1, cap)
+    kept = F.filter(packed, lambda c: F.length(c) > LEAST_CHUNK)
+    return kept if cap is None else F.slice(kept, 1, cap)
 
 
 #: Separators before a site's name in a title, and words that such a name has at most.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -34,24 +35,36 @@ def page_links(pages: DataFrame, cap: int = MOST_LINKS) -> DataFrame:
     return links.where(F.col("place") <= cap).select("page_id", F.col("place").cast("long").alias("pos"), "href", "text")
 
 
+def _closing(text: str) -> dict[int, int]:
+    """The place of the bracket that closes each opening one; an escaped one closes itself."""
+    opened, closed = [], {}
+    for m in re.finditer(r"[\[\]]", text):
+        j = m.start()
+        if text[j - 1 : j] == "\\":
+            closed[j] = j
+        elif m[0] == "[":
+            opened.append(j)
+        elif opened:
+            closed[opened.pop()] = j
+    return closed
+
+
 def _markdown(text: str) -> list[tuple[str, str]]:
-    found, spans, i = [], [], 0
+    found, spans, i, closed = [], [], 0, _closing(text)
+    target = re.compile(r"\(\s*<?([^)\s>]+)>?(?:\s+\"[^\"]*\")?\s*\)")
     while (i := text.find("[", i)) >= 0:
-        depth, j = 0, i
-        while j < len(text):
-            depth += (text[j] == "[") - (text[j] == "]") if text[j - 1 : j] != "\\" else 0
-            if not depth:
-                break
-            j += 1
-        m = re.compile(r"\(\s*<?([^)\s>]+)>?(?:\s+\"[^\"]*\")?\s*\)").match(text, j + 1)
-        if m and not depth:
+        j = closed.get(i)
+        m = target.match(text, j + 1) if j is not None else None
+        if m:
             found.append((i, m[1], text[i + 1 : j].replace("\\", "")))
             spans.append((i, m.end()))
             i = m.end()
         else:
             i += 1
+    starts = [a for a, _ in spans]
     for m in re.finditer(r"https?://[^\s<>()\[\]\"']+", text):
-        if not any(a <= m.start() < b for a, b in spans):
+        k = bisect_right(starts, m.start()) - 1
+        if k < 0 or m.start() >= spans[k][1]:
             found.append((m.start(), m[0].rstrip(".,;:!?"), ""))
     out = {}
     for _, href, label in sorted(found):
@@ -71,8 +84,8 @@ def markdown_links(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, pos long, href string, text string")
 
 
-def chunk_pages(pages: DataFrame, key: str = "doc_id", size: int = 4000, cap: int = 40) -> DataFrame:
-    """key, nr, n_chunks, chunk."""
+def chunk_pages(pages: DataFrame, key: str = "doc_id", size: int = 4000, cap: int | None = None) -> DataFrame:
+    """key, nr, n_chunks, chunk; the first ``cap`` chunks where it is given."""
     cut = pages.select(key, T.chunks(F.col("text"), size, cap).alias("c"))
     return cut.select(key, F.size("c").cast("long").alias("n_chunks"), F.posexplode("c").alias("nr", "chunk")).withColumn("nr", (F.col("nr") + 1).cast("long"))
 

@@ -65,7 +65,7 @@ def follow_links(spark, d):
     return H.follow_links(links, 0.6, 1, 3).select("page_id", "href", F.col("place").cast("long").alias("place"))
 
 
-_MARKDOWN = "concat('See [the [nested] page](https://a.example.org/', doc_id, ' \"t\") and https://b.example.org/', doc_id, '. ', substr(text, 1, 200))"
+_MARKDOWN = "concat('See [the [nested] page](https://a.example.org/', doc_id, ' \"t\") and https://b.example.org/', doc_id, '. ', text)"
 
 
 @register("markdown_links")

@@ -1,6 +1,7 @@
 """Small cases with known answers."""
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pagefacts.operators import hits as H
 from pagefacts.operators import page_jobs as P
 from pagefacts.operators import records as R
 from pagefacts.operators import run_stats as S
+from pagefacts.plans import pages as page_plans
 from pagefacts.sources import export, runlog
 from pagefacts.streaming import jobs as J
 
@@ -204,6 +206,19 @@ def test_markdown_links():
     assert P._markdown(text) == [("https://x.org/1", "a [b]"), ("https://y.org/2", "")]
 
 
+def test_markdown_of_long_texts():
+    start = time.monotonic()
+    assert P._markdown("[" * 200_000 + "a](https://x.org/1)" + " https://y.org/2") == [("https://x.org/1", "a"), ("https://y.org/2", "")]
+    assert time.monotonic() - start < 20
+
+
+def test_page_queries_read_whole_texts(spark, tmp_path):
+    text = "word " * 60 + "[late](https://late.example.org/) " + "word " * 60_000
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert "https://late.example.org/" in {x.href for x in page_plans.markdown_links(spark, str(tmp_path)).collect()}
+    assert sum(x.chars for x in page_plans.chunk_pages(spark, str(tmp_path)).collect()) > 300_000
+
+
 def test_packed_batches(spark):
     df = spark.createDataFrame([("g", i, c) for i, c in enumerate([5, 5, 5, 30, 1, 1, 1])], "g string, item_id long, chars long")
     out = {r.item_id: r.batch for r in P.pack_batches(df, "g", 3, 12).collect()}
