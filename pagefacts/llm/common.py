@@ -41,6 +41,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             to = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+            pa.default_memory_pool().release_unused()
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

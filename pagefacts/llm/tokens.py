@@ -2,8 +2,9 @@
 
 A text splits into units at single spaces: a space between two characters that are not white space
 always starts a new pre-token of a byte-level tokenizer, so the text's ids are its units' ids in a
-row. Texts for which this does not hold (spaces beside white space, added tokens) or that hold the mark of
-a first unit (NUL) go to the library whole, as do tokenizers of another kind.
+row. The first tier is a broadcast table of frequent units, the second a worker's cache of bounded
+size; both hold 128-bit hashes, lengths and ids in arrays. Texts for which the rule does not hold (spaces
+beside white space, added tokens) go to the library whole, as do tokenizers of another kind.
 """
 
 from __future__ import annotations
@@ -11,9 +12,9 @@ from __future__ import annotations
 import json
 import os
 import re
-from array import array
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +22,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import mix, slices
 
-#: Units of one generation of a worker's cache; it keeps two, and drops the older at the bound.
-CACHE_UNITS = 700_000
-#: Units of the broadcast table, and units that one task reports for it.
-TABLE_UNITS, TASK_UNITS = 20_000, 5_000
-_ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
-_BESIDE = re.compile("[\\s\\x1c-\\x1f\\x85\\u180e\\u200b\\ufeff] | [\\s\\x1c-\\x1f\\x85\\u180e\\u200b\\ufeff]")
+#: Units of a worker's cache (about 30 bytes each), runs it is kept in, and most ids of a unit that is kept.
+CACHE_UNITS, CACHE_RUNS, CACHE_IDS = 1_000_000, 8, 64
+#: Units of the broadcast table; unknown units that the library gets as one text.
+TABLE_UNITS, JOINED = 20_000, 1000
+_SPACES = "\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
+_ODD = re.compile(f"[{_SPACES.replace(chr(10), '').replace(' ', '')}]")
+_BESIDE = re.compile(f"[{_SPACES}] | [{_SPACES}]")
+_AT_END = f"^[{_SPACES}]|[{_SPACES}]$|^$"
+#: Two hashes of a unit: a random number of each byte times a power of an odd base, summed.
+_BYTES = [mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(k)) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+_BASES = [(b, pow(b, -1, 1 << 64)) for b in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+_FIRST = np.uint64(0x94D049BB133111EB)
 
 
 def tokenizer_path(name: str) -> str:
@@ -37,8 +44,61 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def unit_hashes(units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each string, from the bytes alone."""
+    units = units.cast(pa.large_string())
+    offsets = np.frombuffer(units.buffers()[1], np.int64)[units.offset : units.offset + len(units) + 1]
+    data = np.frombuffer(units.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(units) else np.empty(0, np.uint8)
+    at, out = offsets - offsets[0], []
+    for table, (base, inverse) in zip(_BYTES, _BASES, strict=True):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[data] * _powers(base, len(data)))])
+        out.append(mix((sums[at[1:]] - sums[at[:-1]]) * _powers(inverse, len(data) + 1)[at[:-1]] + np.diff(at).astype(np.uint64)))
+    return out[0], out[1]
+
+
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indices of pieces that begin at ``starts``, one after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+@dataclass
+class Run:
+    """Units in order of their first hash: both hashes, number of ids, and the ids' place in ``ids`` (none when counting)."""
+
+    key: np.ndarray
+    check: np.ndarray
+    size: np.ndarray
+    start: np.ndarray
+    ids: np.ndarray
+
+    @classmethod
+    def of(cls, key: np.ndarray, check: np.ndarray, size: np.ndarray, start: np.ndarray, ids: np.ndarray) -> Run:
+        order = np.argsort(key, kind="stable")
+        return cls(key[order], check[order], size[order], start[order], ids)
+
+    @classmethod
+    def merged(cls, runs: list[Run]) -> Run:
+        base = np.cumsum([0, *(len(r.ids) for r in runs)])
+        start = np.concatenate([r.start + b for r, b in zip(runs, base, strict=False)])
+        return cls.of(*(np.concatenate([getattr(r, c) for r in runs]) for c in ("key", "check", "size")), start, np.concatenate([r.ids for r in runs]))
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the units are in the run, and where."""
+        if not len(self.key):
+            return np.zeros(len(key), bool), np.empty(0, np.int64)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        same = (self.key[at] == key) & (self.check[at] == check)
+        return same, at[same]
+
+
 class Units:
-    """Tells which texts split into units at single spaces; the first unit of a text is marked."""
+    """Tells which texts split into units at single spaces."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -48,90 +108,116 @@ class Units:
         self.added = [x["content"] for x in model.get("added_tokens") or []]
 
     def fits(self, text: str) -> bool:
-        if not self.fit or "\0" in text or "  " in text or " \n" in text or "\n " in text or any(x in text for x in self.added):
+        if not self.fit or "  " in text or " \n" in text or "\n " in text or any(x in text for x in self.added):
             return False
         return not (_ODD.search(text) and _BESIDE.search(text))
 
-    @staticmethod
-    def split(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
-        """All units of the texts, and each text's end in that list."""
-        lists = pc.split_pattern(pa.array(["\0" + x for x in texts], pa.string()), " ")
-        return lists.flatten(), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
 
-    @staticmethod
-    def text(unit: str) -> str:
-        return unit[1:] if unit[:1] == "\0" else " " + unit
+@lru_cache(1)
+def _library(path: str) -> tuple:
+    """The tokenizer, the type that holds its ids, and which ids' tokens begin with a space."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    vocabulary = library.get_vocab()
+    opens = np.zeros(max(vocabulary.values()) + 1, bool)
+    opens[[i for x, i in vocabulary.items() if x[:1] == "Ġ"]] = True
+    return library, np.dtype("<u2") if len(opens) <= 1 << 16 else np.dtype("<u4"), opens
 
 
 class Encoder:
     """Ids of texts from the tokenizers library, or their counts; each unit is encoded once while remembered."""
 
-    def __init__(self, path: str, table: dict | None = None, counts: bool = False):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.units, self.table, self.counts = Units(path), table or {}, counts
-        self.dtype, self.code = (np.dtype("<u2"), "H") if self.library.get_vocab_size() <= 1 << 16 else (np.dtype("<u4"), "I")
-        self.known, self.older = dict(self.table), {}
-
-    def encoded(self, texts: list[str]) -> list:
-        """The library's answer for whole texts: numbers of ids, or the ids as bytes of ``dtype``."""
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [len(x) for x in found] if self.counts else [array(self.code, x.ids).tobytes() for x in found]
-
-    def _values(self, units: list[str]) -> list:
-        """Answers for distinct units, from the cache where it has them."""
-        if len(self.known) > CACHE_UNITS + len(self.table):
-            self.known, self.older = dict(self.table), self.known
-        known, older = self.known, self.older
-        new = [x for x in units if x not in known]
-        known.update((x, older[x]) for x in new if x in older)
-        new = [x for x in new if x not in known]
-        if new:
-            known.update(zip(new, self.encoded([Units.text(x) for x in new]), strict=True))
-        return [known[x] for x in units]
+    def __init__(self, path: str, table: Run | None = None, counts: bool = False):
+        self.library, self.dtype, self.opens = _library(path)
+        self.units, self.counts = Units(path), counts
+        empty = [np.empty(0, t) for t in (np.uint64, np.uint64, np.int32, np.int64, self.dtype)]
+        self.table, self.runs = table or Run(*empty), []
+
+    def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's number of ids of whole texts, and all ids in a row."""
+        found = [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+        return np.array([len(x) for x in found], np.int64), np.concatenate([np.empty(0, self.dtype), *(np.array(x, self.dtype) for x in found)])
+
+    def _new(self, units: pa.Array, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of units in order. Those that can stand side by side go as long texts: a unit then begins
+        at each id whose token begins with a space."""
+        alone = first | pc.match_substring_regex(units, _AT_END).to_numpy(zero_copy_only=False)
+        joined, rest = units.filter(pa.array(~alone)).to_pylist(), units.filter(pa.array(alone)).to_pylist()
+        _, ids = self.encoded([" " + " ".join(joined[i : i + JOINED]) for i in range(0, len(joined), JOINED)])
+        size = np.diff(np.append(np.flatnonzero(self.opens[ids]), len(ids)))
+        if len(size) != len(joined):
+            size, ids = self.encoded([" " + x for x in joined])
+        own, own_ids = self.encoded([x if f else " " + x for x, f in zip(rest, first[alone].tolist(), strict=True)])
+        sizes, starts = np.empty(len(units), np.int64), np.empty(len(units), np.int64)
+        sizes[~alone], sizes[alone] = size, own
+        starts[~alone], starts[alone] = np.cumsum(size) - size, len(ids) + np.cumsum(own) - own
+        return sizes, np.concatenate([ids, own_ids])[_ragged(starts, sizes)]
+
+    def _values(self, units: pa.Array, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Size of each unit, its place in an array of ids, and that array."""
+        key, check = unit_hashes(units)
+        key = np.where(first, mix(key ^ _FIRST), key)
+        size, start, ids, base, todo = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64), [], 0, np.arange(len(units))
+        for run in (self.table, *self.runs):
+            same, at = run.find(key[todo], check[todo])
+            size[todo[same]], start[todo[same]] = run.size[at], run.start[at] + base
+            ids.append(run.ids)
+            base, todo = base + len(run.ids), todo[~same]
+        if len(todo):
+            new, new_ids = self._new(units.take(pa.array(todo)), first[todo])
+            begun = np.cumsum(new) - new
+            size[todo], start[todo] = new, begun + base
+            kept = new <= CACHE_IDS
+            own = np.empty(0, self.dtype) if self.counts else new_ids[_ragged(begun[kept], new[kept])]
+            self._keep(Run.of(key[todo][kept], check[todo][kept], new[kept].astype(np.int32), np.zeros(int(kept.sum()), np.int64) if self.counts else np.cumsum(new[kept]) - new[kept], own))
+            ids.append(new_ids)
+        return size, start, np.concatenate(ids)
+
+    def _keep(self, run: Run) -> None:
+        """Adds a run; the oldest goes when the cache is full."""
+        self.runs.append(run)
+        if len(self.runs) > CACHE_RUNS:
+            if sum(len(r.key) for r in self.runs) > CACHE_UNITS:
+                del self.runs[0]
+            self.runs = [Run.merged(self.runs)]
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The number of ids of each text, and all ids in a row (none when only counting)."""
         fits = np.array([self.units.fits(x) for x in texts], bool)
-        ids, n = self._by_units([x for x, ok in zip(texts, fits, strict=True) if ok])
+        n, ids = self._by_units([x for x, ok in zip(texts, fits, strict=True) if ok])
         if fits.all():
             return n, ids
-        whole = self.encoded([x for x, ok in zip(texts, fits, strict=True) if not ok])
-        total = np.zeros(len(texts), np.int64)
-        total[fits] = n
+        whole, whole_ids = self.encoded([x for x, ok in zip(texts, fits, strict=True) if not ok])
+        total, start = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        total[fits], total[~fits] = n, whole
         if self.counts:
-            total[~fits] = whole
             return total, ids
-        total[~fits] = [len(x) // self.dtype.itemsize for x in whole]
-        plain, others = iter(np.split(ids, np.cumsum(n)[:-1])), iter(whole)
-        return total, np.concatenate([next(plain) if ok else np.frombuffer(next(others), self.dtype) for ok in fits])
+        start[fits], start[~fits] = np.cumsum(n) - n, len(ids) + np.cumsum(whole) - whole
+        return total, np.concatenate([ids, whole_ids])[_ragged(start, total)]
 
     def _by_units(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if not texts:
-            return np.empty(0, self.dtype), np.empty(0, np.int64)
-        flat, ends = Units.split(texts)
-        coded = flat.dictionary_encode()
-        values, at = self._values(coded.dictionary.to_pylist()), coded.indices.to_numpy(zero_copy_only=False)
-        sizes = np.array(values if self.counts else [len(x) for x in values], np.int64) // (1 if self.counts else self.dtype.itemsize)
-        n = sizes[at]
-        last = np.cumsum(n)
-        of_text = np.diff(last[ends - 1], prepend=0)
-        if self.counts:
-            return np.empty(0, self.dtype), of_text
-        starts = np.cumsum(sizes) - sizes
-        place = np.repeat((starts[at] - (last - n)).astype(np.int32), n)
-        place += np.arange(len(place), dtype=np.int32)
-        return np.frombuffer(b"".join(values), self.dtype)[place], of_text
+            return np.empty(0, np.int64), np.empty(0, self.dtype)
+        lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        coded, ends = lists.flatten().dictionary_encode(), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        # A text's first unit has no space before it: it is a unit of its own, beyond the others.
+        at, distinct = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary)
+        at[np.concatenate([[0], ends[:-1]])] += distinct
+        used, at = np.unique(at, return_inverse=True)
+        size, start, ids = self._values(coded.dictionary.take(pa.array(used % distinct)), used >= distinct)
+        n = size[at]
+        of_text = np.diff(np.cumsum(n)[ends - 1], prepend=0)
+        return of_text, np.empty(0, self.dtype) if self.counts else ids[_ragged(start[at], n)]
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def worker_encoder(path: str, table: dict | None = None, counts: bool = False, key: int = 0) -> Encoder:
+def worker_encoder(path: str, table: Run | None = None, counts: bool = False, key: int = 0) -> Encoder:
     """The encoder of this Python worker, kept between its tasks."""
     if (k := (path, counts, key)) not in _ENCODERS:
         _ENCODERS.clear()
@@ -139,24 +225,14 @@ def worker_encoder(path: str, table: dict | None = None, counts: bool = False, k
     return _ENCODERS[k]
 
 
-def frequent_units(docs: DataFrame, path: str, units: int = TABLE_UNITS) -> dict[str, int]:
-    """Token counts of the most frequent units. Every document is counted; tasks report their top units only,
-    so the table may miss a unit but never holds a wrong count, and its size does not grow with the data."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, counted = Units(path), Counter()
-        for part in slices(batches, "text"):
-            units, _ = Units.split([x for x in part.column("text").to_pylist() if x and split.fits(x)])
-            for x in pc.value_counts(units).to_pylist():
-                counted[x["values"]] += x["counts"]
-            if len(counted) > CACHE_UNITS:
-                counted = Counter(dict(counted.most_common(CACHE_UNITS // 2)))
-        top = counted.most_common(TASK_UNITS)
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["unit", "n"])
-
-    counted = docs.select("text").mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    top = [r.unit for r in counted.orderBy(F.desc("n"), "unit").limit(units).collect()]
-    return dict(zip(top, Encoder(path, counts=True).encoded([Units.text(x) for x in top]), strict=True)) if top else {}
+def frequent_units(path: str, units: int = TABLE_UNITS) -> Run:
+    """Token counts of the units that the tokenizer itself holds frequent: the first of its vocabulary, which is in
+    order of merges, that are a space and characters without white space. No pass over the documents is needed."""
+    encode = Encoder(path, counts=True)
+    texts = encode.library.decode_batch([[i] for i in range(len(encode.opens))], skip_special_tokens=False)
+    found = pa.array(list(dict.fromkeys(x[1:] for x in texts if x[:1] == " " and "\ufffd" not in x and not re.search(_AT_END, x[1:])))[:units], pa.string())
+    size, _ = encode.encoded([" " + x for x in found.to_pylist()])
+    return Run.of(*unit_hashes(found), size.astype(np.int32), np.zeros(len(found), np.int64), np.empty(0, encode.dtype))
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
@@ -168,7 +244,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     json_file = path.endswith(".json")
-    table = docs.sparkSession.sparkContext.broadcast(frequent_units(docs, path) if json_file and Units(path).fit else {})
+    table = docs.sparkSession.sparkContext.broadcast(frequent_units(path) if json_file and Units(path).fit else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if json_file:

@@ -2,28 +2,30 @@
 
 Features of a text are its distinct words, word pairs and pairs with one word between, each a 64-bit
 hash; words are lower-cased and lose punctuation at their ends. Training uses a bounded sample of
-labelled rows in one task; L1 leaves few weights, which every scoring task gets by broadcast.
+labelled rows in one task; L1 leaves few weights, which every scoring task gets by broadcast. Weights
+are not negative: a text is toxic by what it holds, and ordinary words around an insult, however many,
+do not outvote it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mix, slices
 
-#: Most labelled rows that training reads: those of smallest hash of doc_id.
-SAMPLE_ROWS = 8_000
-#: Texts of the sample that must hold a feature, and most weights that are kept.
-LEAST_TEXTS, MOST_WEIGHTS = 5, 200_000
-#: Rates and regularisation; L1 times the root of the number of training rows, as the noise of summed gradients grows.
-ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.09, 1.0, 6
+#: The sample that training reads: labelled rows of smallest hash of doc_id, so many at most, and of those as many as
+#: hold so many features together.
+SAMPLE_ROWS, SAMPLE_FEATURES = 8_000, 12_000_000
+#: Rates and regularisation. L1 grows with the root of the number of rows and of a feature's own squared gradients
+#: (times NOISE), as the noise of summed gradients does.
+ALPHA, BETA, L1, NOISE, L2, EPOCHS = 1.0, 1.0, 0.2, 1.0, 1.0, 6
 BIAS = np.uint64(1)
 ENDS = ".,;:!?\"'()[]{}<>*#$%&|-_~`"
 
@@ -51,30 +53,40 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Features and weights that L1 leaves, after EPOCHS passes in the order given; the bias has no L1."""
+    """Features and weights that L1 leaves, after EPOCHS passes in the order given. The bias has no L1, may be
+    negative and begins at the log odds of the labels, so that words common to all texts start out neutral.
+
+    A gradient is below 1, so a feature of n rows cannot pass L1 unless n times EPOCHS does: others are left out."""
     if not rows:
         return np.empty(0, np.uint64), np.empty(0)
-    names, counts = np.unique(np.concatenate([x for x, _ in rows] or [np.empty(0, np.uint64)]), return_counts=True)
-    names = np.union1d(names[counts >= LEAST_TEXTS], BIAS)
+    names, counts = np.unique(np.concatenate([x for x, _ in rows]), return_counts=True)
+    least = L1 * np.sqrt(len(rows))
+    names = names[counts * EPOCHS > least]
     at = []
     for x, _ in rows:
-        k = np.minimum(np.searchsorted(names, x), len(names) - 1)
-        at.append(np.append(k[names[k] == x], np.searchsorted(names, BIAS)))
-    z, n, l1 = np.zeros(len(names)), np.zeros(len(names)), np.where(names == BIAS, 0.0, L1 * np.sqrt(len(rows)))
+        k = np.minimum(np.searchsorted(names, x), max(len(names) - 1, 0))
+        at.append(k[names[k] == x] if len(names) else k[:0])
+    toxic = sum(label for _, label in rows)
+    prior = np.log((toxic + 0.5) / (len(rows) - toxic + 0.5))
+    z, n, z0, n0 = np.zeros(len(names)), np.zeros(len(names)), 0.0, 0.0
+
+    def weights(zi: np.ndarray, ni: np.ndarray) -> np.ndarray:
+        root = np.sqrt(ni)
+        return np.maximum(-zi - least - NOISE * root, 0.0) / ((BETA + root) / ALPHA + L2)
 
-    def weights(zi: np.ndarray, ni: np.ndarray, l1: np.ndarray) -> np.ndarray:
-        return np.where(np.abs(zi) <= l1, 0.0, (np.sign(zi) * l1 - zi) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
+    def shift(z0: float, n0: float) -> float:
+        return -z0 / ((BETA + np.sqrt(n0)) / ALPHA + L2)
 
     for _ in range(EPOCHS):
         for k, (_, label) in zip(at, rows, strict=True):
-            w = weights(z[k], n[k], l1[k])
-            g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
+            w, w0 = weights(z[k], n[k]), shift(z0, n0)
+            g = 1 / (1 + np.exp(-np.clip(w.sum() + prior + w0, -35, 35))) - label
             z[k] += g - (np.sqrt(n[k] + g * g) - np.sqrt(n[k])) / ALPHA * w
+            z0 += g - (np.sqrt(n0 + g * g) - np.sqrt(n0)) / ALPHA * w0
             n[k] += g * g
-    w = weights(z, n, l1)
-    kept = np.argsort(-np.abs(w), kind="stable")[:MOST_WEIGHTS]
-    kept = np.sort(kept[w[kept] != 0])
-    return names[kept], w[kept]
+            n0 += g * g
+    w = weights(z, n)
+    return np.append(BIAS, names[w > 0]), np.append(prior + shift(z0, n0), w[w > 0])
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +94,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     A doc_id with several labels counts as toxic if one says so; one with several texts gives that of
     smallest hash. Null ids and labels are left out; without any row the weights are empty
-    and every score is 0.
+    and every score is 0. Of the sample, rows are taken in order of that hash until SAMPLE_FEATURES are reached.
     """
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
     chosen = chosen.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).groupBy("doc_id").agg(F.max("toxic").alias("label"))
@@ -97,19 +109,21 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             ends = np.searchsorted(owner[order], np.arange(part.num_rows), side="right")
             sets = [np.unique(x) for x in np.split(found[order], ends[:-1])]
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)], dtype=np.int32)), pa.array(np.concatenate(sets).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), lists], ["doc_id", "label", "features"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array([len(x) for x in sets], pa.int64()), lists], ["doc_id", "label", "n", "features"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for batch in batches:
             flat, ends = batch.column("features").flatten().to_numpy().view(np.uint64), np.cumsum(pc.list_value_length(batch.column("features")).to_numpy())
-            rows += zip(batch.column("doc_id").to_pylist(), np.split(flat, ends[:-1]), batch.column("label").to_pylist(), strict=True)
-        rows.sort(key=lambda r: (int(mix(np.array([r[0]], np.int64).view(np.uint64))[0]), r[0]))
-        names, weights = train([(x, y) for _, x, y in rows])
+            rows += zip(np.split(flat, ends[:-1]), batch.column("label").to_pylist(), strict=True)
+        names, weights = train(rows)
         yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(weights)], ["feature", "weight"])
 
-    sample = texts.mapInArrow(extract, "doc_id long, label int, features array<long>")
-    model = sample.repartition(1).mapInArrow(fit, "feature long, weight double").toPandas().sort_values("feature")
+    order = Window.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sample = texts.mapInArrow(extract, "doc_id long, label int, n long, features array<long>")
+    sample = sample.withColumn("before", before).where(F.col("before") + F.col("n") <= SAMPLE_FEATURES).select("label", "features")
+    model = sample.mapInArrow(fit, "feature long, weight double").toPandas()
     names = model["feature"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(names)
     return names[order], model["weight"].to_numpy(float)[order]
@@ -135,25 +149,30 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
 
 
+def toxicity_score(docs: DataFrame, labels: DataFrame) -> Callable[[Column], Column]:
+    """Learns from ``docs`` and ``labels``; the result scores a text column."""
+    model, held = docs.sparkSession.sparkContext.broadcast(learn(docs, labels)), {}
+
+    @F.arrow_udf("double")
+    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        if "scorer" not in held:
+            held["scorer"] = Scorer(*model.value)
+        for part in parts:
+            texts = pa.RecordBatch.from_arrays([part], ["text"])
+            yield pa.array(np.concatenate([np.empty(0), *(held["scorer"](x.column(0)) for x in slices(iter([texts]), "text"))]))
+
+    return score
+
+
 def with_toxicity(docs: DataFrame, labels: DataFrame, column: str = "toxicity") -> DataFrame:
     """``docs`` with all its columns and the score in ``column`` (which replaces one of that name).
 
     Scores depend on the text alone. A null text scores as an empty one; repeated rows score alike.
     """
     docs = docs.drop(column)
-    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
-    return docs.withColumn(column, _udf(model)(F.col("text")))
-
-
-def _udf(model):
-    held = {}
+    return docs.withColumn(column, toxicity_score(docs, labels)(F.col("text")))
 
-    @F.pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if "scorer" not in held:
-            held["scorer"] = Scorer(*model.value)
-        for part in parts:
-            texts = pa.RecordBatch.from_arrays([pa.array(part, pa.string(), from_pandas=True)], ["text"])
-            yield pd.Series(np.concatenate([held["scorer"](x.column(0)) for x in slices(iter([texts]), "text")] or [np.empty(0)]))
 
-    return score
+def without_toxicity(docs: DataFrame, labels: DataFrame, most: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with their columns whatever these are called, that score under ``most``."""
+    return docs.where(toxicity_score(docs, labels)(F.col("text")) < most)

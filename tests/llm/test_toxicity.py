@@ -1,3 +1,7 @@
+import math
+from collections import defaultdict
+
+import numpy as np
 import pytest
 
 from pagefacts.llm import toxicity as X
@@ -40,4 +44,49 @@ def test_held_out_rows(spark, scale):
     insults = ("idiot", "moron", "scum", "clown", "pathetic", "worthless")
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{scale}/documents.parquet").collect()}
     plain = [d for d in out if sum(w in texts[d].lower() for w in insults) >= 2]
-    assert plain and sum(out[d].predicted for d in plain) >= 0.6 * len(plain)
+    assert plain and sum(out[d].predicted for d in plain) >= 0.9 * len(plain)
+
+
+def plain_ftrl(rows):
+    """The update rule, coordinate by coordinate, over all features."""
+    least = X.L1 * len(rows) ** 0.5
+    toxic = sum(y for _, y in rows)
+    prior = math.log((toxic + 0.5) / (len(rows) - toxic + 0.5))
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(f):
+        if f == int(X.BIAS):
+            return -z[f] / ((X.BETA + n[f] ** 0.5) / X.ALPHA + X.L2)
+        return max(0.0, -z[f] - least - X.NOISE * n[f] ** 0.5) / ((X.BETA + n[f] ** 0.5) / X.ALPHA + X.L2)
+
+    for _ in range(X.EPOCHS):
+        for found, y in rows:
+            w = {f: weight(f) for f in [*found.tolist(), int(X.BIAS)]}
+            g = 1 / (1 + math.exp(-(sum(w.values()) + prior))) - y
+            for f, v in w.items():
+                z[f] += g - ((n[f] + g * g) ** 0.5 - n[f] ** 0.5) / X.ALPHA * v
+                n[f] += g * g
+    return {f: weight(f) + (prior if f == int(X.BIAS) else 0) for f in list(z) if f == int(X.BIAS) or weight(f) > 0}
+
+
+def test_training_equals_the_plain_rule():
+    r = np.random.default_rng(6)
+    rows = [(np.unique(np.append(r.zipf(1.4, 40) % 500 + 2, [900] if i % 3 == 0 else [])).astype(np.uint64), int(i % 3 == 0)) for i in range(120)]
+    names, weights = X.train(rows)
+    want = plain_ftrl(rows)
+    assert set(names.tolist()) == set(want) and len(want) > 2
+    assert all(abs(w - want[f]) < 1e-9 for f, w in zip(names.tolist(), weights.tolist(), strict=True))
+
+
+def test_bound_of_the_sample(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"plain words {i} " + ("wretch" if i % 2 else "friend")) for i in range(100)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")
+    assert len(X.learn(docs, labels)[0]) > 1
+    monkeypatch.setattr(X, "SAMPLE_FEATURES", 0)
+    assert len(X.learn(docs, labels)[0]) == 0
+
+
+def test_clashing_columns_stay(spark):
+    docs = spark.createDataFrame([(1, "a wretch", "x", 0.5), (2, "fine", None, None)], "doc_id long, text string, _toxicity string, toxicity double")
+    out = X.without_toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert out.schema == docs.schema and sorted(map(tuple, out.collect())) == sorted(map(tuple, docs.collect()))
