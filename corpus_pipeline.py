@@ -7,7 +7,6 @@ Counted as part of the package's llm folder. Every stage but the last returns th
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pagefacts.llm.common import materialize
 from pagefacts.llm.decontamination import without_copies
@@ -15,13 +14,12 @@ from pagefacts.llm.jaccard_join import one_of_each_group
 from pagefacts.llm.mixing import mixed_documents
 from pagefacts.llm.sequences import encode_and_read
 from pagefacts.llm.tokens import tokenizer_path
-from pagefacts.llm.toxicity import with_toxicity
+from pagefacts.llm.toxicity import without_toxicity
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that score 0.5 or more."""
-    scored = with_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "_toxicity")
-    return scored.where(F.col("_toxicity") < 0.5).drop("_toxicity")
+    return without_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
