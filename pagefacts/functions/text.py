@@ -7,8 +7,13 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Named entities: those of Latin-1 and these; ``&amp;`` is decoded after all others.
-ENTITIES = {f"&{n};": chr(c) for n, c in name2codepoint.items() if (c < 256 or n in ("ndash", "mdash", "lsquo", "rsquo", "ldquo", "rdquo", "hellip", "bull", "euro", "trade", "oelig", "OElig")) and n != "amp"} | {"&apos;": "'"}
+#: The named entities that are decoded; ``&amp;`` comes after all others.
+NAMES = (
+    "nbsp lt gt quot apos mdash ndash hellip laquo raquo middot iexcl iquest deg sect para euro pound copy reg trade bull dagger szlig times divide plusmn "
+    "agrave aacute acirc atilde auml aring ccedil egrave eacute ecirc euml igrave iacute icirc iuml ntilde ograve oacute ocirc otilde ouml ugrave uacute ucirc uuml yacute yuml "
+    "Agrave Aacute Acirc Atilde Auml Aring Ccedil Egrave Eacute Ecirc Euml Igrave Iacute Icirc Iuml Ntilde Ograve Oacute Ocirc Otilde Ouml Ugrave Uacute Ucirc Uuml Yacute"
+).split()
+ENTITIES = {f"&{n};": chr(name2codepoint.get(n, 39)) for n in NAMES}
 ENTITIES["&nbsp;"] = " "
 JSON_LD = '(?is)<script[^>]*application/ld\\+json[^>]*>(.*?)</script\\s*>'
 DROPPED = ["(?is)<script\\b[^>]*>.*?</script\\s*>", "(?is)<style\\b[^>]*>.*?</style\\s*>", "(?is)<noscript\\b[^>]*>.*?</noscript\\s*>", "(?is)<svg\\b[^>]*>.*?</svg\\s*>", "(?s)<!--.*?-->"]
@@ -51,42 +56,35 @@ def page_title(html: Column) -> Column:
     return F.regexp_replace(decode_entities(F.regexp_extract(html, "(?is)<title[^>]*>(.*?)</title>", 1)), "^\\s+|\\s+$", "")
 
 
-#: Pieces of text under so many characters are not chunks of their own.
-LEAST_CHUNK = 80
+#: Packs of so many characters or fewer are not chunks; chunks are cut to this size at least.
+LEAST_CHUNK, LEAST_SIZE = 80, 200
+_EDGE = "^[\\s\\x85\\p{Z}]+|[\\s\\x85\\p{Z}]+$"
 
 
 def chunks(text: Column, size: int = 4000, cap: int | None = 40) -> Column:
-    """Array of chunks: paragraphs packed to ``size`` characters, longer ones cut at a line end, a space or
-    hard, short packs dropped, ``cap`` chunks at most (the chunks asked for, as in a head of a list; None: all)."""
-    cut_at = lambda s: F.greatest(F.length(s) - F.instr(F.reverse(s), "\n") + 1, F.lit(0))
-
-    def pieces(p: Column) -> Column:
-        count = F.ceil(F.length(p) * 2 / size).cast("int") + 1
-        state = F.struct(p.alias("rest"), F.expr("cast(array() as array<string>)").alias("out"))
-
-        def step(s: Column, _: Column) -> Column:
-            head = F.left(s["rest"], F.lit(size))
-            line = F.when(F.instr(head, "\n") > 0, cut_at(head)).otherwise(0)
-            space = F.when(F.instr(head, " ") > 0, F.length(head) - F.instr(F.reverse(head), " ") + 1).otherwise(0)
-            at = F.when(F.length(s["rest"]) <= size, F.length(s["rest"])).when(line > size / 2, line).when(space > size / 2, space).otherwise(size).cast("int")
-            return F.when(s["rest"] == "", s).otherwise(F.struct(F.substring(s["rest"], at + 1, F.length(s["rest"])).alias("rest"), F.concat(s["out"], F.array(F.left(s["rest"], at))).alias("out")))
-
-        return F.when(F.length(p) <= size, F.array(p)).otherwise(F.aggregate(F.sequence(F.lit(1), count), state, step, lambda s: s["out"]))
-
-    parts = F.filter(F.flatten(F.transform(F.split(text, "\\n[ \\t]*\\n\\s*"), pieces)), lambda x: x != "")
+    """Array of chunks: paragraphs (parted by an empty line) packed to ``size`` characters together, short packs
+    dropped, ``cap`` chunks at most (the chunks asked for, as in a head of a list; None: all).
+
+    A paragraph over ``size`` is cut before the last line end of each window, or, where the window holds none, before
+    the last space; where that lies in the window's first half the cut is hard.
+    """
+    size = max(size, LEAST_SIZE)
+    late, any_ = size // 2 + 1, "[\\s\\S]"
+    window = f"{any_}{{1,{size}}}\\z|{any_}{{{late},{size - 1}}}(?=\\n)|(?!{any_}{{0,{size - 1}}}\\n){any_}{{{late},{size - 1}}}(?= )|{any_}{{{size}}}"
+    pieces = lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(F.regexp_extract_all(p, F.lit(window), F.lit(0)))
+    parts = F.filter(F.transform(F.flatten(F.transform(F.split(text, "\n\n"), pieces)), lambda p: F.regexp_replace(p, _EDGE, "")), lambda p: p != "")
     start = F.struct(F.lit("").alias("now"), F.expr("cast(array() as array<string>)").alias("out"))
 
     def pack(s: Column, p: Column) -> Column:
-        fits = (s["now"] == "") | (F.length(s["now"]) + F.length(p) + 2 <= size)
-        joined = F.when(s["now"] == "", p).otherwise(F.concat(s["now"], F.lit("\n\n"), p))
-        return F.struct(F.when(fits, joined).otherwise(p).alias("now"), F.when(fits, s["out"]).otherwise(F.concat(s["out"], F.array(s["now"]))).alias("out"))
+        full = (s["now"] != "") & (F.length(s["now"]) + F.length(p) > size)
+        joined = F.when(full | (s["now"] == ""), p).otherwise(F.concat(s["now"], F.lit("\n\n"), p))
+        return F.struct(joined.alias("now"), F.when(full & (F.length(s["now"]) > LEAST_CHUNK), F.concat(s["out"], F.array(s["now"]))).otherwise(s["out"]).alias("out"))
 
-    packed = F.aggregate(parts, start, pack, lambda s: F.concat(s["out"], F.array(s["now"])))
-    kept = F.filter(packed, lambda c: F.length(c) > LEAST_CHUNK)
-    return kept if cap is None else F.slice(kept, 1, cap)
+    packed = F.aggregate(parts, start, pack, lambda s: F.when(F.length(s["now"]) > LEAST_CHUNK, F.concat(s["out"], F.array(s["now"]))).otherwise(s["out"]))
+    return packed if cap is None else F.slice(packed, 1, cap)
 
 
-#: Separators before a site's name in a title, and words that such a name has at most.
+#: Separators before a site's name in a title, and words that such a name has at most.
 SEPARATORS = [" - ", " – ", " — ", " | ", " : ", ": ", "|", " · "]
 NAME_WORDS, KEY_WORDS = 5, 8
 
@@ -114,8 +112,9 @@ PREFIXES = [
     "ajuntament d'", "ville de ", "town of ", "city of ", "udala ", "ayto. de ", "ayto de ", "gemeinde ", "stadt ", "ayto. ", "ayto ",
     "ayuntamiento ", "ajuntament ", "concello ", "concejo ", "municipio ", "comune ", "mairie ",
 ]
-PREFIX = "^(" + "|".join(p.replace(".", "\\.") for p in PREFIXES) + ")"
+#: Letters with accents and their plain forms.
 PLAIN = ("àáâãäåçèéêëìíîïñòóôõöøùúûüýÿł", "aaaaaaceeeeiiiinoooooouuuuyyl")
+PREFIX = "^(" + "|".join(p.replace(".", "\\.") for p in PREFIXES) + ")"
 
 
 def normalize_entity(name: Column) -> Column:
@@ -134,7 +133,7 @@ def normalize_entity(name: Column) -> Column:
     return F.trim(F.regexp_replace(s, "[^\\p{L}\\p{N}]+", " "))
 
 
-# Contacts.
+# Contacts. Patterns, and hosts of made-up addresses.
 
 EMAIL = "[a-zA-Z0-9._%+\\-]+@[a-zA-Z0-9.\\-]+\\.[a-zA-Z]{2,}"
 URL = "(?:https?://|www\\.)[^\\s<>\"'(){}\\[\\],;]{3,}"

@@ -25,6 +25,11 @@ def gate_quarantine(passages: DataFrame, ceiling: float = 0.55) -> tuple[DataFra
     return passages.where(~bad), passages.where(bad)
 
 
+def quarantined_urls(quarantined: DataFrame) -> DataFrame:
+    """Each url with a quarantined passage, once."""
+    return quarantined.select("url").distinct()
+
+
 def gate_extractable(chunks: DataFrame, floor: float = 0.12) -> DataFrame:
     return chunks.where(F.col("has_items") >= floor)
 
@@ -110,9 +115,11 @@ def gate_claims(claims: DataFrame, floor: float = 0.5) -> DataFrame:
     return claims.groupBy("run").agg(F.count("score").alias("claims_checked"), F.count_if(F.col("score") < floor).alias("unsupported_claims"))
 
 
-def attach_scores(items: DataFrame, answers: DataFrame, keys: list[str], missing: float) -> DataFrame:
-    """Left join of answers by key, with the question's cautious value where there is none."""
-    return items.join(answers, keys, "left").withColumn("score", F.coalesce("score", F.lit(missing)))
+def attach_scores(items: DataFrame, answers: DataFrame, keys: list[str], missing: float, option: str | None = None) -> DataFrame:
+    """Left join of answers by key, with the question's cautious value where there is none. ``option``: a column
+    that names an option; ``option_p`` is its probability in the answer's map, 0 where answer or option is absent."""
+    out = items.join(answers, keys, "left").withColumn("score", F.coalesce("score", F.lit(missing)))
+    return out.withColumn("option_p", F.coalesce(F.try_element_at("probabilities", F.col(option)), F.lit(0.0))) if option else out
 
 
 def best_evidence(passages: DataFrame, stale: float = 0.25) -> DataFrame:
@@ -129,11 +136,23 @@ def rank_with_agreement(candidates: DataFrame, read: int = 3) -> DataFrame:
     return candidates.where("kept").withColumn("boosted", rank).withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= read).select("query", "item", "boosted", "place")
 
 
-def drop_unmentioned(records: DataFrame, presence: DataFrame, ceiling: float = 0.20) -> DataFrame:
+def enumeration_authorities(pages: DataFrame, floor: float = 0.80, least: int = 3, most: int = 3) -> DataFrame:
+    """The first ``most`` pages read (by ``seq``) on the anchor's site that name ``least`` entities and are complete
+    at ``floor`` or more; a missing completeness is 0."""
+    ok = pages.where("on_anchor").where((F.col("entities") >= least) & (F.coalesce("completeness", F.lit(0.0)) >= floor))
+    return ok.orderBy("seq").limit(most)
+
+
+def drop_unmentioned(records: DataFrame, presence: DataFrame, authorities: DataFrame, ceiling: float = 0.20) -> DataFrame:
     """Records without an own-site source whose greatest presence over the authorities is at the ceiling or
-    below go; a missing presence is 1."""
-    most = presence.groupBy("record").agg(F.max(F.coalesce("presence", F.lit(1.0))).alias("most"))
-    return records.join(most, "record", "left").where(F.col("own_site") | (F.coalesce("most", F.lit(1.0)) > ceiling)).drop("most")
+    below go; a missing presence is 1. ``presence``: record, page, presence; ``authorities`` are few rows by
+    definition (see above), so they are broadcast."""
+    pages = F.broadcast(authorities.select("page").distinct())
+    asked = F.broadcast(authorities.agg(F.count_distinct("page").alias("asked")))
+    most = presence.join(pages, "page").groupBy("record").agg(F.max(F.coalesce("presence", F.lit(1.0))).alias("most"), F.count_distinct("page").alias("answered"))
+    met = records.join(most, "record", "left").crossJoin(asked)
+    top = F.when(F.coalesce("answered", F.lit(0)) < F.col("asked"), 1.0).otherwise(F.coalesce("most", F.lit(1.0)))
+    return met.where(F.col("own_site") | (top > ceiling)).select(*records.columns)
 
 
 def other_set_excluded(records: DataFrame) -> DataFrame:

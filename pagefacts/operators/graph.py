@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one where the session names none (as in tests)."""
+    """The folder that ``spark.checkpoint.dir`` names. Where it is unset, a local session gets a temporary one; on a
+    cluster that is an error, as executors would each write to a disk of their own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="pagefacts-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

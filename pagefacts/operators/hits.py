@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_query, title_key
 from ..functions.urls import canonical_url, lang_variant_key, site_stem, unwrap_redirect
+from .graph import materialize
 
 #: Words that a title has at least to claim its key.
 CLAIM_WORDS = 4
@@ -41,14 +42,24 @@ def union_engines(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query", canonical_url(F.col("url")).alias("key")).agg(F.array_join(F.array_sort(F.collect_set("lane")), ",").alias("engines"))
 
 
+def _keyed(hits: DataFrame) -> DataFrame:
+    """Hits with a url, and their keys; those that come with keys keep them."""
+    h = hits.where(F.coalesce(F.col("url"), F.lit("")) != "")
+    if "stem" in hits.columns:
+        return h
+    h = h.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in ("title", "snippet")})
+    return h.select("query", "lane", "lane_ord", "pos", "url", "title", "snippet", canonical_url(F.col("url")).alias("key"), title_key(F.col("title")).alias("tkey"), site_stem(F.col("url")).alias("stem"))
+
+
 def _first_seen(hits: DataFrame) -> DataFrame:
     """One row for each (query, page): merged values and the order of its first appearance."""
     order = F.struct("lane_ord", "pos")
-    h = hits.select("query", "lane", "lane_ord", "pos", "url", "title", "snippet", canonical_url(F.col("url")).alias("key"), title_key(F.col("title")).alias("tkey"))
+    h = _keyed(hits)
     longest = F.struct(F.length("snippet").alias("n"), (-F.col("lane_ord")).alias("a"), (-F.col("pos")).alias("b"))
     return h.groupBy("query", "key").agg(
         F.min("pos").alias("pos"), F.array_sort(F.collect_set("lane")).alias("engines"), F.max_by("snippet", longest).alias("snippet"), F.min_by("url", order).alias("url"),
-        F.coalesce(F.min_by("title", F.when(F.col("title") != "", order)), F.lit("")).alias("title"), F.min(order).alias("first"), F.count_distinct("tkey").alias("titles"),
+        F.coalesce(F.min_by("title", F.when(F.trim("title") != "", order)), F.lit("")).alias("title"), F.coalesce(F.min_by("tkey", F.when(F.trim("title") != "", order)), F.lit("")).alias("tkey"),
+        F.min_by("stem", order).alias("stem"), F.min(order).alias("first"), (F.min("tkey") != F.max("tkey")).alias("odd"),
     )
 
 
@@ -56,22 +67,23 @@ def syndicated_titles(hits: DataFrame) -> DataFrame:
     """(query, key, syndicated) of each page: its headline was claimed before by another site."""
     pages = _first_seen(hits)
     order = Window.partitionBy("query", "tkey").orderBy("first")
-    pages = pages.select("*", title_key(F.col("title")).alias("tkey"), site_stem(F.col("url")).alias("stem"))
     claims = F.size(F.split("tkey", " ")) >= CLAIM_WORDS
     return pages.withColumn("syndicated", claims & (F.first("stem").over(order) != F.col("stem")))
 
 
 def merge_hits(hits: DataFrame, limit: int = 0) -> DataFrame:
-    """Per query one ranked list over all lanes, syndicated copies left out.
+    """Per query one ranked list over all lanes, syndicated copies left out; hits without a url are no pages.
 
-    Queries in which one page came under two titles keep the exact sequential rule (only a kept page
-    claims its title) and run it query by query; a query's hits are a few lanes' result pages.
+    Keys are computed once and written. Queries in which one page came under two titles keep the exact
+    sequential rule (only a kept page claims its title) and run it query by query; a query's hits are a
+    few lanes' result pages.
     """
-    pages = syndicated_titles(hits)
-    odd = pages.groupBy("query").agg(F.max("titles").alias("t")).where("t > 1").select("query")
-    plain = pages.join(odd, "query", "left_anti").where(~F.col("syndicated"))
+    hits = materialize(_keyed(hits), "keyed_hits")
+    pages = syndicated_titles(hits).withColumn("odd", F.bool_or("odd").over(Window.partitionBy("query")))
+    odd = pages.where("odd").select("query").distinct()
+    plain = pages.where(~F.col("odd") & ~F.col("syndicated"))
     names = ["query", "key", "url", "title", "snippet", "pos", "engines", "first"]
-    rows = hits.join(odd, "query", "left_semi").select("query", "lane", "lane_ord", "pos", "url", "title", "snippet", canonical_url(F.col("url")).alias("key"), title_key(F.col("title")).alias("tkey"), site_stem(F.col("url")).alias("stem"))
+    rows = hits.join(odd.hint("merge"), "query", "left_semi")
     kinds = {f.name: f.dataType for f in plain.schema}
     schema = ", ".join(f"{n} {kinds[n].simpleString()}" for n in names)
     both = plain.select(names).union(rows.groupBy("query").applyInPandas(_sequential, schema))
@@ -88,7 +100,7 @@ def _sequential(rows: pd.DataFrame) -> pd.DataFrame:
             page["engines"] = sorted({*page["engines"], r["lane"]})
             page["pos"] = min(page["pos"], r["pos"])
             page["snippet"] = max(page["snippet"], r["snippet"], key=len)
-            page["title"] = page["title"] or r["title"]
+            page["title"] = page["title"] if page["title"].strip() else r["title"]
             continue
         if len(r["tkey"].split()) >= CLAIM_WORDS and claimed.setdefault(r["tkey"], r["stem"]) != r["stem"]:
             continue
@@ -120,14 +132,45 @@ def cache_lookup(queries: DataFrame, cache: DataFrame, now: str, ttl_hours: int
     return wanted.join(cache.select(*keys, "stored_at", "hits"), keys, "left").withColumn("hit", F.coalesce(fresh & (F.col("hits") > 0), F.lit(False)))
 
 
-def fan_out_queries(anchors: DataFrame, values: DataFrame, kinds: DataFrame) -> DataFrame:
-    """Every combination of three short parameter lists, as queries."""
-    return anchors.crossJoin(values).crossJoin(kinds).select(F.concat_ws(" ", "anchor", "value", "kind").alias("query"))
+def missing_queries(lookups: DataFrame) -> DataFrame:
+    """Each (lane, query, max_hits) that no lookup found, once: what is to be searched."""
+    return lookups.where("not hit").select("lane", "query", "max_hits").distinct()
+
+
+#: Most rows of a list of query parameters.
+MOST_PARAMETERS = 10_000
+
+
+def anchor_stem(anchor: Column) -> Column:
+    """The name in a domain-shaped anchor, without www. and what follows the name; another anchor as it is."""
+    domain = F.rlike(anchor, F.lit("^[A-Za-z0-9_-]+(\\.[A-Za-z0-9_-]+)+$"))
+    return F.when(domain, F.regexp_extract(anchor, "^(?i:www\\.)?([^.]+)", 1)).otherwise(anchor)
+
+
+def ensure_anchor(query: Column, anchor: Column) -> Column:
+    """The query, with the anchor's stem at its end unless it holds it, in whatever case."""
+    stem = anchor_stem(anchor)
+    return F.when(F.contains(F.lower(query), F.lower(stem)), query).otherwise(F.concat_ws(" ", query, stem))
+
+
+def fan_out_queries(anchors: DataFrame, values: DataFrame, kinds: DataFrame, template: str = "{anchor} {value} {kind}") -> DataFrame:
+    """Every combination of three short parameter lists, as queries that hold the anchor's stem. Combining them is
+    the feature; lists of more than MOST_PARAMETERS rows are refused."""
+    for given in (anchors, values, kinds):
+        if given.limit(MOST_PARAMETERS + 1).count() > MOST_PARAMETERS:
+            raise ValueError(f"a list of query parameters has more than {MOST_PARAMETERS} rows")
+    query = F.lit(template)
+    for name in ("anchor", "value", "kind"):
+        query = F.replace(query, F.lit(f"{{{name}}}"), F.col(name))
+    return anchors.crossJoin(F.broadcast(values)).crossJoin(F.broadcast(kinds)).select(ensure_anchor(query, F.col("anchor")).alias("query"))
 
 
-def follow_links(links: DataFrame, floor: float = 0.6, k: int = 12, anchor_k: int = 20) -> DataFrame:
-    """Best links of each page: one language variant of each, ``anchor_k`` on the anchor's site."""
-    l = links.where(F.col("score") >= floor).withColumn("variant", lang_variant_key(F.col("href")))  # noqa: E741
+def follow_links(links: DataFrame, pages: DataFrame, floor: float = 0.6, k: int = 12, anchor_k: int = 20, least: int = 2) -> DataFrame:
+    """Best links of each page that yielded ``least`` entities, is a seed or lies on the anchor's site: one language
+    variant of each, ``anchor_k`` on the anchor's site. ``pages``: page_id, entities, seed, anchor."""
+    chosen = pages.where((F.col("entities") >= least) | F.col("seed") | F.col("anchor")).select("page_id", "anchor")
+    l = links.join(chosen.hint("merge"), "page_id")  # noqa: E741
+    l = l.where(F.col("score") >= floor).withColumn("variant", lang_variant_key(F.col("href")))  # noqa: E741
     l = l.withColumn("nr", F.row_number().over(Window.partitionBy("page_id", "variant").orderBy("pos"))).where("nr = 1")  # noqa: E741
     l = l.withColumn("place", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), "pos")))  # noqa: E741
     return l.where(F.col("place") <= F.when(F.col("anchor"), anchor_k).otherwise(k)).drop("nr", "variant")

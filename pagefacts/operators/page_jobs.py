@@ -99,7 +99,15 @@ def head_tail_chunks(chunks: DataFrame, key: str, cap: int = 7) -> DataFrame:
 def unread_urls(wanted: DataFrame, pages: DataFrame, min_chars: int = 200) -> DataFrame:
     """Wanted urls without a page of ``min_chars`` trimmed characters under its requested or final url."""
     read = pages.where(F.length(F.trim("text")) >= min_chars).select(F.explode(F.array("requested_url", "url")).alias("url")).distinct()
-    return wanted.join(read, "url", "left_anti")
+    return wanted.join(read.hint("merge"), "url", "left_anti")
+
+
+def document_urls(pages: DataFrame) -> DataFrame:
+    """page_id, is_document, title of each page's url: a PDF by its path's ending, and the percent-decoded file name."""
+    path = F.coalesce(U.part(F.col("url"), "PATH"), F.lit(""))
+    file = F.regexp_extract(path, "([^/]*)$", 1)
+    title = F.regexp_replace(F.coalesce(F.try_url_decode(F.replace(file, F.lit("+"), F.lit("%2B"))), file), "(?i)\\.pdf$", "")
+    return pages.select("page_id", F.endswith(F.lower(path), F.lit(".pdf")).alias("is_document"), title.alias("title"))
 
 
 def fallback_merge(primary: DataFrame, fallback: DataFrame, key: str = "url") -> DataFrame:
@@ -206,36 +214,76 @@ def mark_unsupported(claims: DataFrame, floor: float = 0.5) -> DataFrame:
     return held.select("id", F.array_join(F.transform("c", lambda x: x["claim"]), " ").alias("answer"))
 
 
+def _fitting(p: pd.DataFrame, most_chars: int, level: int = 4) -> Iterator[tuple[pd.DataFrame, bool]]:
+    """Parts of a batch with at most ``most_chars`` characters, by halving it ``level`` times at most; items that
+    are too long even so come with False."""
+    if p["text"].str.len().sum() <= most_chars:
+        yield p, True
+    elif len(p) == 1 or level == 0:
+        fits = p["text"].str.len() <= most_chars
+        for i in range(len(p)):
+            yield p.iloc[i : i + 1], bool(fits.iloc[i])
+    else:
+        half = len(p) // 2
+        yield from _fitting(p.iloc[:half], most_chars, level - 1)
+        yield from _fitting(p.iloc[half:], most_chars, level - 1)
+
+
 def score_with(items: DataFrame, scorer: Callable[[pd.Series], pd.Series], most_chars: int = 64_000) -> DataFrame:
     """item_id, score by a user's scorer of texts. A batch beyond ``most_chars`` is halved, four times at
     most; a single item beyond it has no score (see attach_scores for the default)."""
 
-    def scored(p: pd.DataFrame, level: int) -> list[pd.DataFrame]:
-        if p["text"].str.len().sum() <= most_chars:
-            return [pd.DataFrame({"item_id": p["item_id"], "score": scorer(p["text"])})]
-        if len(p) == 1 or level == 0:
-            fits = p["text"].str.len() <= most_chars
-            return [pd.DataFrame({"item_id": p["item_id"], "score": scorer(p["text"]).where(fits)})] if fits.any() else [pd.DataFrame({"item_id": p["item_id"], "score": [None] * len(p)})]
-        half = len(p) // 2
-        return scored(p.iloc[:half], level - 1) + scored(p.iloc[half:], level - 1)
-
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            if len(p):
-                yield from scored(p.assign(text=p["text"].fillna("")), 4)
+            for part, fits in _fitting(p.assign(text=p["text"].fillna("")), most_chars):
+                yield pd.DataFrame({"item_id": part["item_id"], "score": scorer(part["text"]) if fits else None})
 
     return items.select("item_id", "text").mapInPandas(run, "item_id long, score double")
 
 
+ANSWER = "item_id long, question_id string, score double, choice string, level int, probabilities map<string,double>"
+
+
+def answer_with(items: DataFrame, questions: list[dict], judge: Callable[[pd.Series, dict], list[dict]], most_chars: int = 64_000) -> DataFrame:
+    """Answers of a user's judge to each question about each item, keyed by item and question id.
+
+    A question is a dict with ``id``, ``kind`` and, by kind, ``options``: ``yes_no`` is answered by a ``score``, ``choice`` by
+    the ``probabilities`` of its options (the likeliest one is ``choice``), ``level`` by those of its ordered options
+    (``level`` is the likeliest one's place, from 0, and ``score`` the mean place as a share of the last). Batches are
+    halved as in score_with; an item that is too long has no row, so that attach_scores gives the cautious value.
+    """
+
+    def told(question: dict, answer: dict) -> tuple:
+        kind, found = question["kind"], answer.get("probabilities") or {}
+        if kind == "yes_no":
+            return answer.get("score"), None, None, None
+        options = question["options"]
+        best = max(options, key=lambda o: found.get(o, 0.0)) if found else None
+        if kind == "choice":
+            return found.get(best), best, None, found
+        total = sum(found.get(o, 0.0) for o in options)
+        mean = sum(i * found.get(o, 0.0) for i, o in enumerate(options)) / (total * (len(options) - 1)) if total and len(options) > 1 else None
+        return mean, best, options.index(best) if best else None, found
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for part, fits in _fitting(p.assign(text=p["text"].fillna("")), most_chars):
+                rows = [(i, q["id"], *told(q, a)) for q in questions for i, a in zip(part["item_id"], judge(part["text"], q), strict=True)] if fits else []
+                yield pd.DataFrame(rows, columns=["item_id", "question_id", "score", "choice", "level", "probabilities"]).astype({"level": "Int32"})
+
+    return items.select("item_id", "text").mapInPandas(run, ANSWER)
+
+
 def pack_batches(items: DataFrame, group: str, max_items: int = 192, max_chars: int = 57_600) -> DataFrame:
     """group, item_id, batch: greedy batches in order of item within a group, by count and size. A group is a
     run's pending questions; larger inputs are given a finer group."""
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("chars"), F.expr("cast(array() as array<struct<item_id:bigint,batch:int>>)").alias("out"))
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("chars"), F.expr("cast(array() as array<int>)").alias("starts"))
 
     def step(s, x):
-        full = (s["n"] > 0) & ((s["n"] + 1 > max_items) | (s["chars"] + x["chars"] > max_chars))
-        batch = F.when(full, s["batch"] + 1).otherwise(s["batch"])
-        return F.struct(batch.alias("batch"), F.when(full, 1).otherwise(s["n"] + 1).alias("n"), F.when(full, x["chars"]).otherwise(s["chars"] + x["chars"]).alias("chars"), F.concat(s["out"], F.array(F.struct(x["item_id"].alias("item_id"), batch.alias("batch")))).alias("out"))
+        full = (s["n"] == 0) | (s["n"] + 1 > max_items) | (s["chars"] + x["chars"] > max_chars)
+        return F.struct((s["i"] + 1).alias("i"), F.when(full, 1).otherwise(s["n"] + 1).alias("n"), F.when(full, x["chars"]).otherwise(s["chars"] + x["chars"]).alias("chars"), F.when(full, F.concat(s["starts"], F.array(s["i"] + 1))).otherwise(s["starts"]).alias("starts"))
 
     held = items.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col("item_id").cast("long").alias("item_id"), F.col("chars").cast("long").alias("chars")))).alias("x"))
-    return held.select(group, F.explode(F.aggregate("x", start, step)["out"]).alias("o")).select(group, "o.item_id", F.col("o.batch").cast("long").alias("batch"))
+    held = held.select(group, "x", F.aggregate("x", start, step)["starts"].alias("starts"))
+    batches = F.transform("starts", lambda a, b: F.slice("x", a, F.coalesce(F.get("starts", b + 1), F.size("x") + 1) - a))
+    return held.select(group, F.posexplode(batches).alias("batch", "batch_items")).select(group, F.explode("batch_items").alias("o"), "batch").select(group, "o.item_id", F.col("batch").cast("long").alias("batch"))

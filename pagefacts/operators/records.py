@@ -16,21 +16,31 @@ def drop_category_echo(records: DataFrame, entity_type: str) -> DataFrame:
     return records.where(F.size(F.array_except(words(F.col("name")), words(F.lit(entity_type)))) > 0)
 
 
+#: Characters of the grams by which keys are found inside others; shorter keys are not looked for.
+GRAM = 3
+
+
 def name_pairs(keys: DataFrame, percent: int = 60) -> DataFrame:
-    """(a, b, shared) of distinct keys whose common words are ``percent`` of the smaller one's or more.
+    """(a, b, shared) of distinct keys of which one holds the other (as prefix, suffix or inside), or whose common
+    words are ``percent`` of the smaller one's or more; ``shared`` counts common words.
 
     The smaller key's rarest words, as many as it may lack and one more, must hold a common word; only
-    those are joined with all words, so frequent words meet rarely and none is capped.
+    those are joined with all words, so frequent words meet rarely and none is capped. Likewise a key that
+    lies inside another has its rarest gram there.
     """
     key = keys.select("key").distinct().withColumn("words", F.array_distinct(F.split("key", " "))).withColumn("n", F.size("words"))
     word = key.select("key", "n", F.explode("words").alias("word"))
     df = word.groupBy("word").agg(F.count("*").alias("df"))
-    ranked = word.join(df, "word").withColumn("nr", F.row_number().over(Window.partitionBy("key").orderBy("df", "word")))
+    ranked = word.join(df.hint("shuffle_hash"), "word").withColumn("nr", F.row_number().over(Window.partitionBy("key").orderBy("df", "word")))
     head = ranked.where(F.col("nr") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select(F.col("key").alias("a"), F.col("n").alias("na"), "word")
-    met = head.join(word.select(F.col("key").alias("b"), F.col("n").alias("nb"), "word"), "word").where("a != b and na <= nb").select("a", "b").distinct()
-    words = lambda c: key.select(F.col("key").alias(c), F.col("words").alias(f"w{c}"))
-    both = met.join(words("a"), "a").join(words("b"), "b").withColumn("shared", F.size(F.array_intersect("wa", "wb")))
-    both = both.where(F.col("shared") * 100 >= F.least(F.size("wa"), F.size("wb")) * percent)
+    met = head.join(word.select(F.col("key").alias("b"), F.col("n").alias("nb"), "word").hint("merge"), "word").where("a != b and na <= nb").select("a", "b")
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("key") - GRAM + 1), lambda i: F.substring("key", i, F.lit(GRAM))))
+    gram = key.where(F.length("key") >= GRAM).select("key", F.explode(grams).alias("gram"))
+    rare = gram.join(gram.groupBy("gram").agg(F.count("*").alias("df")).hint("shuffle_hash"), "gram").groupBy("key").agg(F.min_by("gram", F.struct("df", "gram")).alias("gram"))
+    inside = rare.select(F.col("key").alias("a"), "gram").join(gram.select(F.col("key").alias("b"), "gram").hint("merge"), "gram").where(F.col("a") != F.col("b")).where(F.contains("b", "a")).select("a", "b")
+    words = lambda c: key.select(F.col("key").alias(c), F.col("words").alias(f"w{c}")).hint("merge")
+    both = met.union(inside).distinct().join(words("a"), "a").join(words("b"), "b").withColumn("shared", F.size(F.array_intersect("wa", "wb")))
+    both = both.where((F.col("shared") * 100 >= F.least(F.size("wa"), F.size("wb")) * percent) | ((F.length("a") >= GRAM) & F.contains("b", "a")))
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared").distinct()
 
 
@@ -53,19 +63,44 @@ def best_binding(binding: Column) -> Column:
 
 
 def merge_records(records: DataFrame, group: str, fields: list[str]) -> DataFrame:
-    """One record per group: each field's value of best grounding (then smallest id), the highest binding,
-    and per constraint ``supports`` if one says so, else the first that was checked."""
-    value = lambda f: F.max_by(f, F.when(F.col(f).isNotNull() & (F.col(f) != ""), F.struct("grounding", -F.col("record_id")))).alias(f)
+    """One record per group: each field's value of best grounding (then smallest id), the provenance of each value
+    kept, all sources, the highest binding, and the constraint statuses one by one: ``supports`` if a record says
+    so, else the first that was checked (by record_id); a longer list keeps its tail."""
+    best = lambda what, f: F.max_by(what, F.when(F.col(f).isNotNull() & (F.col(f) != ""), F.struct("grounding", -F.col("record_id"))))
+    sources = F.filter(F.array(*(F.struct(F.lit(f).alias("field"), best("source_url", f).alias("url")) for f in fields)), lambda x: x["url"].isNotNull())
+    own = records.groupBy(group).agg(*(best(f, f).alias(f) for f in fields), F.map_from_entries(sources).alias("provenance"), best_binding(F.col("binding")).alias("binding"), F.array_join(F.array_sort(F.collect_set("source_url")), "|").alias("sources"))
+    each = records.select(group, "record_id", F.posexplode("statuses").alias("i", "status"))
     first = F.min_by("status", F.when(F.col("status") != "unchecked", F.col("record_id")))
     status = F.when(F.bool_or(F.col("status") == "supports"), "supports").otherwise(F.coalesce(first, F.lit("unchecked")))
-    return records.groupBy(group).agg(*(value(f) for f in fields), best_binding(F.col("binding")).alias("binding"), status.alias("status"), F.array_join(F.array_sort(F.collect_set("source_url")), "|").alias("sources"))
+    merged = each.groupBy(group, "i").agg(status.alias("status")).groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "status"))), lambda x: x["status"]).alias("statuses"))
+    return own.join(merged.hint("merge"), group, "left")
+
+
+#: Rows that are shown of a list for which no number is given.
+DEFAULT_ROWS = 50
+
+
+def row_limit(limit: int | None = None, target: int | None = None) -> int | None:
+    """How many rows to show: all for 0 (None), else the limit, the target, or DEFAULT_ROWS."""
+    if limit is None:
+        return max(1, target if target is not None else DEFAULT_ROWS)
+    return limit or None
 
 
-def complete_first(records: DataFrame, limit: int = 0) -> DataFrame:
-    """Per run the complete records first, then by grounding, then input order; ``limit`` 0 keeps all."""
-    order = Window.partitionBy("run").orderBy(F.desc("complete"), F.desc("grounding"), "seq")
-    out = records.withColumn("place", F.row_number().over(order).cast("long"))
-    return out.where(F.col("place") <= limit) if limit else out
+def complete_first(records: DataFrame, limit: int | None = None, target: int | None = None) -> DataFrame:
+    """Per run the complete records first, then by grounding, then input order, as many as row_limit says; with the
+    run's ``total`` and ``n_complete`` records and how many are ``shown``."""
+    run = Window.partitionBy("run")
+    out = records.withColumn("place", F.row_number().over(run.orderBy(F.desc("complete"), F.desc("grounding"), "seq")).cast("long"))
+    out = out.withColumns({"total": F.count("*").over(run), "n_complete": F.count_if("complete").over(run)})
+    most = row_limit(limit, target)
+    out = out.withColumn("shown", F.col("total") if most is None else F.least("total", F.lit(most).cast("long")))
+    return out.where(F.col("place") <= F.col("shown"))
+
+
+def run_sources(records: DataFrame, floor: float = 0.6) -> DataFrame:
+    """(run, source_url) of the grounded records of each run."""
+    return records.where(F.col("grounding") >= floor).select("run", "source_url").distinct()
 
 
 def field_fill_profile(records: DataFrame, fields: list[str]) -> DataFrame:
@@ -75,6 +110,16 @@ def field_fill_profile(records: DataFrame, fields: list[str]) -> DataFrame:
     return counts.unpivot(["_n"], fields, "field", "filled").select("field", "filled", F.round(F.col("filled") / F.col("_n"), 4).alias("rate"))
 
 
+def set_summary(records: DataFrame, fields: list[str], rows: int = 5) -> DataFrame:
+    """section, name, n, rate: how far each field is filled, records of each contributing ``domain``, and ``rows`` sample
+    rows (those of smallest record_id) as JSON."""
+    filled = field_fill_profile(records, fields).select(F.lit("field").alias("section"), F.col("field").alias("name"), F.col("filled").alias("n"), "rate")
+    none = F.lit(None).cast("double").alias("rate")
+    domains = records.groupBy("domain").agg(F.count("*").alias("n")).select(F.lit("domain"), "domain", "n", none)
+    sample = records.orderBy("record_id").limit(rows).select(F.lit("sample"), F.to_json(F.struct(*fields)), "record_id", none)
+    return filled.union(domains).union(sample)
+
+
 def domain_productivity(records: DataFrame) -> DataFrame:
     return records.groupBy("domain").agg(F.count("*").alias("records"), F.count_if("complete").alias("complete"))
 
@@ -91,11 +136,19 @@ def conflict_report(records: DataFrame, entity: str, field: str, source: str) ->
 
 
 def enrich_worklist(records: DataFrame, fields: list[str], templates: list[str], batch: int = 25) -> DataFrame:
-    """(name, field, query) of missing fields, for the first ``batch`` entities that lack one."""
+    """(name, field, query, round) of missing fields: all entities that lack one, by name, ``batch`` a round.
+
+    A name's rank is its rank among those with the same two first characters plus the count of those before, so no
+    task holds all names.
+    """
     missing = F.array_compact(F.array(*(F.when(F.coalesce(F.col(f).cast("string"), F.lit("")) == "", F.lit(f)) for f in fields)))
     lacking = records.groupBy("name").agg(*(F.max(f).alias(f) for f in fields)).withColumn("missing", missing).where(F.size("missing") > 0)
-    chosen = lacking.orderBy("name").limit(batch).select("name", F.explode("missing").alias("field"))
-    return chosen.select("name", "field", F.explode(F.array(*(F.replace(F.replace(F.lit(t), F.lit("{entity}"), F.col("name")), F.lit("{field}"), F.col("field")) for t in templates))).alias("query"))
+    lacking = lacking.select("name", "missing", F.substring("name", 1, 2).alias("head"))
+    before = Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
+    heads = lacking.groupBy("head").agg(F.count("*").alias("n")).select("head", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    ranked = lacking.withColumn("nr", F.row_number().over(Window.partitionBy("head").orderBy("name"))).join(heads.hint("merge"), "head")
+    chosen = ranked.select("name", F.explode("missing").alias("field"), (F.floor((F.col("nr") + F.col("before") - 1) / batch) + 1).cast("long").alias("round"))
+    return chosen.select("name", "field", F.explode(F.array(*(F.replace(F.replace(F.lit(t), F.lit("{entity}"), F.col("name")), F.lit("{field}"), F.col("field")) for t in templates))).alias("query"), "round")
 
 
 def fact_rollup(records: DataFrame, by: str, metric: str, flag: str) -> DataFrame:

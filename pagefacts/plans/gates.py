@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import page_text
 from ..operators import gates as G
 from . import fixtures as X
+from .pages import _TEXT
 from .registry import register, table
 
 
@@ -16,11 +17,13 @@ def gate_triage(spark, d):
     return G.gate_triage(X.scores(spark, d)).select("query", "item", "kept", "drop_reason")
 
 
-@register("gate_quarantine", f"with {X.PASSAGES} select source, count(*) filter (coalesce(injection, 1.0) >= 0.55) as quarantined, count(*) filter (coalesce(injection, 1.0) < 0.55) as safe from passages group by source")
+@register("gate_quarantine", f"""with {X.PASSAGES} select source, count(*) filter (coalesce(injection, 1.0) >= 0.55) as quarantined, count(*) filter (coalesce(injection, 1.0) < 0.55) as safe,
+  count(distinct source || '/' || doc_id%50) filter (coalesce(injection, 1.0) >= 0.55) as urls from passages group by source""")
 def gate_quarantine(spark, d):
-    safe, bad = G.gate_quarantine(X.passages(spark, d))
-    both = safe.select("source", F.lit(False).alias("bad")).union(bad.select("source", F.lit(True).alias("bad")))
-    return both.groupBy("source").agg(F.count_if("bad").alias("quarantined"), F.count_if(~F.col("bad")).alias("safe"))
+    safe, bad = G.gate_quarantine(X.passages(spark, d).withColumn("url", F.concat("source", F.lit("/"), F.col("doc_id") % 50)))
+    urls = G.quarantined_urls(bad).select(F.substring_index("url", "/", 1).alias("source"), F.lit(None).cast("boolean").alias("bad"))
+    both = safe.select("source", F.lit(False).alias("bad")).union(bad.select("source", F.lit(True).alias("bad"))).union(urls)
+    return both.groupBy("source").agg(F.count_if("bad").alias("quarantined"), F.count_if(~F.col("bad")).alias("safe"), F.count_if(F.col("bad").isNull()).alias("urls"))
 
 
 @register("gate_extractable", f"with {X.SCORES} select query, item from scores where slop >= 0.12")
@@ -60,7 +63,7 @@ def validate_scores(spark, d):
     return G.validate_scores(s, ["relevance", "authority"], "probabilities").select("query", "item")
 
 
-@register("thin_pages")
+@register("thin_pages", f"""with t as (select page_id, length(html) as chars, length({_TEXT}) as text from pages) select page_id, text < 1200 and chars > 2000 as shell from t where (text < 1200 and chars > 2000) or (page_id%3 = 0 and page_id%2 <> 0)""")
 def thin_pages(spark, d):
     pages = table(spark, d, "pages").select("page_id", "html", page_text(F.col("html")).alias("text"), (F.col("page_id") % 3).alias("records"), (F.col("page_id") % 2 == 0).alias("rendered"))
     return G.thin_pages(pages)
@@ -93,10 +96,13 @@ def gate_claims(spark, d):
     return G.gate_claims(X.scores(spark, d).select(F.col("query").alias("run"), F.col("p").alias("score")))
 
 
-@register("attach_scores", "select d.doc_id, coalesce(cast(l.quality as double), 0) as score from documents d left join labels l using (doc_id)")
+@register("attach_scores", """select d.doc_id, coalesce(cast(l.quality as double), 0) as score, coalesce(case doc_id%3 when 0 then l.quality when 1 then 1 - l.quality end, 0)*1.0e0 as option_p
+  from documents d left join labels l using (doc_id)""")
 def attach_scores(spark, d):
-    labels = table(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("score"))
-    return G.attach_scores(table(spark, d, "documents").select("doc_id"), labels, ["doc_id"], 0.0)
+    quality = F.col("quality").cast("double")
+    labels = table(spark, d, "labels").select("doc_id", quality.alias("score"), F.create_map(F.lit("yes"), quality, F.lit("no"), 1 - quality).alias("probabilities"))
+    items = table(spark, d, "documents").selectExpr("doc_id", "case doc_id%3 when 0 then 'yes' when 1 then 'no' else 'other' end as picked")
+    return G.attach_scores(items, labels, ["doc_id"], 0.0, "picked").select("doc_id", "score", "option_p")
 
 
 @register("best_evidence", f"""with {X.SCORES} select query, item, row_number() over (partition by query order by p*coalesce(case when item=3 then null else relevance end, 1.0e0) desc nulls last, item, coalesce(case when item=3 then null else relevance end, 1.0e0)) as rank,
@@ -113,11 +119,15 @@ def rank_with_agreement(spark, d):
     return G.rank_with_agreement(s)
 
 
-@register("drop_unmentioned", f"with {X.SCORES}, m as (select query as record, max(coalesce(p,1)) as most, bool_or(l_suppkey%5=0) as own_site from scores group by 1) select record, own_site from m where own_site or most > 0.2")
+@register("drop_unmentioned", f"""with {X.SCORES}, e as (select l_suppkey%10 as page, count(distinct l_partkey) as entities, l_suppkey%10/10.0e0 as completeness, l_suppkey%10 <> 7 as on_anchor, -(l_suppkey%10) as seq from scores group by l_suppkey%10),
+  a as (select page from e where on_anchor and entities >= 3 and completeness >= 0.8 order by seq limit 3), r as (select query as record, bool_or(l_suppkey%5=0) as own_site from scores group by 1),
+  m as (select query as record, max(coalesce(p,1)) as most, count(distinct page) as answered from scores join a on l_suppkey%10 = page group by 1)
+  select record, own_site from r left join m using (record) where own_site or case when coalesce(answered, 0) < (select count(*) from a) then 1 else coalesce(most, 1) end > 0.2""")
 def drop_unmentioned(spark, d):
-    s = X.scores(spark, d).select(F.col("query").alias("record"), F.col("p").alias("presence"), "l_suppkey")
+    s = X.scores(spark, d).select(F.col("query").alias("record"), (F.col("l_suppkey") % 10).alias("page"), F.col("p").alias("presence"), "l_suppkey", "l_partkey")
+    pages = s.groupBy("page").agg(F.count_distinct("l_partkey").alias("entities")).selectExpr("page", "entities", "page/10.0D as completeness", "page <> 7 as on_anchor", "-page as seq")
     records = s.groupBy("record").agg(F.bool_or(F.col("l_suppkey") % 5 == 0).alias("own_site"))
-    return G.drop_unmentioned(records, s.select("record", "presence"))
+    return G.drop_unmentioned(records, s.select("record", "page", "presence"), G.enumeration_authorities(pages))
 
 
 @register("other_set_excluded", f"with {X.SCORES} select query as record from scores group by 1 having not bool_and(l_suppkey%3<2) or bool_or(label='supports')")

@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators import hits as H
 from ..operators import run_stats
+from ..operators.page_jobs import document_urls
 from . import fixtures as X
 from .fixtures import NOW
 from .registry import register, table
@@ -57,11 +58,12 @@ def merge_hits(spark, d):
     return H.merge_hits(X.hits(spark, d), 5).select("query", "key", "pos", F.array_join("engines", ",").alias("engines"), F.col("place").cast("long").alias("place"))
 
 
-@register("exclude_seen", """with k as (select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(url), '^https?://(www\\.)*', ''), '[?#].*$', ''), '/+$', ''), '$', case when url like '%page=%' then '?page=2' else '' end) as key from pages)
-  select page_id from k where key not in (select key from k where page_id%3=0)""")
+@register("exclude_seen", """with k as (select page_id, page_id%3=0 as seen, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(url), '^https?://(www\\.)*', ''), '[?#].*$', ''), '/+$', ''), '$', case when url like '%page=%' then '?page=2' else '' end) as key from pages)
+  select page_id from k where key not in (select key from k where seen)""")
 def exclude_seen(spark, d):
     pages = table(spark, d, "pages").select("page_id", F.lower("url").alias("url"))
-    return H.exclude_seen(pages, pages.where("page_id % 3 = 0")).select("page_id")
+    seen = pages.selectExpr("case when page_id%3=0 then url else concat('https://seen.example.org/', page_id) end as url")
+    return H.exclude_seen(pages, seen).select("page_id")
 
 
 @register("new_items", "select user_id from (select distinct user_id from events where event_type='purchase') where user_id not in (select user_id from events where event_type='signup' and value > 50)")
@@ -89,9 +91,11 @@ def _lookup(spark, d):
 _LOOKUP = f"{_LATEST}, w as (select put_id as id, lane, {_NORMAL} as query, max_hits+1 as max_hits from puts), looked as (select id, coalesce(stored_at + interval 72 hours >= (select max(stored_at) from puts), false) as hit, hits from w left join latest using (lane, query, max_hits))"
 
 
-@register("cache_lookup", f"with {_LOOKUP} select id, hit from looked")
+@register("cache_lookup", f"with {_LOOKUP}, m as (select lane, query, max_hits, count(*) as waiting from looked join w using (id) where not hit group by all) select 'lookup' as kind, cast(id as varchar) as what, cast(hit as bigint) as n from looked union all select 'search', lane || '|' || query || '|' || max_hits, 1 from m")
 def cache_lookup(spark, d):
-    return _lookup(spark, d).select("id", "hit")
+    found = _lookup(spark, d)
+    searches = H.missing_queries(found).select(F.lit("search"), F.concat_ws("|", "lane", "query", "max_hits"), F.lit(1).cast("long"))
+    return found.select(F.lit("lookup").alias("kind"), F.col("id").cast("string").alias("what"), F.col("hit").cast("long").alias("n")).union(searches)
 
 
 @register("cache_summary", f"with {_LOOKUP} select count(*) filter (hit) as hits, count(*) filter (not hit) as misses, cast(coalesce(sum(hits*100) filter (hit), 0) as bigint) as bytes from looked")
@@ -99,10 +103,12 @@ def cache_summary(spark, d):
     return run_stats.cache_summary(_lookup(spark, d).withColumn("bytes", F.col("hits") * 100))
 
 
-@register("fan_out_queries", "select concat_ws(' ', r_name, n_name, kind) as query from region, nation, (select unnest(['news','report']) as kind)")
+@register("fan_out_queries", """with a as (select case when r_regionkey%2=0 then replace(r_name, ' ', '') || '.org' else r_name end as anchor, case when r_regionkey%2=0 then replace(r_name, ' ', '') else r_name end as stem from region), q as (select concat_ws(' ', anchor, n_name, kind) as query from a, nation, (select unnest(['news','report']) as kind)),
+  p as (select n_name || ' ' || kind as query, stem from a, nation, (select unnest(['news','report']) as kind)) select query from q union all select query || ' ' || stem from p""")
 def fan_out_queries(spark, d):
     kinds = spark.createDataFrame([("news",), ("report",)], "kind string")
-    return H.fan_out_queries(table(spark, d, "region").select(F.col("r_name").alias("anchor")), table(spark, d, "nation").select(F.col("n_name").alias("value")), kinds)
+    given = table(spark, d, "region").selectExpr("case when r_regionkey%2=0 then concat(replace(r_name, ' ', ''), '.org') else r_name end as anchor"), table(spark, d, "nation").select(F.col("n_name").alias("value")), kinds
+    return H.fan_out_queries(*given).union(H.fan_out_queries(*given, "{value} {kind}"))
 
 
 _PAGE_KEY = "regexp_replace(regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^(www\\.)+', '') || regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/+$', ''), '$', case when url like '%page=%' then '?page=2' else '' end)"
@@ -138,10 +144,10 @@ def lang_variant_key(spark, d):
     return table(spark, d, "pages").select("page_id", U.lang_variant_key(F.col("url")).alias("key"))
 
 
-@register("sentinel_urls", "select page_id, ends_with(lower(regexp_extract(url, '://[^/?#]*([^?#]*)', 1)), '.html') as is_document, regexp_extract(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '([^/]*)$', 1) as file from pages")
+@register("sentinel_urls", """with p as (select page_id, regexp_extract(replace(url, '.html', ' paper.PDF'), '://[^/?#]*([^?#]*)', 1) as path from pages)
+  select page_id, ends_with(lower(path), '.pdf') as is_document, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.pdf$', '', 'i') as title from p""")
 def sentinel_urls(spark, d):
-    path = F.coalesce(U.part(F.col("url"), "PATH"), F.lit(""))
-    return table(spark, d, "pages").select("page_id", F.endswith(F.lower(path), F.lit(".html")).alias("is_document"), F.coalesce(F.try_url_decode(F.regexp_extract(path, "([^/]*)$", 1)), F.lit("")).alias("file"))
+    return document_urls(table(spark, d, "pages").selectExpr("page_id", "replace(url, '.html', '%20paper.PDF') as url"))
 
 
 @register("title_keys", f"with t as (select p_partkey, p_name || case p_partkey%3 when 0 then ' - Site Name' when 1 then '' else ' | One' end as full_title, p_name as title from part) select p_partkey, {_TKEY} as key from t")

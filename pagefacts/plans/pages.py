@@ -34,7 +34,7 @@ def read_pages(spark, d):
     raw = table(spark, d, "pages").select("page_id", "url", F.encode("html", "UTF-8").alias("content"), F.lit("utf-8").alias("charset"))
     ids = raw.select("page_id", F.concat_ws("|", "page_id", "url").alias("key"))
     decoded = export.decode_pages(raw.select(F.concat_ws("|", "page_id", "url").alias("url"), "content", "charset")).withColumnRenamed("url", "key")
-    return ids.join(decoded, "key").select("page_id", F.regexp_replace("key", "^[^|]*\\|", "").alias("url"), F.length("html").cast("long").alias("chars"))
+    return ids.join(decoded.hint("merge"), "key").select("page_id", F.regexp_replace("key", "^[^|]*\\|", "").alias("url"), F.length("html").cast("long").alias("chars"))
 
 
 @register("page_text", f"select page_id, {_TEXT} as text from pages")
@@ -59,10 +59,11 @@ def page_links(spark, d):
     return P.page_links(table(spark, d, "pages"))
 
 
-@register("follow_links", f"with {_LINKS}, s as (select page_id, href, (pos*7%10)/10.0e0 as score, pos, page_id%4=0 as anchor from links where pos <= 300), o as (select page_id, href, row_number() over (partition by page_id order by score desc, pos) as place, anchor from s where score >= 0.6) select page_id, href, place from o where place <= case when anchor then 3 else 1 end")
+@register("follow_links", f"with {_LINKS}, s as (select page_id, href, (pos*7%10)/10.0e0 as score, pos, page_id%4=0 as anchor from links where pos <= 300 and (page_id%5 >= 2 or page_id%10=0 or page_id%4=0)), o as (select page_id, href, row_number() over (partition by page_id order by score desc, pos) as place, anchor from s where score >= 0.6) select page_id, href, place from o where place <= case when anchor then 3 else 1 end")
 def follow_links(spark, d):
-    links = P.page_links(table(spark, d, "pages")).selectExpr("page_id", "href", "pos", "(pos*7%10)/10.0D as score", "page_id%4=0 as anchor")
-    return H.follow_links(links, 0.6, 1, 3).select("page_id", "href", F.col("place").cast("long").alias("place"))
+    links = P.page_links(table(spark, d, "pages")).selectExpr("page_id", "href", "pos", "(pos*7%10)/10.0D as score")
+    pages = table(spark, d, "pages").selectExpr("page_id", "page_id%5 as entities", "page_id%10=0 as seed", "page_id%4=0 as anchor")
+    return H.follow_links(links, pages, 0.6, 1, 3).select("page_id", "href", F.col("place").cast("long").alias("place"))
 
 
 _MARKDOWN = "concat('See [the [nested] page](https://a.example.org/', doc_id, ' \"t\") and https://b.example.org/', doc_id, '. ', text)"
@@ -123,19 +124,19 @@ def extract_phones(spark, d):
     return docs.select("doc_id", F.explode(T.phones(F.col("text"))).alias("phone"))
 
 
-@register("unread_urls", "select distinct url from pages where page_id%2=0 and url not in (select url from pages where page_id%3=0 and length(trim(html)) >= 4000)")
+@register("unread_urls", "select distinct url from pages where url not in (select url from pages where length(case when page_id%3=0 then trim(html) else '' end) >= 4000)")
 def unread_urls(spark, d):
     pages = table(spark, d, "pages")
-    read = pages.where("page_id%3=0").select("url", F.col("url").alias("requested_url"), F.col("html").alias("text"))
-    return P.unread_urls(pages.where("page_id%2=0").select("url").distinct(), read, 4000)
+    read = pages.selectExpr("url", "url as requested_url", "case when page_id%3=0 then html else ' ' end as text")
+    return P.unread_urls(pages.select("url").distinct(), read, 4000)
 
 
-@register("fallback_merge", """with p as (select doc_id, case when doc_id%4=0 then ' ' else text end as t from documents where doc_id%5<>0), f as (select doc_id, case when doc_id%8=0 then '' else 'f' || doc_id end as t from documents where doc_id%3<>0)
+@register("fallback_merge", """with p as (select doc_id, case when doc_id%4=0 then ' ' else text end as t from documents), f as (select doc_id+7 as doc_id, case when doc_id%8=0 then '' else 'f' || doc_id end as t from documents)
   select doc_id, case when trim(coalesce(p.t,''))='' and trim(coalesce(f.t,''))<>'' then f.t else coalesce(p.t, f.t) end as text from p full join f using (doc_id)""")
 def fallback_merge(spark, d):
     docs = table(spark, d, "documents")
-    first = docs.where("doc_id%5<>0").selectExpr("doc_id", "case when doc_id%4=0 then ' ' else text end as text")
-    return P.fallback_merge(first, docs.where("doc_id%3<>0").selectExpr("doc_id", "case when doc_id%8=0 then '' else concat('f', doc_id) end as text"), "doc_id")
+    first = docs.selectExpr("doc_id", "case when doc_id%4=0 then ' ' else text end as text")
+    return P.fallback_merge(first, docs.selectExpr("doc_id + 7 as doc_id", "case when doc_id%8=0 then '' else concat('f', doc_id) end as text"), "doc_id")
 
 
 @register("align_by_ordinal", "select conv_id, 'u' || turn as url, text from conversations")
@@ -172,9 +173,28 @@ def mark_unsupported(spark, d):
     return P.mark_unsupported(claims)
 
 
-@register("score_with", "select doc_id as item_id, least(length(text)/10000.0e0, 1.0e0) as score from documents")
+_QUESTIONS = [{"id": "long", "kind": "yes_no"}, {"id": "size", "kind": "choice", "options": ["short", "long"]}, {"id": "level", "kind": "level", "options": ["small", "middle", "large"]}]
+
+
+def _judge(texts, question):
+    """A stand-in that goes by length alone."""
+    share = (texts.str.len() / 10000.0).clip(upper=1.0)
+    if question["kind"] == "yes_no":
+        return [{"score": s} for s in share]
+    if question["kind"] == "choice":
+        return [{"probabilities": {"short": 1 - s, "long": s}} for s in share]
+    return [{"probabilities": {"small": 1.0 if s < 0.1 else 0.0, "middle": 1.0 if 0.1 <= s < 0.5 else 0.0, "large": 1.0 if s >= 0.5 else 0.0}} for s in share]
+
+
+@register("score_with", """with s as (select doc_id as item_id, least(length(text)/10000.0e0, 1.0e0) as s from documents)
+  select item_id, 'plain' as question_id, s as score, null as choice, null as level from s union all select item_id, 'long', s, null, null from s
+  union all select item_id, 'size', greatest(s, 1-s), case when s > 1-s then 'long' else 'short' end, null from s
+  union all select item_id, 'level', case when s < 0.1 then 0.0 when s < 0.5 then 0.5 else 1.0 end, case when s < 0.1 then 'small' when s < 0.5 then 'middle' else 'large' end, case when s < 0.1 then 0 when s < 0.5 then 1 else 2 end from s""")
 def score_with(spark, d):
-    return P.score_with(table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text"), lambda t: (t.str.len() / 10000.0).clip(upper=1.0))
+    items = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text")
+    plain = P.score_with(items, lambda t: (t.str.len() / 10000.0).clip(upper=1.0))
+    asked = P.answer_with(items, _QUESTIONS, _judge).select("item_id", "question_id", "score", "choice", "level")
+    return plain.select("item_id", F.lit("plain"), "score", F.lit(None).cast("string"), F.lit(None).cast("int")).union(asked).toDF("item_id", "question_id", "score", "choice", "level")
 
 
 @register("pack_batches")

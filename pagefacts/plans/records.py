@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_entity
+from ..functions.urls import domain
 from ..operators import records as R
+from ..operators.graph import work_path
 from ..sources import export, runlog
 from . import fixtures as X
 from .registry import register, table
@@ -23,11 +25,12 @@ def drop_category_echo(spark, d):
     return R.drop_category_echo(X.records(spark, d), "Small Steel Blue").select("record_id")
 
 
-@register("name_pairs", """with k as (select distinct concat_ws(' ', p_name, case when p_size%7=0 then lower(p_brand) end) as key from part), w as (select distinct key, unnest(string_split(key, ' ')) as word from k), n as (select key, count(*) as n from w group by key),
+@register("name_pairs", """with k as (select distinct concat_ws(' ', case when p_size%9=0 then replace(p_name, ' ', '') else p_name end, case when p_size%7=0 then lower(p_brand) end) as key from part), w as (select distinct key, unnest(string_split(key, ' ')) as word from k), n as (select key, count(*) as n from w group by key),
   s as (select x.key as a, y.key as b, count(*) as shared from w x join w y on x.word = y.word and x.key < y.key group by 1, 2)
-  select a, b, cast(shared as integer) as shared from s join n na on a = na.key join n nb on b = nb.key where shared*100 >= least(na.n, nb.n)*60""")
+  select a, b, cast(shared as integer) as shared from s join n na on a = na.key join n nb on b = nb.key where shared*100 >= least(na.n, nb.n)*60
+  union select least(x.key, y.key), greatest(x.key, y.key), cast(len(list_intersect(list_distinct(string_split(x.key, ' ')), list_distinct(string_split(y.key, ' ')))) as integer) from k x join k y on x.key <> y.key and contains(y.key, x.key) and length(x.key) >= 3""")
 def name_pairs(spark, d):
-    return R.name_pairs(table(spark, d, "part").selectExpr("concat_ws(' ', p_name, case when p_size%7=0 then lower(p_brand) end) as key"))
+    return R.name_pairs(table(spark, d, "part").selectExpr("concat_ws(' ', case when p_size%9=0 then replace(p_name, ' ', '') else p_name end, case when p_size%7=0 then lower(p_brand) end) as key"))
 
 
 @register("shared_email_pairs", "with e as (select c_custkey as id, 'm' || c_nationkey || '@' || c_mktsegment || '.org' as email from customer), l as (select email, min(id) as a from e group by email) select a, id as b from e join l using (email) where id <> a")
@@ -39,44 +42,55 @@ def shared_email_pairs(spark, d):
 _PAIRS = "p_partkey as a, p_partkey+p_size as b, case when p_size%20=0 then 'email' else 'name' end as kind, (p_partkey%4)*0.6e0 as score"
 
 
-@register("merge_groups", f"""with recursive p as (select {_PAIRS} from part where p_size%10=0), ok as (select a, b from p where score >= case kind when 'email' then 1.0 else 1.5 end),
+@register("merge_groups", f"""with recursive p as (select {_PAIRS} from part), ok as (select a, b from p where score >= case kind when 'email' then 1.0 else 1.5 end),
   e as (select a as u, b as v from ok union select b, a from ok), r as (select u as node, u as reach from e union select r.node, e.v from r join e on r.reach = e.u)
   select node, min(reach) as component from r group by node""")
 def merge_groups(spark, d):
-    return R.merge_groups(X._columns(table(spark, d, "part").where("p_size%10=0"), _PAIRS))
+    return R.merge_groups(X._columns(table(spark, d, "part"), _PAIRS))
 
 
-@register("merge_records", f"""with {X.RECORDS} select name, arg_max(brand, grounding*1000000 - record_id) filter (brand <> '') as brand, arg_max(type, grounding*1000000 - record_id) as type,
-  ['different','unresolved','related','same'][max(list_position(['different','unresolved','related','same'], binding))] as binding,
-  case when bool_or(status='supports') then 'supports' else coalesce(arg_min(status, record_id) filter (status <> 'unchecked'), 'unchecked') end as status,
-  string_agg(distinct source_url, '|' order by source_url) as sources from records group by name""")
+_STATUSES = "case when record_id%3=0 then array(status) when record_id%3=1 then array('unchecked', status) else array(status, 'mixed', 'not_addressed') end"
+_DUCK_STATUSES = _STATUSES.replace("array(", "list_value(")
+
+
+@register("merge_records", f"""with {X.RECORDS}, m as (select name, arg_max(brand, grounding*1000000 - record_id) filter (brand <> '') as brand, arg_max(type, grounding*1000000 - record_id) as type,
+    arg_max(source_url, grounding*1000000 - record_id) filter (brand <> '') as brand_url, arg_max(source_url, grounding*1000000 - record_id) as type_url,
+    ['different','unresolved','related','same'][max(list_position(['different','unresolved','related','same'], binding))] as binding, string_agg(distinct source_url, '|' order by source_url) as sources from records group by name),
+  e as (select name, record_id, unnest({_DUCK_STATUSES}) as status, generate_subscripts({_DUCK_STATUSES}, 1) as i from records),
+  c as (select name, i, case when bool_or(status='supports') then 'supports' else coalesce(arg_min(status, record_id) filter (status <> 'unchecked'), 'unchecked') end as status from e group by name, i),
+  l as (select name, string_agg(status, ',' order by i) as statuses from c group by name)
+  select name, brand, type, binding, sources, statuses, concat_ws(';', 'brand=' || brand_url, 'type=' || type_url) as provenance from m join l using (name)""")
 def merge_records(spark, d):
-    return R.merge_records(X.records(spark, d), "name", ["brand", "type"])
+    merged = R.merge_records(X.records(spark, d).withColumn("statuses", F.expr(_STATUSES)), "name", ["brand", "type"])
+    told = F.array_join(F.array_sort(F.transform(F.map_entries("provenance"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
+    return merged.select("name", "brand", "type", "binding", "sources", F.array_join("statuses", ",").alias("statuses"), told.alias("provenance"))
 
 
-_SHAPED = "p_size as run, p_partkey as record_id, brand is not null and status='supports' as complete, grounding, p_partkey as seq"
+_RUN_RECORDS = "record_id%50 as run, record_id, brand is not null and status='supports' as complete, p_size%13 as grounding, record_id as seq"
 
 
-@register("complete_first", f"with {X.RECORDS}, r as (select record_id%50 as run, record_id, brand is not null and status='supports' as complete, p_size%13 as grounding, record_id as seq from records), o as (select run, record_id, row_number() over (partition by run order by complete desc, grounding desc, seq) as place from r) select * from o where place <= 10")
+@register("complete_first", f"""with {X.RECORDS}, r as (select {_RUN_RECORDS} from records), o as (select run, record_id, row_number() over (partition by run order by complete desc, grounding desc, seq) as place,
+    count(*) over (partition by run) as total, count(*) filter (complete) over (partition by run) as n_complete from r) select *, least(total, 10) as shown from o where place <= 10""")
 def complete_first(spark, d):
-    r = X.records(spark, d).selectExpr("record_id%50 as run", "record_id", "brand is not null and status='supports' as complete", "p_size%13 as grounding", "record_id as seq")
-    return R.complete_first(r, 10).select("run", "record_id", "place")
+    r = X._columns(X.records(spark, d), _RUN_RECORDS)
+    return R.complete_first(r, target=10).select("run", "record_id", "place", "total", "n_complete", "shown")
 
 
-@register("field_fill_profile", f"with {X.RECORDS}, c as (select 'name' as field, count(*) filter (coalesce(name,'')<>'') as filled, count(*) as n from records union all select 'brand', count(*) filter (coalesce(brand,'')<>''), count(*) from records union all select 'type', count(*) filter (coalesce(type,'')<>''), count(*) from records) select field, filled, round(filled/cast(n as double), 4) as rate from c")
+@register("field_fill_profile", f"""with {X.RECORDS}, c as (select 'name' as field, count(*) filter (coalesce(name,'')<>'') as filled, count(*) as n from records union all select 'brand', count(*) filter (coalesce(brand,'')<>''), count(*) from records union all select 'type', count(*) filter (coalesce(type,'')<>''), count(*) from records),
+  s as (select * from records order by record_id limit 5)
+  select 'field' as section, field as name, filled as n, round(filled/cast(n as double), 4) as rate from c union all select 'domain', regexp_extract(source_url, '://([^/]*)', 1), count(*), null from records group by 2
+  union all select 'sample', '{{"name":"' || name || '"' || coalesce(',"brand":"' || brand || '"', '') || ',"type":"' || type || '"}}', record_id, null from s""")
 def field_fill_profile(spark, d):
-    return R.field_fill_profile(X.records(spark, d), ["name", "brand", "type"])
+    return R.set_summary(X.records(spark, d).withColumn("domain", domain(F.col("source_url"))), ["name", "brand", "type"])
 
 
 @register("run_sources", f"with {X.RECORDS} select distinct record_id%10 as run, source_url from records where grounding >= 0.6")
 def run_sources(spark, d):
-    return X.records(spark, d).where("grounding >= 0.6").selectExpr("record_id%10 as run", "source_url").distinct()
+    return R.run_sources(X.records(spark, d).withColumn("run", F.col("record_id") % 10))
 
 
 @register("domain_productivity", "with r as (select regexp_replace(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '^(www\\.)+', '') as domain, page_id%3=0 as complete from pages) select domain, count(*) as records, count(*) filter (complete) as complete from r group by domain")
 def domain_productivity(spark, d):
-    from ..functions.urls import domain
-
     return R.domain_productivity(table(spark, d, "pages").select(domain(F.col("url")).alias("domain"), (F.col("page_id") % 3 == 0).alias("complete")))
 
 
@@ -94,8 +108,8 @@ def conflict_report(spark, d):
 _TEMPLATES = ["{entity} official {field}", "{entity} {field} report", "{entity} {field}"]
 
 
-@register("enrich_worklist", f"""with {X.RECORDS}, l as (select concat(name, ' ', record_id%40) as name, max(brand) as brand, max(type) as type from records group by 1), f as (select name, 'brand' as field from l where brand is null order by name limit 25)
-  select name, field, replace(replace(t, '{{entity}}', name), '{{field}}', field) as query from f, (select unnest({_TEMPLATES}) as t)""")
+@register("enrich_worklist", f"""with {X.RECORDS}, l as (select concat(name, ' ', record_id%40) as name, max(brand) as brand, max(type) as type from records group by 1), f as (select name, 'brand' as field, (row_number() over (order by name) - 1)//25 + 1 as round from l where brand is null)
+  select name, field, replace(replace(t, '{{entity}}', name), '{{field}}', field) as query, round from f, (select unnest({_TEMPLATES}) as t)""")
 def enrich_worklist(spark, d):
     named = X.records(spark, d).withColumn("name", F.expr("concat(name, ' ', record_id%40)"))
     return R.enrich_worklist(named, ["brand", "type"], _TEMPLATES)
@@ -112,12 +126,14 @@ def retain_newest(spark, d):
     return R.retain_newest(table(spark, d, "orders"), "o_custkey", "o_orderdate", 5, "o_orderkey").select("o_custkey", "o_orderkey")
 
 
-@register("read_run_log", "select event_id as id, coalesce(try_cast(json_extract_string(props, '$.k') as bigint), 0) as records, event_id%7=0 as rejected from events where event_id%11 <> 0")
+@register("read_run_log", "select event_id as id, coalesce(try_cast(json_extract_string(props, '$.k') as bigint), 0) as records, case when event_id%7=0 then 0 else event_id%9 end as judge_requests, event_id%7=0 as rejected from events where event_id%11 <> 0")
 def read_run_log(spark, d):
-    line = "case when event_id%11=0 then '  ' when event_id%7=0 then concat('{\"id\": ', event_id) else concat('{\"id\":\"', event_id, '\",\"unknown\":1,\"records\":', get_json_object(props,'$.k'), '}') end"
-    runs, rejects = runlog.parse_run_log(table(spark, d, "events").selectExpr(f"{line} as value"))
+    line = "case when event_id%11=0 then '  ' when event_id%7=0 then concat('{\"id\": ', event_id) else concat('{\"id\":\"', event_id, '\",\"unknown\":1,\"records\":', get_json_object(props,'$.k'), ',\"scorer_requests\" : ', event_id%9, '}') end"
+    path = work_path(spark, "runlog")
+    table(spark, d, "events").selectExpr(f"{line} as value").write.text(path)
+    runs, rejects = runlog.read_run_log(spark, path)
     bad = rejects.join(table(spark, d, "events").selectExpr("event_id as id", "cast(get_json_object(props,'$.k') as bigint) as records", "concat('{\"id\": ', event_id) as value"), "value")
-    return runs.select(F.col("id").cast("long").alias("id"), "records", F.lit(False).alias("rejected")).union(bad.select("id", "records", F.lit(True)))
+    return runs.select(F.col("id").cast("long").alias("id"), "records", "judge_requests", F.lit(False).alias("rejected")).union(bad.select("id", "records", F.lit(0).cast("long"), F.lit(True)))
 
 
 _EVENT = "case event_type when 'signup' then 'accepted' when 'view' then 'progress' when 'click' then 'usage' when 'purchase' then 'result' else 'error' end"
@@ -133,10 +149,8 @@ def demux_event_log(spark, d):
     return every.groupBy("type").agg(F.count("*").alias("n"), F.sum("k").alias("k"))
 
 
-@register("append_run_log")
+@register("append_run_log", "select strftime(ts, '%Y-%m-%d') as day, count(*) as n from events group by 1")
 def append_run_log(spark, d):
-    from ..operators.graph import work_path
-
     path = work_path(spark, "runlog")
     runs = X.runs(spark, d).select(F.col("id").cast("string").alias("id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("started_at"), "elapsed_ms", "outcome")
     for part in ("id % 2 = 0", "id % 2 = 0", "id % 2 = 1"):
@@ -156,15 +170,18 @@ def export_csv(spark, d):
     return export.csv_table(_exported(spark, d), ["type", "name"])
 
 
-@register("export_jsonl", """with r as (select o_custkey as run, o_orderkey as seq, o_orderstatus as status from orders), lines as (select run, 0 as section, seq, '{"status":"' || status || '"}' as value from r
-  union all select run, 1, 0, '{"type":"summary","records":' || count(*) || '}' from r group by run) select run, section, cast(seq as bigint) as seq, value from lines""")
+@register("export_jsonl", """with r as (select o_custkey as run, o_orderkey as seq, o_orderstatus as status, o_custkey%2=0 as answer from orders), lines as (select run, 0 as section, seq, '{"status":"' || status || '"}' as value from r where not answer
+  union all select distinct run, 0, 0, '{"type":"answer","text":"answer ' || run || '"}' from r where answer union all select run, 1, seq, '{"passage":"' || status || '"}' from r where answer
+  union all select run, 2, 0, '{"type":"summary","records":' || count(*) || '}' from r group by run) select run, section, cast(seq as bigint) as seq, value from lines""")
 def export_jsonl(spark, d):
-    r = table(spark, d, "orders").selectExpr("o_custkey as run", "o_orderkey as seq", "o_orderstatus as status")
-    return export.jsonl_lines(r, r.groupBy("run").agg(F.count("*").alias("records")))
+    r = table(spark, d, "orders").selectExpr("o_custkey as run", "o_orderkey as seq", "o_orderstatus as status", "o_custkey%2=0 as answer")
+    answers = r.where("answer").select("run", F.concat(F.lit("answer "), "run").alias("text")).distinct()
+    evidence = r.where("answer").select("run", "seq", F.col("status").alias("passage"))
+    return export.jsonl_lines(r.where("not answer").drop("answer"), r.groupBy("run").agg(F.count("*").alias("records")), answers, evidence)
 
 
-@register("export_report_json", """with l as (select l_orderkey as run, string_agg('{"seq":' || l_linenumber || ',"part":' || l_partkey || '}', ',' order by l_linenumber, l_partkey) as items from (select distinct l_orderkey, l_linenumber, l_partkey from lineitem where l_quantity > 30) group by 1)
+@register("export_report_json", """with l as (select l_orderkey as run, string_agg('{"seq":' || l_linenumber || ',"part":' || l_partkey || '}', ',' order by l_linenumber, l_partkey) as items from (select distinct l_orderkey, l_linenumber, l_partkey from lineitem) group by 1)
   select o_orderkey as run, '{"outcome":"' || o_orderstatus || '","records":[' || coalesce(items, '') || ']}' as report from orders left join l on o_orderkey = run""")
 def export_report_json(spark, d):
-    items = table(spark, d, "lineitem").where("l_quantity > 30").selectExpr("l_orderkey as run", "l_linenumber as seq", "l_partkey as part").distinct()
+    items = table(spark, d, "lineitem").selectExpr("l_orderkey as run", "l_linenumber as seq", "l_partkey as part").distinct()
     return export.report_json(table(spark, d, "orders").selectExpr("o_orderkey as run", "o_orderstatus as outcome"), items)

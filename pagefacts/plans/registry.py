@@ -1,9 +1,8 @@
-"""All queries of the library by name, with their DuckDB counterparts."""
+"""Register of the queries by name, with their DuckDB counterparts; importing ``pagefacts.plans`` fills it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +24,3 @@ def register(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-for _module in ("runs", "gates", "hits", "pages", "records", "streams"):
-    import_module(f"pagefacts.plans.{_module}")

@@ -62,11 +62,12 @@ def stream_activity(spark, d):
 
 
 @register("stream_run_durations", f"""with e as (select user_id as run_id, event_id as seq, ts, {_EVENT} as type from events), a as (select * from e where type='accepted'), b as (select * from e where type in ('result','error'))
-  select a.run_id as run, a.seq as a_seq, b.seq as seq, coalesce(b.type, 'cancelled') as ended, round((epoch_us(b.ts)-epoch_us(a.ts))/1e6, 3) as seconds from a left join b on a.run_id=b.run_id and b.ts >= a.ts and b.ts <= a.ts + interval 2 hours
-  where b.seq is not null""")
+  select a.run_id as run, a.seq as a_seq, b.seq as seq, coalesce(b.type, 'cancelled') as ended, round((epoch_us(b.ts)-epoch_us(a.ts))/1e6, 3) as seconds from a left join b on a.run_id=b.run_id and b.ts >= a.ts and b.ts <= a.ts + interval 2 hours""")
 def stream_run_durations(spark, d):
     live = _replay(spark, d, "events", [F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), _TS, F.expr(_EVENT).alias("type")])
-    return _drained(J.stream_run_durations(live)).where("seq is not null")
+    ended = _drained(J.stream_run_durations(live))
+    events = table(spark, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.expr(_EVENT).alias("type"))
+    return ended.union(J.cancelled_runs(events, ended))
 
 
 @register("stream_dedupe_hits", "select distinct user_id as query, event_type as key from events")
@@ -90,12 +91,14 @@ def stream_usage_gauge(spark, d):
     return got.select("run_id", F.col("tick").cast("timestamp_ntz").alias("tick"), "seq", "k")
 
 
-@register("stream_quarantine", "select event_id%10=0 or event_id%3=0 as bad, count(*) as n from events group by 1")
+@register("stream_quarantine", "select event_id%10=0 or event_id%3=0 as bad, count(*) as n, case when event_id%10=0 or event_id%3=0 then count(distinct user_id) else 0 end as urls from events group by event_id%10=0 or event_id%3=0")
 def stream_quarantine(spark, d):
-    live = _replay(spark, d, "events", [F.col("event_id"), F.expr("case when event_id%10=0 then null when event_id%3=0 then 0.9D else 0.1D end as injection")])
-    safe, bad = work_path(spark, "safe"), work_path(spark, "bad")
-    J.stream_quarantine(live, safe, bad, work_path(spark, "marks")).awaitTermination()
-    return spark.read.parquet(safe).select(F.lit(False).alias("bad")).union(spark.read.parquet(bad).select(F.lit(True))).groupBy("bad").agg(F.count("*").alias("n"))
+    live = _replay(spark, d, "events", [F.col("event_id"), F.concat(F.lit("u"), "user_id").alias("url"), F.expr("case when event_id%10=0 then null when event_id%3=0 then 0.9D else 0.1D end as injection")])
+    safe, bad, report = work_path(spark, "safe"), work_path(spark, "bad"), work_path(spark, "report")
+    J.stream_quarantine(live, safe, bad, work_path(spark, "marks"), report).awaitTermination()
+    urls = spark.read.parquet(report).select("url").distinct().select(F.lit(True), F.lit(0).cast("long"), F.lit(1).cast("long"))
+    rows = spark.read.parquet(safe).select(F.lit(False).alias("bad")).union(spark.read.parquet(bad).select(F.lit(True)))
+    return rows.select("bad", F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("urls")).union(urls).groupBy("bad").agg(F.sum("n").alias("n"), F.sum("urls").alias("urls"))
 
 
 @register("stream_run_state", f"""with e as (select user_id as run_id, event_id as seq, {_EVENT} as type from events), t as (select run_id, min(seq) filter (type in ('result','error')) as done from e group by run_id),

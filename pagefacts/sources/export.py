@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,16 +28,26 @@ def export_csv(records: DataFrame, fields: list[str], path: str) -> None:
     csv_table(records, fields).write.mode("overwrite").option("header", True).csv(path)
 
 
-def jsonl_lines(records: DataFrame, runs: DataFrame) -> DataFrame:
-    """(run, section, seq, value): a line for each record, then one summary line for each run."""
-    own = records.select("run", F.lit(0).alias("section"), "seq", F.to_json(F.struct(*[c for c in records.columns if c not in ("run", "seq")])).alias("value"))
-    summary = F.to_json(F.struct(F.lit("summary").alias("type"), *[c for c in runs.columns if c != "run"]))
-    return own.unionByName(runs.select("run", F.lit(1).alias("section"), F.lit(0).cast("long").alias("seq"), summary.alias("value")))
+def jsonl_lines(records: DataFrame, runs: DataFrame, answers: DataFrame | None = None, evidence: DataFrame | None = None) -> DataFrame:
+    """(run, section, seq, value): a line for each record, or for an answer run its answer (run, text) and a line
+    for each piece of evidence; then one summary line for each run."""
 
+    def lines(df: DataFrame, section: int, *first: Column) -> DataFrame:
+        own = [F.col(c) for c in df.columns if c not in ("run", "seq")]
+        seq = F.col("seq").cast("long") if "seq" in df.columns else F.lit(0).cast("long")
+        return df.select("run", F.lit(section).alias("section"), seq.alias("seq"), F.to_json(F.struct(*first, *own)).alias("value"))
 
-def export_jsonl(records: DataFrame, runs: DataFrame, path: str) -> None:
+    out = lines(records, 0)
+    if answers is not None:
+        out = out.unionByName(lines(answers, 0, F.lit("answer").alias("type")))
+    if evidence is not None:
+        out = out.unionByName(lines(evidence, 1))
+    return out.unionByName(lines(runs, 2, F.lit("summary").alias("type")))
+
+
+def export_jsonl(records: DataFrame, runs: DataFrame, path: str, answers: DataFrame | None = None, evidence: DataFrame | None = None) -> None:
     """A folder for each run; its lines in order."""
-    lines = jsonl_lines(records, runs).repartition("run").sortWithinPartitions("run", "section", "seq")
+    lines = jsonl_lines(records, runs, answers, evidence).repartition("run").sortWithinPartitions("run", "section", "seq")
     lines.select("run", "value").write.mode("overwrite").partitionBy("run").text(path)
 
 

@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
+import logging
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+log = logging.getLogger(__name__)
+
 RUN_LOG = """id string, started_at long, elapsed_ms long, query string, kind string, source string, preset string, outcome string, error string,
   records long, pages long, rounds long, judge_requests long, judge_input_tokens long, judge_cost_usd double, llm_requests long, llm_prompt_tokens long,
   llm_completion_tokens long, llm_cost_usd double, planner_requests long, planner_prompt_tokens long, planner_completion_tokens long, planner_cost_usd double"""
 #: Defaults of fields that a line leaves out; prices and the error stay null.
 TEXTS = ["id", "query", "kind", "source", "preset", "outcome"]
 COUNTS = ["started_at", "elapsed_ms", "records", "pages", "rounds", "judge_requests", "judge_input_tokens", "llm_requests", "llm_prompt_tokens", "llm_completion_tokens", "planner_requests", "planner_prompt_tokens", "planner_completion_tokens"]
+#: Keys of the judge, whatever a log calls it: the only actor besides these two that has such fields.
+JUDGE_KEY = r'(?<!\\)"(?!llm_|planner_)[A-Za-z0-9]+_(requests|input_tokens|cost_usd)"(?=\s*:)'
 EVENT_TYPES = ["accepted", "progress", "usage", "stats", "result", "error"]
 
 
 def parse_run_log(lines: DataFrame, schema: str = RUN_LOG) -> tuple[DataFrame, DataFrame]:
     """Runs and rejected lines of a table of lines (``value``). Blank lines are neither; unknown fields are
-    ignored; an explicit null of a field with a default takes the default."""
-    read = lines.where(F.trim("value") != "").select("value", F.from_json("value", schema + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"}).alias("r"))
+    ignored; an explicit null of a field with a default takes the default. The judge's fields are read under
+    the name that the log gives the judge, and are called judge_ in the result."""
+    named = F.regexp_replace("value", JUDGE_KEY, '"judge_$1"')
+    read = lines.where(F.trim("value") != "").select("value", F.from_json(named, schema + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"}).alias("r"))
     runs = read.where("r is not null and r._corrupt is null").select("r.*").drop("_corrupt")
     fill = {c: "" for c in TEXTS if c in runs.columns} | {c: 0 for c in COUNTS if c in runs.columns}
     runs = runs.fillna(fill)
@@ -26,25 +35,28 @@ def parse_run_log(lines: DataFrame, schema: str = RUN_LOG) -> tuple[DataFrame, D
     return runs, read.where("r is null or r._corrupt is not null").select("value")
 
 
-def read_run_log(spark: SparkSession, path: str, judge: str = "judge") -> tuple[DataFrame, DataFrame]:
-    """``judge``: what the log calls the judge in its field names; the columns are named judge_ in any case."""
-    runs, rejects = parse_run_log(spark.read.text(path), RUN_LOG.replace("judge_", f"{judge}_"))
-    fields = {f"{judge}_{c}": f"judge_{c}" for c in ("requests", "input_tokens", "cost_usd")}
-    return runs.withColumnsRenamed(fields).fillna(0, ["judge_requests", "judge_input_tokens"]), rejects
+def read_run_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Runs and rejected lines of the JSON Lines files under ``path``."""
+    return parse_run_log(spark.read.text(path))
 
 
-def append_run_log(runs: DataFrame, path: str) -> None:
-    """Appends runs as JSON Lines by day; runs whose id is in the log already are left out, so a repeated
-    batch adds nothing."""
-    spark = runs.sparkSession
+def append_run_log(runs: DataFrame, path: str) -> bool:
+    """Appends runs as JSON Lines by day; runs whose id the log has on the same day are left out, so a repeated
+    batch adds nothing. A log that cannot be written gives a warning and False: a run does not fail for it."""
     new = runs.withColumn("day", F.date_format(F.timestamp_seconds("started_at"), "yyyy-MM-dd"))
     try:
-        seen = spark.read.schema("id string").json(path).distinct()
-        new = new.join(seen, "id", "left_anti")
-    except Exception as e:  # the log's first batch
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    new.write.mode("append").partitionBy("day").json(path)
+        try:
+            days = F.broadcast(new.select("day").distinct())  # a row for each day of the batch
+            seen = runs.sparkSession.read.schema("id string, day string").json(path).join(days, "day", "left_semi")
+            new = new.join(seen.distinct(), ["day", "id"], "left_anti")
+        except AnalysisException as e:  # the log's first batch
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+        new.write.mode("append").partitionBy("day").json(path)
+    except Exception as e:
+        log.warning("could not write the run log %s: %s", path, str(e).split("\n")[0])
+        return False
+    return True
 
 
 def demux_event_log(events: DataFrame) -> dict[str, DataFrame]:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.gates import is_quarantined
+from ..operators.gates import is_quarantined, quarantined_urls
 from ..operators.run_stats import BUCKETS, OUTCOMES
 
 #: Monday weeks begin four days after the epoch's Thursday.
@@ -30,6 +30,14 @@ def stream_run_durations(events: DataFrame, bound: str = "2 hours", late: str =
     return a.join(b, on, "left_outer").select("run", "a_seq", "seq", F.coalesce("type", F.lit("cancelled")).alias("ended"), F.round((F.unix_micros("ts") - F.unix_micros("a_ts")) / 1e6, 3).alias("seconds"))
 
 
+def cancelled_runs(events: DataFrame, ended: DataFrame, bound: str = "2 hours") -> DataFrame:
+    """Accepted runs of a finished log that the stream above has no row for: those within ``bound`` of its end, which
+    no later event has declared over."""
+    a = events.where("type = 'accepted'").select(F.col("run_id").alias("run"), F.col("seq").alias("a_seq"))
+    open_ = a.join(ended.select("run", "a_seq").distinct().hint("merge"), ["run", "a_seq"], "left_anti")
+    return open_.select("run", "a_seq", F.lit(None).cast("long").alias("seq"), F.lit("cancelled").alias("ended"), F.lit(None).cast("double").alias("seconds"))
+
+
 def stream_dedupe_hits(hits: DataFrame, late: str = "7 days") -> DataFrame:
     """First arrival of each (query, key)."""
     return hits.withWatermark("ts", late).dropDuplicatesWithinWatermark(["query", "key"])
@@ -47,13 +55,16 @@ def stream_usage_gauge(usage: DataFrame, every: str = "1 second", late: str = "1
     return usage.withWatermark("ts", late).groupBy("run_id", F.window("ts", every)).agg(latest.alias("x")).select("run_id", F.col("window.start").alias("tick"), "x.seq", "x.k")
 
 
-def stream_quarantine(passages: DataFrame, safe_path: str, bad_path: str, checkpoint: str):
-    """Arriving passages parted into two folders; a batch that is run again replaces its own files."""
+def stream_quarantine(passages: DataFrame, safe_path: str, bad_path: str, checkpoint: str, report_path: str | None = None):
+    """Arriving passages parted into two folders, and the urls of quarantined ones in a third; a batch that is run
+    again replaces its own files."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         bad = is_quarantined(F.col("injection"))
         for part, path in ((batch.where(~bad), safe_path), (batch.where(bad), bad_path)):
             part.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if report_path:
+            quarantined_urls(batch.where(bad)).write.mode("overwrite").parquet(f"{report_path}/batch={batch_id}")
 
     return passages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -117,6 +117,33 @@ def test_chunks(spark):
     assert len(out[0]) >= 2 and out[1] == [] and len(out[2]) == 40 and max(map(len, out[2])) <= 400 and out[3] is None
 
 
+def test_borders_of_chunks(spark):
+    line = lambda c, n: c * n
+    texts = [
+        line("a", 150) + "\n" + line("b", 100) + " " + line("c", 100),  # before the line end; what is left begins with one, so its spaces do not count
+        line("a", 50) + "\n" + line("b", 120) + " " + line("c", 150),  # a line end in the first half: hard, though a space is late
+        line("a", 150) + " " + line("b", 100) + " " + line("c", 100),  # before the last space
+        line("a", 90) + " " + line("b", 300),  # a space in the first half: hard
+        line("x", 100) + "\n\n" + line("y", 100) + "\n\n" + line("z", 100),  # packs of 200 characters, the joint not counted
+        line("x", 100) + "\n \n" + line("y", 99),  # a line of blanks parts nothing; cut before its second line end
+        line("x", 90) + "\n\n" + "y" * 80,  # fits with the first
+        line("x", 150) + "\n\n" + "y" * 80,  # 80 characters are no chunk
+        "é😀" * 150,
+    ]
+    out = each(spark, lambda c: T.chunks(c, 200, None), texts)
+    assert out == [
+        ["a" * 150, "b" * 100 + " " + "c" * 98],
+        ["a" * 50 + "\n" + "b" * 120 + " " + "c" * 28, "c" * 122],
+        ["a" * 150, "b" * 100 + "\n\n" + "c" * 100],
+        ["a" * 90 + " " + "b" * 109, "b" * 191],
+        ["x" * 100 + "\n\n" + "y" * 100, "z" * 100],
+        ["x" * 100 + "\n\n" + "y" * 99],
+        ["x" * 90 + "\n\n" + "y" * 80],
+        ["x" * 150],
+        ["é😀" * 100, "é😀" * 50],
+    ]
+
+
 def hits(spark, rows):
     return spark.createDataFrame([(1, *r) for r in rows], "query int, lane string, lane_ord int, pos int, url string, title string, snippet string")
 
@@ -151,8 +178,38 @@ def test_cache(spark):
 
 def test_merged_records(spark):
     rows = [("g", 1, "A", None, 0.2, "related", "unchecked", "u1"), ("g", 2, "B", "T", 0.9, "unresolved", "contradicts", "u2"), ("g", 3, "", "U", 0.95, "same", "mixed", "u1")]
-    r = R.merge_records(spark.createDataFrame(rows, "name string, record_id int, brand string, type string, grounding double, binding string, status string, source_url string"), "name", ["brand", "type"]).first()
-    assert (r.brand, r.type, r.binding, r.status, r.sources) == ("B", "U", "same", "contradicts", "u1|u2")
+    rows = [(*x[:6], [x[6]], x[7]) for x in rows]
+    schema = "name string, record_id int, brand string, type string, grounding double, binding string, statuses array<string>, source_url string"
+    r = R.merge_records(spark.createDataFrame(rows, schema), "name", ["brand", "type"]).first()
+    assert (r.brand, r.type, r.binding, r.statuses, r.sources, r.provenance) == ("B", "U", "same", ["contradicts"], "u1|u2", {"brand": "u2", "type": "u1"})
+
+
+@pytest.mark.parametrize(
+    ("a", "b", "want"),
+    [(["not_addressed", "mixed"], ["supports", "ambiguous"], ["supports", "mixed"]), (["unchecked"], ["mixed"], ["mixed"]), ([], ["supports"], ["supports"]), (["ambiguous"], [], ["ambiguous"]), (["mixed"], ["not_addressed", "unchecked"], ["mixed", "unchecked"])],
+)
+def test_merged_statuses(spark, a, b, want):
+    df = spark.createDataFrame([("g", i, "x", 0.5, "same", s, "u") for i, s in enumerate((a, b))], "name string, record_id int, brand string, grounding double, binding string, statuses array<string>, source_url string")
+    assert R.merge_records(df, "name", ["brand"]).first().statuses == want
+
+
+def test_row_limits():
+    assert [R.row_limit(), R.row_limit(0), R.row_limit(7, 3), R.row_limit(None, 3), R.row_limit(None, 0)] == [50, None, 7, 3, 1]
+
+
+def test_authorities(spark):
+    pages = spark.createDataFrame([(1, True, 3, 0.8, 9), (2, True, 2, 0.9, 1), (3, False, 9, 1.0, 2), (4, True, 5, None, 3), (5, True, 5, 0.9, 4)], "page int, on_anchor boolean, entities int, completeness double, seq int")
+    found = G.enumeration_authorities(pages)
+    assert [r.page for r in found.orderBy("seq").collect()] == [5, 1]
+    records = spark.createDataFrame([("a", False), ("b", False), ("c", True), ("d", False), ("e", False)], "record string, own_site boolean")
+    presence = spark.createDataFrame([("a", 1, 0.1), ("a", 5, 0.2), ("b", 1, 0.1), ("c", 1, 0.0), ("c", 5, 0.0), ("d", 1, 0.0), ("d", 5, 0.3), ("e", 1, None), ("e", 5, 0.0), ("a", 3, 1.0)], "record string, page int, presence double")
+    assert {r.record for r in G.drop_unmentioned(records, presence, found).collect()} == {"b", "c", "d", "e"}
+    assert G.drop_unmentioned(records, presence, pages.where("page = 0")).count() == 5
+
+
+def test_anchors(spark):
+    df = spark.createDataFrame([("partners list", "Decidim.org"), ("DECIDIM partners", "www.decidim.org"), ("plans", "Linear Inc.")], "q string, a string")
+    assert [r.x for r in df.select(H.ensure_anchor(F.col("q"), F.col("a")).alias("x")).collect()] == ["partners list Decidim", "DECIDIM partners", "plans Linear Inc."]
 
 
 def test_components_are_stable(spark):
@@ -190,6 +247,34 @@ def test_decoded_pages(spark):
     assert out["a"] == "é" and out["b"].endswith("€") and out["c"] == "é" and out["d"] == "ÿ€"
 
 
+def test_run_log_file(spark, tmp_path):
+    (tmp_path / "runs.jsonl").write_text('{"id":"a","acme_requests":7,"acme_input_tokens" : 9,"acme_cost_usd":0.5,"llm_requests":2,"planner_requests":1,"query":"say \\"x_requests\\": 3"}\n\n{"id":"b","judge_requests":4}\n{oops\n')
+    runs, bad = runlog.read_run_log(spark, str(tmp_path))
+    rows = {r.id: r for r in runs.collect()}
+    assert (rows["a"].judge_requests, rows["a"].judge_input_tokens, rows["a"].judge_cost_usd, rows["a"].llm_requests, rows["a"].planner_requests) == (7, 9, 0.5, 2, 1)
+    assert rows["a"].query == 'say "x_requests": 3' and rows["b"].judge_requests == 4 and [r.value for r in bad.collect()] == ["{oops"]
+
+
+def test_run_log_that_cannot_be_written(spark, tmp_path):
+    (tmp_path / "file").write_text("")
+    runs = spark.createDataFrame([("a", 1_700_000_000)], "id string, started_at long")
+    assert not runlog.append_run_log(runs, f"{tmp_path}/file/log")
+    assert runlog.append_run_log(runs, f"{tmp_path}/log") and runlog.append_run_log(runs, f"{tmp_path}/log")
+    assert spark.read.json(f"{tmp_path}/log").count() == 1
+
+
+def test_named_entities(spark):
+    assert each(spark, T.page_text, ["a&dagger;b &euro; &amp;euro; &unknown;"]) == ["a†b € &euro; &unknown;"]
+
+
+def test_answers_by_kind(spark):
+    df = spark.createDataFrame([(1, "a" * 100), (2, "b" * 300)], "item_id long, text string").repartition(1)
+    questions = [{"id": "c", "kind": "choice", "options": ["x", "y"]}, {"id": "l", "kind": "level", "options": ["no", "some", "most"]}, {"id": "y", "kind": "yes_no"}]
+    told = {"choice": {"probabilities": {"x": 0.25, "y": 0.75}}, "level": {"probabilities": {"some": 0.5, "most": 0.5}}, "yes_no": {"score": 0.125}}
+    out = {(r.item_id, r.question_id): (r.score, r.choice, r.level) for r in P.answer_with(df, questions, lambda t, q: [told[q["kind"]]] * len(t), 200).collect()}
+    assert out == {(1, "c"): (0.75, "y", None), (1, "l"): (0.75, "some", 1), (1, "y"): (0.125, None, None)}
+
+
 def test_repaired_json(spark):
     rows = [(1, '{"a": 1}'), (2, '```json\n{"a": "}"}\n```'), (3, 'x {"a": [{"b": 1}, {"c": '), (4, "none"), (5, None)]
     out = {r.id: (r.json, r.repair_kind) for r in P.repair_json(spark.createDataFrame(rows, "id long, response string")).collect()}
@@ -237,3 +322,50 @@ def test_oversize_items_have_no_score(spark):
     df = spark.createDataFrame([(1, "a" * 10), (2, "b" * 200), (3, "c")], "item_id long, text string").repartition(1)
     out = {r.item_id: r.score for r in P.score_with(df, lambda t: t.str.len() / 100, 100).collect()}
     assert out == {1: 0.1, 2: None, 3: 0.01}
+
+
+def plain_merge(rows):
+    """One query's hits, lane after lane, by the sequential rule."""
+    kept, claims = {}, {}
+    for lane, lane_ord, pos, url, title, snippet, key, tkey, stem in sorted(rows, key=lambda r: (r[1], r[2])):
+        if not url:
+            continue
+        if key in kept:
+            k = kept[key]
+            k["pos"], k["engines"] = min(k["pos"], pos), k["engines"] | {lane}
+            k["snippet"] = snippet if len(snippet) > len(k["snippet"]) else k["snippet"]
+            k["title"] = k["title"] if k["title"].strip() else title
+        elif not (len(tkey.split()) >= 4 and claims.get(tkey, stem) != stem):
+            claims.setdefault(tkey, stem)
+            kept[key] = {"pos": pos, "engines": {lane}, "snippet": snippet, "title": title, "first": (lane_ord, pos)}
+    order = sorted(kept, key=lambda k: (kept[k]["pos"], -len(kept[k]["engines"]), kept[k]["first"]))
+    return [(k, kept[k]["pos"], tuple(sorted(kept[k]["engines"])), kept[k]["title"], kept[k]["snippet"]) for k in order]
+
+
+def test_merging_equals_the_plain_rule(spark, sf):
+    from pagefacts.plans import fixtures
+
+    df = fixtures.hits(spark, sf).dropDuplicates(["query", "lane_ord", "pos"])
+    odd = [(-1, "a", 0, 1, "", "No address here at all", "s"), (-1, "a", 0, 2, None, "No address either at all", "s"), (-1, "b", 1, 1, "https://x.org/1", " ", "s"), (-1, "b", 1, 2, "https://x.org/1/", "A title of four words", "tt"), (-1, "b", 1, 3, "https://y.org/1", "A title of four words", "")]
+    df = df.select("query", "lane", "lane_ord", "pos", "url", "title", "snippet").union(spark.createDataFrame(odd, "query long, lane string, lane_ord int, pos int, url string, title string, snippet string"))
+    keyed = H._keyed(df).select("query", "lane", "lane_ord", "pos", "url", "title", "snippet", "key", "tkey", "stem").collect()
+    by = {}
+    for r in keyed:
+        by.setdefault(r.query, []).append(tuple(r)[1:])
+    got = {}
+    for r in H.merge_hits(df).orderBy("query", "place").collect():
+        got.setdefault(r.query, []).append((r.key, r.pos, tuple(r.engines), r.title, r.snippet))
+    assert got == {q: plain_merge(rows) for q, rows in by.items()} and [x[0] for x in got[-1]] == ["x.org/1", "y.org/1"]
+
+
+def test_components_of_all_parts(spark, sf):
+    """The query over the whole of ``part`` equals a walk over its pairs."""
+    from pagefacts.plans import records as plans
+
+    pairs = [(r.a, r.b) for r in plans.X._columns(spark.read.parquet(f"{sf}/part.parquet"), plans._PAIRS).collect() if r.score >= (1.0 if r.kind == "email" else 1.5)]
+    low = {}
+    find = lambda x: x if low.setdefault(x, x) == x else find(low[x])
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        low[max(a, b)] = min(a, b)
+    assert {r.node: r.component for r in plans.merge_groups(spark, sf).collect()} == {x: find(x) for x in list(low)}
