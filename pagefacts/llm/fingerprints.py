@@ -1,10 +1,9 @@
 """Operator 2: Order MinHash fingerprints of documents, in DataFrame functions only.
 
-A k-mer is a word and the word after it. The ``SAMPLE`` distinct k-mers of smallest hash are chosen
-with all their occurrences, each occurrence is numbered and hashed again, and the hash's leading bits
-deal the occurrences into ``BINS`` bins (one permutation in place of many). The two smallest of a bin,
-put back in text order, hash to the bin's signature. Swapped, moved or replaced words change
-signatures that plain MinHash would keep.
+A k-mer is a word and the word after it. All occurrences of all k-mers are numbered and hashed with
+their numbers; the hash's leading bits deal them into ``BINS`` bins (one permutation in place of
+many). The two smallest of a bin, put back in text order, hash to the bin's signature. Swapped, moved
+or replaced words change signatures that plain MinHash would keep.
 """
 
 from __future__ import annotations
@@ -14,9 +13,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE, BINS = 256, 64
-#: Ranges of doc_id for each shuffle partition, so that hashing the ranges deals evenly.
-RANGES = 16
+from .common import materialize
+
+BINS = 64
+#: Ranges of doc_id for each shuffle partition, so that hashing the ranges deals evenly; most ranges.
+RANGES, MOST_RANGES = 8, 8192
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -29,16 +30,25 @@ def order_minhash(text: Column) -> Column:
     bits = BINS.bit_length() - 1
     bin_of = lambda x: F.shiftrightunsigned(x["m"], 64 - bits)
 
-    def sampled(kmers: Column) -> Column:
-        cut = F.coalesce(F.try_element_at(F.sort_array(F.array_distinct(kmers)), F.lit(SAMPLE)), F.lit(2**63 - 1))
-        return let(F.struct(kmers.alias("k"), cut.alias("cut")), lambda x: F.filter(x["k"], lambda h: h <= x["cut"]))
+    def numbered(kmers: Column) -> Column:
+        """Each k-mer hashed with the number of equal ones before it, and its place. Equal ones lie side by side once
+        sorted; the first of them is searched for only where the one before is equal, by halving."""
+        placed = F.sort_array(F.transform(kmers, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+
+        def first(all_: Column, h: Column, j: Column) -> Column:
+            start = F.struct(F.lit(0).alias("lo"), j.alias("hi"))
+
+            def halve(s: Column, _: Column) -> Column:
+                mid = F.shiftright(s["lo"] + s["hi"], 1)
+                return F.when(s["lo"] >= s["hi"], s).when(F.get(all_, mid)["h"] < h, F.struct((mid + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), mid.alias("hi")))
+
+            return F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(j + 1)).cast("int")), start, halve, lambda s: s["lo"])
+
+        def one(all_: Column, p: Column, j: Column) -> Column:
+            before = F.when((j > 0) & (F.get(all_, j - 1)["h"] == p["h"]), j - first(all_, p["h"], j)).otherwise(0)
+            return F.struct(F.xxhash64(p["h"], before.cast("long")).alias("m"), p["i"].alias("i"))
 
-    def numbered(sample: Column) -> Column:
-        placed = F.sort_array(F.transform(sample, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        return let(
-            F.struct(placed.alias("placed"), F.sort_array(sample).alias("hashes")),
-            lambda x: F.transform(x["placed"], lambda p, j: F.struct(F.xxhash64(p["h"], j + 1 - F.array_position(x["hashes"], p["h"])).alias("m"), p["i"].alias("i"))),
-        )
+        return let(placed, lambda x: F.transform(x, lambda p, j: one(x, p, j)))
 
     def signatures(items: Column) -> Column:
         def signature(x: Column, j: Column) -> Column:
@@ -53,7 +63,7 @@ def order_minhash(text: Column) -> Column:
 
     words = F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+"), "")
     kmers = let(words, lambda w: F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda x, y: F.xxhash64(x, y)))
-    return let(kmers, lambda k: let(sampled(k), lambda s: let(F.sort_array(numbered(s)), signatures)))
+    return let(kmers, lambda k: let(F.sort_array(numbered(k)), signatures))
 
 
 def as_text(signatures: Column) -> Column:
@@ -73,25 +83,33 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text has its last quarter replaced by the beginning of the next document's text. A null
     text is empty. Documents with equal ids follow each other by a hash of their texts; null ids come
-    last. Other columns are ignored. One shuffle carries the texts: documents are dealt by equal ranges
-    of doc_id, the next document is the next row of a range, and the few last rows of ranges meet the
-    head of the range after theirs. Ids that cluster make uneven ranges, not other results.
+    last. Other columns are ignored. One shuffle carries the texts: documents are dealt by ranges that
+    hold about as many rows each (quantiles of doc_id; an id, or null, with more rows than a range is
+    parted by the hash of the text), the next document is the next row of a range, and the few last rows
+    of ranges meet the head of the range after theirs. Only the heads' texts are read a second time.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    cells = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    low, span = low or 0, float((high or 0) - (low or 0) + 1)
-    cell = F.coalesce(F.floor((F.col("doc_id").cast("double") - F.lit(float(low))) / span * cells).cast("int"), F.lit(cells))
-    placed = docs.select("doc_id", "text", cell.alias("cell"), F.xxhash64("text").alias("tie"), order_minhash(F.col("text")).alias("own"))
-
-    rows = Window.partitionBy("cell").orderBy("doc_id", "tie")
-    main = placed.select("*", F.lead("text").over(rows).alias("after"), F.lead("own").over(rows).alias("after_own"), F.row_number().over(rows).alias("nr"))
-    heads = main.where("nr = 1").select(F.col("cell").alias("next"), F.col("text").alias("head"), F.col("own").alias("head_own"))
-    cells_in = placed.select("cell").distinct()
+    cells = min(MOST_RANGES, RANGES * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shares = F.array(*(F.lit(k / cells) for k in range(1, cells)))
+    rows_, known, bounds = docs.agg(F.count("*"), F.count("doc_id"), F.percentile_approx("doc_id", shares, 10 * cells)).first()
+    tie = F.xxhash64("text")
+    share = tie.cast("double") / 2.0**64 + 0.5
+    lower = lambda keep: F.size(F.filter(F.array(*map(F.lit, bounds)), keep)) if bounds else F.lit(0)
+    lo, hi = lower(lambda b: b < F.col("doc_id")), lower(lambda b: b <= F.col("doc_id"))
+    spread = max(1, cells * (rows_ - known) // max(1, rows_))
+    part_of = lambda n: F.least(F.floor(share * n), n - 1).cast("int")
+    cell = F.when(F.col("doc_id").isNull(), F.lit(cells) + part_of(F.lit(spread))).otherwise(let(F.struct(lo.alias("lo"), hi.alias("hi")), lambda x: x["lo"] + F.when(x["hi"] > x["lo"] + 1, part_of(x["hi"] - x["lo"])).otherwise(0)))
+    placed = docs.select("doc_id", "text", cell.alias("cell"), tie.alias("tie"))
+
+    rows = Window.partitionBy("cell").orderBy(F.col("doc_id").asc_nulls_last(), "tie")
+    main = placed.select("*", order_minhash(F.col("text")).alias("own"))
+    main = main.select("*", F.lead("text").over(rows).alias("after"), F.lead("own").over(rows).alias("after_own"))
+    heads = placed.select("cell", "text", F.row_number().over(rows).alias("nr")).where("nr = 1").select(F.col("cell").alias("next"), F.col("text").alias("head"))
     everything = Window.orderBy("cell")
-    follows = cells_in.select("cell", F.coalesce(F.lead("cell").over(everything), F.min("cell").over(Window.partitionBy())).alias("next"))
-    heads = follows.join(heads.hint("merge"), "next").select(F.col("cell").alias("of"), "head", "head_own")
+    follows = heads.select(F.col("next").alias("cell")).select("cell", F.coalesce(F.lead("cell").over(everything), F.min("cell").over(Window.partitionBy())).alias("next"))
+    heads = materialize(follows.join(heads.hint("merge"), "next").select(F.col("cell").alias("of"), "head"), "heads")
+    heads = heads.select("*", order_minhash(F.col("head")).alias("head_own"))
     main = main.join(heads.hint("merge"), (F.col("cell") == F.col("of")) & F.col("after").isNull(), "left")
 
     n = F.char_length("text")

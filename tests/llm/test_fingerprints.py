@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -49,14 +50,13 @@ def test_equal_texts_and_order(spark):
 
 
 def plain_fingerprint(spark, text):
-    """Signatures by the definition: sampled k-mers, occurrence numbers, bins, two smallest in text order."""
+    """Signatures by the definition: k-mers, occurrence numbers, bins, two smallest in text order."""
     words = [w for w in re.split("[\x20\t-\r]+", text) if w]
     h = lambda *xs: spark.sql(f"select {', '.join(f'xxhash64({a})' for a in xs)}").first()
     quoted = [f"'{a}', '{b}'" if b else f"'{a}', cast(null as string)" for a, b in zip(words, words[1:] + [None], strict=True)]
     kmers = list(h(*quoted)) if words else []
-    limit = sorted(set(kmers))[P.SAMPLE - 1] if len(set(kmers)) >= P.SAMPLE else 2**63 - 1
     seen, items = {}, []
-    for i, k in enumerate(x for x in kmers if x <= limit):
+    for i, k in enumerate(kmers):
         items.append((k, seen.setdefault(k, 0), i))
         seen[k] += 1
     marks = list(h(*(f"{k}L, {n}L" for k, n, _ in items))) if items else []
@@ -71,7 +71,7 @@ def plain_fingerprint(spark, text):
 
 
 def test_signatures_by_definition(spark):
-    texts = ["a b a b a b c a b", "only", " ".join(f"w{i * i % 53}" for i in range(150)), " ".join(f"v{i}" for i in range(500))]
+    texts = ["a b a b a b c a b", "only", "so " * 40 + "la so " * 30, " ".join(f"w{i * i % 53}" for i in range(150)), " ".join(f"v{i}" for i in range(500))]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
     got = {r.i: r.f for r in df.select("i", P.as_text(P.order_minhash(F.col("text"))).alias("f")).collect()}
     assert got == {i: plain_fingerprint(spark, t) for i, t in enumerate(texts)}
@@ -82,3 +82,35 @@ def test_whole_table(spark, sf):
     out = check(spark, [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], 3)
     far = [r for r in out.values() if r.n_chars > 300]
     assert sum(r.near_edited > r.near_next for r in far) > 0.95 * len(far)
+
+
+def test_repeated_and_missing_ids(spark):
+    """Ids that hold many rows are parted by their texts' hashes; each text still meets the next one."""
+    rows = [(5, f"five {i} words in here {i * 7}") for i in range(300)] + [(None, f"no id at all {i}") for i in range(300)] + [(i, f"text number {i}") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    order = [(r.doc_id, r.text) for r in df.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text")).collect()]
+    want = []
+    for i, (d, text) in enumerate(order):
+        after, q = order[(i + 1) % len(order)][1], len(text) // 4
+        want.append((d, hashlib.sha256((text[: len(text) - q] + after[:q]).encode()).hexdigest()))
+    got = [(r.doc_id, r.edited_sha256) for r in P.fingerprints(df.repartition(5)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_time_grows_with_the_text(spark):
+    def seconds(n):
+        df = spark.createDataFrame([(" ".join(f"w{i * i % 15}" for i in range(n)),)], "text string")
+        began = time.monotonic()
+        df.select(P.as_text(P.order_minhash(F.col("text")))).collect()
+        return time.monotonic() - began
+
+    seconds(1000)
+    assert seconds(40_000) < 4 * seconds(20_000) + 1
+
+
+def test_order_and_edits_change_the_likeness(spark):
+    words = [f"w{i}" for i in range(1000)]
+    few = [w if i % 50 else "x" for i, w in enumerate(words)]
+    many = [w if i % 5 else f"y{i}" for i, w in enumerate(words)]
+    out = check(spark, [(1, " ".join(words)), (2, " ".join(few)), (3, " ".join(words)), (4, " ".join(many)), (5, " ".join(words)), (6, " ".join(reversed(words)))])
+    assert out[1].near_next > 0.8 > out[3].near_next > out[5].near_next
