@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -20,6 +20,8 @@ from .common import components, materialize, mix, scratch, shingle_sets, sized_h
 SHARE = 0.35
 #: Rounds after the first leaders: the last one takes all pairs between different components of a signature.
 STAR_ROUNDS = 2
+#: Members of a signature in one block: larger ones meet block by block, so that no task owns a signature.
+BLOCK_MEMBERS = 2_000
 #: 64-bit words of a set's parity bits, first signatures that go with them, and most sets for which both are broadcast.
 PARITY, FIRST_SIGNS, PARITY_ROWS = 8, 6, 60_000
 
@@ -227,19 +229,29 @@ def _components(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int =
 
 def _across(members: DataFrame, sets: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     """Pairs between the components of a signature, without those whose sizes, shared shingles or parity
-    bits rule out a link. A pair whose sets have first signatures in common comes at the least of them only."""
+    bits rule out a link. A pair whose sets have first signatures in common comes at the least of them only.
+
+    A signature's members are dealt into blocks by hash, and each pair of blocks is a key of its own; sets meet only
+    where their sizes' steps (each a third above the last) are equal or next to each other, as sizes of linked sets are."""
     reps = members.select("rep").distinct()
     count = reps.count()
     known = reps.hint("merge").join(sets.select("rep", "bits"), "rep").join(signed.select("rep", F.slice("signs", 1, FIRST_SIGNS).alias("signs")).hint("merge"), "rep")
     rows = members.join(sized_hint(materialize(known, "parity"), count, PARITY_ROWS), "rep")
-    side = lambda c: rows.select("sign", *(F.col(a).alias(f"{b}{c}") for a, b in (("rep", ""), ("n", "n"), ("held", "h"), ("label", "l"), ("bits", "b"), ("signs", "s"))))
+    rows = rows.join(members.groupBy("sign").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("blocks")).hint("shuffle_hash"), "sign")
+    step = F.floor(F.log(F.col("n")) / math.log(100 / percent * (1 + 1e-9))).cast("long")
+    rows = rows.withColumns({"block": F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), "step": step})
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    side = lambda c: rows.select("sign", "block", "step", every.alias("every"), *(F.col(a).alias(f"{b}{c}") for a, b in (("rep", ""), ("n", "n"), ("held", "h"), ("label", "l"), ("bits", "b"), ("signs", "s"))))
     apart = sum((F.bit_count(F.col("bx")[i].bitwiseXOR(F.col("by")[i])) for i in range(PARITY)), F.lit(0))
     total = F.col("nx") + F.col("ny")
     fits = (F.col("lx") < F.col("ly")) & (F.least("hx", "hy") * (100 + percent) >= total * percent) & ((total - apart) * (100 + percent) >= 2 * total * percent)
     common = F.array_intersect("sx", "sy")
     once = (F.size(common) == 0) | (F.array_min(common) == F.col("sign"))
-    x, y = side("x"), side("y").withColumnRenamed("sign", "other").hint("merge")
-    return x.join(y, (F.col("sign") == F.col("other")) & fits & once).select("x", "y", "nx", "ny", "hx", "hy")
+    x = side("x").withColumn("to", F.explode("every")).withColumnRenamed("block", "from")
+    y = side("y").withColumn("from_y", F.explode("every")).withColumn("step_y", F.explode(F.array(*(F.col("step") + k for k in (-1, 0, 1)))))
+    y = y.select(F.col("sign").alias("other"), "from_y", F.col("block").alias("to_y"), "step_y", *(f"{b}y" for b in ("", "n", "h", "l", "b", "s"))).hint("merge")
+    same = (F.col("sign") == F.col("other")) & (F.col("from") == F.col("from_y")) & (F.col("to") == F.col("to_y")) & (F.col("step") == F.col("step_y"))
+    return x.join(y, same & fits & once).select("x", "y", "nx", "ny", "hx", "hy")
 
 
 def _fitting(pairs: DataFrame, percent: int) -> DataFrame:
@@ -264,32 +276,35 @@ def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame, n: int = 5, **how) -> DataFrame:
-    """The rows of ``docs``, with all columns, that stay when each component keeps its smallest doc_id.
+    """The rows of ``docs``, with all columns whatever they are called, that stay when each component keeps its smallest
+    doc_id.
 
     Rows without words and rows with a null doc_id all stay. Where rows share the doc_id that a component
     keeps, the one of smallest digest stays; ids that occur once need no second look at the texts.
     """
     with scratch(docs.sparkSession):
         found = _components(docs, n=n, **how).where("n_shingles > 0 and doc_id is not null")
-        found = materialize(found.select(F.col("doc_id").alias("_id"), "component_id", "d1", "d2"), "components", keep=True)
-    twice = found.groupBy("_id").count().where("count > 1").select("_id")
-    gone = found.where("_id != component_id").select("_id").distinct()
+        found = materialize(found.select("doc_id", "component_id", "d1", "d2"), "components", keep=True)
+    twice = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    gone = found.where("doc_id != component_id").select("doc_id").distinct()
     several = twice.count()
-    same_id = docs["doc_id"].cast("long") == F.col("_id")
+    own = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"))
     if not several:
-        return docs.join(sized_hint(gone, gone.count()), same_id, "left_anti")
+        return own.join(sized_hint(gone, gone.count()), "doc_id", "left_anti").select("doc.*")
     twice = materialize(twice, "repeated")
-    gone = gone.join(twice.hint("merge"), "_id", "left_anti")
-    once = docs.join(sized_hint(gone.union(twice), gone.count() + several), same_id, "left_anti")
-    stays = found.where("_id = component_id").join(twice.hint("merge"), "_id").groupBy("_id", "component_id").agg(F.min(F.struct("d1", "d2")).alias("_d")).select("_id", "_d")
-
-    @F.pandas_udf("d1 long, d2 long")
-    def digest(texts: pd.Series) -> pd.DataFrame:
-        sets = shingle_sets(pa.array(texts, pa.string(), from_pandas=True), n)
-        return pd.DataFrame([_digest(x) if len(x) else (None, None) for x in sets], columns=["d1", "d2"], dtype="Int64")
-
-    again = docs.join(sized_hint(twice, several), same_id, "left_semi").withColumn("_d", digest("text"))
-    empty = again.where("_d.d1 is null").drop("_d")
-    again = again.join(stays.hint("merge"), (same_id) & (again["_d"] == stays["_d"])).drop(stays["_d"])
-    again = again.withColumn("_nr", F.row_number().over(Window.partitionBy("_id", "_d").orderBy(F.lit(0)))).where("_nr = 1")
-    return once.unionByName(again.select(*docs.columns)).unionByName(empty)
+    gone = gone.join(twice.hint("merge"), "doc_id", "left_anti")
+    once = own.join(sized_hint(gone.union(twice), gone.count() + several), "doc_id", "left_anti").select("doc.*")
+    stays = found.where("doc_id = component_id").join(twice.hint("merge"), "doc_id").groupBy("doc_id", "component_id").agg(F.min(F.struct("d1", "d2")).alias("digest")).select("doc_id", "digest")
+
+    @F.arrow_udf("d1 long, d2 long")
+    def digest(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in parts:
+            batch = pa.RecordBatch.from_arrays([part], ["text"])
+            found = [_digest(x) if len(x) else (None, None) for y in slices(iter([batch]), "text") for x in shingle_sets(y.column(0), n)]
+            yield pa.StructArray.from_arrays([pa.array([d[k] for d in found], pa.int64()) for k in (0, 1)], ["d1", "d2"])
+
+    again = own.join(sized_hint(twice, several), "doc_id", "left_semi").withColumn("digest", digest("doc.text"))
+    empty = again.where("digest.d1 is null").select("doc.*")
+    again = again.join(stays.hint("merge"), ["doc_id", "digest"])
+    again = again.withColumn("nr", F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy(F.lit(0)))).where("nr = 1")
+    return once.unionByName(again.select("doc.*")).unionByName(empty)

@@ -59,6 +59,19 @@ def test_equals_brute_force(spark, seed, frequent, very):
     assert got(spark.createDataFrame(rows, "doc_id long, text string"), frequent=frequent, very_frequent=very) == brute(rows)
 
 
+def test_hot_signatures_meet_block_by_block(spark, monkeypatch):
+    """300 texts of one template, of which only some link: signatures with many components, in blocks of 7 members."""
+    monkeypatch.setattr(J, "BLOCK_MEMBERS", 7)
+    r = random.Random(11)
+    template, rows = [f"t{i}" for i in range(90)], []
+    for i in range(300):
+        words = list(template)
+        at = r.randrange(60)
+        words[at : at + r.choice((14, 20, 26))] = [f"u{r.randrange(40)}x{i % 60}" for _ in range(r.randrange(10, 40))]
+        rows.append((i, " ".join(words)))
+    assert got(spark.createDataFrame(rows, "doc_id long, text string"), frequent=8, very_frequent=40) == brute(rows)
+
+
 def test_signatures_of_links_meet():
     r = np.random.default_rng(5)
     tokens = np.unique(r.integers(0, 2**63, 3000, dtype=np.uint64) * np.uint64(2))
