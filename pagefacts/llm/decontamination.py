@@ -18,33 +18,36 @@ from pyspark.sql import functions as F
 from .common import ngram_hashes, slices, word_hashes
 
 #: Words of a seed (a shorter item is one seed); words of the items in one block, which bounds what is broadcast.
-SEED, BLOCK_WORDS = 4, 400_000
+SEED, BLOCK_WORDS = 4, 2_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least score as a share of the item's own.
 LEAST_SCORE = 0.5
 
 
-def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int, int, int]:
-    """Best local alignment: score, start and end in the passage, start and end in the item."""
-    steps = np.arange(len(passage) + 1) * -GAP
-    last = np.zeros(len(passage) + 1, np.int64)
-    rows = [last]
-    for word in item:
-        now = np.maximum(last + GAP, 0)
-        now[1:] = np.maximum(now[1:], last[:-1] + np.where(passage == word, MATCH, MISMATCH))
+def _extent(item: np.ndarray, passage: np.ndarray, local: bool) -> tuple[int, int, int]:
+    """Best score and where it ends in item and passage, row by row: ``local`` alignments begin anywhere, others at
+    the beginning of both. Memory is a row of the passage."""
+    steps = np.arange(len(passage) + 1, dtype=np.int32) * np.int32(-GAP)
+    last = np.zeros(len(passage) + 1, np.int32) if local else -steps
+    best, at = 0, (0, 0)
+    for i, word in enumerate(item, 1):
+        now = last + GAP
+        if local:
+            np.maximum(now, 0, out=now)
+        np.maximum(now[1:], last[:-1] + np.where(passage == word, MATCH, MISMATCH).astype(np.int32), out=now[1:])
         last = np.maximum.accumulate(now + steps) - steps
-        rows.append(last)
-    table = np.stack(rows)
-    i, j = np.unravel_index(int(table.argmax()), table.shape)
-    score, end_i, end_j = int(table[i, j]), int(i), int(j)
-    while i and j and table[i, j]:
-        if table[i, j] == table[i - 1, j - 1] + (MATCH if item[i - 1] == passage[j - 1] else MISMATCH):
-            i, j = i - 1, j - 1
-        elif table[i, j] == table[i - 1, j] + GAP:
-            i -= 1
-        else:
-            j -= 1
-    return score, int(j), end_j, int(i), end_i
+        j = int(last.argmax())
+        if last[j] > best:
+            best, at = int(last[j]), (i, j)
+    return best, *at
+
+
+def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int, int, int]:
+    """Best local alignment (Smith-Waterman): score, start and end in the passage, start and end in the item. The start
+    is the end of the best alignment of what lies before the end, read backwards."""
+    score, i, j = _extent(item, passage, True)
+    _, back_i, back_j = _extent(item[:i][::-1], passage[:j][::-1], False)
+    return score, j - back_j, j, i - back_i, i
 
 
 class Seeds:
@@ -57,8 +60,8 @@ class Seeds:
         grams = [ngram_hashes(x, min(SEED, len(x))) for x in items]
         self.names, number = np.unique(np.concatenate([np.empty(0, np.uint64), *grams]), return_inverse=True)
         order = np.argsort(number, kind="stable")
-        self.item = np.repeat(np.arange(len(items)), [len(x) for x in grams])[order]
-        self.position = np.concatenate([np.empty(0, np.int64), *(np.arange(len(x)) for x in grams)])[order]
+        self.item = np.repeat(np.arange(len(items), dtype=np.int32), [len(x) for x in grams])[order]
+        self.position = np.concatenate([np.empty(0, np.int32), *(np.arange(len(x), dtype=np.int32) for x in grams)])[order]
         self.first = np.searchsorted(number[order], np.arange(len(self.names) + 1))
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.names >> np.uint64(44)).astype(np.int64)] = True

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialize
+from .common import BROADCAST_ROWS, materialize, sized_hint
 
 #: A line goes when this percentage of the host's pages, and so many pages, hold it.
 PERCENT, LEAST_PAGES = 30, 3
@@ -31,13 +31,15 @@ def without_boilerplate(pages: DataFrame, percent: int = PERCENT, least: int = L
     A line counts once for a page. Null, empty or unparsable urls share the host ''; a null html has no
     lines. Repeated rows are pages of their own; other columns are ignored. A host has at most
     100 / ``percent`` times its mean lines per page to drop, so a host's list stays short however many
-    pages it has; pages are never gathered by host.
+    pages it has; pages are never gathered by host. The table of hosts (host, pages) is broadcast while its counted
+    size allows it, so the counted lines of a large host stay where the count left them.
     """
     host = F.lower(F.coalesce(F.regexp_extract("url", HOST, 1), F.lit("")))
     lined = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), page_lines(F.coalesce("html", F.lit(""))).alias("lines"))
     counts = lined.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x)))).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     totals = lined.groupBy("host").agg(F.count("*").alias("pages"))
-    drop = counts.join(totals.hint("merge"), "host").where(F.col("n") * 100 >= F.col("pages") * percent)
+    totals = materialize(totals, "hosts")
+    drop = counts.join(sized_hint(totals, totals.count()), "host").where(F.col("n") * 100 >= F.col("pages") * percent)
     drop = materialize(drop.groupBy("host").agg(F.collect_list("line").alias("dropped")), "boilerplate")
     if (drop.agg(F.sum(F.size("dropped"))).first()[0] or 0) <= BROADCAST_ROWS:
         met = lined.join(F.broadcast(drop), "host", "left")

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, slices, words_of
+from .common import materialize, mix, sized_hint, slices, words_of
 
 #: Words of a block; slots of a shard and most shards (beyond it shards get larger).
 BLOCK, SHARD_SLOTS, MOST_SHARDS = 128, 1024, 4096
@@ -159,7 +159,7 @@ class Mix:
         null_safe = lambda a, b: a["source"].eqNullSafe(b["source"])
         heads = heads.hint("merge")
         light = light.join(heads, null_safe(light, heads) & (light["chunk"] == heads["chunk"])).select(light["doc_id"], light["source"], "tie", "nr", "size", (F.col("head") + F.col("within")).alias("start"))
-        small = F.broadcast(self.sources.select("source", "source_nr")) if len(order) <= 100_000 else self.sources.select("source", "source_nr").hint("merge")
+        small = sized_hint(self.sources.select("source", "source_nr"), len(order))
         rows = light.join(small, null_safe(light, small)).select("tie", "nr", "doc_id", light["source"], "source_nr", "size", "start")
         self.rows = materialize(rows, "mixed")
 
@@ -199,7 +199,7 @@ def taken_words(docs: DataFrame) -> DataFrame:
     taken = mixed.spans().groupBy("source_nr", "start").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
     rows = mixed.rows.withColumn("start", F.when(F.col("size") > 0, F.col("start")))
     out = rows.join(taken.hint("merge"), ["source_nr", "start"], "left")
-    return out.join(F.broadcast(mixed.sources.drop("source")), "source_nr").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.join(sized_hint(mixed.sources.drop("source"), len(mixed.plan.size)), "source_nr").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:

@@ -26,6 +26,8 @@ from .tokens import worker_encoder
 
 #: Tokens of a sequence, and sequences of a record batch.
 LENGTH, ROWS = 2048, 64
+#: Bytes of text that go to one file, about.
+FILE_BYTES = 512 << 20
 
 
 def _schema(dtype: np.dtype, length: int) -> pa.Schema:
@@ -71,7 +73,8 @@ def write_sequences(docs: DataFrame, folder: str, path: str, end_id: int = 2, le
     whole files. What reaches the driver is one row for each file.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
     tie = F.xxhash64("text")
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).repartitionByRange(parts, "doc_id", tie).sortWithinPartitions("doc_id", tie)
 

@@ -20,6 +20,8 @@ BESIDE, LEAST, MOST = 3, 1, 256
 WINDOW, LONG, BITS = 8, 16, 3
 #: Least bytes, or words, of neighbouring repeated chunks that are reported. A passage of 50 words loses up to a chunk and ``BESIDE`` words at either end.
 LEAST_RUN, LEAST_WORDS = 160, 18
+#: Least words of a passage that a document repeats within itself; most digests that are broadcast.
+LEAST_WITHIN, MOST_HEAVY = 50, 200_000
 GEAR = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -66,15 +68,15 @@ def cuts(data: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["row", "doc_id", "from_char", "to_char", "n_bytes", "n_words", "d1", "d2"]
+    names = ["row", "doc_id", "tie", "from_char", "to_char", "n_bytes", "n_words", "d1", "d2"]
     row = TaskContext.get().partitionId() << 36
     for part in slices(batches, "text"):
-        columns, digests = [[] for _ in names[:6]], []
+        columns, digests = [[] for _ in names[:7]], []
         for doc_id, text in zip(part.column("doc_id").to_pylist(), pc.fill_null(part.column("text"), "").cast(pa.binary()).to_pylist(), strict=True):
             row += 1
             if not text:
                 continue
-            data = np.frombuffer(text, np.uint8)
+            data, tie = np.frombuffer(text, np.uint8), int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
             begun = word_starts(data)
             ends = cuts(data, begun)
             starts = np.concatenate([[0], ends[:-1]])
@@ -85,7 +87,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts, ends = starts[first], np.append(starts[first][1:], len(text))
             chars = np.concatenate([[0], np.cumsum(data & 0xC0 != 0x80)])
             words = np.concatenate([[0], np.cumsum(begun)])
-            for column, values in zip(columns, ([row] * len(ends), [doc_id] * len(ends), chars[starts], chars[ends], ends - starts, words[ends] - words[starts]), strict=True):
+            for column, values in zip(columns, ([row] * len(ends), [doc_id] * len(ends), [tie] * len(ends), chars[starts], chars[ends], ends - starts, words[ends] - words[starts]), strict=True):
                 column.extend(values)
             for k, a, size, n in zip(at.tolist(), starts.tolist(), lengths[at].tolist(), repeats.tolist(), strict=True):
                 once = text[a : a + size]
@@ -95,32 +97,64 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, names)
 
 
-def repeated_passages(docs: DataFrame, least: int = LEAST_RUN, words: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, from_char, to_char, n_bytes, n_chunks, keeper_id of each passage that another document keeps.
-
-    A chunk stays in the document of smallest doc_id that holds it (null ids come last); every other
-    document's neighbouring chunks of that kind form a passage, reported from ``least`` bytes or ``words`` words
-    on with the smallest of its keepers. Rows with one doc_id are one document for this; null and empty texts
-    hold nothing; other columns are ignored. A chunk's copies are only counted and joined, never gathered;
-    equal chunks in a row count as one, which others match that repeat it as often or ``LEAST_WORDS`` words long.
+def _met(chunks: DataFrame, keepers: DataFrame) -> DataFrame:
+    """Chunks with their keepers. The digests of most copies, MOST_HEAVY at most, are broadcast, so that a digest with a
+    large share of all rows is no shuffle key; the rest is shuffled."""
+    sizes = {r.size: r.n for r in keepers.groupBy(F.floor(F.log2("copies")).alias("size")).agg(F.count("*").alias("n")).collect()}
+    least, held = 64, 0
+    for size in sorted(sizes, reverse=True):
+        held += sizes[size]
+        if held > MOST_HEAVY:
+            break
+        least = size
+    heavy = keepers.where(F.floor(F.log2("copies")) >= least)
+    if held <= MOST_HEAVY:
+        return chunks.join(F.broadcast(keepers), ["d1", "d2"])
+    rest = keepers.where(F.floor(F.log2("copies")) < least)
+    light = chunks.join(F.broadcast(heavy.select("d1", "d2")), ["d1", "d2"], "left_anti").join(rest.hint("shuffle_hash"), ["d1", "d2"])
+    return chunks.join(F.broadcast(heavy), ["d1", "d2"]).unionByName(light)
+
+
+def repeated_passages(docs: DataFrame, least: int = LEAST_RUN, words: int = LEAST_WORDS, within: int = LEAST_WITHIN) -> DataFrame:
+    """doc_id, from_char, to_char, n_bytes, n_chunks, keeper_id of each passage that is kept elsewhere.
+
+    A chunk stays in the document of smallest doc_id that holds it (null ids come last; rows that share an id, or
+    have none, are documents of their own, in order of their texts' hashes); every other document's neighbouring
+    chunks of that kind form a passage, reported from ``least`` bytes or ``words`` words on with the smallest of its
+    keepers. Where a document holds a chunk again that it keeps itself, neighbouring ones are a passage from ``within``
+    words on, with the document as its own keeper; the first occurrence stays. Null and empty texts hold nothing;
+    other columns are ignored. A chunk's copies are only counted and joined, never gathered; equal chunks in a row
+    count as one, which others match that repeat it as often or ``LEAST_WORDS`` words long.
     """
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc_id"), "text")
-    chunks = materialize(docs.mapInArrow(_chunks, "row long, doc_id long, from_char long, to_char long, n_bytes long, n_words long, d1 long, d2 long"), "chunks")
-    keepers = chunks.groupBy("d1", "d2").agg(F.min("doc_id").alias("keeper_id"), F.max("doc_id").alias("other")).where("keeper_id < other").drop("other")
-    gone = chunks.join(keepers.hint("shuffle_hash"), ["d1", "d2"]).where("doc_id != keeper_id")
-    order = Window.partitionBy("row").orderBy("from_char")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    chunks = materialize(docs.mapInArrow(_chunks, "row long, doc_id long, tie long, from_char long, to_char long, n_bytes long, n_words long, d1 long, d2 long"), "chunks")
+    plain = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count() == 0
+    # Where ids tell documents apart, the least id does; the comparison of structs costs a sort.
+    first = F.min("doc_id") if plain else F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "row"))
+    keepers = chunks.groupBy("d1", "d2").agg(first.alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    keepers = materialize(keepers.select("d1", "d2", "copies", F.col("first" if plain else "first.doc_id").alias("keeper_id"), *([] if plain else [F.col("first.row").alias("keeper_row")])), "keepers")
+    same = F.col("doc_id") == F.col("keeper_id") if plain else F.col("row") == F.col("keeper_row")
+    met = _met(chunks, keepers).withColumn("own", same)
+    # In its keeper a chunk stays where it comes first.
+    again = F.row_number().over(Window.partitionBy("row", "d1", "d2").orderBy("from_char")) > 1
+    own = met.where("own").withColumn("again", again).where("again").drop("again")
+    gone = met.where(~F.col("own")).unionByName(own)
+    order = Window.partitionBy("row", "own").orderBy("from_char")
     gone = gone.withColumn("starts", F.when(F.lag("to_char").over(order) == F.col("from_char"), 0).otherwise(1))
     gone = gone.withColumn("run", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = gone.groupBy("row", "doc_id", "run").agg(F.min("from_char").alias("from_char"), F.max("to_char").alias("to_char"), F.sum("n_bytes").alias("n_bytes"), F.sum("n_words").alias("n_words"), F.count("*").alias("n_chunks"), F.min("keeper_id").alias("keeper_id"))
-    real = F.when(F.col("doc_id") < 2**63 - 1, F.col("doc_id"))
-    return runs.where((F.col("n_bytes") >= least) | (F.col("n_words") >= words)).select(real.alias("doc_id"), "from_char", "to_char", "n_bytes", "n_chunks", "keeper_id")
+    runs = gone.groupBy("row", "own", "run").agg(F.first("doc_id").alias("doc_id"), F.min("from_char").alias("from_char"), F.max("to_char").alias("to_char"), F.sum("n_bytes").alias("n_bytes"), F.sum("n_words").alias("n_words"), F.count("*").alias("n_chunks"), F.min("keeper_id").alias("keeper_id"))
+    long_ = F.when(F.col("own"), F.col("n_words") >= within).otherwise((F.col("n_bytes") >= least) | (F.col("n_words") >= words))
+    return runs.where(long_).select("doc_id", "from_char", "to_char", "n_bytes", "n_chunks", "keeper_id")
 
 
 def without_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """``docs`` with the passages cut out of their texts; ids must be unique. All columns stay."""
-    spans = passages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("from_char", "to_char"))).alias("_spans")).hint("merge")
-    met = docs.join(spans, "doc_id", "left").withColumn("_ends", F.concat(F.array(F.lit(0).cast("long")), F.transform("_spans", lambda s: s["to_char"])))
-    starts = F.concat(F.transform("_spans", lambda s: s["from_char"]), F.array(F.char_length("text").cast("long")))
-    kept = F.zip_with("_ends", starts, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    text = F.array_join(F.transform(kept, lambda x: F.substring("text", x["a"].cast("int") + 1, (x["b"] - x["a"]).cast("int"))), "")
-    return met.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(text)).select(*docs.columns)
+    """``docs`` with the passages cut out of their texts; all columns stay, whatever they are called. A passage belongs to
+    the rows of its doc_id, so ids must be unique; rows with a null id keep their texts."""
+    spans = passages.where("doc_id is not null").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("from_char", "to_char"))).alias("spans")).hint("merge")
+    met = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id")).join(spans, "doc_id", "left")
+    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda s: s["to_char"]))
+    starts = F.concat(F.transform("spans", lambda s: s["from_char"]), F.array(F.char_length("doc.text").cast("long")))
+    kept = F.zip_with(ends, starts, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    text = F.array_join(F.transform(kept, lambda x: F.substring("doc.text", x["a"].cast("int") + 1, F.greatest(x["b"] - x["a"], F.lit(0)).cast("int"))), "")
+    text = F.when(F.col("spans").isNull(), F.col("doc.text")).otherwise(text)
+    return met.select(*((text if c == "text" else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -91,3 +92,29 @@ def test_hot_item_equals_brute_force(spark):
     df, bench = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
     assert {(x.doc_id, x.item_id) for x in D.benchmark_copies(df, bench).collect()} == want
     assert {x.doc_id for x in D.without_copies(df, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+
+
+def test_long_items_need_little_memory():
+    r = np.random.default_rng(3)
+    item = r.integers(0, 2**62, 10_000).astype(np.uint64)
+    passage = np.concatenate([r.integers(0, 2**62, 4000).astype(np.uint64), item[1000:9000], r.integers(0, 2**62, 4000).astype(np.uint64)])
+    tracemalloc.start()
+    assert D.align(item, passage) == (16_000, 4000, 12_000, 1000, 9000)
+    assert tracemalloc.get_traced_memory()[1] < 20_000_000
+    tracemalloc.stop()
+
+
+def test_edited_copies_are_found(spark):
+    """Copies with a tenth of their words replaced, left out or added: nine in ten at least are found."""
+    r = random.Random(17)
+    text = lambda n: [f"v{r.randrange(5000)}" for _ in range(n)]
+    items = [text(r.choice((20, 30, 60))) for _ in range(100)]
+    docs = []
+    for d in range(400):
+        copy = []
+        for w in items[d % 100] if d < 200 else text(40):
+            what = r.random()
+            copy += [w] if what > 0.1 else [] if what > 0.066 else ["new"] if what > 0.033 else [w, "more"]
+        docs.append((d, " ".join(text(50) + copy + text(50))))
+    found = {(x.doc_id, x.item_id) for x in D.benchmark_copies(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")).collect()}
+    assert len(found & {(d, d % 100) for d in range(200)}) >= 180 and not found - {(d, d % 100) for d in range(200)}

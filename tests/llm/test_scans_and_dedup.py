@@ -141,3 +141,62 @@ def test_every_passage_of_51_short_words(spark):
     assert all(x.keeper_id == x.doc_id - 1000 for x in out if x.doc_id % 8)
     few = [(1, "start la la la end of it"), (2, "other " + "la " * 60 + "more of this")]
     assert S.repeated_passages(spark.createDataFrame(few, "doc_id long, text string")).count() == 0
+
+
+def plain_passages(rows, within=True):
+    """Runs of repeated chunks by a table of all chunks in memory; rows are (doc_id, text) with ids of their own."""
+    places, chunks = {}, {}
+    for d, text in sorted(rows):
+        data = text.encode()
+        ends = S.cuts(np.frombuffer(data, np.uint8)).tolist() if data else []
+        chunks[d] = [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        for k, c in enumerate(chunks[d]):
+            places.setdefault(c, (d, k))
+    found = set()
+    for d, own in chunks.items():
+        for kept_here, floor in ((False, None), (True, S.LEAST_WITHIN)):
+            run, at = [], 0
+            for k, c in enumerate([*own, None]):
+                gone = c is not None and places[c] != (d, k) and (places[c][0] == d) == kept_here
+                if gone:
+                    run.append((at, c, places[c][0]))
+                elif run:
+                    text = b"".join(x for _, x, _ in run)
+                    n_words = int(S.word_starts(np.frombuffer(b"".join(own), np.uint8))[run[0][0] : run[0][0] + len(text)].sum())
+                    if n_words >= floor if floor else len(text) >= S.LEAST_RUN or n_words >= S.LEAST_WORDS:
+                        start = len(b"".join(own)[: run[0][0]].decode())
+                        found.add((d, start, start + len(text.decode()), len(text), len(run), min(x for _, _, x in run)))
+                    run = []
+                at += len(c or b"")
+    return found
+
+
+@pytest.mark.parametrize("heavy", [200_000, 3])
+def test_passages_equal_the_plain_table(spark, monkeypatch, heavy):
+    monkeypatch.setattr(S, "MOST_HEAVY", heavy)
+    r = random.Random(31)
+    words = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 9))) for _ in range(n))
+    shared = [words(n) for n in (20, 55, 70, 200)]
+    rows = []
+    for i in range(120):
+        parts = [words(r.randrange(5, 60)) for _ in range(3)]
+        for _ in range(r.choice((0, 0, 1, 2))):
+            parts.insert(r.randrange(4), r.choice(shared))
+        rows.append((i, " ".join(parts)))
+    rows.append((500, shared[3] + " mid " + shared[3] + " é " + words(9)))
+    out = {tuple(x) for x in S.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == plain_passages(rows) and len(out) > 40
+    assert any(d == k == 500 for d, *_, k in plain_passages([rows[-1]])) and {x.keeper_id for x in S.repeated_passages(spark.createDataFrame(rows[-1:], "doc_id long, text string")).collect()} == {500}
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    r = random.Random(9)
+    words = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 9))) for _ in range(n))
+    same, other, long_ = words(80), words(80), "la " * 60_000 + words(80)
+    rows = [(1, same), (1, same), (None, other), (None, other), (None, other), (2, long_), (3, long_)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted((str(x.doc_id), str(x.keeper_id)) for x in S.repeated_passages(df.repartition(3)).collect())
+    assert [x for x in out if x[0] != "3"] == [("1", "1"), ("None", "None"), ("None", "None")] and ("3", "2") in out
+    odd = spark.createDataFrame([(1, same, 5, "x", None), (2, "é" + same, 6, "y", 1), (None, same, 7, "z", 2)], "doc_id long, text string, _spans int, _ends string, spans int")
+    cut = S.without_passages(odd, S.repeated_passages(odd))
+    assert cut.schema == odd.schema and sorted((str(x.doc_id), x.text == same, len(x.text) < 60, x._spans, x._ends) for x in cut.collect()) == [("1", True, False, 5, "x"), ("2", False, True, 6, "y"), ("None", True, False, 7, "z")]
