@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 BINS = 64
+#: Bits of a number that hold a place in the text.
+PLACE = 24
 #: Ranges of doc_id for each shuffle partition, so that hashing the ranges deals evenly; most ranges.
 RANGES, MOST_RANGES = 8, 8192
 
@@ -26,44 +28,55 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def order_minhash(text: Column) -> Column:
-    """Signatures of a text: an array of BINS numbers of 16 bits, -1 for an empty bin."""
+    """Signatures of a text: an array of BINS numbers of 16 bits, -1 for an empty bin.
+
+    Hashes keep their upper 40 bits and carry a place in the text in the lower 24, so that one sort of plain
+    numbers orders both; beyond 2**24 words places are counted in steps of 2, 4 and so on.
+    """
     bits = BINS.bit_length() - 1
-    bin_of = lambda x: F.shiftrightunsigned(x["m"], 64 - bits)
+    upper, lower = F.lit(-1 << PLACE), F.lit((1 << PLACE) - 1)
+    bin_of = lambda x: F.shiftrightunsigned(x, 64 - bits)
+    hash_of, place_of = (lambda x: x.bitwiseAND(upper)), (lambda x: x.bitwiseAND(lower))
+
+    def placed(kmers: Column) -> Column:
+        step = F.greatest(F.ceil(F.log2(F.size(kmers) + 1)).cast("int") - PLACE, F.lit(0))
+        return let(step, lambda k: F.sort_array(F.transform(kmers, lambda h, i: hash_of(h).bitwiseOR(F.call_function("shiftright", i, k).cast("long")))))
 
-    def numbered(kmers: Column) -> Column:
-        """Each k-mer hashed with the number of equal ones before it, and its place. Equal ones lie side by side once
-        sorted; the first of them is searched for only where the one before is equal, by halving."""
-        placed = F.sort_array(F.transform(kmers, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    def first(all_: Column, h: Column, j: Column) -> Column:
+        """Place among all sorted ones of the first that has the hash ``h``, which the one at ``j`` has, by halving."""
+        start = F.struct(F.lit(0).alias("lo"), j.alias("hi"))
 
-        def first(all_: Column, h: Column, j: Column) -> Column:
-            start = F.struct(F.lit(0).alias("lo"), j.alias("hi"))
+        def halve(s: Column, _: Column) -> Column:
+            mid = F.shiftright(s["lo"] + s["hi"], 1)
+            return F.when(s["lo"] >= s["hi"], s).when(F.get(all_, mid) < h, F.struct((mid + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), mid.alias("hi")))
 
-            def halve(s: Column, _: Column) -> Column:
-                mid = F.shiftright(s["lo"] + s["hi"], 1)
-                return F.when(s["lo"] >= s["hi"], s).when(F.get(all_, mid)["h"] < h, F.struct((mid + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), mid.alias("hi")))
+        return F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(j + 1)).cast("int")), start, halve, lambda s: s["lo"])
 
-            return F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(j + 1)).cast("int")), start, halve, lambda s: s["lo"])
+    def numbered(all_: Column) -> Column:
+        """Each k-mer hashed with the number of equal ones before it. Equal ones lie side by side; the first of them is
+        searched for only where the one before is equal."""
 
-        def one(all_: Column, p: Column, j: Column) -> Column:
-            before = F.when((j > 0) & (F.get(all_, j - 1)["h"] == p["h"]), j - first(all_, p["h"], j)).otherwise(0)
-            return F.struct(F.xxhash64(p["h"], before.cast("long")).alias("m"), p["i"].alias("i"))
+        def one(x: Column, j: Column) -> Column:
+            again = (j > 0) & (hash_of(F.get(all_, j - 1)) == hash_of(x))
+            before = F.when(again, j - first(all_, hash_of(x), j)).otherwise(0)
+            return hash_of(F.xxhash64(hash_of(x), before.cast("long"))).bitwiseOR(place_of(x))
 
-        return let(placed, lambda x: F.transform(x, lambda p, j: one(x, p, j)))
+        return F.transform(all_, one)
 
     def signatures(items: Column) -> Column:
-        def signature(x: Column, j: Column) -> Column:
-            last, after = F.get(items, j - 1), F.get(items, j + 1)
-            single = after["m"].isNull() | (bin_of(after) != bin_of(x))
-            pair = F.when(single, F.xxhash64(x["m"])).when(x["i"] < after["i"], F.xxhash64(x["m"], after["m"])).otherwise(F.xxhash64(after["m"], x["m"]))
-            first = last["m"].isNull() | (bin_of(last) != bin_of(x))
-            return F.when(first, F.struct(bin_of(x).cast("int").alias("bin"), F.shiftrightunsigned(pair, 48).cast("int").alias("v")))
-
-        found = F.map_from_entries(F.filter(F.transform(items, signature), lambda x: x.isNotNull()))
+        def signature(j: Column) -> Column:
+            x, after = F.get(items, j), F.get(items, j + 1)
+            single = after.isNull() | (bin_of(after) != bin_of(x))
+            pair = F.when(single, F.xxhash64(hash_of(x))).when(place_of(x) < place_of(after), F.xxhash64(hash_of(x), hash_of(after))).otherwise(F.xxhash64(hash_of(after), hash_of(x)))
+            return F.struct(bin_of(x).cast("int").alias("bin"), F.shiftrightunsigned(pair, 48).cast("int").alias("v"))
+
+        heads = F.filter(F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0))), lambda j: (F.size(items) > 0) & ((j == 0) | (bin_of(F.get(items, j - 1)) != bin_of(F.get(items, j)))))
+        found = F.map_from_entries(F.transform(heads, signature))
         return let(found, lambda m: F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.coalesce(F.try_element_at(m, b), F.lit(-1))))
 
     words = F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+"), "")
     kmers = let(words, lambda w: F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda x, y: F.xxhash64(x, y)))
-    return let(kmers, lambda k: let(F.sort_array(numbered(k)), signatures))
+    return let(kmers, lambda k: let(placed(k), lambda x: let(F.sort_array(numbered(x)), signatures)))
 
 
 def as_text(signatures: Column) -> Column:

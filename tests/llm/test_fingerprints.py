@@ -54,12 +54,13 @@ def plain_fingerprint(spark, text):
     words = [w for w in re.split("[\x20\t-\r]+", text) if w]
     h = lambda *xs: spark.sql(f"select {', '.join(f'xxhash64({a})' for a in xs)}").first()
     quoted = [f"'{a}', '{b}'" if b else f"'{a}', cast(null as string)" for a, b in zip(words, words[1:] + [None], strict=True)]
-    kmers = list(h(*quoted)) if words else []
+    upper = lambda x: x & (-1 << P.PLACE)
+    kmers = [upper(x) for x in h(*quoted)] if words else []
     seen, items = {}, []
     for i, k in enumerate(kmers):
         items.append((k, seen.setdefault(k, 0), i))
         seen[k] += 1
-    marks = list(h(*(f"{k}L, {n}L" for k, n, _ in items))) if items else []
+    marks = [upper(x) for x in h(*(f"{k}L, {n}L" for k, n, _ in items))] if items else []
     bins = {}
     for (_, _, i), m in zip(items, marks, strict=True):
         bins.setdefault((m % 2**64) >> 58, []).append((m, i))
