@@ -8,6 +8,8 @@ taken out before the next. One projection: nothing is shuffled.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +45,34 @@ SENTENCES = {
     "licensed under cc by 4 0": "CC-BY-4-name",
     "licensed under cc by sa 4 0": "CC-BY-SA-4-name",
     "all rights reserved": "all-rights",
+    "you may obtain a copy of the license at http www apache org licenses license 2 0": "Apache-obtain",
+    "you may obtain a copy of the license at https www apache org licenses license 2 0": "Apache-obtain",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation": "GPL-2-only",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "AGPL-3-later",
+    "see the gnu affero general public license for more details": "AGPL-see",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "LGPL-2.1-later",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "LGPL-3-later",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "LGPL-3-later",
+    "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "GPL-warranty",
+    "see the gnu lesser general public license for more details": "LGPL-see",
+    "this source code form is subject to the terms of the mozilla public license v 2 0": "MPL-2-name",
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0": "MPL-2-obtain",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "MPL-2-obtain",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "ISC-grant",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "ISC-as-is",
+    "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software": "ISC-liable",
+    "this is free and unencumbered software released into the public domain": "Unlicense-name",
+    "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide": "CC0-dedicated",
+    "licensed under cc0 1 0": "CC0-dedicated",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v2 0 which accompanies this distribution and is available at https www eclipse org legal epl v20 html": "EPL-2-name",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0": "EPL-2-name",
 }
+#: Licences that an SPDX tag may name.
+TAGGED = (
+    "GPL-2.0-only GPL-2.0-or-later GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later "
+    "BSD-2-Clause BSD-3-Clause ISC MPL-2.0 EPL-2.0 Unlicense CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0"
+).split()
+SENTENCES |= {"spdx license identifier " + re.sub("[^a-z0-9]+", " ", x.lower()): f"{x}-tag" for x in TAGGED}
 #: Ordered rules: a licence and the identifiers that stand for it, one after the other.
 RULES = [
     ("MIT", ["MIT-grant", "MIT-notice", "MIT-as-is", "MIT-liable"]),
@@ -62,8 +91,24 @@ RULES = [
     ("CC-BY-NC-4.0", ["CC-BY-NC-4-name"]),
     ("CC-BY-SA-4.0", ["CC-BY-SA-4-name"]),
     ("CC-BY-4.0", ["CC-BY-4-name"]),
+    ("AGPL-3.0-or-later", ["AGPL-3-later", "GPL-warranty", "AGPL-see"]),
+    ("AGPL-3.0-or-later", ["AGPL-3-later"]),
+    ("LGPL-2.1-or-later", ["LGPL-2.1-later", "GPL-warranty", "LGPL-see"]),
+    ("LGPL-2.1-or-later", ["LGPL-2.1-later"]),
+    ("LGPL-3.0-or-later", ["LGPL-3-later", "GPL-warranty", "LGPL-see"]),
+    ("LGPL-3.0-or-later", ["LGPL-3-later"]),
+    ("GPL-2.0-only", ["GPL-2-only", "GPL-warranty", "GPL-see"]),
+    ("GPL-2.0-only", ["GPL-2-only"]),
+    ("MPL-2.0", ["MPL-2-name", "MPL-2-obtain"]),
+    ("MPL-2.0", ["MPL-2-name"]),
+    ("ISC", ["ISC-grant", "ISC-as-is", "ISC-liable"]),
+    ("ISC", ["ISC-grant"]),
+    ("Unlicense", ["Unlicense-name"]),
+    ("CC0-1.0", ["CC0-dedicated"]),
+    ("EPL-2.0", ["EPL-2-name"]),
     ("LicenseRef-all-rights-reserved", ["all-rights"]),
 ]
+RULES += [(x, [f"{x}-tag"]) for x in TAGGED]
 #: Where sentences end; what normalising turns into a space.
 SENTENCE_END, NOT_WORD = "[.!?;:]+[ \\t\\r\\n]+|\\n+", "[^\\p{L}\\p{N}]+"
 
@@ -97,17 +142,21 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def sql() -> str:
-    """The same result in DuckDB SQL, but for sentences that go over several pieces, which it does not find."""
+    """The same result in DuckDB SQL. Pieces stand between two bars, so that sentences side by side share none; its
+    pattern for the ends of pieces is its own."""
     quoted = ", ".join(f"('{k}', '{v}')" for k, v in SENTENCES.items())
+    keys = "|".join(k.replace(" ", "(?: |[|][|])") for k in sorted(SENTENCES, key=lambda k: (-len(k), k)))
     steps, last = [], "found"
     for i, (license_, sequence) in enumerate(RULES):
         mark = "".join(f"|{x}|" for x in sequence)
-        steps.append(f"r{i} as (select doc_id, ids, case when contains(rest, '{mark}') and not list_contains(named, '{license_}') then list_append(named, '{license_}') else named end as named, replace(rest, '{mark}', '#') as rest from {last})")
+        steps.append(f"r{i} as (select nr, doc_id, ids, case when contains(rest, '{mark}') and not list_contains(named, '{license_}') then list_append(named, '{license_}') else named end as named, replace(rest, '{mark}', '#') as rest from {last})")
         last = f"r{i}"
     return f"""with known(sentence, id) as (values {quoted}),
-rows as (select row_number() over () as nr, doc_id, text from documents where text is not null),
-parts as (select nr, doc_id, unnest(s) as sentence, generate_subscripts(s, 1) as pos from (select nr, doc_id, regexp_split_to_array(text, '[.!?;:]+[ \\t\\r\\n]+|\\n+') as s from rows)),
-ids as (select nr, doc_id, list(id order by pos) as ids from parts join known on trim(lower(regexp_replace(parts.sentence, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))) = known.sentence group by nr, doc_id),
-found as (select doc_id, ids, cast([] as varchar[]) as named, '|' || array_to_string(ids, '||') || '|' as rest from ids),
+rows as (select row_number() over () as nr, doc_id, regexp_replace(text, '([.!?;:]+)([ \t\r\n]+)', chr(10), 'g') as text from documents where text is not null),
+plain as (select nr, doc_id, '|' || array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(lower(regexp_replace(x, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')))), lambda x: x <> ''), '||') || '|' as text from rows),
+met as (select nr, doc_id, regexp_extract_all(text, '[|]({keys})[|]', 1) as s from plain),
+parts as (select nr, doc_id, replace(unnest(s), '||', ' ') as sentence, generate_subscripts(s, 1) as pos from met where len(s) > 0),
+ids as (select nr, doc_id, list(id order by pos) as ids from parts join known using (sentence) group by nr, doc_id),
+found as (select nr, doc_id, ids, cast([] as varchar[]) as named, '|' || array_to_string(ids, '||') || '|' as rest from ids),
 {", ".join(steps)}
 select doc_id, array_to_string(ids, '|') as sentence_ids, array_to_string(named, '|') as licenses, replace(trim(replace(rest, '#', ''), '|'), '||', '|') as unmatched from {last}"""

@@ -39,9 +39,20 @@ GPL = """This program is free software{} you can redistribute it and/or modify i
 
 This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
 BSD_3 = BSD + "\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
 NOTICES = [
     ("MIT", MIT), ("Apache-2.0", APACHE), ("GPL-3.0-or-later", GPL.format(":", ",", 3)), ("GPL-2.0-or-later", GPL.format(";", ";", 2)), ("BSD-2-Clause", BSD), ("BSD-3-Clause", BSD_3),
     ("MIT", "SPDX-License-Identifier: MIT"), ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"), ("GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-only"),
+    ("GPL-2.0-only", GPL.format(";", ";", 2).replace("License as published", "License version 2 as published").replace("Foundation; either version 2 of the License, or (at your option) any later version.", "Foundation.")),
+    ("AGPL-3.0-or-later", GPL.format(":", ",", 3).replace("GNU General", "GNU Affero General")),
+    ("LGPL-2.1-or-later", GPL.format(";", ";", 2.1).replace("GNU General", "GNU Lesser General").replace("This program", "This library")),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("ISC", ISC), ("Unlicense", "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify and so on."),
+    ("CC0-1.0", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0 which accompanies this distribution, and is available at\nhttps://www.eclipse.org/legal/epl-v20.html"),
+    ("LGPL-3.0-only", "/* SPDX-License-Identifier: LGPL-3.0-only */"), ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
     ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."), ("LicenseRef-all-rights-reserved", "All rights reserved\nCopyright 2020"),
 ]
 
@@ -54,6 +65,18 @@ def test_original_notices(spark, width, comment):
     assert out == {i: (name, "") for i, (name, _) in enumerate(NOTICES)}
 
 
+@pytest.mark.parametrize("leader", ["", "# ", " * ", "// "])
+def test_every_known_sentence_is_reached(spark, leader):
+    """Each sentence, capitalised, wrapped at 40 columns and behind a comment leader, gives its identifier; SQL agrees."""
+    rows = [(i, "Heading\n" + "\n".join(leader + x for x in textwrap.wrap(k[0].upper() + k[1:] + ".", 40)) + "\nother text", v) for i, (k, v) in enumerate(L.SENTENCES.items())]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = L.scan(df).collect()
+    assert {x.doc_id: x.sentence_ids for x in got} == {i: v for i, _, v in rows}
+    c = duckdb.connect()
+    c.register("documents", df.toPandas())
+    assert sorted(c.sql(L.sql()).fetchall()) == sorted(map(tuple, got))
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_equals_sql(spark, sf, name):
     c = duckdb.connect()
