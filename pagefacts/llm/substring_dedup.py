@@ -68,10 +68,10 @@ def cuts(data: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["row", "doc_id", "tie", "from_char", "to_char", "n_bytes", "n_words", "d1", "d2"]
+    names = ["row", "doc_id", "tie", "from_char", "to_char", "n_bytes", "n_words", "again", "d1", "d2"]
     row = TaskContext.get().partitionId() << 36
     for part in slices(batches, "text"):
-        columns, digests = [[] for _ in names[:7]], []
+        columns, again, digests = [[] for _ in names[:7]], [], []
         for doc_id, text in zip(part.column("doc_id").to_pylist(), pc.fill_null(part.column("text"), "").cast(pa.binary()).to_pylist(), strict=True):
             row += 1
             if not text:
@@ -89,11 +89,14 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = np.concatenate([[0], np.cumsum(begun)])
             for column, values in zip(columns, ([row] * len(ends), [doc_id] * len(ends), [tie] * len(ends), chars[starts], chars[ends], ends - starts, words[ends] - words[starts]), strict=True):
                 column.extend(values)
+            seen = set()
             for k, a, size, n in zip(at.tolist(), starts.tolist(), lengths[at].tolist(), repeats.tolist(), strict=True):
                 once = text[a : a + size]
                 digests.append(found[k] if n == 1 else hashlib.blake2b(once * min(n, -(-LEAST_WORDS // max(1, len(once.split())))), digest_size=16).digest())
+                again.append(digests[-1] in seen)
+                seen.add(digests[-1])
         halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-        arrays = [pa.array(c, pa.int64()) for c in columns] + [pa.array(halves[:, 0]), pa.array(halves[:, 1])]
+        arrays = [pa.array(c, pa.int64()) for c in columns] + [pa.array(again, pa.bool_()), pa.array(halves[:, 0]), pa.array(halves[:, 1])]
         yield pa.RecordBatch.from_arrays(arrays, names)
 
 
@@ -127,7 +130,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST_RUN, words: int = LEAS
     count as one, which others match that repeat it as often or ``LEAST_WORDS`` words long.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chunks = materialize(docs.mapInArrow(_chunks, "row long, doc_id long, tie long, from_char long, to_char long, n_bytes long, n_words long, d1 long, d2 long"), "chunks")
+    chunks = materialize(docs.mapInArrow(_chunks, "row long, doc_id long, tie long, from_char long, to_char long, n_bytes long, n_words long, again boolean, d1 long, d2 long"), "chunks")
     plain = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count() == 0
     # Where ids tell documents apart, the least id does; the comparison of structs costs a sort.
     first = F.min("doc_id") if plain else F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "row"))
@@ -135,10 +138,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST_RUN, words: int = LEAS
     keepers = materialize(keepers.select("d1", "d2", "copies", F.col("first" if plain else "first.doc_id").alias("keeper_id"), *([] if plain else [F.col("first.row").alias("keeper_row")])), "keepers")
     same = F.col("doc_id") == F.col("keeper_id") if plain else F.col("row") == F.col("keeper_row")
     met = _met(chunks, keepers).withColumn("own", same)
-    # In its keeper a chunk stays where it comes first.
-    again = F.row_number().over(Window.partitionBy("row", "d1", "d2").orderBy("from_char")) > 1
-    own = met.where("own").withColumn("again", again).where("again").drop("again")
-    gone = met.where(~F.col("own")).unionByName(own)
+    gone = met.where("not own or again")  # in its keeper a chunk stays where it comes first
     order = Window.partitionBy("row", "own").orderBy("from_char")
     gone = gone.withColumn("starts", F.when(F.lag("to_char").over(order) == F.col("from_char"), 0).otherwise(1))
     gone = gone.withColumn("run", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
