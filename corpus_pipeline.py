@@ -2,6 +2,7 @@
 
 Counted as part of the package's llm folder. Every stage but the last returns the columns of
 ``documents``; the last writes the token files and returns a row for each document in them.
+An empty table gives an empty one in every stage, and columns of whatever name go through unchanged.
 """
 
 from __future__ import annotations
@@ -18,27 +19,32 @@ from pagefacts.llm.toxicity import without_toxicity
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that score 0.5 or more."""
+    """Drops documents that score 0.5 or more. A null text scores as an empty one, repeated rows score alike, whole
+    texts count; without labels all stay."""
     return without_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest doc_id of each component; documents without words all stay."""
+    """Keeps the document of smallest doc_id of each component; documents without words (null or empty texts among
+    them) or without doc_id all stay. Of rows that share the doc_id that is kept, one stays."""
     return one_of_each_group(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a copy of a benchmark item."""
+    """Drops documents that hold a copy of a benchmark item. Null and empty texts stay, repeated rows fare alike; items
+    without words are no items."""
     return without_copies(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each document and pass that the mix takes, with the words taken."""
+    """A row for each document and pass that the mix takes, with the words taken. Null and empty texts are not in the
+    mix; a null source is a source of its own; repeated rows are taken each for itself."""
     return mixed_documents(docs)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes all texts as Arrow sequences and returns what the files hold."""
+    """Writes all texts as Arrow sequences and returns what the files hold. A null text is an empty one, with the end id
+    alone; repeated rows and ids are written each."""
     return encode_and_read(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
