@@ -2,7 +2,8 @@
 
 Counted as part of the package's llm folder. Every stage but the last returns the columns of
 ``documents``; the last writes the token files and returns a row for each document in them.
-An empty table gives an empty one in every stage, and columns of whatever name go through unchanged.
+An empty table gives an empty one in every stage. In all stages but the last, other columns, whatever their names, pass
+unchanged; mixing cuts ``text`` and sets ``n_chars`` to fit.
 """
 
 from __future__ import annotations
