@@ -3,7 +3,7 @@
 A text splits into units at single spaces: a space between two characters that are not white space
 always starts a new pre-token of a byte-level tokenizer, so the text's ids are its units' ids in a
 row. The first tier is a broadcast table of frequent units, the second a worker's cache of bounded
-size; both hold 128-bit hashes, lengths and ids in arrays. Texts for which the rule does not hold (spaces
+size; both hold 128-bit cryptographic digests, lengths and ids in arrays. Texts for which the rule does not hold (spaces
 beside white space, added tokens) go to the library whole, as do tokenizers of another kind.
 """
 
@@ -15,6 +15,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +33,6 @@ _SPACES = "\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029
 _ODD = re.compile(f"[{_SPACES.replace(chr(10), '').replace(' ', '')}]")
 _BESIDE = re.compile(f"[{_SPACES}] | [{_SPACES}]")
 _AT_END = f"^[{_SPACES}]|[{_SPACES}]$|^$"
-#: Two hashes of a unit: a random number of each byte times a power of an odd base, summed.
-_BYTES = [mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(k)) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
-_BASES = [(b, pow(b, -1, 1 << 64)) for b in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _FIRST = np.uint64(0x94D049BB133111EB)
 
 
@@ -44,22 +42,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
 def unit_hashes(units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each string, from the bytes alone."""
-    units = units.cast(pa.large_string())
-    offsets = np.frombuffer(units.buffers()[1], np.int64)[units.offset : units.offset + len(units) + 1]
-    data = np.frombuffer(units.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(units) else np.empty(0, np.uint8)
-    at, out = offsets - offsets[0], []
-    for table, (base, inverse) in zip(_BYTES, _BASES, strict=True):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[data] * _powers(base, len(data)))])
-        out.append(mix((sums[at[1:]] - sums[at[:-1]]) * _powers(inverse, len(data) + 1)[at[:-1]] + np.diff(at).astype(np.uint64)))
-    return out[0], out[1]
+    """The two halves of each string's 128-bit BLAKE2b digest."""
+    digests = b"".join(blake2b(x, digest_size=16).digest() for x in units.cast(pa.large_binary()).to_pylist())
+    halves = np.frombuffer(digests, "<u8").reshape(-1, 2)
+    return halves[:, 0].copy(), halves[:, 1].copy()
 
 
 def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -69,7 +56,7 @@ def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Run:
-    """Units in order of their first hash: both hashes, number of ids, and the ids' place in ``ids`` (none when counting)."""
+    """Units in order of their digest's first half: both halves, number of ids, and the ids' place in ``ids`` (none when counting)."""
 
     key: np.ndarray
     check: np.ndarray

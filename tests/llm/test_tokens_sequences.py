@@ -36,6 +36,28 @@ def test_texts_with_nul_equal_the_library(library, text):
     assert counts[0] == len(want) == T.Encoder(PATH, counts=True)([text])[0][0] and ids[: len(want)].tolist() == want
 
 
+def thue_morse(k, a, b):
+    return "".join(b if i.bit_count() & 1 else a for i in range(1 << k))
+
+
+@pytest.mark.parametrize("k", range(6, 13))
+@pytest.mark.parametrize("run", [1, 64])
+@pytest.mark.parametrize("swap", [False, True])
+def test_structured_units_are_told_apart(library, k, run, swap):
+    """Sums of powers of an odd base, modulo 2^64, are equal for such a text and its mirror."""
+    if run << k > 1 << 16:
+        pytest.skip("the short blocks cover it")
+    one, two = "-" * run, "=" * run
+    texts = [thue_morse(k, one, two), thue_morse(k, two, one), thue_morse(k, "a", "b"), thue_morse(k, "b", "a")]
+    texts = texts[::-1] if swap else texts
+    encode, counting = T.Encoder(PATH), T.Encoder(PATH, counts=True)
+    for _ in range(2):
+        for text in texts:
+            want = library.encode(f"x {text}", add_special_tokens=False).ids
+            counts, ids = encode([f"x {text}"])
+            assert ids.tolist() == want and counts.tolist() == [len(want)] == counting([f"x {text}"])[0].tolist()
+
+
 def test_cache_generations(monkeypatch, library):
     monkeypatch.setattr(T, "CACHE_UNITS", 5)
     encode = T.Encoder(PATH, counts=True)
