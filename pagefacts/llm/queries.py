@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, line_dedup
+from . import hard_negatives, licenses, line_dedup
 from .decontamination import benchmark_copies
 from .fingerprints import fingerprints
 from .jaccard_join import jaccard_components
@@ -17,7 +17,7 @@ from .toxicity import with_toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {"op5_license_scan": licenses.sql(), "op8_line_dedup": line_dedup.sql()}
+ORACLES: dict[str, str] = {"op5_license_scan": licenses.sql(), "op8_line_dedup": line_dedup.sql(), "op13_hard_negatives": hard_negatives.SQL}
 
 
 def query(f):
@@ -79,3 +79,8 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER))
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined_negatives(table(spark, sf_dir, "embeddings"))
