@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hard_negatives, licenses, line_dedup
+from . import chat_format, hard_negatives, licenses, line_dedup
+from .alignment import aligned_documents
 from .decontamination import benchmark_copies
 from .fingerprints import fingerprints
 from .jaccard_join import jaccard_components
@@ -17,7 +18,7 @@ from .toxicity import with_toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {"op5_license_scan": licenses.sql(), "op8_line_dedup": line_dedup.sql(), "op13_hard_negatives": hard_negatives.SQL}
+ORACLES: dict[str, str] = {"op5_license_scan": licenses.sql(), "op8_line_dedup": line_dedup.sql(), "op11_chat_format": chat_format.sql(), "op13_hard_negatives": hard_negatives.SQL}
 
 
 def query(f):
@@ -81,6 +82,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER))
 
 
+@query
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.formatted_conversations(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned_documents(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER), tokenizer_path("piece_bpe_32k.model"))
+
+
 @query
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mined_negatives(table(spark, sf_dir, "embeddings"))
