@@ -15,11 +15,18 @@ NAMES = (
 ).split()
 ENTITIES = {f"&{n};": chr(name2codepoint.get(n, 39)) for n in NAMES}
 ENTITIES["&nbsp;"] = " "
-JSON_LD = '(?is)<script[^>]*application/ld\\+json[^>]*>(.*?)</script\\s*>'
-DROPPED = ["(?is)<script\\b[^>]*>.*?</script\\s*>", "(?is)<style\\b[^>]*>.*?</style\\s*>", "(?is)<noscript\\b[^>]*>.*?</noscript\\s*>", "(?is)<svg\\b[^>]*>.*?</svg\\s*>", "(?s)<!--.*?-->"]
-BREAKS = "(?i)</?(p|br|div|li|tr|h[1-6]|table)\\b[^>]*>"
-IMAGE = "(?i)<img\\b[^>]*\\balt=\"([^\"]*)\"[^>]*>"
-#: JSON-LD characters that a page keeps.
+#: Elements whose content is no text, and what may follow a tag's name.
+HIDDEN, _AFTER_NAME = ["script", "style", "noscript", "svg"], "[ \\t\\n\\f\\r>/]"
+#: What a page is made of, in order: hidden elements with their content, tags (the last one may lack its end), text.
+_TOKEN = "(?is)" + "|".join(f"<{t}(?={_AFTER_NAME}).*?</{t}>" for t in HIDDEN) + "|<[^>]*>|<[^>]*\\z|[^<]+"
+_DATA = "(?is)^<script[ \\t\\n\\f\\r/][^>]*ld\\+json[^>]*>(.*)</script>$"
+#: Tags that break a line go by the beginning of their names.
+_BREAKS = "(?i)^(</?(p|div|li|tr|h)|<br|</table)"
+_IMAGE = "(?i)^<img[ \\t\\n\\r/>]"
+_ALT = "(?is)^(?>.*?alt=)(?:\"([^\"]*)\"|'([^']*)'|([^\"' \\t\\n\\f\\r>][^ \\t\\n\\f\\r>]*)?)"
+_SPACE = "[\\s\\x85\\p{Z}]"
+_BLANK = "[ \\t\\x0B\\f\\r\\x85\\p{Z}]"
+#: JSON-LD characters that a page keeps of a block.
 MOST_JSON_LD = 2000
 
 
@@ -27,29 +34,47 @@ def decode_entities(text: Column) -> Column:
     named = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
     found = F.array_distinct(F.regexp_extract_all(text, F.lit("&[A-Za-z]+[0-9]?;"), F.lit(0)))
     out = F.aggregate(found, text, lambda t, e: F.replace(t, e, F.coalesce(F.try_element_at(named, e), e)))
-    numbers = F.array_distinct(F.regexp_extract_all(out, F.lit("&#(?:[0-9]{1,6}|[xX][0-9A-Fa-f]{1,5});"), F.lit(0)))
+    out = F.replace(out, F.lit("&amp;"), F.lit("&"))
+    numbers = F.array_distinct(F.regexp_extract_all(out, F.lit("&#[^;]*;"), F.lit(0)))
 
     def one(t: Column, e: Column) -> Column:
-        digits = F.regexp_extract(e, "&#[xX]?([0-9A-Fa-f]+);", 1)
-        code = F.when(F.rlike(e, F.lit("^&#[xX]")), F.conv(digits, 16, 10)).otherwise(digits).cast("int")
+        digits = F.regexp_extract(e, "^&#x?\\+?0*([0-9A-Fa-f]*);", 1)
+        code = F.when(F.rlike(e, F.lit("^&#x\\+?[0-9A-Fa-f]+;$")), F.conv(F.left(digits, F.lit(8)), 16, 10)).when(F.rlike(e, F.lit("^&#\\+?[0-9]+;$")), F.left(digits, F.lit(9)))
+        code = F.when(F.length(digits) == 0, F.when(code.isNotNull(), 0)).otherwise(code.cast("long"))
         char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        return F.replace(t, e, F.when((code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF), char).otherwise(e))
+        return F.replace(t, e, F.coalesce(F.when((code < 0x110000) & ~code.between(0xD800, 0xDFFF), char), F.lit("")))
 
-    return F.replace(F.aggregate(numbers, out, one), F.lit("&amp;"), F.lit("&"))
+    return F.aggregate(numbers, out, one)
+
+
+def _trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{_SPACE}+|(?<!{_SPACE}){_SPACE}++$", "")
 
 
 def page_text(html: Column) -> Column:
-    """Visible text: hidden blocks go with their content (an unclosed one loses its tag), JSON-LD stays in
-    short, block tags break lines, image texts stay; lines are trimmed and blank ones dropped."""
-    data = F.regexp_extract_all(html, F.lit(JSON_LD), F.lit(1))
-    data = F.left(F.replace(F.regexp_replace(F.array_join(data, "\n"), "\\s+", " "), F.lit("\\/"), F.lit("/")), F.lit(MOST_JSON_LD))
-    text = html
-    for pattern in DROPPED:
-        text = F.regexp_replace(text, pattern, " ")
-    text = F.regexp_replace(F.regexp_replace(text, IMAGE, " $1 "), BREAKS, "\n")
-    text = decode_entities(F.regexp_replace(text, "<[^>]*>", ""))
-    text = F.concat(text, F.lit("\n"), data)
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "[ \\t\\r\\x0B\\f]+", " "), " ?\\n[ \\n]*", "\n"), "^[ \\n]+|[ \\n]+$", "")
+    """Visible text, line by line: lines are trimmed, one empty line stays of several, and the last line ends too.
+
+    Hidden elements go with their content (of an unclosed one the tag alone), but a JSON-LD block stays in its
+    place, on one line of MOST_JSON_LD characters at most; block tags break lines, images leave their alt text
+    in any quoting, and a tag without an end takes what is left. One pass cuts the page into tokens; places
+    where a line or a space may begin are marked (``<`` is free there, a literal one is ``<l>``) and settled at the end.
+    """
+    kept = lambda text: F.replace(text, F.lit("<"), F.lit("<l>"))
+
+    def piece(t: Column) -> Column:
+        data = F.left(F.replace(_trimmed(F.regexp_replace(F.regexp_extract(t, _DATA, 1), f"{_SPACE}+", " ")), F.lit("\\/"), F.lit("/")), F.lit(MOST_JSON_LD))
+        alt = _trimmed(F.concat(*(F.regexp_extract(t, _ALT, i) for i in (1, 2, 3))))
+        seen = F.when(F.rlike(t, F.lit(_BREAKS)), "<b>").when(F.rlike(t, F.lit(_IMAGE)) & F.endswith(t, F.lit(">")) & (alt != ""), F.concat(F.lit("<i>"), kept(alt), F.lit(" ")))
+        seen = seen.when(F.rlike(t, F.lit(_DATA)) & (data != ""), F.concat(F.lit("<d>"), kept(data), F.lit("\n")))
+        return F.when(~F.startswith(t, F.lit("<")), t).otherwise(F.coalesce(seen, F.lit("")))
+
+    text = F.array_join(F.transform(F.regexp_extract_all(html, F.lit(_TOKEN), F.lit(0)), piece), "")
+    text = F.replace(F.regexp_replace(text, "(?:^|(?<=[ \\n]|<b>))<i>", ""), F.lit("<i>"), F.lit(" "))
+    text = F.regexp_replace(F.regexp_replace(text, "^<d>", ""), "\\n?(?:<[bd]>)+", "\n")
+    text = decode_entities(F.replace(text, F.lit("<l>"), F.lit("<")))
+    text = F.when((text == "") | F.endswith(text, F.lit("\n")), text).otherwise(F.concat(text, F.lit("\n")))
+    text = F.regexp_replace(F.regexp_replace(text, f"(?md)^{_BLANK}++", ""), f"(?<!{_BLANK}){_BLANK}++(?=\\n)", "")
+    return F.regexp_replace(F.regexp_replace(text, "\\n{3,}", "\n\n"), "^\\n{2,}", "\n")
 
 
 def page_title(html: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import page_text
 from ..operators import gates as G
 from . import fixtures as X
-from .pages import _TEXT
+from .pages import text_table
 from .registry import register, table
 
 
@@ -63,7 +63,7 @@ def validate_scores(spark, d):
     return G.validate_scores(s, ["relevance", "authority"], "probabilities").select("query", "item")
 
 
-@register("thin_pages", f"""with t as (select page_id, length(html) as chars, length({_TEXT}) as text from pages) select page_id, text < 1200 and chars > 2000 as shell from t where (text < 1200 and chars > 2000) or (page_id%3 = 0 and page_id%2 <> 0)""")
+@register("thin_pages", f"""with t as (select page_id, length(html) as chars, length(text) as text from {text_table()}) select page_id, text < 1200 and chars > 2000 as shell from t where (text < 1200 and chars > 2000) or (page_id%3 = 0 and page_id%2 <> 0)""")
 def thin_pages(spark, d):
     pages = table(spark, d, "pages").select("page_id", "html", page_text(F.col("html")).alias("text"), (F.col("page_id") % 3).alias("records"), (F.col("page_id") % 2 == 0).alias("rendered"))
     return G.thin_pages(pages)

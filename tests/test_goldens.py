@@ -96,9 +96,56 @@ def test_title_keys(spark):
 
 
 def test_page_text(spark):
-    pages = ['<p>Hi</p><script>var x="<p>no</p>"</script><style>b{}</style>Bye', "a<header>b</header><script>keep the rest", "x &amp;eacute; &eacute; &#233; &#x20AC;", '<script type="application/ld+json">{"url": "https:\\/\\/a"}</script><img src=x alt="Logo">']
-    out = each(spark, T.page_text, pages)
-    assert out[0] == "Hi\nBye" and out[1] == "abkeep the rest" and out[2] == "x &eacute; é é €" and out[3] == 'Logo\n{"url": "https://a"}'
+    word = '<script type="application/ld+json">{"articleBody": "%s"}</script>' % ("word " * 5_000)
+    pages = {
+        '<p>Hi</p><script>var x="<p>no</p>"</script><style>b{}</style>Bye': "\nHi\nBye\n",
+        "a<header>b</header><script>keep the rest": "a\nb\nkeep the rest\n",
+        "x &amp;eacute; &eacute; &#233; &#x20AC; &amp;#65; &#bad;&#xD800;&#0;.": "x &eacute; é é € A \0.\n",
+        '<script type="application/ld+json">{"url": "https:\\/\\/a"}</script><img src=x alt="Logo">': '{"url": "https://a"}\nLogo\n',
+        "<img alt='One two'/><IMG ALT=three src=x>end<img alt=\"\"><img src=y><image alt=no>": "One two three end\n",
+        '<img alt="a<b">c': "a<b c\n",
+        "<p>one</p>\n\n\n<p>two</p>  \n\t\n <p>three": "\none\n\ntwo\n\nthree\n",
+        "a  b\t c \n d": "a  b\t c\nd\n",
+        "\n\n \nx\n\n\n": "\nx\n\n",
+        "": "", " ": "\n", "x < y > z": "x  z\n", "a<!-- <b>c --> d": "ac --> d\n", "cut<p class='x": "cut\n",
+        "<svg/>in<svg><p>no</p></svg>out<script src=a>b</script >": "outb\n",
+    }
+    out = dict(zip(pages, each(spark, T.page_text, list(pages)), strict=True))
+    for html, want in pages.items():
+        assert out[html] == want, html
+    # Each block of structured data is cut for itself.
+    long = each(spark, T.page_text, [f"<p>x</p>{word}{word}<p>y"])[0].split("\n")
+    assert long[1] == "x" and long[4:] == ["y", ""] and long[2] == long[3] and 1995 <= len(long[2]) <= 2000
+    assert each(spark, T.page_text, [None]) == [None]
+
+
+def test_page_text_of_whole_pages(spark):
+    pages = [
+        "<html><head><title>Café » Paris</title></head><body><p>Le café coûte 3€ — vraiment.</p><script>var x = 1;</script><div>日本語のテキスト</div></body></html>",
+        "<html>\n<head>\n<title>About Sid</title>\n<style>:root{--wp--preset--color:#000}</style>\n</head>\n<body>\n<p>Sid Sijbrandij co-founded GitLab.</p>\n<script>window.__DATA__ = {\"x\": 1};</script>\n<noscript>enable js</noscript>\n<svg><path d=\"M0 0L10 10\"/></svg>\n<p>He served as CEO from 2012 to 2024.</p>\n</body></html>",
+        '<html>\n<head>\n<script>var tracker = 1;</script>\n<script type="application/ld+json">\n{"@type": "Organization",\n"name": "MONDRAGON CORPORATION",\n"url": "https:\\/\\/www.mondragon-corporation.com\\/en\\/"}\n</script>\n</head>\n<body>\n<p>Humanity at work.</p>\n</body></html>',
+        "<html><head><title>t</title></head>\n<body>\n<header>Site navigation</header>\n<p>The article itself.</p></body></html>",
+        '<p>Before.</p>\n<script src="a.js">\n<p>After the broken script.</p>',
+        "<p>Ingenieros T&eacute;cnicos, Agr&ograve;noms, &Ntilde;u&ntilde;ez, &Ccedil;AT</p>",
+        "<p>&amp;eacute; and &amp;amp;</p>",
+        "<p>a&nbsp;&amp;&nbsp;b &#8212; &#x27;q&#x27; &hellip;</p>",
+    ]
+    assert each(spark, T.page_text, pages) == [
+        "\nCafé » Paris\nLe café coûte 3€ — vraiment.\n日本語のテキスト\n",
+        "\nAbout Sid\n\nSid Sijbrandij co-founded GitLab.\n\nHe served as CEO from 2012 to 2024.\n\n",
+        '\n{"@type": "Organization", "name": "MONDRAGON CORPORATION", "url": "https://www.mondragon-corporation.com/en/"}\n\nHumanity at work.\n\n',
+        "\nt\n\nSite navigation\n\nThe article itself.\n",
+        "\nBefore.\n\nAfter the broken script.\n",
+        "\nIngenieros Técnicos, Agrònoms, Ñuñez, ÇAT\n",
+        "\n&eacute; and &amp;\n",
+        "\na & b — 'q' …\n",
+    ]
+
+
+def test_paragraphs_of_page_text_are_chunk_borders(spark):
+    html = "".join(f"<p>{chr(97 + i) * 300}</p>\n\n" for i in range(12))
+    out = each(spark, lambda c: T.chunks(T.page_text(c), 400), [html])[0]
+    assert out == [chr(97 + i) * 300 for i in range(12)]
 
 
 def test_contacts(spark):
