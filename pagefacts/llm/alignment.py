@@ -9,8 +9,8 @@ joined to their counts.
 
 Where a space stands between two characters that are not white space, a token of either tokenizer begins:
 byte-level pre-tokens begin there, and no piece of the other vocabulary has a space after another character
-(``Tokenizers`` refuses vocabularies that do). So a document's alignment is that of its units in a row, and a
-worker aligns a unit once while it remembers it.
+(``Tokenizers`` refuses vocabularies that do). So a document's alignment is that of its units in a row, and the
+distinct units of a slice of documents are encoded and aligned once for all of them.
 """
 
 from __future__ import annotations
@@ -19,20 +19,20 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, mix, slices
-from .tokens import _BESIDE, _ODD, _SPACES
+from .tokens import _AT_END, _BESIDE, _ODD, _SPACES, _ragged
 
-#: Units that a worker remembers (twice at most), and the longest of them.
-CACHE_UNITS, CACHE_CHARS = 100_000, 200
+#: A slice of documents has about so many bytes; units that the libraries get as one text.
+ALIGN_BYTES, JOINED = 8_000_000, 1000
 #: Pairs that a task sums before it writes them, of a shard, and of the broadcast table at most (16 bytes and some bits each).
 TASK_PAIRS, SHARD_PAIRS, MOST_PAIRS = 500_000, 1 << 18, 4_000_000
 #: Leaves and branching of the tree of sums, and slots for each key that a level of the hash is given.
@@ -70,20 +70,18 @@ class Tokenizers:
             raise ValueError("a piece that goes on after a space: texts cannot be cut at spaces")
         self.b_bytes = [bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(pieces)]
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
+        self.tables = [(np.frombuffer(b"".join(t), np.uint8), np.cumsum(n) - n, n) for t, n in ((self.a_bytes, self.a_size), (self.b_bytes, self.b_size))]
 
-    def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        return [x.ids for x in self.a.encode_batch_fast([" " + x for x in units], add_special_tokens=False)], self.b.encode(units, num_threads=1)
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All A and B ids of texts that begin with a space, which B adds itself."""
+        a = [np.array(x.ids, np.int64) for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        b = [np.array(x, np.int64) for x in self.b.encode([x[1:] for x in texts], num_threads=1)]
+        return tuple(np.concatenate([np.empty(0, np.int64), *x]) for x in (a, b))
 
-
-@dataclass
-class Aligned:
-    """A unit: tokens, groups, key of each link (A id in the upper half), and the groups as text."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    keys: np.ndarray
-    text: str
+    def spell(self, ids: tuple[np.ndarray, np.ndarray], data: bytes) -> bool:
+        """Do both tokenizers' ids stand for these bytes?"""
+        want = np.frombuffer(data, np.uint8)
+        return all(np.array_equal(table[_ragged(start[x], size[x])], want) for x, (table, start, size) in zip(ids, self.tables, strict=True))
 
 
 def units_of(text: str) -> list[str]:
@@ -93,82 +91,65 @@ def units_of(text: str) -> list[str]:
     return text.split(" ")
 
 
-class Aligner:
-    """Aligns texts, and remembers units; a unit whose bytes do not come back from both tokenizers is None."""
-
-    def __init__(self, path_a: str, path_b: str):
-        self.library = Tokenizers(path_a, path_b)
-        self.now: dict[str, Aligned | None] = {}
-        self.before: dict[str, Aligned | None] = {}
-
-    def new(self, units: list[str]) -> list[Aligned | None]:
-        lib, out = self.library, [None] * len(units)
-        fine, ids_a, ids_b = [], [], []
-        for k, (unit, a, b) in enumerate(zip(units, *lib.encode(units), strict=True)):
-            data = f" {unit}".encode()
-            if b"".join([lib.a_bytes[i] for i in a]) == data == b"".join([lib.b_bytes[i] for i in b]):
-                fine.append(k)
-                ids_a.append(a)
-                ids_b.append(b)
-        if not fine:
-            return out
-        a, b = (np.concatenate([np.array(x, np.int64) for x in ids]) for ids in (ids_a, ids_b))
-        last_a, last_b = (np.cumsum([len(x) for x in ids]) for ids in (ids_a, ids_b))
-        end_a, end_b = np.cumsum(lib.a_size[a]), np.cumsum(lib.b_size[b])
-        unit_end = end_a[last_a - 1]
-        # Between two neighbouring ends lies the overlap of one A and one B token.
-        ends = np.union1d(end_a, end_b)
-        keys = (a[np.searchsorted(end_a, ends)] << 32) | b[np.searchsorted(end_b, ends)]
-        last_link = np.searchsorted(ends, unit_end, side="right")
-        both = np.intersect1d(end_a, end_b)
-        last_group = np.searchsorted(both, unit_end, side="right")
-        to_a, to_b = (np.searchsorted(e, both, side="right").tolist() for e in (end_a, end_b))
-        text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        groups = [f"{','.join(text_a[p:q])}|{','.join(text_b[r:s])}" for p, q, r, s in zip([0, *to_a], to_a, [0, *to_b], to_b)]  # noqa: B905
-        at = [0] * 2
-        for k, i, j, link, group in zip(fine, np.diff(last_a, prepend=0).tolist(), np.diff(last_b, prepend=0).tolist(), last_link.tolist(), last_group.tolist(), strict=True):
-            out[k] = Aligned(i, j, group - at[1], keys[at[0] : link].copy(), ";".join(groups[at[1] : group]))
-            at = [link, group]
-        return out
-
-    def __call__(self, units: list[str]) -> list[Aligned | None]:
-        missing = [x for x in units if x not in self.now and x not in self.before]
-        short = [x for x in missing if len(x) <= CACHE_CHARS]
-        long = [x for x in missing if len(x) > CACHE_CHARS]
-        own = dict(zip(long, self.new(long), strict=True))
-        fresh = dict(zip(short, self.new(short), strict=True))
-        out = [self.now[x] if x in self.now else self.before[x] if x in self.before else fresh[x] if x in fresh else own[x] for x in units]
-        if len(self.now) + len(units) > CACHE_UNITS:
-            self.now, self.before = {}, self.now
-        self.now |= {x: y for x, y in zip(units, out, strict=True) if x not in own}
-        return out
-
-
 @lru_cache(1)
-def worker_aligner(path_a: str, path_b: str) -> Aligner:
-    return Aligner(path_a, path_b)
+def worker_tokenizers(path_a: str, path_b: str) -> Tokenizers:
+    return Tokenizers(path_a, path_b)
 
 
 class Slice:
     """The distinct units of some texts, aligned, and which units each text has; texts without tokens have none."""
 
-    def __init__(self, texts: list[str | None], align: Aligner):
+    def __init__(self, texts: list[str | None], library: Tokenizers):
         parts = [units_of(x) if x and "▁" not in x else [] for x in texts]
         flat = pa.array([u for p in parts for u in p], pa.string()).dictionary_encode()
-        self.codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        self.units = align(flat.dictionary.to_pylist())
+        # Units with white space at an end cannot stand beside others: they come last.
+        alone = pc.match_substring_regex(flat.dictionary, _AT_END).to_numpy(zero_copy_only=False).astype(bool)
+        order = np.argsort(alone, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.codes, units, side = place[flat.indices.to_numpy(zero_copy_only=False)], flat.dictionary.take(pa.array(order)).to_pylist(), int((~alone).sum())
         sizes = np.array([len(p) for p in parts], np.int64)
-        bad = np.array([x is None for x in self.units], bool)
-        text = np.repeat(np.arange(len(parts)), sizes)
-        if bad.any():
+        ids, data = self._encoded(units, side, library)
+        if not library.spell(ids, data):
+            fine = np.array([library.spell(library.encode([x]), x.encode()) for x in (f" {u}" for u in units)], bool)
+            text = np.repeat(np.arange(len(parts)), sizes)
             lost = np.zeros(len(parts), bool)
-            lost[text[bad[self.codes]]] = True
-            self.codes, sizes = self.codes[~lost[text]], np.where(lost, 0, sizes)
+            lost[text[~fine[self.codes]]] = True
+            self.codes, sizes = (np.cumsum(fine) - 1)[self.codes[~lost[text]]], np.where(lost, 0, sizes)
+            units, side = [u for u, ok in zip(units, fine, strict=True) if ok], int(fine[:side].sum())
+            ids, data = self._encoded(units, side, library)
         self.ends = np.cumsum(sizes)
-        nothing = Aligned(0, 0, 0, np.empty(0, np.int64), "")
-        self.units = [x or nothing for x in self.units]
-        self.keys = np.concatenate([np.empty(0, np.int64), *(x.keys for x in self.units)])
-        self.links = np.array([len(x.keys) for x in self.units], np.int64)
+        self.a, self.b = ids
+        self._align(np.cumsum([len(u.encode()) + 1 for u in units], dtype=np.int64), len(data), library)
+
+    @staticmethod
+    def _encoded(units: list[str], side: int, library: Tokenizers) -> tuple[tuple[np.ndarray, np.ndarray], bytes]:
+        """Ids of all units in order, the first ``side`` of them side by side, and the bytes they stand for."""
+        joined = [" " + " ".join(units[i : min(side, i + JOINED)]) for i in range(0, side, JOINED)] + [f" {u}" for u in units[side:]]
+        return library.encode(joined), "".join(joined).encode()
+
+    def _align(self, unit_end: np.ndarray, n: int, library: Tokenizers) -> None:
+        """Tokens, groups and links of each unit, and the key of each link (A id in the upper half)."""
+        end_a, end_b, mark = np.cumsum(library.a_size[self.a]), np.cumsum(library.b_size[self.b]), np.zeros(n + 1, np.uint8)
+        mark[end_a] |= 1
+        mark[end_b] |= 2
+        # Between two neighbouring ends lies the overlap of one A and one B token.
+        ends = np.flatnonzero(mark)
+        at = mark[ends]
+        ends_a, ends_b = np.cumsum(at & 1, dtype=np.int64), np.cumsum(at >> 1, dtype=np.int64)
+        self.keys = (self.a[ends_a - (at & 1)] << 32) | self.b[ends_b - (at >> 1)]
+        both = at == 3
+        last = np.searchsorted(ends, unit_end, side="right") - 1
+        each = lambda upto: np.diff(upto[last], prepend=0)
+        self.links, self.n_a, self.n_b, self.n_groups = np.diff(last + 1, prepend=0), each(ends_a), each(ends_b), each(np.cumsum(both))
+        self.to_a, self.to_b = ends_a[both], ends_b[both]
+
+    def groups(self) -> list[str]:
+        """Each unit's groups as text."""
+        a, b, to_a, to_b = list(map(str, self.a.tolist())), list(map(str, self.b.tolist())), self.to_a.tolist(), self.to_b.tolist()
+        of = [f"{a[p]}|{b[r]}" if q == p + 1 and t == r + 1 else f"{','.join(a[p:q])}|{','.join(b[r:t])}" for p, q, r, t in zip([0, *to_a], to_a, [0, *to_b], to_b)]  # noqa: B905
+        upto = np.cumsum(self.n_groups).tolist()
+        return [";".join(of[i:j]) for i, j in zip([0, *upto], upto)]  # noqa: B905
 
     def per_text(self, of_unit: np.ndarray) -> np.ndarray:
         total = np.concatenate([np.zeros(1, np.int64), np.cumsum(of_unit[self.codes])])[np.concatenate([[0], self.ends])]
@@ -179,7 +160,7 @@ class Slice:
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct keys and how often they are linked."""
-        return summed(self.keys, np.repeat(np.bincount(self.codes, minlength=len(self.units)), self.links))
+        return summed(self.keys, np.repeat(np.bincount(self.codes, minlength=len(self.links)), self.links))
 
 
 def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -345,10 +326,10 @@ def link_counts(docs: DataFrame, path_a: str, path_b: str) -> tuple[DataFrame, i
     """The table of pair counts (a row for each shard) and the number of distinct pairs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        align, held, node = worker_aligner(path_a, path_b), [], TaskContext.get().partitionId()
+        library, held, node = worker_tokenizers(path_a, path_b), [], TaskContext.get().partitionId()
         row = lambda k, n: pa.RecordBatch.from_arrays([pa.array(np.full(len(k), node)), pa.array(k), pa.array(n)], ["node", "key", "n"])
-        for part in slices(batches, "text"):
-            held.append(Slice(part.column("text").to_pylist(), align).pairs())
+        for part in slices(batches, "text", ALIGN_BYTES):
+            held.append(Slice(part.column("text").to_pylist(), library).pairs())
             if len(held) > 8 or sum(len(k) for k, _ in held) > TASK_PAIRS:
                 held = [summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
                 if len(held[0][0]) > TASK_PAIRS:
@@ -381,17 +362,16 @@ def aligned_documents(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     kept = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        align, at, row = worker_aligner(path_a, path_b), kept.value, TaskContext.get().partitionId() << 40
-        for part in slices(batches, "text"):
-            s = Slice(part.column("text").to_pylist(), align)
+        library, at, row = worker_tokenizers(path_a, path_b), kept.value, TaskContext.get().partitionId() << 40
+        for part in slices(batches, "text", ALIGN_BYTES):
+            s = Slice(part.column("text").to_pylist(), library)
             found = at(s.keys)
-            known, best = found >= 0, at.best[s.keys & 0xFFFFFFFF] if len(s.keys) else found
-            codes, texts, begin, digest = s.codes.tolist(), [x.text for x in s.units], 0, []
+            known, best = found >= 0, at.best[s.keys & 0xFFFFFFFF]
+            codes, texts, begin, digest = s.codes.tolist(), s.groups(), 0, []
             for end in s.ends.tolist():
                 digest.append(hashlib.sha256(";".join([texts[c] for c in codes[begin:end]]).encode()).hexdigest() if end > begin else "")
                 begin = end
-            sizes = [np.array([getattr(x, c) for x in s.units], np.int64) for c in ("n_a", "n_b", "n_groups")]
-            of_unit = [*sizes, s.links, s.per_unit(known & (found == best)), s.per_unit(np.where(known, found, 0))]
+            of_unit = [s.n_a, s.n_b, s.n_groups, s.links, s.per_unit(known & (found == best)), s.per_unit(np.where(known, found, 0))]
             columns = [part.column("doc_id"), *(pa.array(s.per_text(x)) for x in of_unit), pa.array(digest, pa.string())]
             names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
             if not whole:
@@ -413,8 +393,8 @@ def aligned_documents(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
 def _unknown(s: Slice, known: np.ndarray) -> list[list[dict]]:
     """Per text its links whose pairs are not in the table."""
-    of_unit, begin, out = np.repeat(np.arange(len(s.units)), s.links), 0, []
-    rare = [[] for _ in s.units]
+    of_unit, begin, out = np.repeat(np.arange(len(s.links)), s.links), 0, []
+    rare = [[] for _ in s.links]
     for u, key in zip(of_unit[~known].tolist(), s.keys[~known].tolist(), strict=True):
         rare[u].append(key)
     for end in s.ends.tolist():
