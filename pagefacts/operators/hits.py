@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,7 +54,7 @@ def _first_seen(hits: DataFrame) -> DataFrame:
     """One row for each (query, page): merged values and the order of its first appearance."""
     order = F.struct("lane_ord", "pos")
     h = _keyed(hits)
-    longest = F.struct(F.length("snippet").alias("n"), (-F.col("lane_ord")).alias("a"), (-F.col("pos")).alias("b"))
+    longest = F.struct(F.octet_length("snippet").alias("n"), (-F.col("lane_ord")).alias("a"), (-F.col("pos")).alias("b"))
     return h.groupBy("query", "key").agg(
         F.min("pos").alias("pos"), F.array_sort(F.collect_set("lane")).alias("engines"), F.max_by("snippet", longest).alias("snippet"), F.min_by("url", order).alias("url"),
         F.coalesce(F.min_by("title", F.when(F.trim("title") != "", order)), F.lit("")).alias("title"), F.coalesce(F.min_by("tkey", F.when(F.trim("title") != "", order)), F.lit("")).alias("tkey"),
@@ -65,47 +64,56 @@ def _first_seen(hits: DataFrame) -> DataFrame:
 
 def syndicated_titles(hits: DataFrame) -> DataFrame:
     """(query, key, syndicated) of each page: its headline was claimed before by another site."""
-    pages = _first_seen(hits)
+    return _syndicated(_first_seen(hits))
+
+
+def _syndicated(pages: DataFrame) -> DataFrame:
     order = Window.partitionBy("query", "tkey").orderBy("first")
     claims = F.size(F.split("tkey", " ")) >= CLAIM_WORDS
     return pages.withColumn("syndicated", claims & (F.first("stem").over(order) != F.col("stem")))
 
 
 def merge_hits(hits: DataFrame, limit: int = 0) -> DataFrame:
-    """Per query one ranked list over all lanes, syndicated copies left out; hits without a url are no pages.
+    """Per query one ranked list over all lanes, syndicated copies left out; hits without a url are no pages. Of several
+    snippets the longest in bytes stays.
 
-    Keys are computed once and written. Queries in which one page came under two titles keep the exact
-    sequential rule (only a kept page claims its title) and run it query by query; a query's hits are a
-    few lanes' result pages.
+    Keys are computed once and written. In queries in which one page came under two titles only a page that is kept
+    claims its title: there the hits are gone through in order (a query's hits are a few lanes' result pages), and
+    those that belong to kept pages are merged like all others.
     """
     hits = materialize(_keyed(hits), "keyed_hits")
-    pages = syndicated_titles(hits).withColumn("odd", F.bool_or("odd").over(Window.partitionBy("query")))
-    odd = pages.where("odd").select("query").distinct()
-    plain = pages.where(~F.col("odd") & ~F.col("syndicated"))
+    pages = materialize(_first_seen(hits).withColumn("odd", F.bool_or("odd").over(Window.partitionBy("query"))), "first_seen")
     names = ["query", "key", "url", "title", "snippet", "pos", "engines", "first"]
-    rows = hits.join(odd.hint("merge"), "query", "left_semi")
-    kinds = {f.name: f.dataType for f in plain.schema}
-    schema = ", ".join(f"{n} {kinds[n].simpleString()}" for n in names)
-    both = plain.select(names).union(rows.groupBy("query").applyInPandas(_sequential, schema))
+    plain = _syndicated(pages.where(~F.col("odd"))).where("not syndicated")
+    odd = pages.where("odd").select("query").distinct()
+    kept = _first_seen(_kept_hits(hits.join(odd.hint("merge"), "query", "left_semi")))
+    both = plain.select(names).union(kept.select(names))
     order = Window.partitionBy("query").orderBy("pos", F.desc(F.size("engines")), "first")
     both = both.withColumn("place", F.row_number().over(order))
     return (both.where(F.col("place") <= limit) if limit else both).drop("first")
 
 
-def _sequential(rows: pd.DataFrame) -> pd.DataFrame:
-    kept: dict[str, dict] = {}
-    claimed: dict[str, str] = {}
-    for r in rows.sort_values(["lane_ord", "pos"]).to_dict("records"):
-        if (page := kept.get(r["key"])) is not None:
-            page["engines"] = sorted({*page["engines"], r["lane"]})
-            page["pos"] = min(page["pos"], r["pos"])
-            page["snippet"] = max(page["snippet"], r["snippet"], key=len)
-            page["title"] = page["title"] if page["title"].strip() else r["title"]
-            continue
-        if len(r["tkey"].split()) >= CLAIM_WORDS and claimed.setdefault(r["tkey"], r["stem"]) != r["stem"]:
-            continue
-        kept[r["key"]] = {c: r[c] for c in ("query", "key", "url", "title", "snippet", "pos")} | {"engines": [r["lane"]], "first": {"lane_ord": r["lane_ord"], "pos": r["pos"]}}
-    return pd.DataFrame(list(kept.values()), columns=["query", "key", "url", "title", "snippet", "pos", "engines", "first"])
+def _kept_hits(hits: DataFrame) -> DataFrame:
+    """The hits of pages that are kept, from the hit on that a page is kept with: in order, a page is left out while
+    another site's kept page has its title."""
+    held = hits.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("lane_ord", "pos", "lane", "url", "title", "snippet", "key", "tkey", "stem"))).alias("hits"))
+    texts = F.expr("cast(array() as array<string>)")
+    start = F.struct(F.lit(0).alias("i"), F.expr("cast(array() as array<int>)").alias("taken"), texts.alias("keys"), texts.alias("titles"), texts.alias("stems"))
+    grown = lambda values, v, ok: F.when(ok, F.concat(values, F.array(v))).otherwise(values)
+
+    def step(s: Column, h: Column) -> Column:
+        claims = F.size(F.split(h["tkey"], " ")) >= CLAIM_WORDS
+        at = F.array_position(s["titles"], h["tkey"])
+        known = F.array_contains(s["keys"], h["key"])
+        new = ~known & ~(claims & (at > 0) & (F.get(s["stems"], (at - 1).cast("int")) != h["stem"]))
+        first = new & claims & (at == 0)
+        return F.struct(
+            (s["i"] + 1).alias("i"), grown(s["taken"], s["i"], known | new).alias("taken"), grown(s["keys"], h["key"], new).alias("keys"),
+            grown(s["titles"], h["tkey"], first).alias("titles"), grown(s["stems"], h["stem"], first).alias("stems"),
+        )
+
+    gone = held.select("query", "hits", F.aggregate("hits", start, step)["taken"].alias("taken"))
+    return gone.select("query", F.explode(F.transform("taken", lambda i: F.get("hits", i))).alias("h")).select("query", "h.*")
 
 
 def exclude_seen(candidates: DataFrame, seen: DataFrame) -> DataFrame:

@@ -7,12 +7,15 @@ import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
+from .graph import materialize
+from .ranges import positions
 
 A_TAG = "(?is)<a\\s([^>]*)>(.*?)</a\\s*>"
 HREF = "(?i)\\bhref\\s*=\\s*[\"']?([^\"'\\s>]*)"
@@ -128,9 +131,14 @@ def align_by_ordinal(requests: DataFrame, results: DataFrame, key: str) -> DataF
 
 def literal_presence(values: DataFrame, passages: DataFrame) -> DataFrame:
     """values with ``present``: is the value in its own source's passages, case, white space and written-out
-    addresses aside? The join is by source_url."""
-    met = values.join(passages.select("source_url", "text"), "source_url", "left")
-    seen = F.contains(T.folded(F.col("text")), T.folded(F.col("value"))) | F.contains(T.folded(T.deobfuscate(F.col("text"))), T.folded(T.deobfuscate(F.col("value"))))
+    addresses aside? The join is by source_url; each side's forms are made once, before it."""
+
+    def forms(df: DataFrame, column: str, *keep: str) -> DataFrame:
+        plain, spelt = T.folded(F.col(column)), T.folded(T.deobfuscate(F.col(column)))
+        return df.select(*keep, plain.alias(column), spelt.alias("spelt")).withColumn(f"spelt_{column}", F.nullif("spelt", column)).drop("spelt")
+
+    met = forms(values, "value", "id", "source_url").join(forms(passages, "text", "source_url"), "source_url", "left")
+    seen = F.contains("text", "value") | F.contains(F.coalesce("spelt_text", "text"), F.coalesce("spelt_value", "value"))
     return met.groupBy("id").agg(F.coalesce(F.bool_or(seen), F.lit(False)).alias("present"))
 
 
@@ -274,16 +282,81 @@ def answer_with(items: DataFrame, questions: list[dict], judge: Callable[[pd.Ser
     return items.select("item_id", "text").mapInPandas(run, ANSWER)
 
 
-def pack_batches(items: DataFrame, group: str, max_items: int = 192, max_chars: int = 57_600) -> DataFrame:
-    """group, item_id, batch: greedy batches in order of item within a group, by count and size. A group is a
-    run's pending questions; larger inputs are given a finer group."""
+def pack_batches(items: DataFrame, group: str, max_items: int = 192, max_chars: int = 57_600, block: int = 100_000) -> DataFrame:
+    """group, item_id, batch: greedy batches in order of item within a group, by count and size; an item that is too
+    large is a batch of its own, and one without a size counts as 0.
+
+    Groups of up to ``block`` items are packed at once. A larger one is cut into blocks. Where a batch begins, the
+    next one begins is found by binary search in running sums, and so where the first batch of the next block begins,
+    for each place at which this block may be entered (the first ``max_items``); these tables, one a block, are followed
+    from block to block, and then each block is packed from its own beginning.
+    """
+    items = items.select(group, F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("chars").cast("long"), F.lit(0)).alias("chars"))
+    block = max(block, max_items)
+    large = materialize(items.groupBy(group).agg(F.count("*").alias("n")).where(F.col("n") > block).select(F.col(group).alias("_g")), "large_groups")
+    if not large.limit(1).count():
+        return _pack_small(items, group, max_items, max_chars)
+    same = F.col(group).eqNullSafe(F.col("_g"))
+    small = _pack_small(items.join(large.hint("merge"), same, "left_anti"), group, max_items, max_chars)
+    return small.union(_pack_large(items.join(large.hint("merge"), same, "left_semi"), group, max_items, max_chars, block))
+
+
+def _pack_small(items: DataFrame, group: str, max_items: int, max_chars: int) -> DataFrame:
     start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("chars"), F.expr("cast(array() as array<int>)").alias("starts"))
 
     def step(s, x):
         full = (s["n"] == 0) | (s["n"] + 1 > max_items) | (s["chars"] + x["chars"] > max_chars)
         return F.struct((s["i"] + 1).alias("i"), F.when(full, 1).otherwise(s["n"] + 1).alias("n"), F.when(full, x["chars"]).otherwise(s["chars"] + x["chars"]).alias("chars"), F.when(full, F.concat(s["starts"], F.array(s["i"] + 1))).otherwise(s["starts"]).alias("starts"))
 
-    held = items.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col("item_id").cast("long").alias("item_id"), F.col("chars").cast("long").alias("chars")))).alias("x"))
+    held = items.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("item_id", "chars"))).alias("x"))
     held = held.select(group, "x", F.aggregate("x", start, step)["starts"].alias("starts"))
     batches = F.transform("starts", lambda a, b: F.slice("x", a, F.coalesce(F.get("starts", b + 1), F.size("x") + 1) - a))
     return held.select(group, F.posexplode(batches).alias("batch", "batch_items")).select(group, F.explode("batch_items").alias("o"), "batch").select(group, "o.item_id", F.col("batch").cast("long").alias("batch"))
+
+
+def _next_starts(chars: np.ndarray, own: int, max_items: int, max_chars: int) -> np.ndarray:
+    """Where the batch after one that begins at each of the first ``own`` items begins."""
+    sums = np.cumsum(chars)
+    begin = np.arange(own)
+    first_over = np.searchsorted(sums, sums[:own] - chars[:own] + max_chars, side="right")
+    return np.maximum(begin + 1, np.minimum(first_over, begin + max_items))
+
+
+def _pack_large(items: DataFrame, group: str, max_items: int, max_chars: int, block: int) -> DataFrame:
+    kind = items.schema[group].dataType.simpleString()
+    placed = materialize(positions(items, [group], ["item_id", "chars"]).withColumn("block", F.floor(F.col("position") / block).cast("long")), "packing")
+    # A batch that begins in a block ends within max_items items of the next one.
+    ahead = placed.where((F.col("block") > 0) & (F.col("position") % block < max_items)).withColumn("block", F.col("block") - 1)
+    blocks = placed.union(ahead)
+
+    def parts(frame: pd.DataFrame) -> tuple[pd.DataFrame, int, np.ndarray]:
+        frame = frame.sort_values("position")
+        own = int((frame["position"] // block == frame["block"]).sum())
+        return frame, own, _next_starts(frame["chars"].to_numpy(), own, max_items, max_chars)
+
+    def crossing(frame: pd.DataFrame) -> pd.DataFrame:
+        frame, own, after = parts(frame)
+        leave, batches = [0] * own, [0] * own
+        for i, j in zip(range(own - 1, -1, -1), after[::-1].tolist(), strict=True):
+            leave[i], batches[i] = (j - own, 1) if j >= own else (leave[j], batches[j] + 1)
+        return pd.DataFrame({group: frame[group].iloc[:1], "block": frame["block"].iloc[:1], "own": own, "leave": [leave[:max_items]], "batches": [batches[:max_items]]})
+
+    def entering(frame: pd.DataFrame) -> pd.DataFrame:
+        frame, entry, batch, found = frame.sort_values("block"), 0, 0, []
+        for leave, batches in zip(frame["leave"], frame["batches"], strict=True):
+            found.append((entry, batch))
+            if entry < len(leave):
+                entry, batch = int(leave[entry]), batch + int(batches[entry])
+        return frame[[group, "block"]].assign(entry=[e for e, _ in found], batch=[b for _, b in found])
+
+    def packed(frame: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        frame, own, after = parts(frame)
+        at, batch, out = int(entry["entry"].iloc[0]), int(entry["batch"].iloc[0]), np.full(len(frame), -1, np.int64)
+        while at < own:
+            out[at : after[at]] = batch
+            at, batch = int(after[at]), batch + 1
+        return frame[[group, "item_id"]].assign(batch=out)[out >= 0]
+
+    crossings = materialize(blocks.groupBy(group, "block").applyInPandas(crossing, f"`{group}` {kind}, block long, own long, leave array<long>, batches array<long>"), "crossings")
+    entries = materialize(crossings.groupBy(group).applyInPandas(entering, f"`{group}` {kind}, block long, entry long, batch long"), "entries")
+    return blocks.groupBy(group, "block").cogroup(entries.groupBy(group, "block")).applyInPandas(packed, f"`{group}` {kind}, item_id long, batch long")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_entity
 from .gates import BINDINGS
-from .graph import components
+from .graph import components, materialize
+from .ranges import positions
 
 
 def drop_category_echo(records: DataFrame, entity_type: str) -> DataFrame:
@@ -62,12 +64,27 @@ def best_binding(binding: Column) -> Column:
     return F.max_by(binding, rank)
 
 
+def field_source(records: DataFrame, field: str) -> Column:
+    """Where a record has a field's value from, and how well it is grounded there: its own provenance of the field, else
+    the record's page and grounding."""
+    page = F.struct(F.col("source_url").cast("string").alias("source_url"), F.col("grounding").cast("double").alias("grounding"))
+    if "provenance" not in records.columns:
+        return page
+    own = F.try_element_at("provenance", F.lit(field))
+    return F.when(own.isNull(), page).otherwise(F.struct(own["source_url"].cast("string").alias("source_url"), own["grounding"].cast("double").alias("grounding")))
+
+
 def merge_records(records: DataFrame, group: str, fields: list[str]) -> DataFrame:
-    """One record per group: each field's value of best grounding (then smallest id), the provenance of each value
-    kept, all sources, the highest binding, and the constraint statuses one by one: ``supports`` if a record says
-    so, else the first that was checked (by record_id); a longer list keeps its tail."""
-    best = lambda what, f: F.max_by(what, F.when(F.col(f).isNotNull() & (F.col(f) != ""), F.struct("grounding", -F.col("record_id"))))
-    sources = F.filter(F.array(*(F.struct(F.lit(f).alias("field"), best("source_url", f).alias("url")) for f in fields)), lambda x: x["url"].isNotNull())
+    """One record per group: each field's value of best grounding (then smallest id), with its source as
+    ``provenance`` (field to source_url and grounding), all sources, the highest binding, and the constraint statuses one
+    by one: ``supports`` if a record says so, else the first that was checked (by record_id); a longer list keeps its tail.
+
+    Records may have ``provenance`` of their own, as merged ones do: it tells where a field's value was verified and
+    how well, whatever the record's own page and grounding. So merges can be merged again.
+    """
+    records = records.withColumns({f"_{f}": field_source(records, f) for f in fields})
+    best = lambda what, f: F.max_by(what, F.when(F.col(f).isNotNull() & (F.col(f) != ""), F.struct(f"_{f}.grounding", -F.col("record_id"))))
+    sources = F.filter(F.array(*(F.struct(F.lit(f).alias("field"), best(F.col(f"_{f}"), f).alias("source")) for f in fields)), lambda x: x["source"].isNotNull())
     own = records.groupBy(group).agg(*(best(f, f).alias(f) for f in fields), F.map_from_entries(sources).alias("provenance"), best_binding(F.col("binding")).alias("binding"), F.array_join(F.array_sort(F.collect_set("source_url")), "|").alias("sources"))
     each = records.select(group, "record_id", F.posexplode("statuses").alias("i", "status"))
     first = F.min_by("status", F.when(F.col("status") != "unchecked", F.col("record_id")))
@@ -138,16 +155,13 @@ def conflict_report(records: DataFrame, entity: str, field: str, source: str) ->
 def enrich_worklist(records: DataFrame, fields: list[str], templates: list[str], batch: int = 25) -> DataFrame:
     """(name, field, query, round) of missing fields: all entities that lack one, by name, ``batch`` a round.
 
-    A name's rank is its rank among those with the same two first characters plus the count of those before, so no
-    task holds all names.
+    A name's rank is its place in its range of the sorted names plus the count of those before, so no task holds
+    all names, nor all of one beginning.
     """
     missing = F.array_compact(F.array(*(F.when(F.coalesce(F.col(f).cast("string"), F.lit("")) == "", F.lit(f)) for f in fields)))
     lacking = records.groupBy("name").agg(*(F.max(f).alias(f) for f in fields)).withColumn("missing", missing).where(F.size("missing") > 0)
-    lacking = lacking.select("name", "missing", F.substring("name", 1, 2).alias("head"))
-    before = Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
-    heads = lacking.groupBy("head").agg(F.count("*").alias("n")).select("head", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ranked = lacking.withColumn("nr", F.row_number().over(Window.partitionBy("head").orderBy("name"))).join(heads.hint("merge"), "head")
-    chosen = ranked.select("name", F.explode("missing").alias("field"), (F.floor((F.col("nr") + F.col("before") - 1) / batch) + 1).cast("long").alias("round"))
+    ranked = positions(lacking.select("name", "missing"), [], ["name"])
+    chosen = ranked.select("name", F.explode("missing").alias("field"), (F.floor(F.col("position") / batch) + 1).cast("long").alias("round"))
     return chosen.select("name", "field", F.explode(F.array(*(F.replace(F.replace(F.lit(t), F.lit("{entity}"), F.col("name")), F.lit("{field}"), F.col("field")) for t in templates))).alias("query"), "round")
 
 
@@ -160,3 +174,38 @@ def retain_newest(df: DataFrame, key: str, ts: str, n: int, tie: str) -> DataFra
     """The newest ``n`` rows of each key."""
     order = Window.partitionBy(key).orderBy(F.desc(ts), F.desc(tie))
     return df.withColumn("_nr", F.row_number().over(order)).where(F.col("_nr") <= n).drop("_nr")
+
+
+def retain_stored(new: DataFrame, path: str, key: str, ts: str, n: int, tie: str, parts: int = 64) -> None:
+    """Adds rows to a table under ``path`` that holds the newest ``n`` rows of each key; a row that comes again (same
+    key, ts and tie) counts once.
+
+    The table is partitioned by the key's hash. Only partitions that get rows are read and written again, each
+    replaced as a whole; ``parts`` is the table's for good.
+    """
+    spark = new.sparkSession
+    new = new.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+    try:
+        stored = spark.read.schema(new.schema).parquet(path)
+        touched = F.broadcast(new.select("part").distinct())  # ``parts`` rows at most
+        both = new.unionByName(stored.join(touched, "part", "left_semi"))
+    except AnalysisException as e:  # the first rows
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        both = new
+    kept = materialize(retain_newest(both.dropDuplicates([key, ts, tie]), key, ts, n, tie), "retained")
+    kept.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+
+
+#: Registers of a distinct count, as a power of two: a standard error of 1.04 / sqrt(2^14), 0.8 %.
+LOG_REGISTERS = 14
+
+
+def yield_sketches(records: DataFrame, day: str) -> DataFrame:
+    """source_url, day and a sketch of the names seen: what is kept of each day to count any range of days."""
+    return records.groupBy("source_url", day).agg(F.hll_sketch_agg("name", LOG_REGISTERS).alias("names"))
+
+
+def merged_yield(sketches: DataFrame, least: int = 2) -> DataFrame:
+    """source_url and about how many distinct entities of pages with ``least`` or more, over the days given."""
+    return sketches.groupBy("source_url").agg(F.hll_sketch_estimate(F.hll_union_agg("names")).alias("entities")).where(F.col("entities") >= least)

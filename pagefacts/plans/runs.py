@@ -99,6 +99,24 @@ def by_preset(spark, d):
     return S.by_value(X.runs(spark, d), "preset", S.PRESETS).select("preset", "runs")
 
 
+@register("run_breakdown", f"""with {X.RUNS}, wanted as (select 'all' as dimension, '' as value union all select 'kind', unnest({S.KINDS}) union all select 'preset', unnest({S.PRESETS})),
+  own as (select d as dimension, case d when 'all' then '' when 'kind' then kind else preset end as value, count(*) as n, sum(elapsed_ms) as ms, cast(sum({_COST}) as double) as cost, count(*) filter (outcome='complete') as complete from runs, (select unnest(['all', 'kind', 'preset']) as d) group by 1, 2)
+  select dimension, value, coalesce(n,0) as runs, coalesce(round(ms/(n*1000.0e0),3),0) as avg_seconds, coalesce(round(cost/n,6),0) as avg_cost, coalesce(round(complete/cast(n as double),4),0) as success_rate from wanted left join own using (dimension, value)""")
+def run_breakdown(spark, d):
+    return S.breakdown(X.runs(spark, d))
+
+
+#: Sketches are held against exact figures: the share of values up to the sketch's percentile lies within 1 % of the percentile.
+@register("latency_sketch", f"with {X.RUNS} select preset, true as p50_close, true as p90_close from runs group by preset")
+def latency_sketch(spark, d):
+    runs = X.runs(spark, d)
+    found = S.merged_percentiles(S.latency_sketches(runs.withColumn("day", F.to_date("ts")), ["day", "preset"]), ["preset"])
+    met = runs.select("preset", "elapsed_ms").join(F.broadcast(found), "preset")  # a row for each preset
+    share = lambda c, beyond: F.avg((F.col("elapsed_ms") < F.col(c) * 1000).cast("int") if beyond else (F.col("elapsed_ms") <= F.col(c) * 1000).cast("int"))
+    close = lambda c, p: ((share(c, True) <= p + 0.01) & (share(c, False) >= p - 0.01)).alias(f"{c}_close")
+    return met.groupBy("preset").agg(close("p50", 0.5), close("p90", 0.9))
+
+
 @register("all_time", f"with {X.RUNS} select count(*) as runs, round(cast(coalesce(sum({_COST}),0) as double),6) as cost, min(ts) as first_run from runs")
 def all_time(spark, d):
     return S.all_time(X.runs(spark, d))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 log = logging.getLogger(__name__)
@@ -16,34 +16,57 @@ RUN_LOG = """id string, started_at long, elapsed_ms long, query string, kind str
 #: Defaults of fields that a line leaves out; prices and the error stay null.
 TEXTS = ["id", "query", "kind", "source", "preset", "outcome"]
 COUNTS = ["started_at", "elapsed_ms", "records", "pages", "rounds", "judge_requests", "judge_input_tokens", "llm_requests", "llm_prompt_tokens", "llm_completion_tokens", "planner_requests", "planner_prompt_tokens", "planner_completion_tokens"]
-#: Keys of the judge, whatever a log calls it: the only actor besides these two that has such fields.
-JUDGE_KEY = r'(?<!\\)"(?!llm_|planner_)[A-Za-z0-9]+_(requests|input_tokens|cost_usd)"(?=\s*:)'
+#: The judge's fields, behind its name and an underscore.
+JUDGE_FIELDS = {"requests": "long", "input_tokens": "long", "cost_usd": "double"}
 EVENT_TYPES = ["accepted", "progress", "usage", "stats", "result", "error"]
 
 
-def parse_run_log(lines: DataFrame, schema: str = RUN_LOG) -> tuple[DataFrame, DataFrame]:
+def _judge_name() -> Column:
+    """Names besides the writer's and the planner's under which a line has all of the judge's fields."""
+    keys = F.json_object_keys("value")
+    named = F.transform(F.filter(keys, lambda k: F.endswith(k, F.lit("_requests"))), lambda k: F.regexp_replace(k, "_requests$", ""))
+    whole = lambda n: F.forall(F.array(*map(F.lit, JUDGE_FIELDS)), lambda f: F.array_contains(keys, F.concat(n, F.lit("_"), f)))
+    return F.filter(F.array_distinct(named), lambda n: ~n.isin("llm", "planner") & whole(n))
+
+
+def parse_run_log(lines: DataFrame, schema: str = RUN_LOG, judge: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Runs and rejected lines of a table of lines (``value``). Blank lines are neither; unknown fields are
-    ignored; an explicit null of a field with a default takes the default. The judge's fields are read under
-    the name that the log gives the judge, and are called judge_ in the result."""
-    named = F.regexp_replace("value", JUDGE_KEY, '"judge_$1"')
-    read = lines.where(F.trim("value") != "").select("value", F.from_json(named, schema + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"}).alias("r"))
-    runs = read.where("r is not null and r._corrupt is null").select("r.*").drop("_corrupt")
+    ignored; an explicit null of a field with a default takes the default.
+
+    The judge's fields are called judge_ in the result. A log may have them under another name: the caller's ``judge``, or
+    else the one name, besides the writer's and the planner's, under which a line has all of them. A line with
+    two such names is rejected: the caller has to tell which is the judge.
+    """
+    read = lines.where(F.trim("value") != "").select("value", F.from_json("value", schema + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"}).alias("r"))
+    fine = F.col("r").isNotNull() & F.col("r._corrupt").isNull()
+    names = F.array(F.lit(judge)) if judge else F.when(fine, _judge_name())
+    # Here, as json_object_keys is not for broken lines.
+    read = read.withColumn("names", names).withColumn("name", F.when(F.size("names") == 1, F.col("names")[0]))
+    told = {f"judge_{f}": F.expr(f"get_json_object(value, concat('$.', name, '_{f}'))") for f in JUDGE_FIELDS}
+    typed = {c: F.expr(f"try_cast(_{c} as {t})") for c, t in zip(told, JUDGE_FIELDS.values(), strict=True)}
+    read = read.withColumns({f"_{c}": F.when(F.col("name").isNotNull() & (F.col("name") != "judge"), t) for c, t in told.items()})
+    odd = F.coalesce(F.size("names") > 1, F.lit(False))
+    for c, t in typed.items():
+        odd |= F.col(f"_{c}").isNotNull() & t.isNull()
+    read = read.withColumn("fine", fine & ~odd)
+    own = read.where("fine").select("r.*", *(F.col(f"_{c}") for c in told)).drop("_corrupt")
+    runs = own.withColumns({c: F.coalesce(typed[c], F.col(c)) for c in told if c in own.columns}).drop(*(f"_{c}" for c in told))
     fill = {c: "" for c in TEXTS if c in runs.columns} | {c: 0 for c in COUNTS if c in runs.columns}
     runs = runs.fillna(fill)
     if "started_at" in runs.columns:
         runs = runs.withColumn("ts", F.timestamp_seconds("started_at"))
-    return runs, read.where("r is null or r._corrupt is not null").select("value")
+    return runs, read.where("not fine").select("value")
 
 
-def read_run_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_run_log(spark: SparkSession, path: str, judge: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Runs and rejected lines of the JSON Lines files under ``path``."""
-    return parse_run_log(spark.read.text(path))
+    return parse_run_log(spark.read.text(path), judge=judge)
 
 
 def append_run_log(runs: DataFrame, path: str) -> bool:
     """Appends runs as JSON Lines by day; runs whose id the log has on the same day are left out, so a repeated
     batch adds nothing. A log that cannot be written gives a warning and False: a run does not fail for it."""
-    new = runs.withColumn("day", F.date_format(F.timestamp_seconds("started_at"), "yyyy-MM-dd"))
+    new = runs.withColumn("day", F.date_format(F.timestamp_seconds("started_at"), "yyyy-MM-dd")).dropDuplicates(["day", "id"])
     try:
         try:
             days = F.broadcast(new.select("day").distinct())  # a row for each day of the batch
@@ -59,6 +82,21 @@ def append_run_log(runs: DataFrame, path: str) -> bool:
     return True
 
 
+def stream_append_run_log(runs: DataFrame, path: str, checkpoint: str):
+    """Appends arriving runs to the log, each once: a batch that runs again after a failure finds its runs in the log. The
+    log must be there to tell, so a batch that cannot be written fails the stream, which takes it again."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            if not append_run_log(batch, path):
+                raise OSError(f"batch {batch_id} of the run log could not be written")
+        finally:
+            batch.unpersist()
+
+    return runs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def demux_event_log(events: DataFrame) -> dict[str, DataFrame]:
     """A table of each event type; rows of other types are in none."""
     return {t: events.where(F.col("type") == t).drop("type") for t in EVENT_TYPES}

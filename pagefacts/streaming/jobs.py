@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -49,10 +50,59 @@ def stream_cache_lookup(queries: DataFrame, cache: DataFrame) -> DataFrame:
     return queries.join(cache.select(*keys, "hits"), keys, "left").withColumn("hit", F.coalesce(F.col("hits") > 0, F.lit(False)))
 
 
-def stream_usage_gauge(usage: DataFrame, every: str = "1 second", late: str = "1 minute") -> DataFrame:
-    """The latest sample of each run and tick."""
-    latest = F.max_by(F.struct("seq", "k"), "seq")
-    return usage.withWatermark("ts", late).groupBy("run_id", F.window("ts", every)).agg(latest.alias("x")).select("run_id", F.col("window.start").alias("tick"), "x.seq", "x.k")
+class UsageGauge(StatefulProcessor):
+    """The latest sample of a run in each tick; the report of its end is the run's last row, and nothing comes after it."""
+
+    def __init__(self, seconds: int, keep: int):
+        self.seconds, self.keep = seconds, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("gauge", "tick long, ended boolean")
+
+    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values(["at", "final", "seq"])
+        last, ended = self.state.get() if self.state.exists() else (None, False)
+        if ended:  # late samples of an ended run
+            return
+        frame["tick"] = (frame["at"] // self.seconds * self.seconds).astype("int64")
+        if ended := bool(frame["final"].any()):
+            place = int(frame["final"].to_numpy().argmax())
+            frame = frame.iloc[: place + 1]
+            # A sample that came earlier may lie in a later tick: the report still is the last row.
+            frame.iloc[place, frame.columns.get_loc("tick")] = max(frame["tick"].iloc[place], frame["tick"].max() if last is None else last)
+            self.handle.registerTimer(math.ceil((frame["at"].iloc[place] + self.keep) * 1000))
+        self.state.update((int(max(frame["tick"].max(), frame["tick"].max() if last is None else last)), ended))
+        out = frame.sort_values(["final", "seq"]).groupby("tick").tail(1)
+        yield pd.DataFrame({"run_id": [key[0]] * len(out), "tick": out["tick"].to_numpy(), "seq": out["seq"].to_numpy(), "k": out["k"].to_numpy(), "final": out["final"].to_numpy()})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+GAUGE = "run_id long, tick long, seq long, k long, final boolean"
+
+
+def stream_usage_gauge(usage: DataFrame, reports: DataFrame | None = None, seconds: int = 1, keep: int = 3600, late: str = "1 hour") -> DataFrame:
+    """run_id, tick, seq, k, final: the latest sample (run_id, ts, seq, k) of each run and tick, and, from its report (the
+    same columns), the run's last row, in place of a sample of that tick. Samples after a report are left out; when time
+    has gone ``keep`` seconds past it, the run leaves the state."""
+    both = usage.select("run_id", "ts", "seq", "k", F.lit(False).alias("final"))
+    if reports is not None:
+        both = both.union(reports.select("run_id", "ts", "seq", "k", F.lit(True)))
+    timed = both.withColumn("at", F.unix_micros("ts") / 1e6).withWatermark("ts", late)
+    ticks = timed.groupBy("run_id").transformWithStateInPandas(UsageGauge(seconds, keep), GAUGE, "Update", "EventTime")
+    return ticks.withColumn("tick", F.timestamp_seconds("tick"))
+
+
+def start_gauge(ticks: DataFrame, path: str, checkpoint: str, every: str = "1 second"):
+    """Writes what ``stream_usage_gauge`` gives once in each ``every``; a batch that runs again replaces its own files."""
+    write = lambda batch, i: batch.write.mode("overwrite").parquet(f"{path}/batch={i}")
+    return ticks.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
 def stream_quarantine(passages: DataFrame, safe_path: str, bad_path: str, checkpoint: str, report_path: str | None = None):
@@ -70,26 +120,41 @@ def stream_quarantine(passages: DataFrame, safe_path: str, bad_path: str, checkp
 
 
 class RunState(StatefulProcessor):
-    """Latest stage, events and last lines of a run; only the first terminal event settles it."""
+    """Latest stage, events and last lines of a run; only the first terminal event settles it. A settled run leaves the
+    state some time later, so what is kept in the end are the runs that go on."""
 
     LINES = 12
 
+    def __init__(self, keep: int):
+        self.keep = keep
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("run", "status string, stage string, events long, last_seq long, lines string")
+        self.handle = handle
+        self.state = handle.getValueState("run", "status string, stage string, events long, last_seq long")
+        self.lines = handle.getListState("lines", "line string")
 
     def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values("seq")
-        status, stage, events, last, lines = self.state.get() if self.state.exists() else ("running", "", 0, -1, "")
-        held = lines.split("|") if lines else []
+        was, stage, events, last = self.state.get() if self.state.exists() else ("running", "", 0, -1)
+        held, status = [x[0] for x in self.lines.get()] if self.lines.exists() else [], was
         for kind, seq in zip(frame["type"], frame["seq"], strict=True):
             events += 1
             if status == "running":
                 status, stage, last = (kind if kind in ("result", "error") else status), kind, int(seq)
             if kind == "progress":
                 held = (held + [str(int(seq))])[-self.LINES :]
-        self.state.update((status, stage, events, last, "|".join(held)))
+        if status != was:
+            self.handle.registerTimer(math.ceil((frame["ts"].max().timestamp() + self.keep) * 1000))
+        self.state.update((status, stage, events, last))
+        if held:
+            self.lines.put([(x,) for x in held])
         yield pd.DataFrame({"run_id": [key[0]], "status": [status], "stage": [stage], "events": [events], "last_seq": [last], "lines": ["|".join(held)]})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        self.lines.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
@@ -97,8 +162,11 @@ class RunState(StatefulProcessor):
 RUN_STATE = "run_id long, status string, stage string, events long, last_seq long, lines string"
 
 
-def stream_run_state(events: DataFrame) -> DataFrame:
-    return events.groupBy("run_id").transformWithStateInPandas(RunState(), RUN_STATE, "Update", "None")
+def stream_run_state(events: DataFrame, keep: int = 3600, late: str = "1 hour") -> DataFrame:
+    """One row for each run with news: its status, stage, events, last event before it settled, and last lines. Events
+    (run_id, seq, type, ts) of a settled run are still counted until time has gone ``keep`` seconds past its end; then the
+    run leaves the state."""
+    return events.withWatermark("ts", late).groupBy("run_id").transformWithStateInPandas(RunState(keep), RUN_STATE, "Update", "EventTime")
 
 
 class Throttle(StatefulProcessor):
@@ -108,17 +176,31 @@ class Throttle(StatefulProcessor):
         self.most, self.seconds = most, seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.failures = handle.getListState("failures", "at double")
 
     def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values(["at", "id"])
         held = [x[0] for x in self.failures.get()] if self.failures.exists() else []
         out, held = throttled(frame, held, self.most, self.seconds)
+        self._keep(held)
+        yield pd.DataFrame({"user_id": [key[0]] * len(frame), "id": frame["id"].to_numpy(), "refused": out})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Failures that no longer count go; with the last one the client leaves the state."""
+        held = [x[0] for x in self.failures.get()] if self.failures.exists() else []
+        now = timerValues.getCurrentWatermarkInMs() / 1000  # no attempt from before it comes any more
+        self._keep([x for x in held if now - x < self.seconds])
+        return iter([])
+
+    def _keep(self, held: list[float]) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
         if held:
             self.failures.put([(x,) for x in held])
+            self.handle.registerTimer(math.ceil((min(held) + self.seconds) * 1000))
         else:
             self.failures.clear()
-        yield pd.DataFrame({"user_id": [key[0]] * len(frame), "id": frame["id"].to_numpy(), "refused": out})
 
     def close(self) -> None:
         pass
@@ -138,18 +220,27 @@ def throttled(frame: pd.DataFrame, held: list[float], most: int, seconds: int) -
 THROTTLED = "user_id long, id long, refused boolean"
 
 
-def stream_throttle(attempts: DataFrame, most: int = 10, seconds: int = 60) -> DataFrame:
-    return attempts.groupBy("user_id").transformWithStateInPandas(Throttle(most, seconds), THROTTLED, "Append", "None")
+def stream_throttle(attempts: DataFrame, most: int = 10, seconds: int = 60, late: str = "1 hour") -> DataFrame:
+    """user_id, id, refused of attempts (user_id, id, at in seconds, failed). Attempts may come ``late``; when time has gone
+    past the window of a client's failures, they leave the state."""
+    timed = attempts.withColumn("ts", F.timestamp_micros((F.col("at") * 1_000_000).cast("long"))).withWatermark("ts", late)
+    return timed.groupBy("user_id").transformWithStateInPandas(Throttle(most, seconds), THROTTLED, "Append", "EventTime")
 
 
 def throttle(attempts: DataFrame, most: int = 10, seconds: int = 60) -> DataFrame:
-    """Batch twin of the limiter, one client's attempts at a time."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["at", "id"])
-        return frame[["user_id", "id"]].assign(refused=throttled(frame, [], most, seconds)[0])
-
-    return attempts.groupBy("user_id").applyInPandas(run, THROTTLED)
+    """Batch twin of the limiter: clients' attempts in order of time, batch by batch; of a client no more is kept than
+    the failures that count. Attempts without a client have no row."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, held = None, []
+        for part in parts:
+            for key, frame in part.groupby("user_id", sort=False):
+                refused, held = throttled(frame, held if key == user else [], most, seconds)
+                user = key
+                yield frame[["user_id", "id"]].assign(refused=refused)
+
+    ordered = attempts.where(F.col("user_id").isNotNull()).select("user_id", "id", "at", "failed").repartition("user_id").sortWithinPartitions("user_id", "at", "id")
+    return ordered.mapInPandas(run, THROTTLED)
 
 
 class ClampedEma(StatefulProcessor):

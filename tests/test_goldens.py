@@ -228,7 +228,7 @@ def test_merged_records(spark):
     rows = [(*x[:6], [x[6]], x[7]) for x in rows]
     schema = "name string, record_id int, brand string, type string, grounding double, binding string, statuses array<string>, source_url string"
     r = R.merge_records(spark.createDataFrame(rows, schema), "name", ["brand", "type"]).first()
-    assert (r.brand, r.type, r.binding, r.statuses, r.sources, r.provenance) == ("B", "U", "same", ["contradicts"], "u1|u2", {"brand": "u2", "type": "u1"})
+    assert (r.brand, r.type, r.binding, r.statuses, r.sources, r.provenance) == ("B", "U", "same", ["contradicts"], "u1|u2", {"brand": ("u2", 0.9), "type": ("u1", 0.95)})
 
 
 @pytest.mark.parametrize(
@@ -240,6 +240,20 @@ def test_merged_statuses(spark, a, b, want):
     assert R.merge_records(df, "name", ["brand"]).first().statuses == want
 
 
+def test_provenance_through_merges(spark):
+    """A field's own source counts, not its record's page; what was merged merges again."""
+    schema = "name string, record_id int, brand string, type string, grounding double, binding string, statuses array<string>, source_url string, provenance map<string,struct<source_url:string,grounding:double>>"
+    rows = [("g", 1, "A", "T", 0.9, "same", [], "u1", {"brand": ("v1", 0.3)}), ("g", 2, "B", "U", 0.5, "same", [], "u2", None), ("g", 3, "C", "", 0.1, "same", [], "u3", {"brand": ("v3", 0.2), "type": ("v3", 0.99)}), ("h", 4, None, "", 0.9, "same", [], "u4", {})]
+    out = {r.name: (r.brand, r.type, r.provenance) for r in R.merge_records(spark.createDataFrame(rows, schema), "name", ["brand", "type"]).collect()}
+    assert out == {"g": ("B", "T", {"brand": ("u2", 0.5), "type": ("u1", 0.9)}), "h": (None, None, {})}
+    first = R.merge_records(spark.createDataFrame(rows[:2], schema), "name", ["brand", "type"]).withColumns({"record_id": F.lit(1), "grounding": F.lit(0.05), "source_url": F.lit("merged")})
+    again = first.select("name", "record_id", "brand", "type", "grounding", "binding", "statuses", "source_url", "provenance").union(spark.createDataFrame(rows[2:], schema))
+    assert {r.name: (r.brand, r.type, r.provenance) for r in R.merge_records(again, "name", ["brand", "type"]).collect()} == out
+    told = [({"b": "1"}, {"b": ("other", 0.5)}, "u", 0.5, 1.0)]
+    csv = export.csv_table(spark.createDataFrame(told, "fields map<string,string>, provenance map<string,struct<source_url:string,grounding:double>>, source_url string, grounding double, constraint_support double"), ["b"])
+    assert [tuple(r) for r in csv.collect()] == [("1", "u", "0.50", "1.00", "other")]
+
+
 def test_row_limits():
     assert [R.row_limit(), R.row_limit(0), R.row_limit(7, 3), R.row_limit(None, 3), R.row_limit(None, 0)] == [50, None, 7, 3, 1]
 
@@ -289,9 +303,30 @@ def test_run_log_lines(spark):
 
 
 def test_decoded_pages(spark):
-    rows = [("a", "é".encode("latin-1"), "iso-8859-1"), ("b", b'<meta charset="windows-1252">\x80', None), ("c", "é".encode(), None), ("d", b"\xff\x80", None)]
+    rows = [
+        ("a", "é".encode("latin-1"), "iso-8859-1"), ("b", b'<meta charset="windows-1252">\x80', None), ("c", "é".encode(), None), ("d", b"\xff\x80", None), ("e", b"\x80\x81", "ISO-8859-1"),
+        ("f", b"a\xff", "utf-8"), ("g", "日本".encode("shift_jis"), "Shift_JIS"), ("h", b'<meta charset=koi8-r>\xc1', "no-such-label"), ("i", b'<?xml charset="KOI8-R"?>\xc1', None), ("j", b"", None), ("k", None, None),
+    ]
     out = {r.url: r.html for r in export.decode_pages(spark.createDataFrame(rows, "url string, content binary, charset string")).collect()}
-    assert out["a"] == "é" and out["b"].endswith("€") and out["c"] == "é" and out["d"] == "ÿ€"
+    assert out["a"] == "é" and out["b"].endswith("€") and out["c"] == "é" and out["d"] == "ÿ€" and out["e"] == "€\x81"
+    assert out["f"] == "a\ufffd" and out["g"] == "日本" and out["h"].endswith("Á") and out["i"].endswith("а") and out["j"] == out["k"] == ""
+
+
+def test_page_files(spark, sf, tmp_path):
+    """Raw files in four encodings, declared by a header, in the page, or not at all; and the pages of the table."""
+    text = "<p>Ébène ñandú €</p>"
+    (tmp_path / "in/sub").mkdir(parents=True)
+    files = {"a.html": text.encode("iso-8859-15"), "sub/b.html": b'<meta charset="windows-1252">' + text.encode("windows-1252"), "c.html": text.encode(), "d.html": text.encode("utf-16-le")}
+    for name, data in files.items():
+        (tmp_path / "in" / name).write_bytes(data)
+    headers = spark.createDataFrame([(f"file:{tmp_path}/in/a.html", 'text/html; Charset="ISO-8859-15"'), (f"file:{tmp_path}/in/d.html", "text/html;charset=utf-16"), (f"file:{tmp_path}/in/c.html", "text/html")], "url string, content_type string")
+    out = {r.url.split("/in/")[1]: r.html for r in export.read_page_files(spark, f"{tmp_path}/in", headers).collect()}
+    assert out == {"a.html": text, "sub/b.html": '<meta charset="windows-1252">' + text, "c.html": text, "d.html": text}
+    (tmp_path / "pages").mkdir()
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    for i, html in pages.items():
+        (tmp_path / f"pages/{i}.html").write_bytes(html.encode())
+    assert {int(r.url.rsplit("/", 1)[1][:-5]): r.html for r in export.read_page_files(spark, f"{tmp_path}/pages").collect()} == pages
 
 
 def test_run_log_file(spark, tmp_path):
@@ -302,6 +337,21 @@ def test_run_log_file(spark, tmp_path):
     assert rows["a"].query == 'say "x_requests": 3' and rows["b"].judge_requests == 4 and [r.value for r in bad.collect()] == ["{oops"]
 
 
+def test_the_judge_of_a_run_log(spark):
+    lines = [
+        '{"id":"a","judge_requests":5,"search_requests":99}', '{"id":"b","search_requests":99,"judge_requests":5}', '{"id":"c","search_requests":99,"x_cost_usd":1}',
+        '{"id":"d","x_requests":1,"x_input_tokens":2,"x_cost_usd":3,"y_requests":4,"y_input_tokens":5,"y_cost_usd":6}', '{"id":"e","x_requests":"many","x_input_tokens":2,"x_cost_usd":3}',
+        '{"id":"f","search_requests":99,"x_requests":1,"x_input_tokens":null,"x_cost_usd":3.5}', '{"id":"g","started_at":5,"outcome":"complete"}', '{"id":"torn","started_', "7",
+    ]
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    runs, bad = runlog.parse_run_log(df)
+    got = {r.id: (r.judge_requests, r.judge_input_tokens, r.judge_cost_usd) for r in runs.collect()}
+    assert got == {"a": (5, 0, None), "b": (5, 0, None), "c": (0, 0, None), "f": (1, 0, 3.5), "g": (0, 0, None)}
+    assert sorted(r.value for r in bad.collect()) == sorted([lines[3], lines[4], lines[7], lines[8]])
+    runs, bad = runlog.parse_run_log(df, judge="y")
+    assert {r.id: r.judge_requests for r in runs.collect()}["d"] == 4 and sorted(r.value for r in bad.collect()) == sorted([lines[7], lines[8]])
+
+
 def test_run_log_that_cannot_be_written(spark, tmp_path):
     (tmp_path / "file").write_text("")
     runs = spark.createDataFrame([("a", 1_700_000_000)], "id string, started_at long")
@@ -311,7 +361,7 @@ def test_run_log_that_cannot_be_written(spark, tmp_path):
 
 
 def test_named_entities(spark):
-    assert each(spark, T.page_text, ["a&dagger;b &euro; &amp;euro; &unknown;"]) == ["a†b € &euro; &unknown;"]
+    assert each(spark, T.page_text, ["a&dagger;b &euro; &amp;euro; &unknown;"]) == ["a†b € &euro; &unknown;\n"]
 
 
 def test_answers_by_kind(spark):
@@ -347,8 +397,9 @@ def test_markdown_of_long_texts():
 def test_page_queries_read_whole_texts(spark, tmp_path):
     text = "word " * 60 + "[late](https://late.example.org/) " + "word " * 60_000
     spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, f"<p>{text}</p>")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert "https://late.example.org/" in {x.href for x in page_plans.markdown_links(spark, str(tmp_path)).collect()}
-    assert sum(x.chars for x in page_plans.chunk_pages(spark, str(tmp_path)).collect()) > 300_000
+    assert sum(x.chars for x in page_plans.chunk_pages(spark, str(tmp_path)).collect()) > 299_000
 
 
 def test_packed_batches(spark):
