@@ -15,10 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ngram_hashes, slices, word_hashes
+from .common import mix, slices, word_hashes
 
 #: Words of a seed (a shorter item is one seed); words of the items in one block, which bounds what is broadcast.
 SEED, BLOCK_WORDS = 4, 2_000_000
+#: Places of a seed's words, in item and text alike. A copy with words replaced that still scores LEAST_SCORE lacks at most
+#: a third of them; then four words stand in a row, or three and one, or two and two, with one between. As a seed is
+#: its words, whatever their places, words put in or left out between them do not hide it either.
+PATTERNS = [(0, 1, 2, 3), (0, 1, 3, 4), (0, 1, 2, 4), (0, 2, 3, 4)]
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least score as a share of the item's own.
 LEAST_SCORE = 0.5
@@ -50,18 +54,32 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int, int, in
     return score, j - back_j, j, i - back_i, i
 
 
+def seed_hashes(words: np.ndarray, places: tuple[int, ...]) -> np.ndarray:
+    """Hash of the words at ``places`` behind each position; the last positions have none."""
+    n, count = len(places), max(0, len(words) - places[-1])
+    out = np.zeros(count, np.uint64)
+    for k, p in enumerate(places):
+        out += words[p : p + count] * np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1) + n) & (2**64 - 1) | 1)
+    return mix(out)
+
+
+def _patterns(length: int) -> list[tuple[int, ...]]:
+    return [p for p in PATTERNS if p[-1] < length] if length >= SEED else [tuple(range(length))]
+
+
 class Seeds:
     """Seeds of a block of items, by number, with their places in the items."""
 
     def __init__(self, ids: list[int], items: list[np.ndarray]):
         self.ids, self.items = ids, items
         self.lengths = np.array([len(x) for x in items], np.int64)
-        self.sizes = sorted({min(SEED, len(x)) for x in items})
-        grams = [ngram_hashes(x, min(SEED, len(x))) for x in items]
+        self.patterns = sorted({p for n in set(self.lengths.tolist()) for p in _patterns(n)})
+        seeds = [[seed_hashes(x, p) for p in _patterns(len(x))] for x in items]
+        grams = [np.concatenate(x) for x in seeds]
         self.names, number = np.unique(np.concatenate([np.empty(0, np.uint64), *grams]), return_inverse=True)
         order = np.argsort(number, kind="stable")
         self.item = np.repeat(np.arange(len(items), dtype=np.int32), [len(x) for x in grams])[order]
-        self.position = np.concatenate([np.empty(0, np.int32), *(np.arange(len(x), dtype=np.int32) for x in grams)])[order]
+        self.position = np.concatenate([np.empty(0, np.int32), *(np.arange(len(g), dtype=np.int32) for x in seeds for g in x)])[order]
         self.first = np.searchsorted(number[order], np.arange(len(self.names) + 1))
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.names >> np.uint64(44)).astype(np.int64)] = True
@@ -110,10 +128,10 @@ def _documents(part: pa.RecordBatch, seeds: Seeds) -> Iterator[tuple[int, np.nda
     """(row, its words, positions, seeds) of the rows of a slice that hold seeds."""
     words, ends = word_hashes(part.column("text"))
     found = []
-    for size in seeds.sizes:
-        at, k = seeds.found(ngram_hashes(words, size))
+    for places in seeds.patterns:
+        at, k = seeds.found(seed_hashes(words, places))
         row = np.searchsorted(ends, at, side="right")
-        inside = at + size <= ends[row] if len(at) else np.zeros(0, bool)
+        inside = at + places[-1] < ends[row] if len(at) else np.zeros(0, bool)
         found.append((at[inside], k[inside], row[inside]))
     at, k, row = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.argsort(row, kind="stable")
@@ -146,8 +164,8 @@ def benchmark_copies(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ``score`` is the alignment's as a share of the item's alignment with itself; pairs of LEAST_SCORE or
     more are returned, the best passage of each. Words are lower-cased (A-Z) runs without white space.
     Null and empty texts hold nothing; equal items are found each; repeated rows give repeated results,
-    with a null doc_id where it is null. An edited copy is found if it shares SEED words in a row with the
-    item; items under SEED words are found where they are whole. Other columns are ignored.
+    with a null doc_id where it is null. An edited copy is found if four words of the item stand in it by one
+    of PATTERNS; items under SEED words are found where they are whole. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     names = ["doc_id", "item_id", "score", "doc_from", "doc_to", "item_from", "item_to"]

@@ -118,3 +118,47 @@ def test_edited_copies_are_found(spark):
         docs.append((d, " ".join(text(50) + copy + text(50))))
     found = {(x.doc_id, x.item_id) for x in D.benchmark_copies(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")).collect()}
     assert len(found & {(d, d % 100) for d in range(200)}) >= 180 and not found - {(d, d % 100) for d in range(200)}
+
+
+def found_in(item, passage):
+    """Is the item found in the passage with other words around it?"""
+    seeds = D.Seeds([0], [item])
+    words = np.concatenate([np.arange(10_000, 10_040, dtype=np.uint64), passage, np.arange(20_000, 20_040, dtype=np.uint64)])
+    hits = [D.seed_hashes(words, p) for p in seeds.patterns]
+    at, k = (np.concatenate(x) for x in zip(*(seeds.found(h) for h in hits), strict=True))
+    return bool(len(at)) and bool(list(seeds.copies(words, at, k)))
+
+
+def edited(item, change):
+    """``change`` gives what stands in place of word i."""
+    return np.array([w for i, word in enumerate(item.tolist()) for w in change(i, word)], np.uint64)
+
+
+def test_regular_edits_are_found():
+    other = 5_000_000
+    edits = {
+        "every fourth replaced": lambda i, w: [other + i] if i % 4 == 3 else [w], "every third replaced": lambda i, w: [other + i] if i % 3 == 2 else [w], "two of six replaced": lambda i, w: [other + i] if i % 6 in (1, 5) else [w],
+        "one in after three": lambda i, w: [w, other + i] if i % 3 == 2 else [w], "one in after two": lambda i, w: [w, other + i] if i % 2 else [w], "every fourth left out": lambda i, w: [] if i % 4 == 3 else [w], "every third left out": lambda i, w: [] if i % 3 == 2 else [w],
+    }
+    for length in (16, 40, 120):
+        item = np.arange(1, length + 1, dtype=np.uint64) * np.uint64(977)
+        for name, change in edits.items():
+            passage = edited(item, change)
+            assert D.align(item, passage)[0] >= D.LEAST_SCORE * D.MATCH * length and found_in(item, passage), (name, length)
+
+
+def test_recall_of_edited_copies():
+    """Against the alignment of all pairs, at 10 to 40 % of words replaced, put in or left out."""
+    r, total, missed = random.Random(11), 0, 0
+    for trial in range(1200):
+        item = np.array([r.randrange(1, 1 << 40) for _ in range(r.choice((20, 40, 80)))], np.uint64)
+        rate = (0.1, 0.2, 0.3, 0.4)[trial % 4]
+
+        def change(i, w, rate=rate):
+            return [w] if r.random() >= rate else r.choice([[r.randrange(1 << 41, 1 << 42)], [w, r.randrange(1 << 41, 1 << 42)], []])
+
+        passage = edited(item, change)
+        if D.align(item, passage)[0] >= D.LEAST_SCORE * D.MATCH * len(item):
+            total += 1
+            missed += not found_in(item, passage)
+    assert total > 800 and missed <= 0.01 * total
