@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import materialize, mix, slices
 from .tokens import _AT_END, _BESIDE, _ODD, _SPACES, _ragged
 
-#: A slice of documents has about so many bytes; units that the libraries get as one text.
-ALIGN_BYTES, JOINED = 8_000_000, 1000
+#: A slice of documents has about so many bytes; units that the libraries get as one text, and texts at once.
+ALIGN_BYTES, JOINED, AT_ONCE = 8_000_000, 1000, 16
 #: Pairs that a task sums before it writes them, of a shard, and of the broadcast table at most (16 bytes and some bits each).
 TASK_PAIRS, SHARD_PAIRS, MOST_PAIRS = 500_000, 1 << 18, 4_000_000
 #: Leaves and branching of the tree of sums, and slots for each key that a level of the hash is given.
@@ -74,9 +74,12 @@ class Tokenizers:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All A and B ids of texts that begin with a space, which B adds itself."""
-        a = [np.array(x.ids, np.int64) for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-        b = [np.array(x, np.int64) for x in self.b.encode([x[1:] for x in texts], num_threads=1)]
-        return tuple(np.concatenate([np.empty(0, np.int64), *x]) for x in (a, b))
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for i in range(0, len(texts), AT_ONCE):
+            part = texts[i : i + AT_ONCE]
+            a += [np.array(x.ids, np.int64) for x in self.a.encode_batch_fast(part, add_special_tokens=False)]
+            b += [np.array(x, np.int64) for x in self.b.encode([x[1:] for x in part], num_threads=1)]
+        return np.concatenate(a), np.concatenate(b)
 
     def spell(self, ids: tuple[np.ndarray, np.ndarray], data: bytes) -> bool:
         """Do both tokenizers' ids stand for these bytes?"""
@@ -109,11 +112,12 @@ class Slice:
         place[order] = np.arange(len(order))
         self.codes, units, side = place[flat.indices.to_numpy(zero_copy_only=False)], flat.dictionary.take(pa.array(order)).to_pylist(), int((~alone).sum())
         sizes = np.array([len(p) for p in parts], np.int64)
+        del parts
         ids, data = self._encoded(units, side, library)
         if not library.spell(ids, data):
             fine = np.array([library.spell(library.encode([x]), x.encode()) for x in (f" {u}" for u in units)], bool)
-            text = np.repeat(np.arange(len(parts)), sizes)
-            lost = np.zeros(len(parts), bool)
+            text = np.repeat(np.arange(len(texts)), sizes)
+            lost = np.zeros(len(texts), bool)
             lost[text[~fine[self.codes]]] = True
             self.codes, sizes = (np.cumsum(fine) - 1)[self.codes[~lost[text]]], np.where(lost, 0, sizes)
             units, side = [u for u, ok in zip(units, fine, strict=True) if ok], int(fine[:side].sum())
