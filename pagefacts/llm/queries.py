@@ -58,7 +58,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = with_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "score")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

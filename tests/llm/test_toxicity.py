@@ -2,6 +2,7 @@ import math
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pagefacts.llm import toxicity as X
@@ -34,13 +35,15 @@ def test_without_labels_or_rows(spark):
     assert X.with_toxicity(df.limit(0), none).count() == 0
 
 
-@pytest.mark.parametrize("scale", ["/root/testdata/sf0.01"])
-def test_held_out_rows(spark, scale):
+@pytest.mark.parametrize(("scale", "recall"), [("/root/testdata/sf0.01", 0.6), ("/root/testdata/sf0.1", 0.9)])
+def test_held_out_rows(spark, scale, recall):
+    """By the labels of held-out rows; the README has the figures."""
     out = {r.doc_id: r for r in op6_toxicity(spark, scale).collect()}
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{scale}/labels.parquet").collect()}
     held = [(out[d].predicted, t) for d, t in labels.items() if out[d].held_out]
-    clean = [p for p, t in held if not t]
-    assert sum(clean) <= 0.03 * len(clean)
+    clean, toxic = [p for p, t in held if not t], [p for p, t in held if t]
+    print("held out:", sum(toxic), len(toxic), sum(clean), len(clean))
+    assert sum(clean) <= 0.03 * len(clean) and sum(toxic) >= recall * len(toxic)
     insults = ("idiot", "moron", "scum", "clown", "pathetic", "worthless")
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{scale}/documents.parquet").collect()}
     plain = [d for d in out if sum(w in texts[d].lower() for w in insults) >= 2]
@@ -90,3 +93,15 @@ def test_clashing_columns_stay(spark):
     docs = spark.createDataFrame([(1, "a wretch", "x", 0.5), (2, "fine", None, None)], "doc_id long, text string, _toxicity string, toxicity double")
     out = X.without_toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert out.schema == docs.schema and sorted(map(tuple, out.collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_scores_equal_a_plain_sum():
+    texts = ["You IDIOT, you moron!", "", None, "a b a b", "idiot idiot"]
+    arrow = pa.array(texts)
+    owner, found = X.features(arrow)
+    weight = {int(f): 0.25 * (k % 5) for k, f in enumerate(sorted(set(found.tolist())))}
+    names = np.array(sorted([int(X.BIAS), *weight]), np.uint64)
+    got = X.Scorer(names, np.array([weight.get(int(f), -1.5) for f in names]))(arrow)
+    for i in range(len(texts)):
+        total = -1.5 + X.SHIFT + sum(weight[f] for f in {f for o, f in zip(owner.tolist(), found.tolist(), strict=True) if o == i})
+        assert abs(got[i] - 1 / (1 + math.exp(-total))) < 1e-12
