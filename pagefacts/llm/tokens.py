@@ -3,7 +3,7 @@
 A text splits into units at single spaces: a space between two characters that are not white space
 always starts a new pre-token of a byte-level tokenizer, so the text's ids are its units' ids in a
 row. The first tier is a broadcast table of frequent units, the second a worker's cache of bounded
-size; both hold 128-bit cryptographic digests, lengths and ids in arrays. Texts for which the rule does not hold (spaces
+size; both hold short units' bytes or long ones' digests, lengths and ids in arrays. Texts for which the rule does not hold (spaces
 beside white space, added tokens) go to the library whole, as do tokenizers of another kind.
 """
 
@@ -33,7 +33,6 @@ _SPACES = "\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029
 _ODD = re.compile(f"[{_SPACES.replace(chr(10), '').replace(' ', '')}]")
 _BESIDE = re.compile(f"[{_SPACES}] | [{_SPACES}]")
 _AT_END = f"^[{_SPACES}]|[{_SPACES}]$|^$"
-_FIRST = np.uint64(0x94D049BB133111EB)
 
 
 def tokenizer_path(name: str) -> str:
@@ -42,21 +41,31 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def unit_hashes(units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The two halves of each string's 128-bit BLAKE2b digest."""
-    digests = b"".join(blake2b(x, digest_size=16).digest() for x in units.cast(pa.large_binary()).to_pylist())
-    halves = np.frombuffer(digests, "<u8").reshape(-1, 2)
-    return halves[:, 0].copy(), halves[:, 1].copy()
-
-
 def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Indices of pieces that begin at ``starts``, one after the other."""
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
+def unit_hashes(units: pa.Array, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers that tell units apart, those that begin a text (``first``) too: of up to 15 bytes by the bytes themselves
+    and their number, of more by a 120-bit BLAKE2b digest. The first number is well spread."""
+    units = units.cast(pa.large_string())
+    offsets = np.frombuffer(units.buffers()[1], np.int64)[units.offset : units.offset + len(units) + 1] if len(units) else np.zeros(1, np.int64)
+    data = np.frombuffer(units.buffers()[2] or b"", np.uint8) if len(units) else np.empty(0, np.uint8)
+    start, size = offsets[:-1], np.diff(offsets)
+    short = np.flatnonzero(size < 16)
+    out = np.zeros((len(units), 16), np.uint8)
+    out.ravel()[_ragged(short * 16, size[short])] = data[_ragged(start[short], size[short])]
+    for i in np.flatnonzero(size >= 16).tolist():
+        out[i] = np.frombuffer(blake2b(data[start[i] : start[i] + size[i]], digest_size=16).digest(), np.uint8)
+    out[:, 15] = np.minimum(size, 16) * 2 + first
+    low, high = (out.view("<u8")[:, k].copy() for k in (0, 1))
+    return mix(low) ^ mix(high ^ np.uint64(0x94D049BB133111EB)), high
+
+
 @dataclass
 class Run:
-    """Units in order of their digest's first half: both halves, number of ids, and the ids' place in ``ids`` (none when counting)."""
+    """Units in order of the first of their two numbers: both, number of ids, and the ids' place in ``ids`` (none when counting)."""
 
     key: np.ndarray
     check: np.ndarray
@@ -146,8 +155,7 @@ class Encoder:
 
     def _values(self, units: pa.Array, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Size of each unit, its place in an array of ids, and that array."""
-        key, check = unit_hashes(units)
-        key = np.where(first, mix(key ^ _FIRST), key)
+        key, check = unit_hashes(units, first)
         size, start, ids, base, todo = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64), [], 0, np.arange(len(units))
         for run in (self.table, *self.runs):
             same, at = run.find(key[todo], check[todo])
@@ -219,7 +227,7 @@ def frequent_units(path: str, units: int = TABLE_UNITS) -> Run:
     texts = encode.library.decode_batch([[i] for i in range(len(encode.opens))], skip_special_tokens=False)
     found = pa.array(list(dict.fromkeys(x[1:] for x in texts if x[:1] == " " and "\ufffd" not in x and not re.search(_AT_END, x[1:])))[:units], pa.string())
     size, _ = encode.encoded([" " + x for x in found.to_pylist()])
-    return Run.of(*unit_hashes(found), size.astype(np.int32), np.zeros(len(found), np.int64), np.empty(0, encode.dtype))
+    return Run.of(*unit_hashes(found, np.zeros(len(found), bool)), size.astype(np.int32), np.zeros(len(found), np.int64), np.empty(0, encode.dtype))
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
