@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Temporary folders of local sessions that name none, by application.
+_OWN_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names. Where it is unset, a local session gets a temporary one; on a
     cluster that is an error, as executors would each write to a disk of their own."""
@@ -19,8 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="pagefacts-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        own = spark.sparkContext.applicationId
+        path = _OWN_DIRS[own] = _OWN_DIRS.get(own) or "file://" + tempfile.mkdtemp(prefix="pagefacts-")
     return path.rstrip("/")
 
 
