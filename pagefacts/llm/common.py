@@ -6,6 +6,8 @@ executors share, so a lost executor costs a retry of its tasks and nothing else.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components, materialize, scratch, shared_dir, work_path
 
-__all__ = ["components", "materialize", "mix", "ngram_hashes", "scratch", "shared_dir", "shingle_sets", "sized_hint", "slices", "word_hashes", "words_of", "work_path"]
+__all__ = ["components", "give_back", "materialize", "mix", "ngram_hashes", "scratch", "shared_dir", "shingle_sets", "sized_hint", "slices", "word_hashes", "words_of", "work_path"]
 
 #: A slice of a batch holds about this many bytes of text, which bounds a worker's memory.
 SLICE_BYTES = 3_000_000
@@ -44,6 +46,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             pa.default_memory_pool().release_unused()
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, so that a worker that did a large piece of work is small for its next tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Lower-cased (A-Z) words ``[^\\x20\\x09-\\x0D]+`` of all texts, and each text's end in that list."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, work_path
+from .common import give_back, slices, work_path
 from .tokens import worker_encoder
 
 #: Tokens of a sequence, and sequences of a record batch.
@@ -99,6 +99,7 @@ def write_sequences(docs: DataFrame, folder: str, path: str, end_id: int = 2, le
                 n, tokens = n + part.num_rows, tokens + len(ids)
             writer.close()
             ids_of.close()
+        give_back()
         store.move(f"{own}.docs", f"{root}/{name}.docs")
         store.move(own, f"{root}/{name}")
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n]), pa.array([tokens])], ["file", "docs", "tokens"])

@@ -55,7 +55,9 @@ def unit_hashes(units: pa.Array, first: np.ndarray) -> tuple[np.ndarray, np.ndar
     start, size = offsets[:-1], np.diff(offsets)
     short = np.flatnonzero(size < 16)
     out = np.zeros((len(units), 16), np.uint8)
-    out.ravel()[_ragged(short * 16, size[short])] = data[_ragged(start[short], size[short])]
+    for i in range(0, len(short), 20_000):  # which bounds the indices
+        part = short[i : i + 20_000]
+        out.ravel()[_ragged(part * 16, size[part])] = data[_ragged(start[part], size[part])]
     for i in np.flatnonzero(size >= 16).tolist():
         out[i] = np.frombuffer(blake2b(data[start[i] : start[i] + size[i]], digest_size=16).digest(), np.uint8)
     out[:, 15] = np.minimum(size, 16) * 2 + first

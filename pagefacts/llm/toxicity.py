@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, slices
+from .common import give_back, mix, slices
 
 #: The sample that training reads: labelled rows of smallest hash of doc_id, so many at most, and of those as many as
 #: hold so many features together.
@@ -120,6 +120,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             flat, ends = batch.column("features").flatten().to_numpy().view(np.uint64), np.cumsum(pc.list_value_length(batch.column("features")).to_numpy())
             rows += zip(np.split(flat, ends[:-1]), batch.column("label").to_pylist(), strict=True)
         names, weights = train(rows)
+        flat = batch = None
+        rows.clear()
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(weights)], ["feature", "weight"])
 
     order = Window.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")
