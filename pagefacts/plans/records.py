@@ -157,7 +157,7 @@ def read_run_log(spark, d):
     path = work_path(spark, "runlog")
     table(spark, d, "events").selectExpr(f"{line} as value").write.text(path)
     runs, rejects = runlog.read_run_log(spark, path)
-    bad = rejects.join(table(spark, d, "events").selectExpr("event_id as id", "cast(get_json_object(props,'$.k') as bigint) as records", "concat('{\"id\": ', event_id) as value"), "value")
+    bad = rejects.join(table(spark, d, "events").selectExpr("event_id as id", "cast(get_json_object(props,'$.k') as bigint) as records", "concat('{\"id\": ', event_id) as value").hint("merge"), "value")
     return runs.select(F.col("id").cast("long").alias("id"), "records", "judge_requests", F.lit(False).alias("rejected")).union(bad.select("id", "records", F.lit(0).cast("long"), F.lit(True)))
 
 

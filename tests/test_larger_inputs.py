@@ -3,6 +3,7 @@
 import duckdb
 
 from pagefacts.plans import registry
+from pagefacts.sources import runlog
 
 
 def test_score_with_leaves_out_what_is_too_long_as_its_sql_does(spark, tmp_path):
@@ -15,3 +16,12 @@ def test_score_with_leaves_out_what_is_too_long_as_its_sql_does(spark, tmp_path)
     assert got == want
     assert [k for k in got if k[0] == 2] == [(2, "plain")] and got[2, "plain"][0] is None
     assert got[3, "plain"][0] == 0.0 and got[1, "long"][0] == 1.0
+
+
+def test_run_log_is_parsed_once_and_written(spark):
+    lines = ['{"id":"a","records":2,"my.scorer_requests":3,"my.scorer_input_tokens":4,"my.scorer_cost_usd":0.5}', '{"id":"b","judge_requests":1}', '{"id": 7', "  "]
+    runs, bad = runlog.parse_run_log(spark.createDataFrame([(x,) for x in lines], "value string"))
+    for df in (runs, bad):
+        assert "from_json" not in df._jdf.queryExecution().toString()
+    assert {(r.id, r.judge_requests, r.judge_input_tokens, r.judge_cost_usd) for r in runs.collect()} == {("a", 3, 4, 0.5), ("b", 1, 0, None)}
+    assert [r.value for r in bad.collect()] == ['{"id": 7']
