@@ -58,7 +58,7 @@ def _first_seen(hits: DataFrame) -> DataFrame:
     return h.groupBy("query", "key").agg(
         F.min("pos").alias("pos"), F.array_sort(F.collect_set("lane")).alias("engines"), F.max_by("snippet", longest).alias("snippet"), F.min_by("url", order).alias("url"),
         F.coalesce(F.min_by("title", F.when(F.trim("title") != "", order)), F.lit("")).alias("title"), F.coalesce(F.min_by("tkey", F.when(F.trim("title") != "", order)), F.lit("")).alias("tkey"),
-        F.min_by("stem", order).alias("stem"), F.min(order).alias("first"), (F.min("tkey") != F.max("tkey")).alias("odd"),
+        F.min_by("stem", order).alias("stem"), F.min(order).alias("first"),
     )
 
 
@@ -77,20 +77,15 @@ def merge_hits(hits: DataFrame, limit: int = 0) -> DataFrame:
     """Per query one ranked list over all lanes, syndicated copies left out; hits without a url are no pages. Of several
     snippets the longest in bytes stays.
 
-    Keys are computed once and written. In queries in which one page came under two titles only a page that is kept
-    claims its title: there the hits are gone through in order (a query's hits are a few lanes' result pages), and
-    those that belong to kept pages are merged like all others.
+    Only a page that is kept claims its title, so a query's hits (a few lanes' result pages) are gone through in
+    order, and those that belong to kept pages are merged. Hits are dealt out by query once, before their keys are made; all
+    that follows stays in place, and nothing is written.
     """
-    hits = materialize(_keyed(hits), "keyed_hits")
-    pages = materialize(_first_seen(hits).withColumn("odd", F.bool_or("odd").over(Window.partitionBy("query"))), "first_seen")
     names = ["query", "key", "url", "title", "snippet", "pos", "engines", "first"]
-    plain = _syndicated(pages.where(~F.col("odd"))).where("not syndicated")
-    odd = pages.where("odd").select("query").distinct()
-    kept = _first_seen(_kept_hits(hits.join(odd.hint("merge"), "query", "left_semi")))
-    both = plain.select(names).union(kept.select(names))
-    order = Window.partitionBy("query").orderBy("pos", F.desc(F.size("engines")), "first")
-    both = both.withColumn("place", F.row_number().over(order))
-    return (both.where(F.col("place") <= limit) if limit else both).drop("first")
+    kept = _first_seen(_kept_hits(_keyed(hits.repartition("query")))).select(names)
+    order = Window.partitionBy("query").orderBy("pos", F.desc(F.size("engines")), "first", "key")
+    kept = kept.withColumn("place", F.row_number().over(order))
+    return (kept.where(F.col("place") <= limit) if limit else kept).drop("first")
 
 
 def _kept_hits(hits: DataFrame) -> DataFrame:

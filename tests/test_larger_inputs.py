@@ -2,6 +2,7 @@
 
 import duckdb
 
+from pagefacts.operators import hits as H
 from pagefacts.plans import registry
 from pagefacts.sources import runlog
 
@@ -25,3 +26,11 @@ def test_run_log_is_parsed_once_and_written(spark):
         assert "from_json" not in df._jdf.queryExecution().toString()
     assert {(r.id, r.judge_requests, r.judge_input_tokens, r.judge_cost_usd) for r in runs.collect()} == {("a", 3, 4, 0.5), ("b", 1, 0, None)}
     assert [r.value for r in bad.collect()] == ['{"id": 7']
+
+
+def test_merging_hits_deals_them_out_once(spark):
+    rows = [(q, lane, o, p, f"https://s{p % 3}.org/{p % 2}", "A title of four words", "s") for q in range(20) for o, lane in enumerate("ab") for p in range(1, 5)]
+    out = H.merge_hits(spark.createDataFrame(rows, "query long, lane string, lane_ord int, pos int, url string, title string, snippet string"), 3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "parquet" not in plan
+    assert {(r.query, r.key, tuple(r.engines), r.place) for r in out.collect()} == {(q, key, ("a", "b"), place) for q in range(20) for key, place in (("s1.org/1", 1), ("s1.org/0", 2))}
