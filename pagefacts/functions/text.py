@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -30,12 +31,18 @@ _BLANK = "[ \\t\\x0B\\f\\r\\x85\\p{Z}]"
 MOST_JSON_LD = 2000
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is made once: under higher-order functions an expression is evaluated at each mention."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def decode_entities(text: Column) -> Column:
-    named = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit("&[A-Za-z]+[0-9]?;"), F.lit(0)))
-    out = F.aggregate(found, text, lambda t, e: F.replace(t, e, F.coalesce(F.try_element_at(named, e), e)))
-    out = F.replace(out, F.lit("&amp;"), F.lit("&"))
-    numbers = F.array_distinct(F.regexp_extract_all(out, F.lit("&#[^;]*;"), F.lit(0)))
+    names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+
+    def named(text: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(text, F.lit("&[A-Za-z]+[0-9]?;"), F.lit(0)))
+        out = F.aggregate(found, text, lambda t, e: F.replace(t, e, F.coalesce(F.try_element_at(names, e), e)))
+        return F.replace(out, F.lit("&amp;"), F.lit("&"))
 
     def one(t: Column, e: Column) -> Column:
         digits = F.regexp_extract(e, "^&#x?\\+?0*([0-9A-Fa-f]*);", 1)
@@ -44,7 +51,8 @@ def decode_entities(text: Column) -> Column:
         char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
         return F.replace(t, e, F.coalesce(F.when((code < 0x110000) & ~code.between(0xD800, 0xDFFF), char), F.lit("")))
 
-    return F.aggregate(numbers, out, one)
+    numbers = lambda text: F.array_distinct(F.regexp_extract_all(text, F.lit("&#[^;]*;"), F.lit(0)))
+    return _once(_once(text, named), lambda text: F.aggregate(numbers(text), text, one))
 
 
 def _trimmed(text: Column) -> Column:
@@ -72,7 +80,7 @@ def page_text(html: Column) -> Column:
     text = F.replace(F.regexp_replace(text, "(?:^|(?<=[ \\n]|<b>))<i>", ""), F.lit("<i>"), F.lit(" "))
     text = F.regexp_replace(F.regexp_replace(text, "^<d>", ""), "\\n?(?:<[bd]>)+", "\n")
     text = decode_entities(F.replace(text, F.lit("<l>"), F.lit("<")))
-    text = F.when((text == "") | F.endswith(text, F.lit("\n")), text).otherwise(F.concat(text, F.lit("\n")))
+    text = _once(text, lambda t: F.when((t == "") | F.endswith(t, F.lit("\n")), t).otherwise(F.concat(t, F.lit("\n"))))
     text = F.regexp_replace(F.regexp_replace(text, f"(?md)^{_BLANK}++", ""), f"(?<!{_BLANK}){_BLANK}++(?=\\n)", "")
     return F.regexp_replace(F.regexp_replace(text, "\\n{3,}", "\n\n"), "^\\n{2,}", "\n")
 

@@ -1,8 +1,11 @@
 """Queries and operators on inputs that the small tables lack."""
 
 import duckdb
+from pyspark.sql import functions as F
 
+from pagefacts.functions import text as T
 from pagefacts.operators import hits as H
+from pagefacts.operators import page_jobs as P
 from pagefacts.plans import registry
 from pagefacts.sources import runlog
 
@@ -34,3 +37,10 @@ def test_merging_hits_deals_them_out_once(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "parquet" not in plan
     assert {(r.query, r.key, tuple(r.engines), r.place) for r in out.collect()} == {(q, key, ("a", "b"), place) for q in range(20) for key, place in (("s1.org/1", 1), ("s1.org/0", 2))}
+
+
+def test_pages_are_tokenized_once_for_their_chunks(spark):
+    pages = spark.createDataFrame([(1, "<p>" + "word &eacute;&#65; " * 30 + "<p>" + "other " * 40), (2, "<p>short"), (3, None)], "page_id long, html string")
+    out = P.chunk_pages(pages.select("page_id", T.page_text(F.col("html")).alias("text")), "page_id", 400)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("<noscript(") == 1
+    assert [(r.page_id, r.nr, r.n_chunks) for r in out.orderBy("page_id", "nr").collect()] == [(1, 1, 2), (1, 2, 2)]
