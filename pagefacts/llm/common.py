@@ -6,8 +6,6 @@ executors share, so a lost executor costs a retry of its tasks and nothing else.
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,11 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components, materialize, scratch, shared_dir, work_path
+from ..operators.slices import SLICE_BYTES, give_back, slices
 
-__all__ = ["components", "give_back", "materialize", "mix", "ngram_hashes", "scratch", "shared_dir", "shingle_sets", "sized_hint", "slices", "word_hashes", "words_of", "work_path"]
+__all__ = ["SLICE_BYTES", "components", "give_back", "materialize", "mix", "ngram_hashes", "scratch", "shared_dir", "shingle_sets", "sized_hint", "slices", "word_hashes", "words_of", "work_path"]
 
-#: A slice of a batch holds about this many bytes of text, which bounds a worker's memory.
-SLICE_BYTES = 3_000_000
 #: Most rows of a list that is broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -32,27 +29,6 @@ def sized_hint(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(df) if rows <= most else df.hint("merge")
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches into runs of rows with about ``limit`` bytes of ``column``; one row at least."""
-    for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        ends = np.cumsum(sizes, dtype=np.int64)
-        at = 0
-        while at < batch.num_rows:
-            before = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
-            yield batch.slice(at, to - at)
-            at = to
-            pa.default_memory_pool().release_unused()
-
-
-def give_back() -> None:
-    """Returns freed memory to the system, so that a worker that did a large piece of work is small for its next tasks."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # no glibc
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-
-
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Lower-cased (A-Z) words ``[^\\x20\\x09-\\x0D]+`` of all texts, and each text's end in that list."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))

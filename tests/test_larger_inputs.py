@@ -1,13 +1,15 @@
 """Queries and operators on inputs that the small tables lack."""
 
 import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pagefacts.functions import text as T
 from pagefacts.operators import hits as H
 from pagefacts.operators import page_jobs as P
+from pagefacts.operators.slices import by_slices
 from pagefacts.plans import registry
-from pagefacts.sources import runlog
+from pagefacts.sources import export, runlog
 
 
 def test_score_with_leaves_out_what_is_too_long_as_its_sql_does(spark, tmp_path):
@@ -44,3 +46,17 @@ def test_pages_are_tokenized_once_for_their_chunks(spark):
     out = P.chunk_pages(pages.select("page_id", T.page_text(F.col("html")).alias("text")), "page_id", 400)
     assert out._jdf.queryExecution().optimizedPlan().toString().count("<noscript(") == 1
     assert [(r.page_id, r.nr, r.n_chunks) for r in out.orderBy("page_id", "nr").collect()] == [(1, 1, 2), (1, 2, 2)]
+
+
+def test_large_batches_are_taken_in_slices():
+    batch = pa.record_batch({"id": pa.array(range(10)), "text": pa.array(["é" * 500_000] * 9 + [None])})
+    run = by_slices("text", {"id": pa.int64(), "n": pa.int64()}, lambda i, text: [(i, len(text or ""))] * 2, "id", "text")
+    out = list(run(iter([batch])))
+    assert [b.num_rows for b in out] == [6, 6, 8] and pa.Table.from_batches(out).to_pylist()[::2] == [{"id": i, "n": 500_000 if i < 9 else 0} for i in range(10)]
+
+
+def test_pages_are_decoded_in_slices(spark):
+    rows = [("a", b"caf\xc3\xa9", None), ("b", b"caf\xe9", None), ("c", None, "utf-8"), (None, b"x", "utf-8")]
+    out = export.decode_pages(spark.createDataFrame(rows, "url string, content binary, charset string"))
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.url, r.html) for r in out.collect()} == {("a", "café"), ("b", "café"), ("c", ""), (None, "x")}
