@@ -60,3 +60,12 @@ def test_pages_are_decoded_in_slices(spark):
     out = export.decode_pages(spark.createDataFrame(rows, "url string, content binary, charset string"))
     assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
     assert {(r.url, r.html) for r in out.collect()} == {("a", "café"), ("b", "café"), ("c", ""), (None, "x")}
+
+
+def test_claims_and_links_are_found_in_slices(spark):
+    df = spark.createDataFrame([(1, "One. Two [a](https://a.org)."), (2, None)], "id long, text string")
+    claims, links = P.split_claims(df.withColumnRenamed("text", "answer")), P.markdown_links(df.withColumnRenamed("id", "doc_id"))
+    for out in (claims, links):
+        assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in claims.collect()] == [(1, 1, "One."), (1, 2, "Two [a](https://a.org).")]
+    assert [tuple(r) for r in links.collect()] == [(1, 1, "https://a.org", "a")]
