@@ -61,20 +61,25 @@ class UsageGauge(StatefulProcessor):
         self.state = handle.getValueState("gauge", "tick long, ended boolean")
 
     def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["at", "final", "seq"])
-        last, ended = self.state.get() if self.state.exists() else (None, False)
+        last, ended = self.state.get() or (None, False)
         if ended:  # late samples of an ended run
             return
-        frame["tick"] = (frame["at"] // self.seconds * self.seconds).astype("int64")
-        if ended := bool(frame["final"].any()):
-            place = int(frame["final"].to_numpy().argmax())
-            frame = frame.iloc[: place + 1]
-            # A sample that came earlier may lie in a later tick: the report still is the last row.
-            frame.iloc[place, frame.columns.get_loc("tick")] = max(frame["tick"].iloc[place], frame["tick"].max() if last is None else last)
-            self.handle.registerTimer(math.ceil((frame["at"].iloc[place] + self.keep) * 1000))
-        self.state.update((int(max(frame["tick"].max(), frame["tick"].max() if last is None else last)), ended))
-        out = frame.sort_values(["final", "seq"]).groupby("tick").tail(1)
-        yield pd.DataFrame({"run_id": [key[0]] * len(out), "tick": out["tick"].to_numpy(), "seq": out["seq"].to_numpy(), "k": out["k"].to_numpy(), "final": out["final"].to_numpy()})
+        # Plain tuples: a run has few samples at once, and frames cost milliseconds for each of its steps.
+        samples = [x for f in rows for x in zip(*(f[c].tolist() for c in ("at", "final", "seq", "k")), strict=True)]
+        samples.sort(key=lambda x: (x[0], x[1], x[2] != x[2], x[2]))
+        latest: dict[int, tuple] = {}
+        for at, ended, seq, k in samples:
+            tick = int(at // self.seconds * self.seconds)
+            if ended:  # A sample that came earlier may lie in a later tick: the report still is the last row.
+                tick = tick if last is None else max(tick, last)
+                self.handle.registerTimer(math.ceil((at + self.keep) * 1000))
+            place = (ended, seq != seq, seq)
+            if tick not in latest or place >= latest[tick][0]:
+                latest[tick] = (place, k)
+            if ended:
+                break
+        self.state.update((max([*latest] if last is None else [last, *latest]), bool(ended)))
+        yield pd.DataFrame({"run_id": [key[0]] * len(latest), "tick": [*latest], "seq": [p[2] for p, _ in latest.values()], "k": [k for _, k in latest.values()], "final": [p[0] for p, _ in latest.values()]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.state.clear()

@@ -1,6 +1,7 @@
 """Queries and operators on inputs that the small tables lack."""
 
 import duckdb
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from pagefacts.operators import page_jobs as P
 from pagefacts.operators.slices import by_slices
 from pagefacts.plans import registry
 from pagefacts.sources import export, runlog
+from pagefacts.streaming import jobs as J
 
 
 def test_score_with_leaves_out_what_is_too_long_as_its_sql_does(spark, tmp_path):
@@ -69,3 +71,31 @@ def test_claims_and_links_are_found_in_slices(spark):
         assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
     assert [tuple(r) for r in claims.collect()] == [(1, 1, "One."), (1, 2, "Two [a](https://a.org).")]
     assert [tuple(r) for r in links.collect()] == [(1, 1, "https://a.org", "a")]
+
+
+def test_gauge_asks_the_state_once_for_a_run():
+    asked = []
+
+    class State:
+        held = None
+
+        def exists(self):
+            asked.append("exists")
+            return self.held is not None
+
+        def get(self):
+            asked.append("get")
+            return self.held
+
+        def update(self, value):
+            asked.append("update")
+            self.held = value
+
+    gauge = J.UsageGauge(10, 60)
+    gauge.state = State()
+    frames = lambda *rows: iter([pd.DataFrame([r], columns=["at", "final", "seq", "k"]) for r in rows])
+    out = [x for f in gauge.handleInputRows((7,), frames((12.0, False, 2, 5), (11.0, False, 1, 4), (25.0, False, 3, 6)), None) for x in f.itertuples(index=False, name=None)]
+    assert out == [(7, 10, 2, 5, False), (7, 20, 3, 6, False)]
+    out = [x for f in gauge.handleInputRows((7,), frames((14.0, False, 4, 8)), None) for x in f.itertuples(index=False, name=None)]
+    assert out == [(7, 10, 4, 8, False)] and gauge.state.held == (20, False)
+    assert asked == ["get", "update"] * 2
