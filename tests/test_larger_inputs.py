@@ -26,6 +26,23 @@ def test_score_with_leaves_out_what_is_too_long_as_its_sql_does(spark, tmp_path)
     assert got[3, "plain"][0] == 0.0 and got[1, "long"][0] == 1.0
 
 
+def test_score_with_keeps_large_ids_beside_a_null_one_as_its_sql_does(spark, tmp_path):
+    texts = [(2**53 + 1, "x" * 900), (None, "x" * 5_000), (2**63 - 1, "x" * 2_000), (-(2**53) - 1, "x" * 64_001)]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, registry.QUERIES["score_with"](spark, str(tmp_path)).collect()), key=repr)
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(c.sql(registry.ORACLES["score_with"]).fetchall(), key=repr) and len(got) == 13
+
+
+def test_judges_take_many_items_of_a_large_batch_at_once(spark):
+    df = spark.range(2_000).selectExpr("id as item_id", "case when id = 7 then repeat('x', 64001) else repeat('x', 1000) end as text").coalesce(1)
+    sizes = {r.item_id: r.score for r in P.score_with(df, lambda t: pd.Series([float(len(t))] * len(t))).collect()}
+    assert len(sizes) == 2_000 and sizes.pop(7) is None and all(4 <= n <= 64 for i, n in sizes.items() if i > 500)
+    told = P.answer_with(df, [{"id": "y", "kind": "yes_no"}], lambda t, q: [{"score": float(len(t))}] * len(t)).collect()
+    assert {r.item_id: r.score for r in told} == sizes
+
+
 def test_run_log_is_parsed_once_and_written(spark):
     lines = ['{"id":"a","records":2,"my.scorer_requests":3,"my.scorer_input_tokens":4,"my.scorer_cost_usd":0.5}', '{"id":"b","judge_requests":1}', '{"id": 7', "  "]
     runs, bad = runlog.parse_run_log(spark.createDataFrame([(x,) for x in lines], "value string"))
